@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthpick.operators.labels import compute_profitability
-from monthpick.plans.oracle_sql import SNAP_OFFSET, digits_for
+from monthpick.functions.columns import snap
+from monthpick.plans.oracle_sql import digits_for
+from monthpick.session import materialize
 from monthpick.sources.adapters import driver_sources
 from monthpick.sources.loaders import load_costs, load_prices, load_sim_daily, load_sim_monthly
 
@@ -23,10 +25,14 @@ class Inputs:
     costs: DataFrame
     sim_monthly: DataFrame
     sim_daily: DataFrame
+    _hist: DataFrame | None = None
 
     @property
     def hist(self) -> DataFrame:
-        return compute_profitability(self.prices, self.costs)
+        """Label table, a stage boundary (used by features and by truth)."""
+        if self._hist is None:
+            self._hist = materialize(compute_profitability(self.prices, self.costs))
+        return self._hist
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
@@ -39,13 +45,6 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     )
 
 
-def snap(c, digits: int):
-    """Value on a 10^-digits grid, boundary off the exact ties (see SNAP_OFFSET)."""
-    col = F.col(c) if isinstance(c, str) else c
-    scale = 10**digits
-    return F.when(F.isnan(col), col).otherwise(F.floor(col * scale + F.lit(SNAP_OFFSET)) / scale)
-
-
 def finish(df: DataFrame) -> DataFrame:
     """Snap doubles the way the oracles do (4 dp for large magnitudes, else 6)."""
     return df.select(

@@ -10,6 +10,7 @@ FIXTURES.md §2.
 
 from __future__ import annotations
 
+from monthpick.functions.columns import SNAP_OFFSET
 from monthpick.schema import (
     DEFAULT_WEIGHTS,
     MATRIX_KEY,
@@ -165,13 +166,6 @@ def ctes(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-# Fixed value: offset of the snapping grid.  Means of fixed-decimal data sit
-# exactly on .5/.25/.125 (and 1/3) ties of a plain round, where engines that sum
-# in different orders disagree; moving the boundary to frac 0.46816... (no
-# small-denominator fraction is within 4e-5 of it) makes both engines agree.
-SNAP_OFFSET = 0.5318309886
-
-
 def snap_sql(expr: str, digits: int) -> str:
     """``expr`` on a 10^-digits grid (DuckDB form of ``context.snap``)."""
     scale = 10**digits

@@ -59,3 +59,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, mode: str = "persist", name: str = "stage"):
+    """Stage boundary for a DataFrame used more than once.
+
+    ``persist``    — MEMORY_AND_DISK; a lost executor's blocks are recomputed
+                     from lineage.
+    ``checkpoint`` — reliable checkpoint in the shared ``spark.checkpoint.dir``
+                     (cuts lineage; use in long iterative jobs).
+    ``none``       — leave the plan as is.
+    """
+    from pyspark import StorageLevel
+
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df
