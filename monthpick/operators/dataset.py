@@ -65,3 +65,16 @@ def monthly_build_stats(ds: DataFrame) -> DataFrame:
         )
         .withColumn("pct_positive", F.col("n_positive") / F.col("n_rows") * 100)
     )
+
+
+def fill_missing_features(df: DataFrame, feat_cols: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Project onto a model's feature list; absent features become 0.0 and
+    present ones have nulls filled with 0 (scoring-time alignment)."""
+    present = set(df.columns)
+    cols = [F.col(c) for c in (keep or [])]
+    for c in feat_cols:
+        if c in present:
+            cols.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c))
+        else:
+            cols.append(F.lit(0.0).alias(c))
+    return df.select(*cols)

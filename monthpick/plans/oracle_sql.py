@@ -148,6 +148,17 @@ CTE["labeled"] = f"""SELECT m.*, CAST(coalesce(CAST(t.IS_PROFITABLE AS INTEGER),
 FROM matrix m LEFT JOIN truth t ON m.TARGET = t.TARGET AND m.EID = t.EID AND m.PEAKID = t.PEAKID"""
 
 
+def lookback_ctes(n: int) -> list[tuple[str, str]]:
+    """month_map{n} / histf{n} / matrix{n}: the history window with lookback n."""
+    feats = matrix_feature_names(n)
+    mm = CTE["month_map"].replace("WHERE rk <= 6", f"WHERE rk <= {n}")
+    hf = CTE["histf"].replace("_6m", f"_{n}m").replace("JOIN month_map m", f"JOIN month_map{n} m")
+    mx = f"""SELECT sm.EID, sm.PEAKID, {_fill(feats)}, sm.TARGET,
+       {month_str('sm.TARGET')} AS TARGET_MONTH
+FROM sm LEFT JOIN sd USING (TARGET, EID, PEAKID) LEFT JOIN histf{n} USING (TARGET, EID, PEAKID)"""
+    return [(f"month_map{n}", mm), (f"histf{n}", hf), (f"matrix{n}", mx)]
+
+
 def ctes(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     """``WITH`` clause containing ``names`` and their dependencies, in order."""
     order: list[str] = []

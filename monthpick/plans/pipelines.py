@@ -40,7 +40,7 @@ class Loaded:
 
 
 def load_for_targets(
-    raw: RawSources, start: str | None = None, end: str | None = None, stage: str = "persist"
+    raw: RawSources, start: str | None = None, end: str | None = None, stage: str | None = None
 ) -> Loaded:
     """Typed inputs bounded to the target range [start, end] (None = open).
 

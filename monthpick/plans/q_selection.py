@@ -51,25 +51,28 @@ _SIG = {
     "hist_mean_profit": "greatest(hist_mean_profit_6m, 0.0)",
     "scenario_agreement": "-sm_PSM_scenario_std",
 }
-_POOL = "SELECT matrix.*, " + ", ".join(f"{e} AS s_{k}" for k, e in _SIG.items()) + " FROM matrix"
-_BOUNDS = (
-    "SELECT TARGET_MONTH, "
-    + ", ".join(f"min(s_{k}) AS lo_{k}, max(s_{k}) AS hi_{k}" for k in _KEYS)
-    + " FROM pool GROUP BY 1"
-)
-_NORMED = (
-    "SELECT pool.*, "
-    + ", ".join(
-        f"CASE WHEN hi_{k} = lo_{k} THEN 0.5 ELSE (s_{k} - lo_{k}) / (hi_{k} - lo_{k}) END AS norm_{k}"
-        for k in _KEYS
+def score_ctes(src: str = "matrix", sfx: str = "") -> list[tuple[str, str]]:
+    """pool -> bounds -> normed -> scored CTEs over ``src`` (names get ``sfx``)."""
+    pool = f"SELECT {src}.*, " + ", ".join(f"{e} AS s_{k}" for k, e in _SIG.items()) + f" FROM {src}"
+    bounds = (
+        "SELECT TARGET_MONTH, "
+        + ", ".join(f"min(s_{k}) AS lo_{k}, max(s_{k}) AS hi_{k}" for k in _KEYS)
+        + f" FROM pool{sfx} GROUP BY 1"
     )
-    + " FROM pool JOIN bounds USING (TARGET_MONTH)"
-)
-_score_expr = None
-for _k in _KEYS:
-    _t = f"{_dbl(DEFAULT_WEIGHTS[_k])} * norm_{_k}"
-    _score_expr = _t if _score_expr is None else f"({_score_expr} + {_t})"
-_SCORED = f"SELECT normed.*, {snap_sql(f'{_score_expr} / {_dbl(_TOTAL)}', 9)} AS score FROM normed"
+    normed = (
+        f"SELECT pool{sfx}.*, "
+        + ", ".join(
+            f"CASE WHEN hi_{k} = lo_{k} THEN 0.5 ELSE (s_{k} - lo_{k}) / (hi_{k} - lo_{k}) END AS norm_{k}"
+            for k in _KEYS
+        )
+        + f" FROM pool{sfx} JOIN bounds{sfx} USING (TARGET_MONTH)"
+    )
+    expr = None
+    for k in _KEYS:
+        t = f"{_dbl(DEFAULT_WEIGHTS[k])} * norm_{k}"
+        expr = t if expr is None else f"({expr} + {t})"
+    scored = f"SELECT normed{sfx}.*, {snap_sql(f'{expr} / {_dbl(_TOTAL)}', 9)} AS score FROM normed{sfx}"
+    return [(f"pool{sfx}", pool), (f"bounds{sfx}", bounds), (f"normed{sfx}", normed), (f"scored{sfx}", scored)]
 
 
 def _ranked(k: int, t: float, floor: int = 10) -> str:
@@ -80,7 +83,7 @@ def _ranked(k: int, t: float, floor: int = 10) -> str:
 WHERE CASE WHEN n_pass < {floor} THEN rank <= {floor} ELSE rank <= {k} AND score >= {_dbl(t)} END"""
 
 
-SCORE_CTES = [("pool", _POOL), ("bounds", _BOUNDS), ("normed", _NORMED), ("scored", _SCORED)]
+SCORE_CTES = score_ctes()
 
 
 def sel_ctes(k: int = 50, t: float = 0.0, extra=None):

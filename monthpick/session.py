@@ -61,20 +61,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df, mode: str = "persist", name: str = "stage"):
+# default stage boundary: a written Parquet table in the shared checkpoint folder
+DEFAULT_STAGE = "table"
+
+
+def materialize(df, mode: str | None = None, name: str = "stage"):
     """Stage boundary for a DataFrame used more than once.
 
     ``persist``    — MEMORY_AND_DISK; a lost executor's blocks are recomputed
                      from lineage.
     ``checkpoint`` — reliable checkpoint in the shared ``spark.checkpoint.dir``
                      (cuts lineage; use in long iterative jobs).
+    ``table``      — Parquet written under the shared checkpoint folder and read
+                     back: columnar, survives executor loss, cuts lineage.
     ``none``       — leave the plan as is.
     """
     from pyspark import StorageLevel
 
+    mode = mode or DEFAULT_STAGE
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if mode == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
+    if mode == "table":
+        path = scratch_path(df.sparkSession, name)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
     return df
