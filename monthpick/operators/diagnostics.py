@@ -1,16 +1,22 @@
 """Feature diagnostics: zero-variance columns and highly correlated pairs.
 
-Both are single aggregations over the matrix (one pass, partial aggregation):
-``var_samp`` of every feature, ``corr`` of every feature pair (at most a few
-hundred aggregate expressions), unpivoted with ``stack``.
+* variance screen — one aggregation (``var_samp`` of every feature, partial
+  aggregation), unpivoted with ``stack``.
+* correlation pairs — MLlib ``Correlation.corr`` over an assembled feature
+  vector: one ``treeAggregate`` of the Gram matrix, instead of hundreds of
+  ``corr`` aggregate columns (which exceed the codegen field limit and run
+  interpreted).  Only the k×k matrix (k = number of features, a bounded
+  summary) reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CORR_LIMIT = 0.95
 
@@ -30,14 +36,31 @@ def variance_screen(df: DataFrame, feat_cols: list[str]) -> DataFrame:
     return long.where(F.col("variance") == 0).select("feature")
 
 
+def correlation_matrix(df: DataFrame, feat_cols: list[str]):
+    """Pearson correlation matrix (k×k, driver-side summary)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=feat_cols, outputCol="__features", handleInvalid="keep").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in feat_cols])
+    )
+    return Correlation.corr(vec, "__features", "pearson").head()[0]
+
+
 def correlation_pairs(df: DataFrame, feat_cols: list[str], limit: float = CORR_LIMIT) -> DataFrame:
     """Feature pairs with |Pearson correlation| > ``limit`` (NaN never passes)."""
-    pairs = list(combinations(feat_cols, 2))
-    wide = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    )
-    long = _stack_pairs(wide, pairs, [f"c{i}" for i in range(len(pairs))], ["feature_a", "feature_b", "corr"])
-    a = F.abs(F.col("corr"))
-    return long.where(F.col("corr").isNotNull() & ~F.isnan("corr") & (a > limit)).select(
-        "feature_a", "feature_b", a.alias("abs_corr")
+    m = correlation_matrix(df, feat_cols)
+    idx = {c: i for i, c in enumerate(feat_cols)}
+    rows = []
+    for a, b in combinations(feat_cols, 2):
+        v = float(m[idx[a], idx[b]])
+        if not math.isnan(v) and abs(v) > limit:
+            rows.append((a, b, abs(v)))
+    schema = T.StructType(
+        [
+            T.StructField("feature_a", T.StringType()),
+            T.StructField("feature_b", T.StringType()),
+            T.StructField("abs_corr", T.DoubleType()),
+        ]
     )
+    return df.sparkSession.createDataFrame(rows, schema)

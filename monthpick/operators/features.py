@@ -51,7 +51,7 @@ def agg_sim(sim: DataFrame, price_col: str, prefix: str) -> DataFrame:
     keyed = sim.where(
         F.col("EID").isNotNull() & F.col("PEAKID").isNotNull() & F.col("MONTH").isNotNull()
     )
-    scen = F.col("SCENARIOID") if with_scen else F.lit(None).cast("string")
+    scen = F.col("SCENARIOID") if with_scen else F.lit(None).cast("int")
     partial = keyed.groupBy(*SIM_KEY, scen.alias("SCENARIOID")).agg(
         *[F.sum(c).alias(f"s_{c}") for c in measures],
         *[F.count(c).alias(f"n_{c}") for c in measures],

@@ -109,7 +109,7 @@ def composite_score(
 def topk_with_floor(
     scored: DataFrame,
     score_col: str,
-    threshold: float,
+    threshold,
     k: int,
     floor: int = MIN_K,
     group: str = "TARGET_MONTH",
@@ -117,6 +117,7 @@ def topk_with_floor(
 ) -> DataFrame:
     """Per group: if at least ``floor`` rows have score >= threshold keep the
     best ``k`` of them, else keep the best ``floor`` rows of the whole pool.
+    ``threshold`` is a number or a per-row Column (e.g. a per-fold threshold).
 
     Only the top ``max(k, floor)`` rows per group survive the ranking
     (``WindowGroupLimit``).  Passing rows are a prefix of that order, so the
@@ -126,7 +127,8 @@ def topk_with_floor(
     """
     w = Window.partitionBy(group).orderBy(F.col(score_col).desc_nulls_last(), *order_keys)
     limit = max(k, floor)
-    passing = F.col(score_col) >= F.lit(float(threshold))
+    thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    passing = F.col(score_col) >= thr
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     ranked = ranked.withColumn(
         "__n_pass",

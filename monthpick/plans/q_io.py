@@ -1 +1,70 @@
-"""Registered queries (filled in below)."""
+"""Registered rows-only queries: sinks and file sources.
+
+Each writes to a fresh path under the shared checkpoint folder and reads the
+result back, so the returned rows are what a downstream reader would see.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from monthpick.operators.dataset import labeled_dataset
+from monthpick.plans.context import inputs
+from monthpick.plans.pipelines import run
+from monthpick.plans.registry import query
+from monthpick.session import scratch_path
+from monthpick.sources.adapters import driver_sources
+from monthpick.sources.sinks import (
+    bulk_convert,
+    read_dataset,
+    read_opportunities_csv,
+    read_year_files,
+    write_dataset,
+    write_opportunities_csv,
+)
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "opportunities-csv")
+    write_opportunities_csv(run(driver_sources(spark, sf_dir)), path)
+    return read_opportunities_csv(spark, path)
+
+
+@query("dataset_roundtrip")
+def q_dataset_roundtrip(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    path = scratch_path(spark, "dataset")
+    write_dataset(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist), path)
+    return read_dataset(spark, path)
+
+
+@query("bulk_convert")
+def q_bulk_convert(spark, sf_dir):
+    """Domain tables written as Parquet (two folders), converted to CSV; the
+    converted prices are read back."""
+    base = scratch_path(spark, "convert")
+    raw = driver_sources(spark, sf_dir)
+    raw.prices.write.parquet(os.path.join(base, "in", "prices", "prices.parquet"))
+    raw.costs.write.parquet(os.path.join(base, "in", "costs", "costs.parquet"))
+    outs = bulk_convert(spark, os.path.join(base, "in"), os.path.join(base, "out"))
+    prices_csv = [o for o in outs if "prices" in o]
+    return spark.read.option("header", True).csv(prices_csv)
+
+
+@query("year_file_scan")
+def q_year_file_scan(spark, sf_dir):
+    """Daily sims written one Parquet file set per year (``sim_daily_<year>``),
+    then read back for the years the data covers, selected by file name."""
+    base = scratch_path(spark, "year-files")
+    i = inputs(spark, sf_dir)
+    sd = i.sim_daily.withColumn("YEAR", F.year("DATETIME"))
+    sd.write.partitionBy("YEAR").parquet(os.path.join(base, "by_year"))
+    by_year = spark.read.parquet(os.path.join(base, "by_year"))
+    # years the spine needs, derived from the data (decision months of all targets)
+    years = [r[0] for r in by_year.select("YEAR").distinct().collect()]  # calendar-bounded
+    for y in years:
+        by_year.where(F.col("YEAR") == y).drop("YEAR").write.parquet(os.path.join(base, "flat", f"sim_daily_{y}.parquet"))
+    return read_year_files(spark, os.path.join(base, "flat"), years)

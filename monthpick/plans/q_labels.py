@@ -20,6 +20,10 @@ from monthpick.sources.adapters import driver_sources
 from monthpick.sources.loaders import load_sim_daily
 
 SIM_COLS = ["SCENARIOID", "EID", "DATETIME", "PEAKID"]
+
+
+def _scen_str(df):
+    return df.withColumn("SCENARIOID", F.col("SCENARIOID").cast("string"))
 SIG = rounded(SIM_SIGNALS)
 
 # the reference's per-year load, as a predicate list on the raw columns
@@ -34,7 +38,7 @@ FILTERS = [("DATETIME", ">=", "1997-01-01"), ("DATETIME", "<", "1998-01-01"), ("
 )
 def q_filter_list(spark, sf_dir):
     raw = driver_sources(spark, sf_dir)
-    return finish(load_sim_daily(apply_filters(raw.sim_daily, FILTERS)))
+    return finish(_scen_str(load_sim_daily(apply_filters(raw.sim_daily, FILTERS))))
 
 
 @query(
@@ -58,7 +62,7 @@ def q_load_prices(spark, sf_dir):
     ctes("sim_monthly") + f"SELECT {', '.join(SIM_COLS)}, {SIG}, {rounded(['PSM'])}, MONTH FROM sim_monthly",
 )
 def q_load_sim_monthly(spark, sf_dir):
-    return finish(inputs(spark, sf_dir).sim_monthly)
+    return finish(_scen_str(inputs(spark, sf_dir).sim_monthly))
 
 
 @query(
@@ -66,7 +70,7 @@ def q_load_sim_monthly(spark, sf_dir):
     ctes("sim_daily") + f"SELECT {', '.join(SIM_COLS)}, {SIG}, {rounded(['PSD'])}, MONTH FROM sim_daily",
 )
 def q_load_sim_daily(spark, sf_dir):
-    return finish(inputs(spark, sf_dir).sim_daily)
+    return finish(_scen_str(inputs(spark, sf_dir).sim_daily))
 
 
 @query(

@@ -1 +1,84 @@
-"""Registered queries (filled in below)."""
+"""Registered rows-only queries: MLlib walk-forward, comparison, SMOTE, rescoring
+(M1-M7, C11-C13, S13).
+
+These train models, so they have no SQL oracle.  Every one trains on the whole
+labeled dataset built from the driver tables; to keep the check's wall time
+bounded the validation runs on the last few folds only (each still trains on
+the full expanding history), and the boosted-tree profiles use few trees here —
+the library defaults are the reference's (500 trees, every fold).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from monthpick.operators.dataset import labeled_dataset
+from monthpick.operators.models import prepare
+from monthpick.operators.smote import smote
+from monthpick.plans.context import finish, inputs
+from monthpick.plans.registry import query
+from monthpick.plans.training import compare_models, eligible_folds, rerun_selection, save_result_bundle, walk_forward
+from monthpick.schema import available_features
+from monthpick.session import materialize, scratch_path
+
+# parameters of the registered model queries (check-time budget)
+CHECK_FOLDS = 3
+CHECK_TREES = 5
+
+
+def _dataset(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist), name="dataset"), i
+
+
+@query("logistic_walkforward")
+def q_logistic_walkforward(spark, sf_dir):
+    ds, _ = _dataset(spark, sf_dir)
+    return finish(walk_forward(ds, "logistic", last_folds=CHECK_FOLDS).folds)
+
+
+@query("gbt_walkforward")
+def q_gbt_walkforward(spark, sf_dir):
+    ds, _ = _dataset(spark, sf_dir)
+    return finish(walk_forward(ds, "lightgbm", last_folds=CHECK_FOLDS, n_trees=CHECK_TREES).folds)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    ds, i = _dataset(spark, sf_dir)
+    long, _rollup = compare_models(ds, i.hist, last_folds=2, n_trees=CHECK_TREES)
+    return finish(long)
+
+
+@query("model_comparison_rollup")
+def q_model_comparison_rollup(spark, sf_dir):
+    ds, i = _dataset(spark, sf_dir)
+    _long, rollup = compare_models(ds, i.hist, last_folds=2, n_trees=CHECK_TREES)
+    return finish(rollup)
+
+
+@query("smote")
+def q_smote(spark, sf_dir):
+    """Training rows of the last eligible fold plus synthetic positives."""
+    ds, _ = _dataset(spark, sf_dir)
+    feat_cols = available_features(ds.columns)
+    last = eligible_folds(ds, 6)[-1]
+    train = prepare(ds, feat_cols).where(F.col("TARGET_MONTH") < last["VAL_MONTH"])
+    return smote(train, feat_cols, ["EID", "PEAKID", "TARGET_MONTH"], int(last["n_train_rows"]), int(last["n_train_pos"]))
+
+
+@query("walkforward_selections")
+def q_walkforward_selections(spark, sf_dir):
+    ds, _ = _dataset(spark, sf_dir)
+    return walk_forward(ds, "logistic", last_folds=CHECK_FOLDS).selections
+
+
+@query("rerun_selection")
+def q_rerun_selection(spark, sf_dir):
+    """Train, save the bundle (MLlib model + metadata Parquet), load it back and
+    rescore every month after the first six."""
+    ds, _ = _dataset(spark, sf_dir)
+    res = walk_forward(ds, "logistic", last_folds=1)
+    path = scratch_path(spark, "bundle")
+    save_result_bundle(res, path)
+    return rerun_selection(spark, path, ds, 6, res.last_train_month)

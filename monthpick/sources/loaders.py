@@ -112,7 +112,7 @@ def load_sim(
     df = _ts_range(df, start, end)
     measures = [*SIM_SIGNALS, price_col]
     return df.select(
-        F.col("SCENARIOID").cast("string").alias("SCENARIOID"),
+        "SCENARIOID",  # kept in its source type: a cheaper group key than a string
         F.col("EID").cast("string").alias("EID"),
         "DATETIME",
         F.col("PEAKID").cast("int").alias("PEAKID"),

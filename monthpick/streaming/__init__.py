@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The workload is month-batch: one decision per target month, taken on day 8 of
+the preceding month from tables that are complete by then.  There is no event
+stream, watermark, session window or stateful operator to express, so nothing
+here uses Structured Streaming.  The only event-time rule — daily simulations
+up to and including day 8 00:00 of the decision month — is a row-local filter
+in ``monthpick.operators.features``.
+"""
