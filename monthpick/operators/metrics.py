@@ -205,10 +205,32 @@ def classification_report(scored: DataFrame, thresholds: DataFrame, fold="fold",
     )
 
 
-def evaluation_rows(scored: DataFrame, metric: str = "f1", thresholds=None, fold="fold", proba="proba", label="label") -> DataFrame:
+def previous_fold_thresholds(best: DataFrame, initial: float, fold: str = "fold") -> DataFrame:
+    """Each fold uses the threshold tuned on the fold before it (folds ordered
+    by name = month); the first fold uses ``initial``.  One row per fold."""
+    w = Window.orderBy(fold)  # one row per fold: calendar-bounded
+    return best.select(fold, F.coalesce(F.lag("threshold").over(w), F.lit(float(initial))).alias("threshold"))
+
+
+def evaluation_rows(
+    scored: DataFrame,
+    metric: str = "f1",
+    thresholds=None,
+    fold="fold",
+    proba="proba",
+    label="label",
+    tune_on: str = "same_fold",
+    initial_threshold: float = 0.3,
+) -> DataFrame:
     """label, threshold (tuned per fold), f1, precision, recall, roc_auc, pr_auc,
-    n_positive_pred, n_positive_true — one row per fold."""
+    n_positive_pred, n_positive_true — one row per fold.
+
+    ``tune_on='same_fold'`` tunes and evaluates on the same fold (reference
+    behaviour, optimistic); ``'previous_fold'`` evaluates each fold at the
+    threshold tuned on the previous one."""
     best = best_threshold(threshold_sweep(scored, thresholds, fold, proba, label), metric, fold)
+    if tune_on == "previous_fold":
+        best = previous_fold_thresholds(best, initial_threshold, fold)
     c = counts_at(scored, best, fold, proba, label)
     tp, fp, fn = F.col("TP"), F.col("FP"), F.col("FN")
     p, r = safe_ratio(tp, tp + fp), safe_ratio(tp, tp + fn)

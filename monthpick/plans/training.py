@@ -106,6 +106,7 @@ def walk_forward(
     n_trees: int = GBT_TREES,
     max_iter: int = LOGISTIC_MAX_ITER,
     metric: str = "f1",
+    tune_on: str = "same_fold",
 ) -> WalkForwardResult:
     """Expanding-window folds: train on months < val, tune the threshold and
     evaluate on val (on the same fold, as in the reference), select per fold."""
@@ -133,7 +134,7 @@ def walk_forward(
         return WalkForwardResult(rows, fold_rollup(rows), expanding_mean(rows), as_opportunities(
             empty.withColumnRenamed("fold", "TARGET_MONTH")), empty, None, 0.3, feat_cols, model_type, None)
     scored_all = spark.read.parquet(out)
-    rows = materialize(evaluation_rows(scored_all, metric), name="fold-metrics")
+    rows = materialize(evaluation_rows(scored_all, metric, tune_on=tune_on), name="fold-metrics")
     thresholds = rows.select(F.col("label").alias("fold"), "threshold")
     final_threshold = rows.where(F.col("label") == last_val).select("threshold").first()[0]
     return WalkForwardResult(

@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 # ----------------------------------------------------------------- datasets
 
 
-def write_dataset(df: DataFrame, path: str, partition_by: str | None = "TARGET_MONTH") -> None:
-    """Feature dataset as Parquet, partitioned by target month (month pruning on read)."""
+def write_dataset(
+    df: DataFrame, path: str, partition_by: str | None = "TARGET_MONTH", float32: bool = False
+) -> None:
+    """Feature dataset as Parquet, partitioned by target month (month pruning on
+    read).  ``float32`` downcasts double columns at the sink only."""
+    if float32:
+        df = df.select(*[F.col(n).cast("float").alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
