@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from monthpick.functions.columns import zero_fill
 from monthpick.functions.months import col_add_months, col_daily_cutoff_ok, col_month_to_str
+from monthpick.session import materialize
 from monthpick.schema import (
     DAILY_CUTOFF_DAYS,
     DEFAULT_LOOKBACK,
@@ -139,14 +140,19 @@ def feature_matrix(
     lookback: int = DEFAULT_LOOKBACK,
     hist_through: str = "decision_month",
     keep_target_int: bool = False,
+    stage: str | None = None,
 ) -> DataFrame:
     """Candidates = keys of the monthly sims for T; daily and history features
     are left-joined; every numeric null becomes 0; ``TARGET_MONTH`` 'YYYY-MM'.
 
     The target months are exactly the months present in ``sim_monthly`` (bound
-    them by loading it with a month range).
+    them by loading it with a month range).  The monthly-sim aggregate (keys ×
+    months, small next to the raw simulations) is a stage boundary: the list of
+    target months is read from it instead of scanning the simulations twice.
+    ``hist_profit`` is read twice (present months, window aggregates); pass a
+    materialized label table.
     """
-    sm = sim_monthly_features(sim_monthly)
+    sm = materialize(sim_monthly_features(sim_monthly), stage, name="sim-monthly-features")
     sd = sim_daily_features(sim_daily)
     targets = sm.select("TARGET").distinct()
     mm = hist_month_map(hist_profit, targets, lookback, hist_through)

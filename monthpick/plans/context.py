@@ -29,11 +29,16 @@ class Inputs:
 
     @property
     def hist(self) -> DataFrame:
-        """Label table, a stage boundary (used by features and by truth)."""
+        """Label table as a stage boundary (features and truth read it 2-3 times)."""
         if self._hist is None:
-            self._hist = materialize(compute_profitability(self.prices, self.costs))
+            self._hist = materialize(self.hist_plan, name="labels")
         return self._hist
 
+    @property
+    def hist_plan(self) -> DataFrame:
+        """Label table as a lazy plan, for queries that read it once."""
+        return compute_profitability(self.prices, self.costs)
+
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     raw = driver_sources(spark, sf_dir)

@@ -123,7 +123,7 @@ def q_monthly_pr(spark, sf_dir):
     + f"SELECT EID, MONTH, PEAKID, {rounded(['PR', 'C', 'PROFIT'])}, IS_PROFITABLE FROM hist",
 )
 def q_profitability(spark, sf_dir):
-    return finish(inputs(spark, sf_dir).hist)
+    return finish(inputs(spark, sf_dir).hist_plan)
 
 
 _SUMMARY = """SELECT MONTH, PEAKID, count(EID) AS total_opportunities,
@@ -139,7 +139,7 @@ FROM hist GROUP BY 1, 2"""
     f"{rnd('profitable / total_opportunities', 6, 'profit_rate')} FROM summary",
 )
 def q_profitability_summary(spark, sf_dir):
-    return finish(profitability_summary(inputs(spark, sf_dir).hist))
+    return finish(profitability_summary(inputs(spark, sf_dir).hist_plan))
 
 
 @query(
@@ -152,7 +152,7 @@ def q_profitability_summary(spark, sf_dir):
 FROM (SELECT PEAKID, profitable / total_opportunities AS r FROM summary) s GROUP BY 1""",
 )
 def q_base_rate_describe(spark, sf_dir):
-    return finish(base_rate_describe(inputs(spark, sf_dir).hist))
+    return finish(base_rate_describe(inputs(spark, sf_dir).hist_plan))
 
 
 __all__ = ["col_month_of_ts"]
