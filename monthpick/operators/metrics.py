@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from monthpick.functions.columns import f1_from, safe_ratio
 from monthpick.schema import DEFAULT_THRESHOLD, sweep_thresholds
 
-BUCKETS = 1024
+# score buckets of the two-level running sums: the per-fold window holds at most
+# BUCKETS rows (a constant, whatever the data size); a per-bucket window holds
+# the distinct scores of a 1/BUCKETS-wide interval
+BUCKETS = 1 << 16
 
 
 def _stack(df: DataFrame, keep: list[str], items: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:

@@ -66,7 +66,7 @@ def test_roc_and_ap_match_brute_force(scored):
 
 
 def test_scores_spanning_many_buckets(spark):
-    rows = [("F", f"E{i}", 0, i / (3.0 * BUCKETS), i % 3 == 0) for i in range(3 * BUCKETS)]
+    rows = [("F", f"E{i}", 0, (i % 3000) / 2999.0 if i < 3000 else 0.5 + i / (16.0 * BUCKETS), i % 3 == 0) for i in range(6000)]
     df = spark.createDataFrame(rows, "fold string, EID string, PEAKID int, proba double, label boolean")
     df = df.withColumn("label", F.col("label").cast("int"))
     ps, ys = [r[3] for r in rows], [int(r[4]) for r in rows]
