@@ -198,9 +198,14 @@ def digits_for(col: str) -> int:
     return 6
 
 
+INTEGER_COLS = ("hist_months_active_",)  # counts stay integers
+
+
 def rounded(cols, source_alias: str = "") -> str:
     pre = f"{source_alias}." if source_alias else ""
-    return ", ".join(rnd(f"{pre}{c}", digits_for(c), c) for c in cols)
+    return ", ".join(
+        f"{pre}{c}" if c.startswith(INTEGER_COLS) else rnd(f"{pre}{c}", digits_for(c), c) for c in cols
+    )
 
 
 __all__ = [

@@ -130,7 +130,7 @@ def q_composite_score(spark, sf_dir):
 @query(
     "select_topk",
     sel_ctes(50, 0.0)
-    + f"SELECT TARGET_MONTH, {sql_peak_type()} AS PEAK_TYPE, EID, score, rank FROM picked",
+    + f"SELECT TARGET_MONTH, {sql_peak_type()} AS PEAK_TYPE, EID, score, CAST(rank AS INTEGER) AS rank FROM picked",
 )
 def q_select_topk(spark, sf_dir):
     m, _ = _matrix(spark, sf_dir)
@@ -141,7 +141,7 @@ def q_select_topk(spark, sf_dir):
 @query(
     "select_topk_floor",
     sel_ctes(50, TOPK_FLOOR_THRESHOLD)
-    + f"SELECT TARGET_MONTH, {sql_peak_type()} AS PEAK_TYPE, EID, score, rank FROM picked",
+    + f"SELECT TARGET_MONTH, {sql_peak_type()} AS PEAK_TYPE, EID, score, CAST(rank AS INTEGER) AS rank FROM picked",
 )
 def q_select_topk_floor(spark, sf_dir):
     m, _ = _matrix(spark, sf_dir)
