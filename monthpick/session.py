@@ -41,17 +41,27 @@ def build_session(
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a fresh local one only
-    when the session has none (which never happens on a configured cluster).
+    Reads ``spark.checkpoint.dir`` from the session.  Only when the session has
+    none (tests, laptop runs — never a configured cluster) a local folder is
+    created once per application and registered with ``setCheckpointDir``
+    (``spark.checkpoint.dir`` itself cannot be changed at runtime).
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not path:
-        path = tempfile.mkdtemp(prefix="monthpick-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        app = sc.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="monthpick-ckpt-")
+            sc.setCheckpointDir(_LOCAL_DIRS[app])
+        return _LOCAL_DIRS[app]
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -24,8 +23,9 @@ def spark():
     )
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="monthpick-test-"))
+    from monthpick.session import checkpoint_dir
+
+    checkpoint_dir(s)  # the session's own, or a local one when it has none
     yield s
 
 
