@@ -125,3 +125,16 @@ def test_year_files_by_name(spark):
     got = read_year_files(spark, base, [2022, 2023])
     assert sorted({r[0] for r in got.collect()}) == [2022, 2023]
     assert read_year_files(spark, base, [1999]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="driver test data absent")
+def test_bounded_run_equals_full_run_on_its_months(spark):
+    from monthpick.plans.pipelines import run
+    from monthpick.sources.adapters import driver_sources
+
+    raw = driver_sources(spark, "/root/testdata/sf0.001")
+    part = run(raw, "1997-01", "1997-06")
+    full = run(raw).where(F.col("TARGET_MONTH").between("1997-01", "1997-06"))
+    a = sorted(tuple(r) for r in part.collect())
+    b = sorted(tuple(r) for r in full.collect())
+    assert a == b and {r[0] for r in a} == {f"1997-0{i}" for i in range(1, 7)}
