@@ -41,8 +41,11 @@ def labeled_dataset(
     hist_profit: DataFrame,
     lookback: int = DEFAULT_LOOKBACK,
     drop_unlabeled: bool = False,
+    sm_features: DataFrame | None = None,
 ) -> DataFrame:
-    m = feature_matrix(sim_monthly, sim_daily, hist_profit, lookback, keep_target_int=True)
+    m = feature_matrix(
+        sim_monthly, sim_daily, hist_profit, lookback, keep_target_int=True, sm_features=sm_features
+    )
     return attach_labels(m, hist_profit, drop_unlabeled).drop("TARGET")
 
 

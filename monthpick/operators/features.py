@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from monthpick.functions.columns import zero_fill
 from monthpick.functions.months import col_add_months, col_daily_cutoff_ok, col_month_to_str
-from monthpick.session import materialize
+from monthpick.session import materialize, materialize_all
 from monthpick.schema import (
     DAILY_CUTOFF_DAYS,
     DEFAULT_LOOKBACK,
@@ -133,6 +133,14 @@ def hist_features(
     )
 
 
+def stage_feature_inputs(sim_monthly: DataFrame, hist_plan: DataFrame, stage: str | None = None):
+    """(staged monthly-sim features, staged label table), written concurrently."""
+    sm, hist = materialize_all(
+        sim_monthly_features(sim_monthly), hist_plan, mode=stage, names=["sim-monthly-features", "labels"]
+    )
+    return sm, hist
+
+
 def feature_matrix(
     sim_monthly: DataFrame,
     sim_daily: DataFrame,
@@ -141,6 +149,7 @@ def feature_matrix(
     hist_through: str = "decision_month",
     keep_target_int: bool = False,
     stage: str | None = None,
+    sm_features: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates = keys of the monthly sims for T; daily and history features
     are left-joined; every numeric null becomes 0; ``TARGET_MONTH`` 'YYYY-MM'.
@@ -150,9 +159,12 @@ def feature_matrix(
     months, small next to the raw simulations) is a stage boundary: the list of
     target months is read from it instead of scanning the simulations twice.
     ``hist_profit`` is read twice (present months, window aggregates); pass a
-    materialized label table.
+    materialized label table.  ``sm_features`` takes an already staged
+    ``sim_monthly_features`` (see ``stage_feature_inputs``).
     """
-    sm = materialize(sim_monthly_features(sim_monthly), stage, name="sim-monthly-features")
+    if sm_features is None:
+        sm_features = materialize(sim_monthly_features(sim_monthly), stage, name="sim-monthly-features")
+    sm = sm_features
     sd = sim_daily_features(sim_daily)
     targets = sm.select("TARGET").distinct()
     mm = hist_month_map(hist_profit, targets, lookback, hist_through)

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthpick.operators.features import stage_feature_inputs
 from monthpick.operators.labels import compute_profitability
 from monthpick.functions.columns import snap
 from monthpick.plans.oracle_sql import digits_for
-from monthpick.session import materialize
 from monthpick.sources.adapters import driver_sources
 from monthpick.sources.loaders import load_costs, load_prices, load_sim_daily, load_sim_monthly
 
@@ -26,14 +26,25 @@ class Inputs:
     sim_monthly: DataFrame
     sim_daily: DataFrame
     _hist: DataFrame | None = None
+    _sm: DataFrame | None = None
+
+    def _stage(self) -> None:
+        if self._hist is None:
+            self._sm, self._hist = stage_feature_inputs(self.sim_monthly, self.hist_plan)
 
     @property
     def hist(self) -> DataFrame:
-        """Label table as a stage boundary (features and truth read it 2-3 times)."""
-        if self._hist is None:
-            self._hist = materialize(self.hist_plan, name="labels")
+        """Label table as a stage boundary (features and truth read it 2-3 times);
+        staged together with the monthly-sim aggregate."""
+        self._stage()
         return self._hist
 
+    @property
+    def sm_features(self) -> DataFrame:
+        """Staged monthly-sim aggregate (written concurrently with the labels)."""
+        self._stage()
+        return self._sm
+
     @property
     def hist_plan(self) -> DataFrame:
         """Label table as a lazy plan, for queries that read it once."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from monthpick.functions.months import prev_month
 from monthpick.operators.evaluation import backtest_monthly, backtest_summary
-from monthpick.operators.features import feature_matrix
+from monthpick.operators.features import feature_matrix, stage_feature_inputs
 from monthpick.operators.labels import base_rate_describe, compute_profitability
 from monthpick.operators.selection import select_opportunities
 from monthpick.schema import DEFAULT_LOOKBACK, DEFAULT_TARGET_K
@@ -37,6 +37,7 @@ class Loaded:
     sim_monthly: DataFrame
     sim_daily: DataFrame
     hist: DataFrame
+    sm_features: DataFrame
 
 
 def load_for_targets(
@@ -53,12 +54,16 @@ def load_for_targets(
     )
     prices = load_prices(raw.prices)
     costs = load_costs(raw.costs)
+    sim_monthly = load_sim_monthly(raw.sim_monthly, start=sm_lo, end=sm_hi)
+    # the two stage tables are independent jobs: written concurrently
+    sm_features, hist = stage_feature_inputs(sim_monthly, compute_profitability(prices, costs), stage)
     return Loaded(
         prices=prices,
         costs=costs,
-        sim_monthly=load_sim_monthly(raw.sim_monthly, start=sm_lo, end=sm_hi),
+        sim_monthly=sim_monthly,
         sim_daily=load_sim_daily(raw.sim_daily, start=sd_lo, end=sd_hi),
-        hist=materialize(compute_profitability(prices, costs), stage),
+        hist=hist,
+        sm_features=sm_features,
     )
 
 
@@ -73,7 +78,9 @@ def run(
 ) -> DataFrame:
     """Selections (TARGET_MONTH, PEAK_TYPE, EID) for every target month."""
     d = load_for_targets(raw, start, end)
-    matrix = materialize(feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, hist_through))
+    matrix = materialize(
+        feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, hist_through, sm_features=d.sm_features)
+    )
     return select_opportunities(matrix, target_k, weights)
 
 
@@ -94,7 +101,7 @@ def run_backtest(
     lookback: int = DEFAULT_LOOKBACK,
 ) -> BacktestResult:
     d = load_for_targets(raw, start, end)
-    matrix = materialize(feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback))
+    matrix = materialize(feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, sm_features=d.sm_features))
     selections = materialize(select_opportunities(matrix, target_k))
     monthly = backtest_monthly(selections, d.hist)
     return BacktestResult(

@@ -99,3 +99,20 @@ def materialize(df, mode: str | None = None, name: str = "stage"):
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
     return df
+
+
+def materialize_all(*dfs, mode: str | None = None, names=None):
+    """Stage several independent DataFrames at once.
+
+    Written tables / checkpoints are separate Spark jobs; submitting them from
+    a small thread pool lets the scheduler run them side by side (one job's
+    long tail leaves executors free for the other).  Returns them in order.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = list(names or ["stage"] * len(dfs))
+    if (mode or DEFAULT_STAGE) not in ("table", "checkpoint") or len(dfs) < 2:
+        return [materialize(d, mode, n) for d, n in zip(dfs, names)]
+    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
+        futures = [pool.submit(materialize, d, mode, n) for d, n in zip(dfs, names)]
+        return [f.result() for f in futures]
