@@ -42,9 +42,16 @@ def labeled_dataset(
     lookback: int = DEFAULT_LOOKBACK,
     drop_unlabeled: bool = False,
     sm_features: DataFrame | None = None,
+    sd_features: DataFrame | None = None,
 ) -> DataFrame:
     m = feature_matrix(
-        sim_monthly, sim_daily, hist_profit, lookback, keep_target_int=True, sm_features=sm_features
+        sim_monthly,
+        sim_daily,
+        hist_profit,
+        lookback,
+        keep_target_int=True,
+        sm_features=sm_features,
+        sd_features=sd_features,
     )
     return attach_labels(m, hist_profit, drop_unlabeled).drop("TARGET")
 

@@ -133,12 +133,17 @@ def hist_features(
     )
 
 
-def stage_feature_inputs(sim_monthly: DataFrame, hist_plan: DataFrame, stage: str | None = None):
-    """(staged monthly-sim features, staged label table), written concurrently."""
-    sm, hist = materialize_all(
-        sim_monthly_features(sim_monthly), hist_plan, mode=stage, names=["sim-monthly-features", "labels"]
-    )
-    return sm, hist
+def stage_feature_inputs(
+    sim_monthly: DataFrame, hist_plan: DataFrame, stage: str | None = None, sim_daily: DataFrame | None = None
+):
+    """Staged (monthly-sim features, label table[, daily-sim features]): independent
+    jobs over the three large inputs, written concurrently."""
+    dfs = [sim_monthly_features(sim_monthly), hist_plan]
+    names = ["sim-monthly-features", "labels"]
+    if sim_daily is not None:
+        dfs.append(sim_daily_features(sim_daily))
+        names.append("sim-daily-features")
+    return tuple(materialize_all(*dfs, mode=stage, names=names))
 
 
 def feature_matrix(
@@ -150,6 +155,7 @@ def feature_matrix(
     keep_target_int: bool = False,
     stage: str | None = None,
     sm_features: DataFrame | None = None,
+    sd_features: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates = keys of the monthly sims for T; daily and history features
     are left-joined; every numeric null becomes 0; ``TARGET_MONTH`` 'YYYY-MM'.
@@ -159,13 +165,14 @@ def feature_matrix(
     months, small next to the raw simulations) is a stage boundary: the list of
     target months is read from it instead of scanning the simulations twice.
     ``hist_profit`` is read twice (present months, window aggregates); pass a
-    materialized label table.  ``sm_features`` takes an already staged
-    ``sim_monthly_features`` (see ``stage_feature_inputs``).
+    materialized label table.  ``sm_features`` / ``sd_features`` take already
+    staged ``sim_monthly_features`` / ``sim_daily_features`` (see
+    ``stage_feature_inputs``).
     """
     if sm_features is None:
         sm_features = materialize(sim_monthly_features(sim_monthly), stage, name="sim-monthly-features")
     sm = sm_features
-    sd = sim_daily_features(sim_daily)
+    sd = sd_features if sd_features is not None else sim_daily_features(sim_daily)
     targets = sm.select("TARGET").distinct()
     mm = hist_month_map(hist_profit, targets, lookback, hist_through)
     hist = hist_features(hist_profit, mm, lookback)

@@ -27,10 +27,13 @@ class Inputs:
     sim_daily: DataFrame
     _hist: DataFrame | None = None
     _sm: DataFrame | None = None
+    _sd: DataFrame | None = None
 
     def _stage(self) -> None:
         if self._hist is None:
-            self._sm, self._hist = stage_feature_inputs(self.sim_monthly, self.hist_plan)
+            self._sm, self._hist, self._sd = stage_feature_inputs(
+                self.sim_monthly, self.hist_plan, sim_daily=self.sim_daily
+            )
 
     @property
     def hist(self) -> DataFrame:
@@ -45,6 +48,12 @@ class Inputs:
         self._stage()
         return self._sm
 
+    @property
+    def sd_features(self) -> DataFrame:
+        """Staged daily-sim aggregate (written concurrently with the labels)."""
+        self._stage()
+        return self._sd
+
     @property
     def hist_plan(self) -> DataFrame:
         """Label table as a lazy plan, for queries that read it once."""

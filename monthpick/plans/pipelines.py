@@ -38,6 +38,7 @@ class Loaded:
     sim_daily: DataFrame
     hist: DataFrame
     sm_features: DataFrame
+    sd_features: DataFrame
 
 
 def load_for_targets(
@@ -55,15 +56,19 @@ def load_for_targets(
     prices = load_prices(raw.prices)
     costs = load_costs(raw.costs)
     sim_monthly = load_sim_monthly(raw.sim_monthly, start=sm_lo, end=sm_hi)
-    # the two stage tables are independent jobs: written concurrently
-    sm_features, hist = stage_feature_inputs(sim_monthly, compute_profitability(prices, costs), stage)
+    sim_daily = load_sim_daily(raw.sim_daily, start=sd_lo, end=sd_hi)
+    # the stage tables are independent jobs: written concurrently
+    sm_features, hist, sd_features = stage_feature_inputs(
+        sim_monthly, compute_profitability(prices, costs), stage, sim_daily=sim_daily
+    )
     return Loaded(
         prices=prices,
         costs=costs,
         sim_monthly=sim_monthly,
-        sim_daily=load_sim_daily(raw.sim_daily, start=sd_lo, end=sd_hi),
+        sim_daily=sim_daily,
         hist=hist,
         sm_features=sm_features,
+        sd_features=sd_features,
     )
 
 
@@ -79,7 +84,7 @@ def run(
     """Selections (TARGET_MONTH, PEAK_TYPE, EID) for every target month."""
     d = load_for_targets(raw, start, end)
     matrix = materialize(
-        feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, hist_through, sm_features=d.sm_features)
+        feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, hist_through, sm_features=d.sm_features, sd_features=d.sd_features)
     )
     return select_opportunities(matrix, target_k, weights)
 
@@ -101,7 +106,7 @@ def run_backtest(
     lookback: int = DEFAULT_LOOKBACK,
 ) -> BacktestResult:
     d = load_for_targets(raw, start, end)
-    matrix = materialize(feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, sm_features=d.sm_features))
+    matrix = materialize(feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, sm_features=d.sm_features, sd_features=d.sd_features))
     selections = materialize(select_opportunities(matrix, target_k))
     monthly = backtest_monthly(selections, d.hist)
     return BacktestResult(

@@ -83,7 +83,7 @@ def q_hist_features(spark, sf_dir):
 )
 def q_feature_matrix(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return finish(feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features))
+    return finish(feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
 @query(
@@ -94,7 +94,7 @@ def q_feature_matrix(spark, sf_dir):
 )
 def q_labeled_dataset(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return finish(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features))
+    return finish(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
 @query(
@@ -106,7 +106,7 @@ def q_labeled_dataset(spark, sf_dir):
 )
 def q_dataset_stats(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return finish(dataset_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features)))
+    return finish(dataset_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)))
 
 
 @query(
@@ -118,7 +118,7 @@ def q_dataset_stats(spark, sf_dir):
 )
 def q_monthly_build_stats(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return finish(monthly_build_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features)))
+    return finish(monthly_build_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)))
 
 
 __all__ = ["F"]

@@ -37,7 +37,7 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_dataset_roundtrip(spark, sf_dir):
     i = inputs(spark, sf_dir)
     path = scratch_path(spark, "dataset")
-    write_dataset(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features), path)
+    write_dataset(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), path)
     return read_dataset(spark, path)
 
 

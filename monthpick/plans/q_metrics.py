@@ -39,7 +39,7 @@ from monthpick.session import materialize
 
 def labeled(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features))
+    return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
 def scored_folds(spark, sf_dir):
@@ -317,7 +317,7 @@ _PAIRS = list(combinations(_FEATS, 2))
 )
 def q_variance_screen(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features)
+    m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)
     return variance_screen(m, available_features(m.columns))
 
 
@@ -347,7 +347,7 @@ def q_variance_screen(spark, sf_dir):
 )
 def q_correlation_pairs(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features)
+    m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)
     return finish(correlation_pairs(m, available_features(m.columns)))
 
 
@@ -364,7 +364,7 @@ def q_correlation_pairs(spark, sf_dir):
 def q_fill_missing_features(spark, sf_dir):
     # a lookback-3 matrix lacks the model's *_6m history columns -> 0.0
     i = inputs(spark, sf_dir)
-    m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, lookback=3, sm_features=i.sm_features)
+    m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, lookback=3, sm_features=i.sm_features, sd_features=i.sd_features)
     return finish(fill_missing_features(m, MODEL_FEATURES, keep=["EID", "TARGET_MONTH"]))
 
 

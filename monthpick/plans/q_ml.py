@@ -28,7 +28,7 @@ CHECK_TREES = 5
 
 def _dataset(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features), name="dataset"), i
+    return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), name="dataset"), i
 
 
 @query("logistic_walkforward")
