@@ -132,6 +132,24 @@ def _score_groups(scored: DataFrame, fold: str, proba: str, label: str) -> DataF
     )
 
 
+def ranking_metrics(scored: DataFrame, fold="fold", proba="proba", label="label") -> DataFrame:
+    """ROC-AUC and average precision per fold from ONE pass of score groups."""
+    g = _score_groups(scored, fold, proba, label)
+    above = F.col("tp_s") - F.col("pos_s")
+    agg = g.groupBy(fold).agg(
+        F.sum(F.col("neg_s") * (above + F.col("pos_s") / 2.0)).alias("__u"),
+        F.sum(F.col("pos_s") * (F.col("tp_s") / F.col("n_ge"))).alias("__a"),
+        F.sum("pos_s").alias("__p"),
+        F.sum("neg_s").alias("__n"),
+    )
+    ok = (F.col("__p") > 0) & (F.col("__n") > 0)
+    return agg.select(
+        fold,
+        F.when(ok, F.col("__u") / (F.col("__p") * F.col("__n"))).otherwise(0.0).alias("roc_auc"),
+        F.when(ok, F.col("__a") / F.col("__p")).otherwise(0.0).alias("pr_auc"),
+    )
+
+
 def roc_auc(scored: DataFrame, fold="fold", proba="proba", label="label") -> DataFrame:
     """Tie-aware ROC-AUC per fold; 0.0 for a single-class fold."""
     g = _score_groups(scored, fold, proba, label)
@@ -246,11 +264,7 @@ def evaluation_rows(
         (tp + fp).alias("n_positive_pred"),
         (tp + fn).alias("n_positive_true"),
     )
-    return (
-        rows.join(roc_auc(scored, fold, proba, label), fold)
-        .join(average_precision(scored, fold, proba, label), fold)
-        .withColumnRenamed(fold, "label")
-    )
+    return rows.join(ranking_metrics(scored, fold, proba, label), fold).withColumnRenamed(fold, "label")
 
 
 def expanding_mean(rows: DataFrame, order: str = "label", cols=("f1", "pr_auc")) -> DataFrame:

@@ -121,3 +121,13 @@ def test_previous_fold_tuning(spark):
     same = {r["label"]: r["threshold"] for r in evaluation_rows(df).collect()}
     prev = {r["label"]: r["threshold"] for r in evaluation_rows(df, tune_on="previous_fold").collect()}
     assert prev["2022-01"] == 0.3 and prev["2022-02"] == same["2022-01"]
+
+
+def test_ranking_metrics_equal_separate(scored):
+    from monthpick.operators.metrics import ranking_metrics
+
+    df, _ = scored
+    both = {r[0]: (r[1], r[2]) for r in ranking_metrics(df).collect()}
+    auc = dict(roc_auc(df).collect())
+    ap = dict(average_precision(df).collect())
+    assert both == {f: (auc[f], ap[f]) for f in auc}
