@@ -11,14 +11,7 @@ FIXTURES.md §2.
 from __future__ import annotations
 
 from monthpick.functions.columns import SNAP_OFFSET
-from monthpick.schema import (
-    DEFAULT_WEIGHTS,
-    MATRIX_KEY,
-    MODEL_FEATURES,
-    SIM_SIGNALS,
-    matrix_feature_names,
-    sweep_thresholds,
-)
+from monthpick.schema import SIM_SIGNALS, matrix_feature_names
 
 EID = "concat('EID_', lpad(cast(l_suppkey AS VARCHAR), 4, '0'))"
 PEAKID = "CAST(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS INTEGER)"
@@ -187,7 +180,7 @@ def rnd(expr: str, digits: int, alias: str) -> str:
     return f"{snap_sql(expr, digits)} AS {alias}"
 
 
-WIDE = {"PR", "C", "PROFIT", "Net_Profit"}  # large magnitudes: 4 dp (the data's own grid)
+WIDE = {"PR", "C", "PROFIT", "Net_Profit", "total_Net_Profit", "matched_profit", "net_profit"}  # large magnitudes: 4 dp (the data's own grid)
 
 
 def digits_for(col: str) -> int:
@@ -207,18 +200,3 @@ def rounded(cols, source_alias: str = "") -> str:
         f"{pre}{c}" if c.startswith(INTEGER_COLS) else rnd(f"{pre}{c}", digits_for(c), c) for c in cols
     )
 
-
-__all__ = [
-    "CTE",
-    "ctes",
-    "rounded",
-    "digits_for",
-    "month_str",
-    "next_month",
-    "prev_month",
-    "peak_type",
-    "DEFAULT_WEIGHTS",
-    "MATRIX_KEY",
-    "MODEL_FEATURES",
-    "sweep_thresholds",
-]

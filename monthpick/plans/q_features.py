@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from monthpick.functions.months import col_month_to_str
 from monthpick.operators.dataset import dataset_stats, labeled_dataset, monthly_build_stats
 from monthpick.operators.features import (
@@ -120,5 +118,3 @@ def q_monthly_build_stats(spark, sf_dir):
     i = inputs(spark, sf_dir)
     return finish(monthly_build_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)))
 
-
-__all__ = ["F"]

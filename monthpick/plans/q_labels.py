@@ -4,12 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from monthpick.functions.months import (
-    col_add_months,
-    col_month_from_str,
-    col_month_of_ts,
-    col_month_to_str,
-)
+from monthpick.functions.months import col_add_months, col_month_from_str, col_month_to_str
 from monthpick.functions.predicates import apply_filters
 from monthpick.operators.labels import base_rate_describe, monthly_pr, profitability_summary
 from monthpick.plans.context import finish, inputs
@@ -154,5 +149,3 @@ FROM (SELECT PEAKID, profitable / total_opportunities AS r FROM summary) s GROUP
 def q_base_rate_describe(spark, sf_dir):
     return finish(base_rate_describe(inputs(spark, sf_dir).hist_plan))
 
-
-__all__ = ["col_month_of_ts"]

@@ -11,7 +11,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from monthpick.functions.columns import snap
 from monthpick.operators.dataset import fill_missing_features, labeled_dataset
 from monthpick.operators.diagnostics import correlation_pairs, variance_screen
 from monthpick.operators.features import feature_matrix
@@ -28,7 +27,7 @@ from monthpick.operators.metrics import (
 )
 from monthpick.operators.selection import composite_score
 from monthpick.plans.context import finish, inputs
-from monthpick.plans.oracle_sql import ctes, digits_for, lookback_ctes, month_of, rnd
+from monthpick.plans.oracle_sql import ctes, digits_for, lookback_ctes, rnd
 from monthpick.plans.q_selection import score_ctes
 from monthpick.plans.registry import query
 from monthpick.schema import MODEL_FEATURES, available_features, matrix_feature_names, sweep_thresholds
@@ -367,5 +366,3 @@ def q_fill_missing_features(spark, sf_dir):
     m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, lookback=3, sm_features=i.sm_features, sd_features=i.sd_features)
     return finish(fill_missing_features(m, MODEL_FEATURES, keep=["EID", "TARGET_MONTH"]))
 
-
-__all__ = ["snap", "month_of"]

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from monthpick.functions.columns import peak_type
 from monthpick.operators.evaluation import (
-    backtest_monthly,
     backtest_summary,
     matched_profit_by_month,
     net_profit_by_month,
@@ -20,7 +17,6 @@ from monthpick.operators.selection import (
     normalized_signals,
     select_from_scores,
     select_opportunities,
-    topk_with_floor,
 )
 from monthpick.plans.context import finish, inputs
 from monthpick.plans.oracle_sql import ctes, month_str, rnd, rounded, snap_sql
@@ -243,19 +239,13 @@ def q_backtest_monthly(spark, sf_dir):
     "backtest_summary",
     _bt_sql(
         f"""SELECT count(*) AS n_months, {rnd('avg(F1)', 6, 'mean_F1')}, {rnd('avg(Precision)', 6, 'mean_Precision')},
-       {rnd('avg(Recall)', 6, 'mean_Recall')}, {rnd('sum(Net_Profit)', 2, 'total_Net_Profit')} FROM bt"""
+       {rnd('avg(Recall)', 6, 'mean_Recall')}, {rnd('sum(Net_Profit)', 4, 'total_Net_Profit')} FROM bt"""
     ),
 )
 def q_backtest_summary(spark, sf_dir):
     res = run_backtest(driver_sources(spark, sf_dir))
     s = backtest_summary(res.monthly)
-    return finish(s).withColumn("total_Net_Profit", _snap2("total_Net_Profit"))
-
-
-def _snap2(c):
-    from monthpick.functions.columns import snap
-
-    return snap(F.col(c), 2)
+    return finish(s)
 
 
 @query(
@@ -296,5 +286,3 @@ def q_selection_except(spark, sf_dir):
     res = run_backtest(driver_sources(spark, sf_dir))
     return selection_except(res.selections, res.hist)
 
-
-__all__ = ["topk_with_floor"]

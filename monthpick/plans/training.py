@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthpick.functions.columns import peak_type
-from monthpick.operators.evaluation import matched_profit_by_month
 from monthpick.operators.folds import fold_eligibility
 from monthpick.operators.metrics import evaluation_rows, expanding_mean, fold_rollup
 from monthpick.operators.models import (
@@ -255,5 +254,3 @@ def rerun_selection(spark, bundle_path: str, ds: DataFrame, min_train_months: in
         sel = sel.withColumn("in_sample", F.col("TARGET_MONTH") <= F.lit(last_train_month))
     return sel
 
-
-__all__ = ["matched_profit_by_month"]
