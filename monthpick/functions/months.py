@@ -59,6 +59,12 @@ def month_start(month: int) -> dt.datetime:
     return dt.datetime(month // 100, month % 100, 1)
 
 
+def ntz_literal(value: dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal: wall-clock time, no session-time-zone conversion
+    (a plain ``lit(datetime)`` goes through the session time zone)."""
+    return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
+
+
 # ---------------------------------------------------------------- column side
 
 
@@ -87,7 +93,8 @@ def col_add_months(c, n: int) -> Column:
 
 
 def col_daily_cutoff_ok(ts_col: str = "DATETIME", days: int = 7) -> Column:
-    """Row is on or before day ``days+1`` 00:00 of its own month (inclusive)."""
+    """Row is on or before day ``days+1`` 00:00 of its own month (inclusive).
+    Wall-clock arithmetic only (no time-zone conversion)."""
     ts = F.col(ts_col)
-    first = F.date_trunc("month", ts).cast("timestamp_ntz")
-    return ts <= first + F.expr(f"INTERVAL {days} DAYS")
+    cutoff = F.make_timestamp_ntz(F.year(ts), F.month(ts), F.lit(days + 1), F.lit(0), F.lit(0), F.lit(0))
+    return ts <= cutoff

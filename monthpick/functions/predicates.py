@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.functions.months import month_str_to_int
+from monthpick.functions.months import month_str_to_int, ntz_literal
 
 _BINARY = {
     "==": lambda c, v: c == v,
@@ -31,7 +31,7 @@ def _literal(col: str, value):
     if isinstance(value, (list, tuple, set)):
         return [_literal(col, v) for v in value]
     if col == "DATETIME" and isinstance(value, str):
-        return F.lit(dt.datetime.fromisoformat(value)).cast("timestamp_ntz")
+        return ntz_literal(dt.datetime.fromisoformat(value))
     if col == "MONTH" and isinstance(value, str):
         return F.lit(month_str_to_int(value))
     return F.lit(value)

@@ -15,10 +15,8 @@ from monthpick.functions.months import col_add_months, col_month_of_ts, col_mont
 
 def calendar_spine(df: DataFrame, ts_col: str = "DATETIME") -> DataFrame:
     """Every calendar month from min to max of ``ts_col`` (inclusive)."""
-    bounds = df.agg(
-        F.min(F.date_trunc("month", ts_col)).cast("date").alias("lo"),
-        F.max(F.date_trunc("month", ts_col)).cast("date").alias("hi"),
-    )
+    first_day = F.trunc(F.to_date(F.col(ts_col)), "month")  # wall-clock, no time zone
+    bounds = df.agg(F.min(first_day).alias("lo"), F.max(first_day).alias("hi"))
     months = bounds.select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("d")
     ).select(col_month_of_ts("d").alias("TARGET"))

@@ -21,6 +21,7 @@ from monthpick.functions.months import (
     col_month_of_ts,
     month_start,
     month_str_to_int,
+    ntz_literal,
 )
 from monthpick.functions.predicates import apply_filters
 from monthpick.schema import (
@@ -34,9 +35,9 @@ from monthpick.schema import (
 
 def _ts_range(df: DataFrame, start: dt.datetime | None, end: dt.datetime | None) -> DataFrame:
     if start is not None:
-        df = df.where(F.col("DATETIME") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col("DATETIME") >= ntz_literal(start))
     if end is not None:
-        df = df.where(F.col("DATETIME") < F.lit(end).cast("timestamp_ntz"))
+        df = df.where(F.col("DATETIME") < ntz_literal(end))
     return df
 
 
