@@ -211,3 +211,28 @@ def test_selection_invariant_to_partitioning(spark):
     a = rows(select_opportunities(m), "TARGET_MONTH", "PEAK_TYPE", "EID")
     b = rows(select_opportunities(m.repartition(7).orderBy(F.rand(3))), "TARGET_MONTH", "PEAK_TYPE", "EID")
     assert a == b
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, make):
+    def world():
+        sd = make.sim_daily(
+            [
+                (1, "A", "2022-03-08 00:00:00", 0, 1.0, 20.0),
+                (1, "A", "2022-03-08 01:00:00", 0, 1.0, 1000.0),
+                (1, "A", "2022-03-31 23:00:00", 0, 1.0, 7.0),
+            ]
+        )
+        from monthpick.functions.predicates import apply_filters
+
+        kept = apply_filters(sd, [("DATETIME", ">=", "2022-03-01"), ("DATETIME", "<", "2022-04-01")])
+        return sorted(tuple(r) for r in sim_daily_features(kept).collect()), kept.count()
+
+    utc = world()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert world() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc[1] == 3
