@@ -138,3 +138,61 @@ def test_bounded_run_equals_full_run_on_its_months(spark):
     a = sorted(tuple(r) for r in part.collect())
     b = sorted(tuple(r) for r in full.collect())
     assert a == b and {r[0] for r in a} == {f"1997-0{i}" for i in range(1, 7)}
+
+
+@pytest.fixture(scope="module")
+def monthly_ds(spark):
+    """Labeled-dataset-shaped fixture: 5 months x 60 keys, two features."""
+    rng = random.Random(11)
+    rows = []
+    for m in ("2022-01", "2022-02", "2022-03", "2022-04", "2022-05"):
+        for i in range(60):
+            y = 1 if rng.random() < 0.3 else 0
+            rows.append((f"E{i:02d}", i % 2, m, rng.gauss(1.5 * y, 1.0), rng.gauss(-y, 1.0), y, rng.gauss(10 * y - 3, 1)))
+    return spark.createDataFrame(
+        rows,
+        "EID string, PEAKID int, TARGET_MONTH string, sm_PSM_mean double, sm_ACTIVATIONLEVEL_mean double, "
+        "IS_PROFITABLE int, PROFIT double",
+    )
+
+
+def test_walk_forward_folds_and_selections(spark, monthly_ds):
+    from monthpick.plans.training import walk_forward
+
+    res = walk_forward(monthly_ds, "logistic", min_train_months=2, max_iter=30)
+    folds = {r["label"]: r for r in res.folds.collect()}
+    assert sorted(folds) == ["2022-03", "2022-04", "2022-05"]  # months < val train each fold
+    for r in folds.values():
+        assert 0.05 <= r["threshold"] <= 0.9 or r["threshold"] == 0.5
+        assert 0.0 <= r["roc_auc"] <= 1.0 and r["n_positive_true"] > 0
+    per_month = dict(res.selections.groupBy("TARGET_MONTH").count().collect())
+    assert set(per_month) == set(folds) and all(10 <= n <= 60 for n in per_month.values())
+    assert res.model is not None and res.last_train_month == "2022-04"
+    assert {r["metric"] for r in res.rollup.collect()} == {"f1", "precision", "recall", "pr_auc"}
+
+
+def test_compare_models_long_table(spark, monthly_ds):
+    from monthpick.plans.training import compare_models
+
+    hist = monthly_ds.select(
+        F.regexp_replace("TARGET_MONTH", "-", "").cast("int").alias("MONTH"),
+        "EID",
+        "PEAKID",
+        (F.col("IS_PROFITABLE") == 1).alias("IS_PROFITABLE"),
+        "PROFIT",
+    )
+    long, rollup = compare_models(monthly_ds, hist, min_train_months=3, n_trees=3, max_iter=20)
+    got = sorted((r["model"], r["MONTH"]) for r in long.collect())
+    assert got == [(m, v) for m in ("lightgbm", "logistic", "xgboost") for v in ("2022-04", "2022-05")]
+    assert {r["model"]: r["n_folds"] for r in rollup.collect()} == {"lightgbm": 2, "logistic": 2, "xgboost": 2}
+
+
+def test_rerun_selection_from_bundle(spark, monthly_ds):
+    from monthpick.plans.training import rerun_selection, save_result_bundle, walk_forward
+
+    res = walk_forward(monthly_ds, "logistic", min_train_months=3, max_iter=20)
+    path = scratch_path(spark, "bundle-rerun")
+    save_result_bundle(res, path)
+    sel = rerun_selection(spark, path, monthly_ds.drop("sm_ACTIVATIONLEVEL_mean"), 2, res.last_train_month)
+    months = {r["TARGET_MONTH"]: r["in_sample"] for r in sel.select("TARGET_MONTH", "in_sample").distinct().collect()}
+    assert months == {"2022-03": True, "2022-04": True, "2022-05": False}
