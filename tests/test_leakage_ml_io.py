@@ -196,3 +196,10 @@ def test_rerun_selection_from_bundle(spark, monthly_ds):
     sel = rerun_selection(spark, path, monthly_ds.drop("sm_ACTIVATIONLEVEL_mean"), 2, res.last_train_month)
     months = {r["TARGET_MONTH"]: r["in_sample"] for r in sel.select("TARGET_MONTH", "in_sample").distinct().collect()}
     assert months == {"2022-03": True, "2022-04": True, "2022-05": False}
+
+
+def test_walk_forward_with_smote(spark, monthly_ds):
+    from monthpick.plans.training import walk_forward
+
+    res = walk_forward(monthly_ds, "lightgbm", use_smote=True, min_train_months=3, n_trees=3)
+    assert sorted(r["label"] for r in res.folds.collect()) == ["2022-04", "2022-05"]
