@@ -77,6 +77,7 @@ def eligible_folds(ds: DataFrame, min_train_months: int, last_folds: int | None
 def select_per_fold(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Model selection for every fold at its own threshold (>= 10 above it ->
     first 100 of them, else top 10)."""
+    # thresholds: one row per fold (calendar-bounded)
     s = scored.join(F.broadcast(thresholds), "fold").withColumnRenamed("fold", "TARGET_MONTH")
     picked = topk_with_floor(s, "proba", F.col("threshold"), MAX_K, MIN_K)
     return as_opportunities(picked)
@@ -189,7 +190,7 @@ def compare_models(
     scored = spark.read.parquet(out).withColumn("mf", F.concat_ws("|", "model", "fold"))
     rows = evaluation_rows(scored, fold="mf")
     thresholds = rows.select(F.col("label").alias("mf"), "threshold")
-    sel = topk_with_floor(
+    sel = topk_with_floor(  # thresholds: one row per (model, fold)
         scored.join(F.broadcast(thresholds), "mf"), "proba", F.col("threshold"), MAX_K, MIN_K, group="mf"
     ).select("mf", F.col("fold").alias("TARGET_MONTH"), "PEAKID", "EID")
     sel = sel.select("mf", "TARGET_MONTH", peak_type("PEAKID").alias("PEAK_TYPE"), "EID").dropDuplicates()
