@@ -53,6 +53,8 @@ def main(argv=None) -> int:
     r = sub.add_parser("run")
     tables(r)
     r.add_argument("--target-k", type=int, default=50)
+    r.add_argument("--lookback", type=int, default=6)
+    r.add_argument("--hist-through", default="decision_month", choices=["decision_month", "prior_month"])
     r.add_argument("--output", default="opportunities.csv")
     b = sub.add_parser("backtest")
     tables(b)
@@ -92,7 +94,7 @@ def main(argv=None) -> int:
         from monthpick.plans.pipelines import run
         from monthpick.sources.sinks import write_opportunities_csv
 
-        sel = run(_raw(spark, a), a.start_month, a.end_month, a.target_k)
+        sel = run(_raw(spark, a), a.start_month, a.end_month, a.target_k, a.lookback, hist_through=a.hist_through)
         write_opportunities_csv(sel, a.output)
         from monthpick.operators.evaluation import selections_per_month_describe
 

@@ -74,18 +74,16 @@ def load_bundle(spark: SparkSession, path: str) -> dict:
 # ------------------------------------------------------------ file helpers
 
 
-def year_of_path(path_col: str = "path"):
-    """First 4-digit group of a file path (year of a per-year file), as int."""
-    return F.regexp_extract(F.col(path_col), r"(\d{4})", 1).cast("int")
-
-
-def read_year_files(spark: SparkSession, folder: str, years=None) -> DataFrame:
+def read_year_files(spark: SparkSession, folder: str, years=None, strict: bool = False) -> DataFrame:
     """Per-year Parquet files of a folder, restricted to ``years`` by file name.
 
     The year comes from each row's ``_metadata.file_path``; with ``years`` the
     filter is on that metadata column (file pruning, no rows of other years
-    are decoded).  No match gives an empty result rather than every file.
+    are decoded).  No match gives an empty result rather than every file;
+    ``strict=True`` raises instead (listing only, no data is read).
     """
+    if strict and years and not year_files(folder, years):
+        raise FileNotFoundError(f"no per-year file for {sorted(years)} in {folder}")
     df = spark.read.parquet(os.path.join(folder, "*.parquet"))
     # first stand-alone 4-digit group after the folder: the dataset (file or
     # directory) name, never a part-file counter
@@ -105,7 +103,7 @@ def year_files(folder: str, years=None) -> list[str]:
     ys = {str(int(y)) for y in years}
     out = []
     for f in files:
-        m = re.search(r"(\d{4})", os.path.basename(f))
+        m = re.search(r"(?<![0-9])([0-9]{4})(?![0-9])", os.path.basename(f))
         if m and m.group(1) in ys:
             out.append(f)
     return out

@@ -203,3 +203,11 @@ def test_walk_forward_with_smote(spark, monthly_ds):
 
     res = walk_forward(monthly_ds, "lightgbm", use_smote=True, min_train_months=3, n_trees=3)
     assert sorted(r["label"] for r in res.folds.collect()) == ["2022-04", "2022-05"]
+
+
+def test_year_files_strict(spark):
+    base = scratch_path(spark, "years-strict")
+    spark.createDataFrame([(1,)], "i int").write.parquet(os.path.join(base, "sim_2022.parquet"))
+    with pytest.raises(FileNotFoundError):
+        read_year_files(spark, base, [1999], strict=True)
+    assert read_year_files(spark, base, [2022], strict=True).count() == 1
