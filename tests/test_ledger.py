@@ -236,3 +236,32 @@ def test_results_do_not_depend_on_session_time_zone(spark, make):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert utc[1] == 3
+
+
+def test_unlabeled_months_and_cost_duplicates(make, spark):
+    from monthpick.operators.dataset import attach_labels
+    from monthpick.operators.labels import cost_duplicates
+
+    costs = make.costs([("A", "2022-01", 0, 4.0), ("A", "2022-01", 0, 1.0), ("B", "2022-01", 0, 1.0)])
+    assert [tuple(r) for r in cost_duplicates(costs).collect()] == [("A", 202201, 0, 2)]
+    hist = compute_profitability(make.prices([("A", "2022-01-03", 0, 10.0)]), costs)
+    m = spark.createDataFrame(
+        [("A", 0, "2022-01"), ("A", 0, "2022-02")], "EID string, PEAKID int, TARGET_MONTH string"
+    )
+    kept = attach_labels(m, hist).collect()
+    assert sorted((r["TARGET_MONTH"], r["IS_PROFITABLE"]) for r in kept) == [
+        ("2022-01", 1), ("2022-01", 1), ("2022-02", 0)  # duplicate cost key fans out; no label -> 0
+    ]
+    dropped = attach_labels(m, hist, drop_unlabeled=True).collect()
+    assert {r["TARGET_MONTH"] for r in dropped} == {"2022-01"}
+
+
+def test_smote_tiny_minority(spark):
+    from monthpick.operators.smote import smote
+
+    rows = [("E%d" % i, 0, "2022-01", float(i), float(-i), 1.0 if i < 2 else 0.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "EID string, PEAKID int, TARGET_MONTH string, f1 double, f2 double, label double")
+    out = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 8, 2)  # k = min(5, 2 - 1) = 1
+    assert out.count() == 12 and out.where("label = 1").count() == 6
+    one = smote(df.where("EID != 'E1'"), ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 7, 1)
+    assert one.count() == 7  # a single positive has no neighbour: no synthetic rows
