@@ -47,3 +47,13 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["TARGET_MONTH", "PEAK_TYPE", "EID"]
     assert df.count() > 0
+
+
+ROWS_ONLY = sorted(set(entry.queries()) - set(ORACLES))
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data absent")
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_query_runs(spark, name):
+    df = entry.queries()[name](spark, SF)
+    assert df.count() > 0
