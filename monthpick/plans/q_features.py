@@ -84,12 +84,14 @@ def q_feature_matrix(spark, sf_dir):
     return finish(feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
-@query(
-    "labeled_dataset",
+LABELED_SQL = (
     ctes("labeled")
     + f"SELECT EID, PEAKID, {rounded(FEATS)}, TARGET_MONTH, IS_PROFITABLE_L AS IS_PROFITABLE, "
-    f"{rnd('PROFIT_L', 4, 'PROFIT')} FROM labeled",
+    f"{rnd('PROFIT_L', 4, 'PROFIT')} FROM labeled"
 )
+
+
+@query("labeled_dataset", LABELED_SQL)
 def q_labeled_dataset(spark, sf_dir):
     i = inputs(spark, sf_dir)
     return finish(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))

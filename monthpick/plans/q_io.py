@@ -1,7 +1,9 @@
-"""Registered rows-only queries: sinks and file sources.
+"""Registered queries: sinks and file sources.
 
 Each writes to a fresh path under the shared checkpoint folder and reads the
-result back, so the returned rows are what a downstream reader would see.
+result back, so the returned rows are what a downstream reader would see; the
+CSV, dataset and per-year-file round trips are checked against the oracle of
+the data they carry.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ import os
 from pyspark.sql import functions as F
 
 from monthpick.operators.dataset import labeled_dataset
-from monthpick.plans.context import inputs
+from monthpick.plans.context import finish, inputs
+from monthpick.plans.q_features import LABELED_SQL
+from monthpick.plans.q_labels import LOAD_SIM_DAILY_SQL, scen_str
+from monthpick.plans.q_selection import sel_ctes
 from monthpick.plans.pipelines import run
 from monthpick.plans.registry import query
 from monthpick.session import scratch_path
@@ -26,19 +31,19 @@ from monthpick.sources.sinks import (
 )
 
 
-@query("csv_roundtrip")
+@query("csv_roundtrip", sel_ctes(50, 0.0) + "SELECT * FROM sel")
 def q_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "opportunities-csv")
     write_opportunities_csv(run(driver_sources(spark, sf_dir)), path)
     return read_opportunities_csv(spark, path)
 
 
-@query("dataset_roundtrip")
+@query("dataset_roundtrip", LABELED_SQL)
 def q_dataset_roundtrip(spark, sf_dir):
     i = inputs(spark, sf_dir)
     path = scratch_path(spark, "dataset")
     write_dataset(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), path)
-    return read_dataset(spark, path)
+    return finish(read_dataset(spark, path))
 
 
 @query("bulk_convert")
@@ -54,7 +59,7 @@ def q_bulk_convert(spark, sf_dir):
     return spark.read.option("header", True).csv(prices_csv)
 
 
-@query("year_file_scan")
+@query("year_file_scan", LOAD_SIM_DAILY_SQL)
 def q_year_file_scan(spark, sf_dir):
     """Daily sims written one Parquet file set per year (``sim_daily_<year>``),
     then read back for the years the data covers, selected by file name."""
@@ -67,4 +72,4 @@ def q_year_file_scan(spark, sf_dir):
     years = [r[0] for r in by_year.select("YEAR").distinct().collect()]  # calendar-bounded
     for y in years:
         by_year.where(F.col("YEAR") == y).drop("YEAR").write.parquet(os.path.join(base, "flat", f"sim_daily_{y}.parquet"))
-    return read_year_files(spark, os.path.join(base, "flat"), years)
+    return finish(scen_str(read_year_files(spark, os.path.join(base, "flat"), years)))

@@ -17,7 +17,7 @@ from monthpick.sources.loaders import load_sim_daily
 SIM_COLS = ["SCENARIOID", "EID", "DATETIME", "PEAKID"]
 
 
-def _scen_str(df):
+def scen_str(df):
     return df.withColumn("SCENARIOID", F.col("SCENARIOID").cast("string"))
 SIG = rounded(SIM_SIGNALS)
 
@@ -33,7 +33,7 @@ FILTERS = [("DATETIME", ">=", "1997-01-01"), ("DATETIME", "<", "1998-01-01"), ("
 )
 def q_filter_list(spark, sf_dir):
     raw = driver_sources(spark, sf_dir)
-    return finish(_scen_str(load_sim_daily(apply_filters(raw.sim_daily, FILTERS))))
+    return finish(scen_str(load_sim_daily(apply_filters(raw.sim_daily, FILTERS))))
 
 
 @query(
@@ -57,15 +57,17 @@ def q_load_prices(spark, sf_dir):
     ctes("sim_monthly") + f"SELECT {', '.join(SIM_COLS)}, {SIG}, {rounded(['PSM'])}, MONTH FROM sim_monthly",
 )
 def q_load_sim_monthly(spark, sf_dir):
-    return finish(_scen_str(inputs(spark, sf_dir).sim_monthly))
+    return finish(scen_str(inputs(spark, sf_dir).sim_monthly))
 
 
-@query(
-    "load_sim_daily",
-    ctes("sim_daily") + f"SELECT {', '.join(SIM_COLS)}, {SIG}, {rounded(['PSD'])}, MONTH FROM sim_daily",
+LOAD_SIM_DAILY_SQL = (
+    ctes("sim_daily") + f"SELECT {', '.join(SIM_COLS)}, {SIG}, {rounded(['PSD'])}, MONTH FROM sim_daily"
 )
+
+
+@query("load_sim_daily", LOAD_SIM_DAILY_SQL)
 def q_load_sim_daily(spark, sf_dir):
-    return finish(_scen_str(inputs(spark, sf_dir).sim_daily))
+    return finish(scen_str(inputs(spark, sf_dir).sim_daily))
 
 
 @query(

@@ -34,7 +34,10 @@ def write_dataset(
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    if "TARGET_MONTH" in df.columns:  # partition value: keep 'YYYY-MM' a string
+        df = df.withColumn("TARGET_MONTH", F.col("TARGET_MONTH").cast("string"))
+    return df
 
 
 def write_opportunities_csv(df: DataFrame, path: str) -> None:
