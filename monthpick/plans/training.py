@@ -111,7 +111,7 @@ def walk_forward(
     """Expanding-window folds: train on months < val, tune the threshold and
     evaluate on val (on the same fold, as in the reference), select per fold."""
     spark = ds.sparkSession
-    ds = materialize(ds, name="dataset")
+    ds = materialize(ds, name="dataset", partition_by="TARGET_MONTH")  # per-fold pruning
     feat_cols = available_features(ds.columns)
     data = prepare(ds, feat_cols)
     out = scratch_path(spark, f"scored-{model_type}")
@@ -164,7 +164,7 @@ def compare_models(
     precision, recall, pr_auc, net_profit) and the per-model rollup.  A model
     that fails on a fold is dropped for that fold with a warning."""
     spark = ds.sparkSession
-    ds = materialize(ds, name="dataset")
+    ds = materialize(ds, name="dataset", partition_by="TARGET_MONTH")  # per-fold pruning
     feat_cols = available_features(ds.columns)
     data = prepare(ds, feat_cols)
     out = scratch_path(spark, "scored-compare")

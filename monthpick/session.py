@@ -75,7 +75,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 DEFAULT_STAGE = "table"
 
 
-def materialize(df, mode: str | None = None, name: str = "stage"):
+def materialize(df, mode: str | None = None, name: str = "stage", partition_by: str | None = None):
     """Stage boundary for a DataFrame used more than once.
 
     ``persist``    — MEMORY_AND_DISK; a lost executor's blocks are recomputed
@@ -84,6 +84,7 @@ def materialize(df, mode: str | None = None, name: str = "stage"):
                      (cuts lineage; use in long iterative jobs).
     ``table``      — Parquet written under the shared checkpoint folder and read
                      back: columnar, survives executor loss, cuts lineage.
+                     ``partition_by`` gives partition pruning on read.
     ``none``       — leave the plan as is.
     """
     from pyspark import StorageLevel
@@ -96,8 +97,14 @@ def materialize(df, mode: str | None = None, name: str = "stage"):
         return df.checkpoint(eager=True)
     if mode == "table":
         path = scratch_path(df.sparkSession, name)
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+        w = df.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(partition_by)
+        w.parquet(path)
+        out = df.sparkSession.read.parquet(path)
+        if partition_by:  # keep the source type and column order of the partition column
+            out = out.select(*[out[c].cast(t).alias(c) for c, t in df.dtypes])
+        return out
     return df
 
 
