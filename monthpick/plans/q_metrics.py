@@ -204,6 +204,26 @@ def q_evaluation_rows(spark, sf_dir):
     return finish(evaluation_rows(scored_folds(spark, sf_dir)))
 
 
+def _prev_fold_ctes():
+    """Same chain as _BASE, evaluated at the previous fold's tuned threshold."""
+    body = dict(_BASE)
+    prev = [
+        ("best_prev", "SELECT fold, coalesce(lag(threshold) OVER (ORDER BY fold), 0.3) AS threshold FROM best"),
+        ("cnt_prev", body["cnt"].replace("JOIN best b USING (fold)", "JOIN best_prev b USING (fold)")),
+        ("ev_p_prev", body["ev_p"].replace("FROM cnt", "FROM cnt_prev")),
+        ("ev_prev", body["ev"].replace("ev_p", "ev_p_prev")),
+    ]
+    return ctes("labeled", extra=[*_BASE, *prev])
+
+
+@query(
+    "evaluation_rows_prev_fold",
+    _prev_fold_ctes() + f"SELECT label, {_r(_EV)}, n_positive_pred, n_positive_true FROM ev_prev",
+)
+def q_evaluation_rows_prev_fold(spark, sf_dir):
+    return finish(evaluation_rows(scored_folds(spark, sf_dir), tune_on="previous_fold"))
+
+
 @query(
     "expanding_metric",
     metric_sql(
