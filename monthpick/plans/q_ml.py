@@ -26,9 +26,14 @@ CHECK_FOLDS = 3
 CHECK_TREES = 5
 
 
-def _dataset(spark, sf_dir):
+def _dataset(spark, sf_dir, staged: bool = False):
+    """Labeled dataset over the driver tables.  The trainers stage it themselves
+    (partitioned by month); ``staged=True`` writes it here for direct reuse."""
     i = inputs(spark, sf_dir)
-    return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), name="dataset"), i
+    ds = labeled_dataset(
+        i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features
+    )
+    return (materialize(ds, name="dataset") if staged else ds), i
 
 
 @query("logistic_walkforward")
@@ -60,7 +65,7 @@ def q_model_comparison_rollup(spark, sf_dir):
 @query("smote")
 def q_smote(spark, sf_dir):
     """Training rows of the last eligible fold plus synthetic positives."""
-    ds, _ = _dataset(spark, sf_dir)
+    ds, _ = _dataset(spark, sf_dir, staged=True)
     feat_cols = available_features(ds.columns)
     last = eligible_folds(ds, 6)[-1]
     train = prepare(ds, feat_cols).where(F.col("TARGET_MONTH") < last["VAL_MONTH"])
