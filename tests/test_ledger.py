@@ -265,3 +265,17 @@ def test_smote_tiny_minority(spark):
     assert out.count() == 12 and out.where("label = 1").count() == 6
     one = smote(df.where("EID != 'E1'"), ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 7, 1)
     assert one.count() == 7  # a single positive has no neighbour: no synthetic rows
+
+
+def test_smote_many_identical_minority_rows(spark):
+    from monthpick.operators.smote import smote
+
+    rows = [("D%d" % i, 0, "2022-01", 0.0, 0.0, 1.0) for i in range(40)]  # 40 identical positives
+    rows += [("P%d" % i, 0, "2022-01", 5.0 + i, 1.0, 1.0) for i in range(3)]
+    rows += [("N%d" % i, 0, "2022-01", float(i), float(i), 0.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "EID string, PEAKID int, TARGET_MONTH string, f1 double, f2 double, label double")
+    out = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 143, 43)
+    syn = out.where("label = 1")
+    assert out.count() == 200 and syn.count() == 100
+    # copies of the repeated vector have their copies as neighbours: their synthetics stay at (0, 0)
+    assert syn.where("f1 = 0.0 AND f2 = 0.0").count() >= 40 + 40
