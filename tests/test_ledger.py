@@ -279,3 +279,16 @@ def test_smote_many_identical_minority_rows(spark):
     assert out.count() == 200 and syn.count() == 100
     # copies of the repeated vector have their copies as neighbours: their synthetics stay at (0, 0)
     assert syn.where("f1 = 0.0 AND f2 = 0.0").count() >= 40 + 40
+
+
+def test_smote_candidate_pairs_grow_linearly(spark):
+    import random
+
+    from monthpick.operators.smote import candidate_pairs
+
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(570)]
+    rows += [(570 + i, rng.gauss(0, 1) * 1e4, rng.gauss(0, 1) * 1e4) for i in range(30)]  # outliers
+    d = spark.createDataFrame(rows, "pid long, f1 double, f2 double")
+    n_pairs = candidate_pairs(d, ["f1", "f2"]).count()
+    assert n_pairs < 600 * 600 / 4  # far from all pairs, even with a concentrated core
