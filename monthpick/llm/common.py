@@ -6,11 +6,13 @@ Stage boundaries are Parquet tables under ``spark.checkpoint.dir`` (read through
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shipped:
+    """A broadcast value with the code of its classes; only for values of bounded size."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        return pickle.loads(self.packed.value)
+
+
 class Memo(dict):
     """Bounded memo of a function of one word."""
 

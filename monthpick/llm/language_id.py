@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import blocks, byte_column, held_out
+from monthpick.llm.common import Shipped, blocks, byte_column, held_out
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_SAMPLE = 3_000
@@ -155,10 +155,10 @@ def fit(documents: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row: one pass over the whole texts, no shuffle."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x languages
+    shared = Shipped(documents.sparkSession, model)  # fixed size: buckets x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.load()
         for batch in batches:
             texts = byte_column(batch, "text")
             best, score = [], []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import language_id, sentencepieces, toxicity
+from monthpick.llm import decontaminate, language_id, sentencepieces, toxicity
 from monthpick.llm.common import held_out, table
 
 
@@ -20,11 +20,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     out = language_id.identify(documents, language_id.fit(documents))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_toxicity, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id)}
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from monthpick.llm.common import Shipped
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Offset of the rank in the Zipf law that turns merge ranks into log scores.
@@ -276,12 +278,12 @@ def load_model(path: str = DEFAULT_MODEL) -> Unigram:
 
 def encode(documents: DataFrame, model: Unigram, keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
     """(*keep, pieces array<int>, n_pieces, n_byte_pieces); with ``check`` also round_trip, whether decoding gives the text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # the vocabulary: fixed size
+    shared = Shipped(documents.sparkSession, model)  # the vocabulary: fixed size
     source = documents.select(*keep, *(["text"] if "text" not in keep else []))
     schema = T.StructType(source.select(*keep).schema.fields + [T.StructField("pieces", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType()), T.StructField("n_byte_pieces", T.LongType())] + [T.StructField("round_trip", T.BooleanType())] * check)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(shared.load())
         is_byte = np.zeros(len(codec.model.raw), bool)
         is_byte[codec.model.byte_ids] = True
         for batch in batches:
@@ -306,11 +308,11 @@ def encode(documents: DataFrame, model: Unigram, keep: tuple[str, ...] = ("doc_i
 
 def decode(encoded: DataFrame, model: Unigram, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, text) of encoded rows; null or empty pieces give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(encoded.sparkSession, model)
     source = encoded.select(*keep, "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(shared.load())
         for batch in batches:
             texts = [codec.decode(x or []) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])

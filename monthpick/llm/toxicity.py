@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Memo, blocks, byte_column, held_out
+from monthpick.llm.common import Memo, Shipped, blocks, byte_column, held_out
 
 #: Bounds of the labelled sample that the classifier is fitted on, by class.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
@@ -44,7 +44,9 @@ _LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).l
 
 
 def text_words(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words of letters and digits."""
+    """Lower-cased words of letters and digits."""
+    if not text.isascii():
+        text = text.decode(errors="replace").lower().encode()
     return text.translate(_LETTERS).split()
 
 
@@ -254,12 +256,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
 
 def score_toxicity(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, *keep) for every row: one pass over the whole texts, no shuffle."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = Shipped(documents.sparkSession, model)  # bounded by the training sample
     columns = ["doc_id", *[c for c in keep if c != "doc_id"]]
     source = documents.select(*columns, *(["text"] if "text" not in columns else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.load()
         memo = Memo(model.packed) if model else None
         for batch in batches:
             texts = byte_column(batch, "text")
