@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import decontaminate, language_id, sentencepieces, toxicity
+from monthpick.llm import decontaminate, language_id, private_data, sentencepieces, toxicity
 from monthpick.llm.common import held_out, table
 
 
+def _listed(spans: str):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private_data(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in private_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_model(), check=True)
 
@@ -30,5 +41,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op2_private_data, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id)}
 ORACLES: dict[str, str] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from monthpick.llm.common import Memo, Shipped, blocks, byte_column, held_out
 
 #: Bounds of the labelled sample that the classifier is fitted on, by class.
-MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
+MAX_TOXIC, MAX_CLEAN = 2_500, 5_000
 HASH_BITS, DIM, WIDTHS, FILTERS = 24, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.05, 7
 PREFIX_BYTES, MIN_DOCS, VALIDATION, LEAST_VALID = 5, 2, 5, 15
@@ -131,20 +131,23 @@ def _best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
 def train(texts: list[bytes], labels: list[int]) -> Model:
     """Fit on labelled texts; every fifth of them only calibrates the thresholds."""
     rng = np.random.default_rng(SEED)
-    words = [text_words(t) for t in texts]
     y = np.asarray(labels, np.float32)
     n = len(texts)
-    memo = Memo(word_keys)
-    keys = [np.array([memo[w] for w in ws], np.int64).reshape(-1, 2) for ws in words]
     learn = np.arange(n) % VALIDATION != 0
-    seen: dict[int, list[int]] = {}
-    for i in np.flatnonzero(learn):  # texts with the key, by class
-        for key in np.unique(keys[i]).tolist():
-            seen.setdefault(key, [0, 0])[int(y[i])] += 1
-    kept = sorted(k for k, c in seen.items() if sum(c) >= MIN_DOCS)
-    rows = {k: r for r, k in enumerate(kept, 1)}
-    counts = np.array([[0, 0]] + [seen[k] for k in kept], np.float64)
-    del seen
+    memo, keys, language = Memo(word_keys, 50_000), [], []
+    for i, t in enumerate(texts):  # one text's words at a time: only their keys stay
+        ws = text_words(t)
+        keys.append(np.array([memo[w] for w in ws], np.uint32).reshape(-1, 2))
+        if not learn[i]:
+            language.append(_languages([ws])[0])
+    by_class = [np.unique(np.concatenate([np.unique(keys[i]) for i in np.flatnonzero(learn & (y == k))] or [np.zeros(0, np.uint32)]), return_counts=True) for k in (0, 1)]
+    kept = np.union1d(by_class[0][0], by_class[1][0])
+    counts = np.zeros((len(kept) + 1, 2))  # texts with the key, by class
+    for k, (found, times) in enumerate(by_class):
+        counts[1 + np.searchsorted(kept, found), k] = times
+    often = counts[1:].sum(1) >= MIN_DOCS
+    kept, counts = kept[often], counts[np.concatenate([[True], often])]
+    rows = {k: r for r, k in enumerate(kept.tolist(), 1)}
     totals = np.array([(learn & (y == 0)).sum(), (learn & (y == 1)).sum()]) + 1.0
     odds = np.log((counts[:, 1] + 0.5) / totals[1]) - np.log((counts[:, 0] + 0.5) / totals[0])
     doubt = 1.64 * np.sqrt((1 / (counts + 0.5)).sum(1))
@@ -157,13 +160,14 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     model = Model(rows, table, filters, np.full(width, -0.2, np.float32), np.full(width, 0.3, np.float32), -2.0)
     ids = []
     for k in keys:
-        flat = np.fromiter((rows.get(x, 0) for x in k.ravel().tolist()), np.int64, k.size).reshape(-1, 2)
-        ids.append(flat)
+        at = np.minimum(np.searchsorted(kept, k), max(len(kept) - 1, 0))
+        ids.append(np.where(kept[at] == k, at + 1, 0).astype(np.int32) if len(kept) else np.zeros(k.shape, np.int32))
+    del keys
 
     def batch(which):
         offsets = np.zeros(len(which) + 1, np.int64)
         np.cumsum([len(ids[i]) for i in which], out=offsets[1:])
-        flat = np.concatenate([ids[i] for i in which]) if offsets[-1] else np.zeros((0, 2), np.int64)
+        flat = np.concatenate([ids[i] for i in which]) if offsets[-1] else np.zeros((0, 2), np.int32)
         return flat[:, 0], flat[:, 1], offsets
 
     speed = {"table": np.full(table.shape[0], 1e-6), "filters": np.full(filters.shape, 1e-6), "bias": np.full(width, 1e-6), "out": np.full(width, 1e-6)}
@@ -212,7 +216,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
             model.out_bias -= RATE * float(err.sum())
     check = np.flatnonzero(~learn)
     raw = np.concatenate([_raw_scores(model, *batch(check[i : i + BATCH])) for i in range(0, len(check), BATCH)])
-    language = _languages([words[i] for i in check])
+    language = np.array(language)
     truth = y[check]
     if truth.min() < truth.max():
         model.cuts[:] = _best_cut(raw, truth)
@@ -244,13 +248,13 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     # the sample is bounded by the two parameters, so it may be broadcast and collected
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").where("text is not null")
     got = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow()
-    order = np.argsort(np.asarray(got["doc_id"].to_pylist(), dtype=np.int64), kind="stable")
-    y = np.asarray(got["toxic"].to_pylist(), np.int64)[order] if len(order) else np.zeros(0)
-    if len(set(y.tolist())) < 2 or len(y) < 2 * VALIDATION:
+    y = got["toxic"].to_pylist()
+    if len(set(y)) < 2 or len(y) < 2 * VALIDATION:
         return None
-    texts = [byte.encode() for byte in got["text"].to_pylist()]
-    order = order[np.argsort([xxhash.xxh3_64_intdigest(texts[i]) for i in order], kind="stable")]
-    y = np.asarray(got["toxic"].to_pylist(), np.int64)
+    texts = got["text"].cast(pa.binary()).to_pylist()
+    ids = got["doc_id"].to_pylist()
+    del got
+    order = sorted(range(len(y)), key=lambda i: (xxhash.xxh3_64_intdigest(texts[i]), ids[i]))
     return train([texts[i] for i in order], [int(y[i]) for i in order])
 
 
