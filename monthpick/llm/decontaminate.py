@@ -187,8 +187,8 @@ def align_regions(index: Index, ids: np.ndarray, offsets: np.ndarray, min_score:
     found: dict[tuple[int, int], tuple] = {}
     at = 0
     while at < len(regions):
-        end, widest = at, 1
-        while end < len(regions) and (end - at + 1) * len(index.items[regions[end][1]]) <= CELLS or end == at:
+        end = at + 1
+        while end < len(regions) and (end - at + 1) * len(index.items[regions[end][1]]) <= CELLS:
             end += 1
         some = regions[at:end]
         got = align([(index.items[k], ids[offsets[t] + a : offsets[t] + b]) for t, k, a, b in some])
@@ -201,26 +201,53 @@ def align_regions(index: Index, ids: np.ndarray, offsets: np.ndarray, min_score:
     return found
 
 
-def find_copies(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_bits: float = MIN_BITS) -> DataFrame:
-    """A row for each document and test item whose best alignment reaches ``min_score`` of a whole copy."""
-    spark = documents.sparkSession
-    documents = documents.select("doc_id", "text")
+def _blocks(documents: DataFrame, benchmark: DataFrame, min_bits: float) -> Iterator[Index]:
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    n_blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    out = spark.createDataFrame([], SCHEMA)
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toArrow()  # bounded by ITEMS_AT_ONCE on average
+    n = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    for k in range(n):
+        block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()  # about ITEMS_AT_ONCE
         if block.num_rows:
-            index = build_index(documents, block["item_id"].to_pylist(), [t.encode() for t in block["text"].to_pylist()], min_bits)
-            out = out.unionAll(_match(documents, index, min_score))
+            yield build_index(documents, block["item_id"].to_pylist(), [t.encode() for t in block["text"].to_pylist()], min_bits)
+
+
+def find_copies(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_bits: float = MIN_BITS) -> DataFrame:
+    """A row for each document and test item whose best alignment reaches ``min_score`` of a whole copy."""
+    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    out = documents.sparkSession.createDataFrame([], SCHEMA)
+    for index in _blocks(documents, benchmark, min_bits):
+        out = out.unionAll(_match(documents, index, min_score))
+    return out
+
+
+def drop_copies(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_bits: float = MIN_BITS) -> DataFrame:
+    """``documents`` without those that ``find_copies`` has a row for; one pass, no shuffle."""
+    out = documents
+    for index in _blocks(documents, benchmark, min_bits):
+        out = _without(out, index, min_score)
     return out
 
 
+def _without(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
+    shared = Shipped(documents.sparkSession, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.load()
+        for batch in batches:
+            texts = byte_column(batch, "text")
+            clean = np.ones(len(texts), bool)
+            for a, b in blocks([len(t) for t in texts]):
+                clean[[a + t for t, _ in align_regions(index, *_word_ids(texts[a:b], index.words), min_score)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def _match(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
     shared = Shipped(documents.sparkSession, index)  # one block of test items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.load()
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             texts, ids = byte_column(batch, "text"), batch.column(0).to_pylist()
             rows = []
@@ -228,8 +255,6 @@ def _match(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
                 for (t, k), row in sorted(align_regions(index, *_word_ids(texts[a:b], index.words), min_score).items()):
                     rows.append((ids[a + t], index.item_ids[k], *row))
             if rows:
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return documents.mapInArrow(run, SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import decontaminate, language_id, private_data, sentencepieces, toxicity
+from monthpick.llm import decontaminate, jaccard_join, language_id, private_data, sentencepieces, toxicity
 from monthpick.llm.common import held_out, table
 
 
@@ -41,5 +41,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_private_data, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_private_data, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
