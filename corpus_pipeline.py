@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import sentencepieces, toxicity
+from monthpick.llm import decontaminate, jaccard_join, private_data, sentencepieces, toxicity
 from monthpick.llm.common import Scratch, table
 
 
@@ -19,12 +19,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, keep=tuple(docs.columns)).where(F.col("score") < toxicity.CUT).drop("score")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a test item go."""
+    return decontaminate.drop_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become their kind in angle brackets; every document stays."""
+    return private_data.redact(docs, private_data.find_private_data(docs))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text that is left."""
     return sentencepieces.encode(docs, sentencepieces.load_model(), keep=("doc_id", "lang", "source"), check=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("sentencepiece", encode_pieces)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_benchmark_copies),
+    ("private_data", redact_private_data),
+    ("sentencepiece", encode_pieces),
+]
 #: SQL cannot express a trained classifier; tests compare the stages with brute force.
 ORACLE_SQL = None
 
