@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import decontaminate, jaccard_join, language_id, private_data, sentencepieces, toxicity
+from monthpick.llm import decontaminate, jaccard_join, language_id, private_data, sentencepieces, substring_dedup, toxicity
 from monthpick.llm.common import held_out, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def _listed(spans: str):
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -45,5 +49,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_private_data, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
