@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import chat_tree, decontaminate, jaccard_join, language_id, private_data, sentencepieces, substring_dedup, toxicity
+from monthpick.llm import chat_tree, decontaminate, embedding_graph, jaccard_join, language_id, private_data, sentencepieces, substring_dedup, toxicity
 from monthpick.llm.common import held_out, table
 
 
@@ -24,6 +24,10 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 
 
+def op3_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_model(), check=True)
 
@@ -56,5 +60,5 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(*chat_tree.format_tree(conversations.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op3_embedding_graph, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree)}
 ORACLES: dict[str, str] = {}
