@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import chat_tree, decontaminate, embedding_graph, jaccard_join, language_id, private_data, sentencepieces, substring_dedup, toxicity
+from monthpick.llm import chat_tree, decontaminate, embedding_graph, jaccard_join, language_id, license_scan, private_data, sentencepieces, substring_dedup, toxicity
 from monthpick.llm.common import held_out, table
 
 
@@ -39,6 +39,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source/lang/doc_id.txt."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    out = license_scan.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return out.select(F.regexp_extract("path", r"([0-9-]+)\.txt$", 1).cast("bigint").alias("doc_id"), "license", "how", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,5 +67,5 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(*chat_tree.format_tree(conversations.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op3_embedding_graph, op4_sentencepiece, op5_toxicity, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op3_embedding_graph, op4_sentencepiece, op5_toxicity, op6_license_scan, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree)}
+ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle()}
