@@ -4,7 +4,7 @@ Vectors go to the shards of their SPREAD nearest centroids, so shards overlap.
 each shard a graph is built: a node's candidates are its nearest and some random
 members, and robust pruning keeps those that no kept one is much nearer to.  The
 adjacency lists that a vector has in its shards are united.  Searches run greedily from
-medoids over the united lists and, once in range, expand to everything in range.  Pairs
+medoids (and a vector's own node) over the united lists and, once in range, expand to everything in range.  Pairs
 are verified by cosine in double precision.
 
 A pair in several shards counts in the first of them.  Shards beyond a bound are dealt
@@ -96,8 +96,11 @@ def medoids(x: np.ndarray) -> np.ndarray:
     return np.unique((x @ fit_centroids(x, k).T).argmax(0))
 
 
-def search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) pairs with cosine of at least the threshold, in blocks of queries."""
+def search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs with cosine of at least the threshold, in blocks of queries.
+
+    Searches start from the medoids and from the query's own node, if it has one here (``own``, else -1).
+    """
     small = x.astype(np.float32)
     edges = np.concatenate([edges, np.full((1, edges.shape[1]), -1, edges.dtype)])
     for at in range(0, len(queries), QUERIES_AT_ONCE):
@@ -110,6 +113,12 @@ def search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.nda
         beam = np.broadcast_to(starts, (m, len(starts))).astype(np.int64)
         score = q @ small[starts].T
         fresh = np.ones(beam.shape, bool)
+        self_node = own[at : at + QUERIES_AT_ONCE]
+        other = (self_node >= 0) & ~seen[rows[:, 0], self_node]
+        seen[rows[other, 0], self_node[other]] = True
+        beam = np.concatenate([beam, np.maximum(self_node, 0)[:, None]], 1)
+        score = np.concatenate([score, np.where(other, 1, -9)[:, None].astype(score.dtype)], 1)
+        fresh = np.concatenate([fresh, other[:, None]], 1)
         near_q, near_node = np.nonzero(score >= threshold - SLACK)
         found = [(near_q, beam[near_q, near_node])]
         for _ in range(HOPS):
@@ -183,8 +192,19 @@ def _lists(parts: DataFrame) -> DataFrame:
     return parts.groupBy("shard", "part").applyInArrow(run, "id bigint, near array<bigint>")
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least place of its group) after joining the groups of a and b."""
+    label = label.copy()
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
 def _search_parts(work: DataFrame, threshold: float) -> DataFrame:
-    """(id, n_links, root): partial link counts, and the least id that the task links an id with."""
+    """(id, n_links, root): partial link counts, and the least id of the group that the task's links put an id in."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -209,17 +229,20 @@ def _search_parts(work: DataFrame, threshold: float) -> DataFrame:
         q_ids, q = queries["id"].to_numpy(), _matrix(queries["vector"])
         node_shards, query_shards = _matrix(nodes["shards"]), _matrix(queries["shards"])
         m = nodes["m"].to_numpy()
-        links, root = np.zeros(len(q), np.int64), q_ids.copy()
-        for i, j in search(x, edges, medoids(x), q, threshold):
+        every = np.unique(np.concatenate([ids, q_ids]))
+        links, label = np.zeros(len(every), np.int64), np.arange(len(every))
+        at_query, at_node = np.searchsorted(every, q_ids), np.searchsorted(every, ids)
+        spot = np.minimum(np.searchsorted(ids[order], q_ids), len(ids) - 1)
+        own = np.where(ids[order][spot] == q_ids, order[spot], -1)
+        for i, j in search(x, edges, medoids(x), q, own, threshold):
             i, j = i[q_ids[i] != ids[j]], j[q_ids[i] != ids[j]]
-            np.minimum.at(root, i, ids[j])
+            label = _joined(label, at_query[i], at_node[j])
             # the pair counts in the first shard that both are in
             both = (query_shards[i][:, :, None] == node_shards[j][:, None, :]).any(2)
             first = np.where(both, query_shards[i], np.iinfo(np.int32).max).min(1)
-            np.add.at(links, i[first == shard], m[j[first == shard]])
-        linked = root != q_ids
-        some = linked | (links > 0)
-        return pa.table({"id": q_ids[some], "n_links": links[some], "root": root[some]})
+            np.add.at(links, at_query[i[first == shard]], m[j[first == shard]])
+        some = (label != np.arange(len(every))) | (links > 0)
+        return pa.table({"id": every[some], "n_links": links[some], "root": every[label[some]]})
 
     return work.groupBy("shard", "part", "block").applyInArrow(run, "id bigint, n_links bigint, root bigint")
 
