@@ -6,7 +6,9 @@ n - ceil(t * n) + 1 shingles.  The first order puts frequent shingles last (freq
 from a sketch over all texts; ties by a hash); its prefixes are indexed, so a passage
 that many texts share makes no candidates.  Candidates must also pass the length and
 the position filter there, and share prefix shingles under every further order, before
-their whole sets are compared.
+their whole sets are compared.  Between the two stands a bitmap of each set, a few bits
+for each shingle: sets differ by at least the bits in which the parities of their
+bitmaps differ, which rules out most of what shares only a passage, exactly.
 
 Equal sets are one class from the start (their postings are the same rows).  In an index
 list with many sets only the pairs with the list's first set are candidates at once;
@@ -80,34 +82,56 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def parity_bits(codes: np.ndarray) -> bytes:
+    """Parity of the shingles on each bit; the size is the power of two from 2 n on, 64 at least."""
+    size = 64
+    while size < 2 * len(codes):
+        size *= 2
+    counts = np.bincount((mix(codes, 4) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """False only if the bitmaps show that the sets differ in too many shingles."""
+    x, y, size_x, size_y = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
+    while size_x > size_y:
+        size_x //= 2
+        x = (x >> size_x) ^ (x & ((1 << size_x) - 1))
+    while size_y > size_x:
+        size_y //= 2
+        y = (y >> size_y) ^ (y & ((1 << size_y) - 1))
+    return (x ^ y).bit_count() <= na + nb - 2 * needed_overlap(na, nb)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def _sets_and_sketch(documents: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, code) and of slices of the frequency sketch (slice, counts)."""
+    """Rows of documents (doc_id, n, code, bits) and of slices of the frequency sketch (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             texts = byte_column(batch, "text")
-            n, code = [], []
+            n, code, bits = [], [], []
             for a, b in blocks([len(t) for t in texts]):
                 sets = shingle_sets(texts[a:b], memo)
                 n += map(len, sets)
                 code += [set_code(s) for s in sets]
+                bits += [parity_bits(s) for s in sets]
                 every = np.concatenate(sets)
                 sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(code, np.uint64)), pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(code, np.uint64)), pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if sketch.any():
             slices = [zstandard.compress(x.tobytes()) for x in np.split(sketch, SLICES)]
             nothing = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=names)
 
-    names = ["doc_id", "n", "code", "slice", "counts"]
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, code bigint, slice int, counts binary")
+    names = ["doc_id", "n", "code", "bits", "slice", "counts"]
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, code bigint, bits binary, slice int, counts binary")
 
 
 def _frequency_classes(slices: DataFrame) -> np.ndarray:
@@ -244,12 +268,26 @@ def _open_pairs(lists: DataFrame) -> DataFrame:
             mine = np.repeat(rows[k : k + 1], len(other))
             fine = _passes(mine, other)
             parts.append((mine[fine], other[fine]))
-        pairs = _unique_pairs(parts)
-        return pa.table({"a": _signed(np.ascontiguousarray(pairs[:, 0])), "b": _signed(np.ascontiguousarray(pairs[:, 1]))})
+        a, b = (np.concatenate([x[k] for x in parts] or [rows[:0]]) for k in (0, 1))
+        pairs, at = np.unique(np.stack([np.minimum(a["set"], b["set"]), np.maximum(a["set"], b["set"])], 1), axis=0, return_index=True)
+        bits = dict(zip(table["a"].to_numpy().view(np.uint64).tolist(), table["bits"].to_pylist()))
+        near = np.array([may_be_similar(bits[x], bits[y], nx, ny) for (x, y), nx, ny in zip(pairs.tolist(), *(np.where(a["set"][at] == pairs[:, k], a["n"][at], b["n"][at]).tolist() for k in (0, 1)))], bool)
+        return pa.table({"a": _signed(np.ascontiguousarray(pairs[near, 0])), "b": _signed(np.ascontiguousarray(pairs[near, 1]))})
 
     return lists.groupBy("token").applyInArrow(run, "a bigint, b bigint")
 
 
+def _near_by_bits(pairs: DataFrame) -> DataFrame:
+    """The id pairs whose bitmaps do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_be_similar(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` (ids of ``texts``: id, text) that are similar enough."""
 
@@ -273,15 +311,15 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id reachable by links."""
     scratch = Scratch(documents.sparkSession, "jaccard-join")
     first = scratch.stage(_sets_and_sketch(documents))
-    sets = first.where("slice IS NULL").select("doc_id", "n", "code")
+    sets = first.where("slice IS NULL").select("doc_id", "n", "code", "bits")
     classes = _frequency_classes(first.where("slice IS NOT NULL"))
     buckets = max(BUCKETS, sets.count() // BUCKET_DOCS)
     found = scratch.stage(_candidates(_postings(documents, classes, buckets)))
-    heads = sets.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("id"))
+    heads = scratch.stage(sets.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     def by_head(pairs: DataFrame) -> DataFrame:
-        a, b = (heads.select(F.col("code").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
-        return scratch.stage(pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+        a, b = (heads.select(F.col("code").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
+        return scratch.stage(_near_by_bits(pairs.select("a", "b").distinct().join(a, "a").join(b, "b")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -291,14 +329,16 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     pairs = by_head(found.where("b IS NOT NULL"))
     links = verified(pairs)
     roots = scratch.stage(components(links, scratch))
-    lists = found.where("b IS NULL").join(heads.withColumnRenamed("code", "a"), "a").join(roots, "id", "left").select("token", "a", "at", "n", F.coalesce("component", "id").alias("component"))
+    named_heads = heads.select(F.col("code").alias("a"), "id", "bits").join(roots, "id", "left").select("a", "bits", F.coalesce("component", "id").alias("component"))
+    lists = found.where("b IS NULL").select("token", "a", "at", "n").join(named_heads.select("a", "component"), "a")
     # lists whose sets are all in one component are done
     still = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    more = by_head(_open_pairs(lists.join(still, "token"))).join(pairs, ["a", "b"], "left_anti")
+    open_lists = lists.join(still, "token").join(named_heads.select("a", "bits"), "a")
+    more = by_head(_open_pairs(open_lists)).join(pairs, ["a", "b"], "left_anti")
     if not more.isEmpty():
         links = links.unionByName(verified(scratch.stage(more)))
         roots = scratch.stage(components(links, scratch))
-    named = sets.join(heads, "code", "left").join(roots, "id", "left")
+    named = sets.select("doc_id", "n", "code").join(heads.select("code", "id"), "code", "left").join(roots, "id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
