@@ -10,7 +10,6 @@ loop).  Sub-packages:
                    diagnostics, folds, MLlib models, SMOTE
 * ``plans``      — end-to-end jobs: rule-based run, backtest, walk-forward
                    training, model comparison, rescoring
-* ``streaming``  — nothing: the workload is month-batch (see its docstring)
 """
 
 from monthpick.session import build_session, checkpoint_dir

@@ -32,8 +32,16 @@ def _dataset(spark, a):
     from monthpick.operators.dataset import labeled_dataset
     from monthpick.plans.pipelines import load_for_targets
 
-    d = load_for_targets(_raw(spark, a), a.start_month, a.end_month)
-    return labeled_dataset(d.sim_monthly, d.sim_daily, d.hist, sm_features=d.sm_features, sd_features=d.sd_features), d
+    d = load_for_targets(_raw(spark, a), a.start_month, a.end_month, truth=True)
+    return labeled_dataset(d.sim_monthly, d.sim_daily, d.hist, a.lookback, sm_features=d.sm_features, sd_features=d.sd_features), d
+
+
+def _report(table, folder: str | None) -> None:
+    """The whole table as CSV, if a folder is named; else its first rows on the screen."""
+    if folder:
+        table.write.mode("overwrite").option("header", True).csv(folder)
+    else:
+        table.show(truncate=False)
 
 
 def main(argv=None) -> int:
@@ -59,16 +67,24 @@ def main(argv=None) -> int:
     b = sub.add_parser("backtest")
     tables(b)
     b.add_argument("--target-k", type=int, default=50)
+    b.add_argument("--lookback", type=int, default=6)
+    b.add_argument("--report", default=None, help="folder for the table of months (CSV)")
     t = sub.add_parser("train")
     tables(t)
     t.add_argument("--model", default="lightgbm", choices=["logistic", "lightgbm", "xgboost"])
     t.add_argument("--smote", action="store_true")
+    t.add_argument("--weight-with-smote", action="store_true", help="keep the positive weight besides SMOTE")
+    t.add_argument("--lookback", type=int, default=6)
+    t.add_argument("--dataset-out", default=None, help="write the feature dataset, which rerun reads")
+    t.add_argument("--report", default=None, help="folder for the table of folds (CSV)")
     t.add_argument("--min-train-months", type=int, default=6)
     t.add_argument("--output", default="opportunities.csv")
     t.add_argument("--bundle", default=None)
     c = sub.add_parser("compare")
     tables(c)
     c.add_argument("--min-train-months", type=int, default=6)
+    c.add_argument("--lookback", type=int, default=6)
+    c.add_argument("--report", default=None, help="folder for the table of models and months (CSV)")
     rr = sub.add_parser("rerun")
     rr.add_argument("--bundle", required=True)
     rr.add_argument("--dataset", required=True)
@@ -102,17 +118,20 @@ def main(argv=None) -> int:
     elif a.cmd == "backtest":
         from monthpick.plans.pipelines import run_backtest
 
-        res = run_backtest(_raw(spark, a), a.start_month, a.end_month, a.target_k)
+        res = run_backtest(_raw(spark, a), a.start_month, a.end_month, a.target_k, a.lookback)
         res.base_rates.show()
-        res.monthly.orderBy("MONTH").show(1000, truncate=False)
+        _report(res.monthly.orderBy("MONTH"), a.report)
         res.summary.show()
     elif a.cmd == "train":
         from monthpick.plans.training import save_result_bundle, walk_forward
-        from monthpick.sources.sinks import write_opportunities_csv
+        from monthpick.sources.sinks import read_dataset, write_dataset, write_opportunities_csv
 
         ds, _ = _dataset(spark, a)
-        res = walk_forward(ds, a.model, a.smote, a.min_train_months)
-        res.folds.orderBy("label").show(1000, truncate=False)
+        if a.dataset_out:
+            write_dataset(ds, a.dataset_out)
+            ds = read_dataset(spark, a.dataset_out)
+        res = walk_forward(ds, a.model, a.smote, a.min_train_months, weight_with_smote=a.weight_with_smote)
+        _report(res.folds.orderBy("label"), a.report)
         res.rollup.show()
         write_opportunities_csv(res.selections, a.output)
         if a.bundle:
@@ -122,7 +141,7 @@ def main(argv=None) -> int:
 
         ds, d = _dataset(spark, a)
         long, rollup = compare_models(ds, d.hist, min_train_months=a.min_train_months)
-        long.orderBy("model", "MONTH").show(1000, truncate=False)
+        _report(long.orderBy("model", "MONTH"), a.report)
         rollup.show()
     elif a.cmd == "rerun":
         from monthpick.plans.training import rerun_selection

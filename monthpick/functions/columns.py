@@ -18,13 +18,6 @@ def peak_type(c: str = "PEAKID") -> Column:
     return expr
 
 
-def peak_id(c: str = "PEAK_TYPE") -> Column:
-    expr = None
-    for k, v in PEAK_TYPES.items():
-        expr = (F.when if expr is None else expr.when)(F.col(c) == v, F.lit(k))
-    return expr.cast("int")
-
-
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den, 0.0 when den is not positive."""
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
@@ -40,6 +33,11 @@ def nan_to_null(c: str) -> Column:
     return F.nanvl(F.col(c), F.lit(None).cast("double"))
 
 
+def zero_filled(c: str) -> Column:
+    """Column as double with null and NaN as 0."""
+    return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
 def zero_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Null (and NaN) numeric columns -> 0."""
     exprs = []
@@ -76,4 +74,6 @@ def snap(c, digits: int) -> Column:
     """
     col = F.col(c) if isinstance(c, str) else c
     scale = 10**digits
-    return F.when(F.isnan(col), col).otherwise(F.floor(col * scale + F.lit(SNAP_OFFSET)) / scale)
+    # from 2^52 grid steps on a double has no digits left to snap (and floor() would leave its 64 bits)
+    done = F.isnan(col) | (F.abs(col * scale) >= float(1 << 52))
+    return F.when(done, col).otherwise(F.floor(col * scale + F.lit(SNAP_OFFSET)) / scale)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthpick.functions.columns import zero_filled
 from monthpick.functions.months import col_month_from_str
 from monthpick.operators.features import feature_matrix
 from monthpick.schema import DEFAULT_LOOKBACK
@@ -79,12 +80,12 @@ def monthly_build_stats(ds: DataFrame) -> DataFrame:
 
 def fill_missing_features(df: DataFrame, feat_cols: list[str], keep: list[str] | None = None) -> DataFrame:
     """Project onto a model's feature list; absent features become 0.0 and
-    present ones have nulls filled with 0 (scoring-time alignment)."""
+    present ones have nulls and NaN filled with 0 (scoring-time alignment)."""
     present = set(df.columns)
     cols = [F.col(c) for c in (keep or [])]
     for c in feat_cols:
         if c in present:
-            cols.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c))
+            cols.append(zero_filled(c).alias(c))
         else:
             cols.append(F.lit(0.0).alias(c))
     return df.select(*cols)

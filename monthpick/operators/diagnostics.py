@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from monthpick.session import materialize
+
 CORR_LIMIT = 0.95
 
 
@@ -41,9 +43,9 @@ def correlation_matrix(df: DataFrame, feat_cols: list[str]):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    vec = VectorAssembler(inputCols=feat_cols, outputCol="__features", handleInvalid="keep").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in feat_cols])
-    )
+    # MLlib goes over its input twice: a stage keeps the joins before it from running again
+    staged = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in feat_cols]), name="correlation")
+    vec = VectorAssembler(inputCols=feat_cols, outputCol="__features", handleInvalid="keep").transform(staged)
     return Correlation.corr(vec, "__features", "pearson").head()[0]
 
 

@@ -10,8 +10,9 @@
   score cut-offs, descending) — rows are first grouped by (fold, score), so a
   score shared by a third of all rows is one row.  Running sums are split in
   two levels: a window per (fold, score bucket) over the distinct scores of a
-  bucket, plus a window per fold over at most ``BUCKETS`` bucket totals.  No
-  window ever holds a whole fold.  A single-class fold gives 0.0.
+  bucket, plus a window per fold over its bucket totals.  Buckets are cut at
+  quantiles of the fold's distinct scores, so scores that crowd near 0 spread
+  over all of them.  A single-class fold gives 0.0.
 * classification report, evaluation rows, expanding means, fold rollups.
 """
 
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 from monthpick.functions.columns import f1_from, safe_ratio
 from monthpick.schema import DEFAULT_THRESHOLD, sweep_thresholds
 
-# score buckets of the two-level running sums: the per-fold window holds at most
-# BUCKETS rows (a constant, whatever the data size); a per-bucket window holds
-# the distinct scores of a 1/BUCKETS-wide interval
-BUCKETS = 1 << 16
+# score buckets of the two-level running sums, cut at per-fold quantiles: a bucket
+# holds about 1/BUCKETS of its fold's distinct scores
+BUCKETS = 512
 
 
 def _stack(df: DataFrame, keep: list[str], items: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
@@ -48,19 +48,21 @@ def threshold_counts(
 ) -> DataFrame:
     """(fold, threshold, TP, FP, FN, n_pos, n) for every threshold."""
     ts = thresholds or sweep_thresholds()
-    p, y = F.col(proba), F.col(label).cast("long")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos")]
+    # NaN is above every number in Spark; a missing score is not a hit
+    p, y = F.nanvl(F.col(proba).cast("double"), F.lit(float("-inf"))), F.col(label).cast("long")
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"), F.sum((p >= DEFAULT_THRESHOLD).cast("long")).alias("PP_DEFAULT")]
     for j, t in enumerate(ts):
         hit = (p >= F.lit(float(t))).cast("long")
         aggs.append(F.sum(hit * y).alias(f"tp{j}"))
         aggs.append(F.sum(hit).alias(f"pp{j}"))
     wide = scored.groupBy(fold).agg(*aggs)
-    wide = wide.select(fold, "n", "n_pos", *[F.lit(float(t)).alias(f"t{j}") for j, t in enumerate(ts)],
+    wide = wide.select(fold, "n", "n_pos", "PP_DEFAULT", *[F.lit(float(t)).alias(f"t{j}") for j, t in enumerate(ts)],
                        *[f"tp{j}" for j in range(len(ts))], *[f"pp{j}" for j in range(len(ts))])
     long = wide.selectExpr(
         fold,
         "n",
         "n_pos",
+        "PP_DEFAULT",
         f"stack({len(ts)}, " + ", ".join(f"t{j}, tp{j}, pp{j}" for j in range(len(ts))) + ") AS (threshold, TP, PP)",
     )
     return long.select(
@@ -71,6 +73,7 @@ def threshold_counts(
         (F.col("n_pos") - F.col("TP")).alias("FN"),
         "n_pos",
         "n",
+        "PP_DEFAULT",  # predicted positives at the default threshold
     )
 
 
@@ -82,7 +85,27 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(scored: DataFrame, thresholds=None, fold="fold", proba="proba", label="label") -> DataFrame:
-    return with_rates(threshold_counts(scored, thresholds, fold, proba, label))
+    return with_rates(threshold_counts(scored, thresholds, fold, proba, label)).drop("PP_DEFAULT")
+
+
+def tuned_counts(counts: DataFrame, metric: str = "f1", fold: str = "fold") -> DataFrame:
+    """Per fold the best threshold of ``threshold_counts`` with its TP, FP, FN: nothing is counted again.
+
+    Where no threshold scores above 0 (no true positive at any), the default
+    threshold stands, at which there are PP_DEFAULT predicted positives.
+    """
+    m = metric if metric in ("f1", "precision", "recall") else "f1"
+    scored = with_rates(counts)
+    order = F.struct(F.col(m).alias("v"), (-F.col("threshold")).alias("nt"), "TP", "FP", "FN")
+    best = scored.groupBy(fold).agg(F.max(F.when(F.col(m) > 0, order)).alias("b"), F.first("PP_DEFAULT").alias("PP_DEFAULT"), F.first("n_pos").alias("n_pos"))
+    some = F.col("b").isNotNull()
+    return best.select(
+        fold,
+        F.when(some, -F.col("b.nt")).otherwise(DEFAULT_THRESHOLD).alias("threshold"),
+        F.when(some, F.col("b.TP")).otherwise(F.lit(0)).alias("TP"),
+        F.when(some, F.col("b.FP")).otherwise(F.col("PP_DEFAULT")).alias("FP"),
+        F.when(some, F.col("b.FN")).otherwise(F.col("n_pos")).alias("FN"),
+    )
 
 
 def best_threshold(sweep: DataFrame, metric: str = "f1", fold: str = "fold") -> DataFrame:
@@ -106,9 +129,10 @@ def _score_groups(scored: DataFrame, fold: str, proba: str, label: str) -> DataF
     g = scored.groupBy(fold, F.col(proba).alias("s")).agg(
         F.sum(y).alias("pos_s"), F.count(F.lit(1)).alias("n_s")
     )
-    g = g.withColumn("neg_s", F.col("n_s") - F.col("pos_s")).withColumn(
-        "bucket", F.floor(F.col("s") * BUCKETS)
-    )
+    g = g.withColumn("neg_s", F.col("n_s") - F.col("pos_s"))
+    at = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    cuts = g.groupBy(fold).agg(F.percentile_approx("s", at, F.lit(20 * BUCKETS)).alias("cuts"))
+    g = g.join(cuts, fold).withColumn("bucket", F.size(F.filter("cuts", lambda x: x <= F.col("s")))).drop("cuts")
     # level 1: bucket totals and counts strictly above each bucket (<= BUCKETS rows per fold)
     bt = g.groupBy(fold, "bucket").agg(F.sum("pos_s").alias("pos_b"), F.sum("n_s").alias("n_b"))
     wb = Window.partitionBy(fold).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -176,9 +200,9 @@ def average_precision(scored: DataFrame, fold="fold", proba="proba", label="labe
 
 
 def counts_at(scored: DataFrame, thresholds: DataFrame, fold="fold", proba="proba", label="label") -> DataFrame:
-    """Confusion counts per fold at that fold's threshold (one row per fold, broadcast)."""
-    j = scored.join(F.broadcast(thresholds.select(fold, "threshold")), fold)
-    pred = (F.col(proba) >= F.col("threshold")).cast("long")
+    """Confusion counts per fold at that fold's threshold (one row per fold; the optimizer sizes that side)."""
+    j = scored.join(thresholds.select(fold, "threshold"), fold)
+    pred = (F.nanvl(F.col(proba).cast("double"), F.lit(float("-inf"))) >= F.col("threshold")).cast("long")
     y = F.col(label).cast("long")
     return j.groupBy(fold, "threshold").agg(
         F.sum(pred * y).alias("TP"),
@@ -249,10 +273,9 @@ def evaluation_rows(
     ``tune_on='same_fold'`` tunes and evaluates on the same fold (reference
     behaviour, optimistic); ``'previous_fold'`` evaluates each fold at the
     threshold tuned on the previous one."""
-    best = best_threshold(threshold_sweep(scored, thresholds, fold, proba, label), metric, fold)
+    c = tuned_counts(threshold_counts(scored, thresholds, fold, proba, label), metric, fold)
     if tune_on == "previous_fold":
-        best = previous_fold_thresholds(best, initial_threshold, fold)
-    c = counts_at(scored, best, fold, proba, label)
+        c = counts_at(scored, previous_fold_thresholds(c, initial_threshold, fold), fold, proba, label)
     tp, fp, fn = F.col("TP"), F.col("FP"), F.col("FN")
     p, r = safe_ratio(tp, tp + fp), safe_ratio(tp, tp + fn)
     rows = c.select(

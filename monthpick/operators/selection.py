@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthpick.functions.columns import peak_type, rowwise_mean, snap
-from monthpick.schema import DEFAULT_TARGET_K, DEFAULT_WEIGHTS, MAX_K, MIN_K
+from monthpick.schema import DEFAULT_TARGET_K, DEFAULT_WEIGHTS, MAX_K, MIN_K, hist_feature_names, lookbacks
 
 SCORE_DIGITS = 9
 
@@ -38,21 +38,20 @@ def clamp_k(target_k: int) -> int:
 
 def score_signals(columns: list[str]) -> list[tuple[str, Column]]:
     """(weight key, raw signal) for every signal the pool provides, in order."""
-    out = []
-    if "sm_PSM_mean" in columns:
-        out.append(("sm_PSM_mean", F.col("sm_PSM_mean")))
-    if "sm_ACTIVATIONLEVEL_mean" in columns:
-        out.append(("sm_ACTIVATIONLEVEL_mean", F.col("sm_ACTIVATIONLEVEL_mean")))
-    rate_cols = [c for c in columns if c.startswith("hist_profit_rate")]
-    if rate_cols:
-        out.append(("hist_profit_rate", rowwise_mean(rate_cols)))
-    profit_cols = [c for c in columns if c.startswith("hist_mean_profit")]
-    if profit_cols:
-        # only historically positive elements are rewarded
-        out.append(("hist_mean_profit", F.greatest(rowwise_mean(profit_cols), F.lit(0.0))))
-    if "sm_PSM_scenario_std" in columns:
-        out.append(("scenario_agreement", -F.col("sm_PSM_scenario_std")))
-    return out
+    by_key = {  # weight key -> (source columns, signal over them)
+        "sm_PSM_mean": (["sm_PSM_mean"], rowwise_mean),
+        "sm_ACTIVATIONLEVEL_mean": (["sm_ACTIVATIONLEVEL_mean"], rowwise_mean),
+        "hist_profit_rate": (_history(columns, "hist_profit_rate"), rowwise_mean),
+        # losses count as no profit at all
+        "hist_mean_profit": (_history(columns, "hist_mean_profit"), lambda cols: F.greatest(rowwise_mean(cols), F.lit(0.0))),
+        "scenario_agreement": (["sm_PSM_scenario_std"], lambda cols: -F.col(cols[0])),
+    }
+    return [(key, signal(cols)) for key, (cols, signal) in by_key.items() if cols and set(cols) <= set(columns)]
+
+
+def _history(columns: list[str], stem: str) -> list[str]:
+    """The history columns of every lookback that the pool has."""
+    return [c for n in lookbacks(columns) for c in hist_feature_names(n) if c.startswith(stem) and c in columns]
 
 
 def minmax_normalize(df: DataFrame, cols: list[str], group: str = "TARGET_MONTH") -> DataFrame:
@@ -60,8 +59,8 @@ def minmax_normalize(df: DataFrame, cols: list[str], group: str = "TARGET_MONTH"
     bounds = df.groupBy(group).agg(
         *[F.min(c).alias(f"__lo_{c}") for c in cols], *[F.max(c).alias(f"__hi_{c}") for c in cols]
     )
-    # one row per group (target month): bounded by the calendar
-    j = df.join(F.broadcast(bounds), group)
+    # one row per group; the caller names the group, so the optimizer sizes this side
+    j = df.join(bounds, group)
     out = [F.col(c) for c in df.columns if c not in cols]
     for c in cols:
         lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
@@ -125,14 +124,16 @@ def topk_with_floor(
     "n_pass < floor" can be read from the survivors alone: the pool is scanned
     once and the second window runs on at most ``limit`` rows per group.
     """
-    w = Window.partitionBy(group).orderBy(F.col(score_col).desc_nulls_last(), *order_keys)
+    # NaN sorts above every number in Spark: a missing score ranks last and fails the threshold
+    score = F.nanvl(F.col(score_col).cast("double"), F.lit(None).cast("double"))
+    w = Window.partitionBy(group).orderBy(score.desc_nulls_last(), *order_keys)
     limit = max(k, floor)
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    passing = F.col(score_col) >= thr
+    passing = F.coalesce(score >= thr, F.lit(False))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     ranked = ranked.withColumn(
         "__n_pass",
-        F.sum(F.coalesce(passing.cast("int"), F.lit(0))).over(Window.partitionBy(group)),
+        F.sum(passing.cast("int")).over(Window.partitionBy(group)),
     )
     keep = F.when(F.col("__n_pass") < floor, F.col("rank") <= floor).otherwise(
         (F.col("rank") <= k) & passing

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.operators.features import stage_feature_inputs
+from monthpick.operators.features import sim_daily_features, sim_monthly_features
 from monthpick.operators.labels import compute_profitability
 from monthpick.functions.columns import snap
 from monthpick.plans.oracle_sql import digits_for
 from monthpick.sources.adapters import driver_sources
+from monthpick.session import materialize_all
 from monthpick.sources.loaders import load_costs, load_prices, load_sim_daily, load_sim_monthly
 
 
@@ -25,34 +26,36 @@ class Inputs:
     costs: DataFrame
     sim_monthly: DataFrame
     sim_daily: DataFrame
-    _hist: DataFrame | None = None
-    _sm: DataFrame | None = None
-    _sd: DataFrame | None = None
-
-    def _stage(self) -> None:
-        if self._hist is None:
-            self._sm, self._hist, self._sd = stage_feature_inputs(
-                self.sim_monthly, self.hist_plan, sim_daily=self.sim_daily
-            )
+    _staged: dict | None = None
+
+    def _stage(self, *names: str) -> DataFrame:
+        """Stage what is asked for and not yet there; several together are written concurrently."""
+        self._staged = self._staged or {}
+        plans = {"hist": lambda: self.hist_plan, "sm": lambda: sim_monthly_features(self.sim_monthly), "sd": lambda: sim_daily_features(self.sim_daily)}
+        missing = [n for n in names if n not in self._staged]
+        if missing:
+            self._staged |= dict(zip(missing, materialize_all(*[plans[n]() for n in missing], names=[f"input-{n}" for n in missing])))
+        return self._staged[names[0]]
+
+    def stage_all(self) -> Inputs:
+        """All three inputs of the feature matrix, written side by side."""
+        self._stage("hist", "sm", "sd")
+        return self
 
     @property
     def hist(self) -> DataFrame:
-        """Label table as a stage boundary (features and truth read it 2-3 times);
-        staged together with the monthly-sim aggregate."""
-        self._stage()
-        return self._hist
+        """Label table as a stage boundary (features and truth read it 2-3 times)."""
+        return self._stage("hist")
 
     @property
     def sm_features(self) -> DataFrame:
-        """Staged monthly-sim aggregate (written concurrently with the labels)."""
-        self._stage()
-        return self._sm
+        """Staged monthly-sim aggregate."""
+        return self._stage("sm")
 
     @property
     def sd_features(self) -> DataFrame:
-        """Staged daily-sim aggregate (written concurrently with the labels)."""
-        self._stage()
-        return self._sd
+        """Staged daily-sim aggregate."""
+        return self._stage("sd")
 
     @property
     def hist_plan(self) -> DataFrame:

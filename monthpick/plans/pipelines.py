@@ -42,10 +42,14 @@ class Loaded:
 
 
 def load_for_targets(
-    raw: RawSources, start: str | None = None, end: str | None = None, stage: str | None = None
+    raw: RawSources, start: str | None = None, end: str | None = None, stage: str | None = None, truth: bool = False
 ) -> Loaded:
     """Typed inputs bounded to the target range [start, end] (None = open).
 
+    Labels end at the decision month of ``end``, as no history feature reads
+    later ones; with ``truth`` at ``end`` itself, for evaluation.  Their first
+    month stays open: history is counted in months that are present.
+
     The label table (monthly grain) is used by history features and by the
     truth side of evaluation, so it is a stage boundary (``materialize``).
     """
@@ -53,8 +57,9 @@ def load_for_targets(
     sd_lo, sd_hi = month_bounds(
         prev_month(start) if start else None, prev_month(end) if end else None
     )
-    prices = load_prices(raw.prices)
-    costs = load_costs(raw.costs)
+    last_label = (end if truth else prev_month(end)) if end else None
+    prices = load_prices(raw.prices, end=month_bounds(None, last_label)[1])
+    costs = load_costs(raw.costs, filters=[("MONTH", "<=", last_label)] if last_label else None)
     sim_monthly = load_sim_monthly(raw.sim_monthly, start=sm_lo, end=sm_hi)
     sim_daily = load_sim_daily(raw.sim_daily, start=sd_lo, end=sd_hi)
     # the stage tables are independent jobs: written concurrently
@@ -105,7 +110,7 @@ def run_backtest(
     target_k: int = DEFAULT_TARGET_K,
     lookback: int = DEFAULT_LOOKBACK,
 ) -> BacktestResult:
-    d = load_for_targets(raw, start, end)
+    d = load_for_targets(raw, start, end, truth=True)
     matrix = materialize(feature_matrix(d.sim_monthly, d.sim_daily, d.hist, lookback, sm_features=d.sm_features, sd_features=d.sd_features))
     selections = materialize(select_opportunities(matrix, target_k))
     monthly = backtest_monthly(selections, d.hist)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from monthpick.functions.months import col_month_to_str
 from monthpick.operators.dataset import dataset_stats, labeled_dataset, monthly_build_stats
 from monthpick.operators.features import (
@@ -54,13 +56,18 @@ def q_scenario_std(spark, sf_dir):
     return finish(_with_month(sm.select("TARGET", "EID", "PEAKID", "sm_PSM_scenario_std")))
 
 
+def _targets(i):
+    """Target months: those with a keyed monthly-sim row (no aggregate is needed to list them)."""
+    return i.sim_monthly.where("EID IS NOT NULL AND PEAKID IS NOT NULL").select(F.col("MONTH").alias("TARGET")).distinct()
+
+
 @query(
     "hist_month_map",
     ctes("month_map") + f"SELECT {month_str('TARGET')} AS TARGET_MONTH, MONTH FROM month_map",
 )
 def q_hist_month_map(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    targets = i.sm_features.select("TARGET").distinct()
+    targets = _targets(i)
     return _with_month(hist_month_map(i.hist, targets))
 
 
@@ -71,7 +78,7 @@ def q_hist_month_map(spark, sf_dir):
 def q_hist_features(spark, sf_dir):
     i = inputs(spark, sf_dir)
     hist = i.hist
-    targets = i.sm_features.select("TARGET").distinct()
+    targets = _targets(i)
     return finish(_with_month(hist_features(hist, hist_month_map(hist, targets))))
 
 
@@ -80,7 +87,7 @@ def q_hist_features(spark, sf_dir):
     ctes("matrix") + f"SELECT EID, PEAKID, {rounded(FEATS)}, TARGET_MONTH FROM matrix",
 )
 def q_feature_matrix(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     return finish(feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
@@ -93,7 +100,7 @@ LABELED_SQL = (
 
 @query("labeled_dataset", LABELED_SQL)
 def q_labeled_dataset(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     return finish(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
@@ -105,7 +112,7 @@ def q_labeled_dataset(spark, sf_dir):
     "count(DISTINCT TARGET_MONTH) AS n_months FROM labeled",
 )
 def q_dataset_stats(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     return finish(dataset_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)))
 
 
@@ -117,6 +124,6 @@ def q_dataset_stats(spark, sf_dir):
     "FROM labeled GROUP BY 1",
 )
 def q_monthly_build_stats(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     return finish(monthly_build_stats(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)))
 

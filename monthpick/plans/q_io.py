@@ -9,11 +9,15 @@ the data they carry.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
+from monthpick.functions.columns import snap
+from monthpick.functions.months import years_needed
 from monthpick.operators.dataset import labeled_dataset
 from monthpick.plans.context import finish, inputs
+from monthpick.plans.oracle_sql import ctes, month_str, rnd
 from monthpick.plans.q_features import LABELED_SQL
 from monthpick.plans.q_labels import LOAD_SIM_DAILY_SQL, scen_str
 from monthpick.plans.q_selection import sel_ctes
@@ -40,23 +44,30 @@ def q_csv_roundtrip(spark, sf_dir):
 
 @query("dataset_roundtrip", LABELED_SQL)
 def q_dataset_roundtrip(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     path = scratch_path(spark, "dataset")
     write_dataset(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), path)
     return finish(read_dataset(spark, path))
 
 
-@query("bulk_convert")
+@query(
+    "bulk_convert",
+    ctes("prices", "costs")
+    + f"SELECT 'prices' AS source, EID, strftime(DATETIME, '%Y-%m-%d') AS at, PEAKID, {rnd('PRICEREALIZED', 4, 'amount')} FROM prices "
+    f"UNION ALL SELECT 'costs', EID, {month_str('MONTH')}, PEAKID, {rnd('C', 4, 'amount')} FROM costs",
+)
 def q_bulk_convert(spark, sf_dir):
-    """Domain tables written as Parquet (two folders), converted to CSV; the
-    converted prices are read back."""
+    """Domain tables written as Parquet (two folders), converted to CSV; both
+    are read back with their types."""
     base = scratch_path(spark, "convert")
     raw = driver_sources(spark, sf_dir)
     raw.prices.write.parquet(os.path.join(base, "in", "prices", "prices.parquet"))
     raw.costs.write.parquet(os.path.join(base, "in", "costs", "costs.parquet"))
     outs = bulk_convert(spark, os.path.join(base, "in"), os.path.join(base, "out"))
-    prices_csv = [o for o in outs if "prices" in o]
-    return spark.read.option("header", True).csv(prices_csv)
+    back = lambda name, schema: spark.read.option("header", True).schema(schema).csv([o for o in outs if o.endswith(f"/{name}.csv")])
+    prices = back("prices", raw.prices.schema).select(F.lit("prices").alias("source"), "EID", F.date_format("DATETIME", "yyyy-MM-dd").alias("at"), "PEAKID", F.col("PRICEREALIZED").alias("amount"))
+    costs = back("costs", raw.costs.schema).select(F.lit("costs").alias("source"), "EID", F.col("MONTH").alias("at"), "PEAKID", F.col("C").alias("amount"))
+    return prices.unionByName(costs).select("source", "EID", "at", "PEAKID", snap("amount", 4).alias("amount"))
 
 
 @query("year_file_scan", LOAD_SIM_DAILY_SQL)
@@ -68,8 +79,11 @@ def q_year_file_scan(spark, sf_dir):
     sd = i.sim_daily.withColumn("YEAR", F.year("DATETIME"))
     sd.write.partitionBy("YEAR").parquet(os.path.join(base, "by_year"))
     by_year = spark.read.parquet(os.path.join(base, "by_year"))
-    # years the spine needs, derived from the data (decision months of all targets)
-    years = [r[0] for r in by_year.select("YEAR").distinct().collect()]  # calendar-bounded
-    for y in years:
+    years = years_needed([f"{r[0]}-01" for r in by_year.select("YEAR").distinct().collect()])  # calendar-bounded
+
+    def write(y: int) -> None:
         by_year.where(F.col("YEAR") == y).drop("YEAR").write.parquet(os.path.join(base, "flat", f"sim_daily_{y}.parquet"))
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(write, years))
     return finish(scen_str(read_year_files(spark, os.path.join(base, "flat"), years)))

@@ -12,7 +12,7 @@ from monthpick.plans.oracle_sql import ctes, month_of, month_str, prev_month, rn
 from monthpick.plans.registry import query
 from monthpick.schema import SIM_SIGNALS
 from monthpick.sources.adapters import driver_sources
-from monthpick.sources.loaders import load_sim_daily
+from monthpick.sources.loaders import load_costs, load_sim_daily
 
 SIM_COLS = ["SCENARIOID", "EID", "DATETIME", "PEAKID"]
 
@@ -36,6 +36,35 @@ def q_filter_list(spark, sf_dir):
     return finish(scen_str(load_sim_daily(apply_filters(raw.sim_daily, FILTERS))))
 
 
+@query(
+    "filter_costs_month",
+    ctes("costs") + f"SELECT EID, MONTH, PEAKID, {rounded(['C'])} FROM costs WHERE MONTH >= 199703 AND MONTH < 199809",
+)
+def q_filter_costs_month(spark, sf_dir):
+    """Month bounds on the raw text column: compared as text, so they reach the scan."""
+    raw = driver_sources(spark, sf_dir)
+    return finish(load_costs(raw.costs, filters=[("MONTH", ">=", "1997-03"), ("MONTH", "<", "1998-09")]))
+
+
+@query(
+    "filter_in",
+    ctes("costs") + f"SELECT EID, MONTH, PEAKID, {rounded(['C'])} FROM costs WHERE MONTH IN (199701, 199803) AND PEAKID = 1",
+)
+def q_filter_in(spark, sf_dir):
+    raw = driver_sources(spark, sf_dir)
+    return finish(load_costs(raw.costs, filters=[("MONTH", "in", ["1997-01", 199803]), ("PEAKID", "=", 1)]))
+
+
+@query(
+    "load_years_gap",
+    ctes("sim_daily")
+    + f"SELECT {', '.join(SIM_COLS)}, {SIG}, {rounded(['PSD'])}, MONTH FROM sim_daily WHERE year(DATETIME) IN (1996, 1999, 2000)",
+)
+def q_load_years_gap(spark, sf_dir):
+    """A year list with a gap reads the named years only."""
+    return finish(scen_str(load_sim_daily(driver_sources(spark, sf_dir).sim_daily, years=[2000, 1996, 1999])))
+
+
 @query(
     "load_costs",
     ctes("costs") + f"SELECT EID, MONTH, PEAKID, {rounded(['C'])} FROM costs",

@@ -37,7 +37,7 @@ from monthpick.session import materialize
 
 
 def labeled(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     return materialize(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
 
 
@@ -332,12 +332,12 @@ _PAIRS = list(combinations(_FEATS, 2))
     ctes("matrix")
     + "SELECT feature FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp(CAST({c} AS DOUBLE)) AS v FROM matrix" for c in _FEATS)
-    + ") x WHERE v = 0",
+    + " UNION ALL SELECT 'ALWAYS_ONE', var_samp(1.0) FROM matrix) x WHERE v = 0",
 )
 def q_variance_screen(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)
-    return variance_screen(m, available_features(m.columns))
+    return variance_screen(m.withColumn("ALWAYS_ONE", F.lit(1.0)), [*available_features(m.columns), "ALWAYS_ONE"])
 
 
 @query(
@@ -365,7 +365,7 @@ def q_variance_screen(spark, sf_dir):
     "WHERE c IS NOT NULL AND NOT isnan(c) AND abs(c) > 0.95",
 )
 def q_correlation_pairs(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features)
     return finish(correlation_pairs(m, available_features(m.columns)))
 
@@ -382,7 +382,7 @@ def q_correlation_pairs(spark, sf_dir):
 )
 def q_fill_missing_features(spark, sf_dir):
     # a lookback-3 matrix lacks the model's *_6m history columns -> 0.0
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     m = feature_matrix(i.sim_monthly, i.sim_daily, i.hist, lookback=3, sm_features=i.sm_features, sd_features=i.sd_features)
     return finish(fill_missing_features(m, MODEL_FEATURES, keep=["EID", "TARGET_MONTH"]))
 

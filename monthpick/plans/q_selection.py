@@ -95,7 +95,7 @@ def sel_ctes(k: int = 50, t: float = 0.0, extra=None):
 
 
 def _matrix(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = inputs(spark, sf_dir).stage_all()
     return feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), i
 
 

@@ -2,9 +2,9 @@
 
 The labeled dataset is a stage boundary (a written table).  Folds come from
 ``fold_eligibility`` — one row per calendar month, so the fold list the driver
-iterates is bounded by the calendar, not by the data.  Each fold is a
-distributed MLlib fit; its validation scores are appended to one scored table
-in the shared checkpoint folder, and every post-fit measure (threshold sweep,
+goes through is bounded by the calendar, not by the data.  Each fold is a
+distributed MLlib fit, several at a time; its validation scores are written to
+the shared checkpoint folder, and every post-fit measure (threshold sweep,
 tuned threshold, ROC-AUC, average precision, selections) is then ONE grouped
 query over all folds.
 """
@@ -12,8 +12,10 @@ query over all folds.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,9 @@ from monthpick.sources.sinks import load_bundle, save_bundle
 
 log = logging.getLogger(__name__)
 
+# fits that run at a time
+PARALLEL_FITS = 4
+
 
 def fit_fold(
     train: DataFrame,
@@ -49,36 +54,42 @@ def fit_fold(
     use_smote: bool = False,
     n_trees: int = GBT_TREES,
     max_iter: int = LOGISTIC_MAX_ITER,
+    weight_with_smote: bool = False,
 ) -> PipelineModel:
-    """One distributed fit on a fold's training rows (``label`` double)."""
+    """One distributed fit on a fold's training rows (``label`` double).
+
+    ``weight_with_smote`` keeps the positive weight of the rows before SMOTE for
+    boosted trees, as the reference does; otherwise the two are alternatives."""
+    weight = (n_rows - n_pos) / n_pos if n_pos else 1.0
     if use_smote:
-        train = smote(train, feat_cols, ["EID", "PEAKID", "TARGET_MONTH"], n_rows, n_pos)
-        n_rows, n_pos = 2 * (n_rows - n_pos), n_rows - n_pos  # classes at parity
+        train, n_rows, n_pos = smote(train, feat_cols, ["EID", "PEAKID", "TARGET_MONTH"], n_rows, n_pos)
     if model_type == "logistic":
         data = with_balanced_weight(train, n_rows, n_pos)
         return logistic_pipeline(feat_cols, n_rows, max_iter).fit(data)
     if model_type in ("lightgbm", "xgboost"):
-        # SMOTE and the positive weight are alternatives (not both)
-        pw = 1.0 if use_smote else ((n_rows - n_pos) / n_pos if n_pos else 1.0)
+        pw = weight if weight_with_smote or not use_smote else 1.0
         data = with_pos_weight(train, pw)
         total_w = (n_rows - n_pos) + pw * n_pos
         return gbt_pipeline(feat_cols, model_type, n_trees, total_w).fit(data)
     raise ValueError(f"Unknown model: {model_type}")
 
 
-def eligible_folds(ds: DataFrame, min_train_months: int, last_folds: int | None = None) -> list:
+def eligible_folds(ds: DataFrame, min_train_months: int) -> list:
     """Driver-side fold list (one small row per fold, calendar-bounded)."""
-    elig = fold_eligibility(ds, min_train_months).where(F.col("eligible")).orderBy("fold_id").collect()
-    if last_folds:
-        elig = elig[-last_folds:]
-    return elig
+    return fold_eligibility(ds, min_train_months).where(F.col("eligible")).orderBy("fold_id").collect()
+
+
+def _side_by_side(work, items: list, parallelism: int) -> list:
+    """Results of ``work`` in order; Spark runs the jobs of several items together."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(work, items))
 
 
 def select_per_fold(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Model selection for every fold at its own threshold (>= 10 above it ->
     first 100 of them, else top 10)."""
-    # thresholds: one row per fold (calendar-bounded)
-    s = scored.join(F.broadcast(thresholds), "fold").withColumnRenamed("fold", "TARGET_MONTH")
+    # thresholds: one row per fold
+    s = scored.join(thresholds, "fold").withColumnRenamed("fold", "TARGET_MONTH")
     picked = topk_with_floor(s, "proba", F.col("threshold"), MAX_K, MIN_K)
     return as_opportunities(picked)
 
@@ -102,38 +113,45 @@ def walk_forward(
     model_type: str = "lightgbm",
     use_smote: bool = False,
     min_train_months: int = MIN_TRAIN_MONTHS,
-    last_folds: int | None = None,
     n_trees: int = GBT_TREES,
     max_iter: int = LOGISTIC_MAX_ITER,
     metric: str = "f1",
     tune_on: str = "same_fold",
+    parallelism: int = PARALLEL_FITS,
+    weight_with_smote: bool = False,
 ) -> WalkForwardResult:
     """Expanding-window folds: train on months < val, tune the threshold and
-    evaluate on val (on the same fold, as in the reference), select per fold."""
+    evaluate on val (on the same fold, as in the reference), select per fold.
+    Folds do not depend on each other: ``parallelism`` of them are fitted at a time."""
     spark = ds.sparkSession
     ds = materialize(ds, name="dataset", partition_by="TARGET_MONTH")  # per-fold pruning
     feat_cols = available_features(ds.columns)
     data = prepare(ds, feat_cols)
     out = scratch_path(spark, f"scored-{model_type}")
-    model, last_val, last_train = None, None, None
-    for row in eligible_folds(ds, min_train_months, last_folds):
+
+    def fit(row) -> PipelineModel:
         val = row["VAL_MONTH"]
         train = data.where(F.col("TARGET_MONTH") < val)
         model = fit_fold(
-            train, feat_cols, model_type, int(row["n_train_rows"]), int(row["n_train_pos"]), use_smote, n_trees, max_iter
+            train, feat_cols, model_type, int(row["n_train_rows"]), int(row["n_train_pos"]), use_smote, n_trees, max_iter,
+            weight_with_smote,
         )
         scored = score(model, data.where(F.col("TARGET_MONTH") == val)).select(
             F.lit(val).alias("fold"), "EID", F.col("PEAKID").cast("int").alias("PEAKID"), "proba",
             F.col("label").cast("int").alias("label"),
         )
-        scored.write.mode("append").parquet(out)
-        last_val, last_train = val, row["TRAIN_LAST"]
-    if last_val is None:
+        scored.write.parquet(f"{out}/{val}")
+        return model
+
+    folds = eligible_folds(ds, min_train_months)
+    models = _side_by_side(fit, folds, parallelism)
+    if not folds:
         empty = spark.createDataFrame([], "fold string, EID string, PEAKID int, proba double, label int")
         rows = evaluation_rows(empty, metric)
         return WalkForwardResult(rows, fold_rollup(rows), expanding_mean(rows), as_opportunities(
             empty.withColumnRenamed("fold", "TARGET_MONTH")), empty, None, 0.3, feat_cols, model_type, None)
-    scored_all = spark.read.parquet(out)
+    model, last_val, last_train = models[-1], folds[-1]["VAL_MONTH"], folds[-1]["TRAIN_LAST"]
+    scored_all = spark.read.parquet(*[f"{out}/{row['VAL_MONTH']}" for row in folds])
     rows = materialize(evaluation_rows(scored_all, metric, tune_on=tune_on), name="fold-metrics")
     thresholds = rows.select(F.col("label").alias("fold"), "threshold")
     final_threshold = rows.where(F.col("label") == last_val).select("threshold").first()[0]
@@ -156,42 +174,47 @@ def compare_models(
     hist_profit: DataFrame,
     model_types=("logistic", "lightgbm", "xgboost"),
     min_train_months: int = MIN_TRAIN_MONTHS,
-    last_folds: int | None = None,
     n_trees: int = GBT_TREES,
     max_iter: int = LOGISTIC_MAX_ITER,
+    parallelism: int = PARALLEL_FITS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Same folds for every model.  Returns the long table (model, MONTH, f1,
-    precision, recall, pr_auc, net_profit) and the per-model rollup.  A model
-    that fails on a fold is dropped for that fold with a warning."""
+    """Same folds for every model.  Returns the long table (model, MONTH, status,
+    f1, precision, recall, pr_auc, net_profit) with one row for each model and
+    fold, and the per-model rollup.  A model that cannot be fitted to a fold's
+    data (invalid argument) has that as its status and null measures; any other
+    failure, such as a lost executor, ends the comparison."""
     spark = ds.sparkSession
     ds = materialize(ds, name="dataset", partition_by="TARGET_MONTH")  # per-fold pruning
     feat_cols = available_features(ds.columns)
     data = prepare(ds, feat_cols)
     out = scratch_path(spark, "scored-compare")
-    any_rows = False
-    for row in eligible_folds(ds, min_train_months, last_folds):
+
+    def fit(item) -> tuple[str, str, str]:
+        row, mt = item
         val = row["VAL_MONTH"]
         train = data.where(F.col("TARGET_MONTH") < val)
-        for mt in model_types:
-            try:
-                model = fit_fold(train, feat_cols, mt, int(row["n_train_rows"]), int(row["n_train_pos"]),
-                                 False, n_trees, max_iter)
-            except Exception as e:  # noqa: BLE001 — reference behaviour: skip the model on this fold
-                log.warning("%s failed on %s: %s", mt, val, e)
-                continue
-            score(model, data.where(F.col("TARGET_MONTH") == val)).select(
-                F.lit(mt).alias("model"), F.lit(val).alias("fold"), "EID",
-                F.col("PEAKID").cast("int").alias("PEAKID"), "proba",
-                F.col("label").cast("int").alias("label"),
-            ).write.mode("append").parquet(out)
-            any_rows = True
-    if not any_rows:
+        try:
+            model = fit_fold(train, feat_cols, mt, int(row["n_train_rows"]), int(row["n_train_pos"]), False, n_trees, max_iter)
+        except (IllegalArgumentException, ValueError) as e:
+            log.warning("%s does not fit %s: %s", mt, val, e)
+            return mt, val, f"not fitted: {e}"[:200]
+        score(model, data.where(F.col("TARGET_MONTH") == val)).select(
+            F.lit(mt).alias("model"), F.lit(val).alias("fold"), "EID",
+            F.col("PEAKID").cast("int").alias("PEAKID"), "proba",
+            F.col("label").cast("int").alias("label"),
+        ).write.parquet(f"{out}/{mt}-{val}")
+        return mt, val, "fitted"
+
+    done = _side_by_side(fit, [(row, mt) for row in eligible_folds(ds, min_train_months) for mt in model_types], parallelism)
+    fitted = [f"{out}/{mt}-{val}" for mt, val, status in done if status == "fitted"]
+    if not fitted:
         raise ValueError("no eligible fold")
-    scored = spark.read.parquet(out).withColumn("mf", F.concat_ws("|", "model", "fold"))
+    statuses = spark.createDataFrame(done, "model string, MONTH string, status string")  # one row for each model and month
+    scored = spark.read.parquet(*fitted).withColumn("mf", F.concat_ws("|", "model", "fold"))
     rows = evaluation_rows(scored, fold="mf")
     thresholds = rows.select(F.col("label").alias("mf"), "threshold")
     sel = topk_with_floor(  # thresholds: one row per (model, fold)
-        scored.join(F.broadcast(thresholds), "mf"), "proba", F.col("threshold"), MAX_K, MIN_K, group="mf"
+        scored.join(thresholds, "mf"), "proba", F.col("threshold"), MAX_K, MIN_K, group="mf"
     ).select("mf", F.col("fold").alias("TARGET_MONTH"), "PEAKID", "EID")
     sel = sel.select("mf", "TARGET_MONTH", peak_type("PEAKID").alias("PEAK_TYPE"), "EID").dropDuplicates()
     profit = _matched_profit_per_group(sel, hist_profit)
@@ -204,14 +227,15 @@ def compare_models(
         "pr_auc",
         F.coalesce(F.col("matched_profit"), F.lit(0.0)).alias("net_profit"),
     )
-    long = materialize(long, name="comparison")
+    order = ["model", "MONTH", "status", "f1", "precision", "recall", "pr_auc", "net_profit"]
+    long = materialize(statuses.join(long, ["model", "MONTH"], "left").select(*order), name="comparison")
     rollup = long.groupBy("model").agg(
         F.avg("f1").alias("mean_f1"),
         F.avg("precision").alias("mean_precision"),
         F.avg("recall").alias("mean_recall"),
         F.avg("pr_auc").alias("mean_pr_auc"),
         F.sum("net_profit").alias("net_profit"),
-        F.count(F.lit(1)).alias("n_folds"),
+        F.count("f1").alias("n_folds"),
     )
     return long, rollup
 
@@ -228,21 +252,20 @@ def _matched_profit_per_group(sel: DataFrame, hist_profit: DataFrame) -> DataFra
 def save_result_bundle(res: WalkForwardResult, path: str) -> None:
     if res.model is None:
         raise ValueError("no model to save")
-    save_bundle(res.model, path, res.threshold, res.feat_cols, res.model_type)
+    save_bundle(res.model, path, res.threshold, res.feat_cols, res.model_type, res.last_train_month)
 
 
-def rerun_selection(spark, bundle_path: str, ds: DataFrame, min_train_months: int = MIN_TRAIN_MONTHS,
-                    last_train_month: str | None = None) -> DataFrame:
+def rerun_selection(spark, bundle_path: str, ds: DataFrame, min_train_months: int = MIN_TRAIN_MONTHS) -> DataFrame:
     """Rescore every month after the first ``min_train_months`` with a saved
     bundle; absent model features are filled with 0.  ``in_sample`` marks months
-    the model was trained on (when ``last_train_month`` is known)."""
+    the model was trained on (null for a bundle that does not say)."""
     from monthpick.operators.dataset import fill_missing_features
 
     b = load_bundle(spark, bundle_path)
     # distinct target months present (one row per month: calendar-bounded)
     present = [r[0] for r in ds.select("TARGET_MONTH").distinct().orderBy("TARGET_MONTH").collect()]
     if len(present) <= min_train_months:
-        return spark.createDataFrame([], "TARGET_MONTH string, PEAK_TYPE string, EID string")
+        return spark.createDataFrame([], "TARGET_MONTH string, PEAK_TYPE string, EID string, in_sample boolean")
     first_val = present[min_train_months]
     x = fill_missing_features(ds, b["feat_cols"], keep=["EID", "TARGET_MONTH"]).where(
         F.col("TARGET_MONTH") >= F.lit(first_val)
@@ -250,8 +273,5 @@ def rerun_selection(spark, bundle_path: str, ds: DataFrame, min_train_months: in
     x = x.withColumn("PEAKID_KEY", F.col("PEAKID").cast("int"))
     scored = score(b["model"], x).drop("PEAKID").withColumnRenamed("PEAKID_KEY", "PEAKID")
     picked = topk_with_floor(scored, "proba", b["threshold"], MAX_K, MIN_K)
-    sel = as_opportunities(picked)
-    if last_train_month:
-        sel = sel.withColumn("in_sample", F.col("TARGET_MONTH") <= F.lit(last_train_month))
-    return sel
+    return as_opportunities(picked).withColumn("in_sample", F.col("TARGET_MONTH") <= F.lit(b["last_train_month"]).cast("string"))
 

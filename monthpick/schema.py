@@ -6,8 +6,9 @@ match; they are stated plainly and in their natural order.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import types as T
 
 # --------------------------------------------------------------------------
 # Fixed values
@@ -86,15 +87,6 @@ def sweep_thresholds() -> list[float]:
 KEY = ["EID", "MONTH", "PEAKID"]
 MATRIX_KEY = ["TARGET_MONTH", "EID", "PEAKID"]
 
-COSTS_SCHEMA = T.StructType(
-    [
-        T.StructField("EID", T.StringType()),
-        T.StructField("MONTH", T.IntegerType()),
-        T.StructField("PEAKID", T.IntegerType()),
-        T.StructField("C", T.DoubleType()),
-    ]
-)
-
 PRICES_COLUMNS = ["EID", "DATETIME", "PEAKID", "PRICEREALIZED"]
 COSTS_COLUMNS = ["EID", "MONTH", "PEAKID", "C"]
 
@@ -131,7 +123,20 @@ def matrix_feature_names(lookback: int = DEFAULT_LOOKBACK) -> list[str]:
     )
 
 
+def lookbacks(columns) -> list[int]:
+    """Lookbacks of the history features in a frame's columns, ascending."""
+    found = (re.fullmatch(r"hist_\w+_(\d+)m", c) for c in columns)
+    return sorted({int(m[1]) for m in found if m})
+
+
+def model_features(lookback: int = DEFAULT_LOOKBACK) -> list[str]:
+    """The model feature list with the history features of a lookback."""
+    names = dict(zip(hist_feature_names(DEFAULT_LOOKBACK), hist_feature_names(lookback)))
+    return [names.get(c, c) for c in MODEL_FEATURES]
+
+
 def available_features(columns, features=None) -> list[str]:
-    """Model features present in a frame's columns (metadata only)."""
+    """Model features present in a frame's columns (metadata only), with whatever lookback they have."""
     cols = set(columns)
-    return [c for c in (features or MODEL_FEATURES) if c in cols]
+    wanted = features or list(dict.fromkeys(c for n in lookbacks(columns) or [DEFAULT_LOOKBACK] for c in model_features(n)))
+    return [c for c in wanted if c in cols]

@@ -47,14 +47,16 @@ _LOCAL_DIRS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when the session has
-    none (tests, laptop runs — never a configured cluster) a local folder is
-    created once per application and registered with ``setCheckpointDir``
+    Reads ``spark.checkpoint.dir`` from the session.  A folder set by
+    ``setCheckpointDir`` counts too.  A local master without either (tests,
+    laptop runs) gets a local folder, created once per application and registered
     (``spark.checkpoint.dir`` itself cannot be changed at runtime).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = sc.applicationId
         if app not in _LOCAL_DIRS:
             _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="monthpick-ckpt-")

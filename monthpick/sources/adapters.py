@@ -107,13 +107,3 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
         sim_monthly=sim_monthly_view(lineitem),
         sim_daily=sim_daily_view(lineitem),
     )
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> RawSources:
-    """Also expose the domain tables to ``spark.sql`` under their names."""
-    src = driver_sources(spark, sf_dir)
-    src.prices.createOrReplaceTempView("prices")
-    src.costs.createOrReplaceTempView("costs")
-    src.sim_monthly.createOrReplaceTempView("sim_monthly")
-    src.sim_daily.createOrReplaceTempView("sim_daily")
-    return src

@@ -10,6 +10,7 @@ no hour of 31 December is lost.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +42,20 @@ def _ts_range(df: DataFrame, start: dt.datetime | None, end: dt.datetime | None)
     return df
 
 
-def year_bounds(years) -> tuple[dt.datetime, dt.datetime] | None:
-    """Half-open [first year, last year + 1) bound of a year list (None = all)."""
-    if not years:
-        return None
-    ys = sorted(int(y) for y in years)
-    return dt.datetime(ys[0], 1, 1), dt.datetime(ys[-1] + 1, 1, 1)
+def year_ranges(years) -> list[tuple[dt.datetime, dt.datetime]]:
+    """Half-open ranges that cover exactly the named years, runs of years merged."""
+    out: list[list[int]] = []
+    for y in sorted({int(y) for y in years or []}):
+        if out and out[-1][1] == y:
+            out[-1][1] = y + 1
+        else:
+            out.append([y, y + 1])
+    return [(dt.datetime(a, 1, 1), dt.datetime(b, 1, 1)) for a, b in out]
+
+
+def _in_years(df: DataFrame, years) -> DataFrame:
+    ranges = [(F.col("DATETIME") >= ntz_literal(a)) & (F.col("DATETIME") < ntz_literal(b)) for a, b in year_ranges(years)]
+    return df.where(reduce(lambda x, y: x | y, ranges)) if ranges else df
 
 
 def month_bounds(first: str | int | None, last: str | int | None):
@@ -107,10 +116,7 @@ def load_sim(
     """One scan of a simulation table (both scenarios files read once)."""
     cols = SIM_MONTHLY_COLUMNS if price_col == "PSM" else SIM_DAILY_COLUMNS
     df = apply_filters(raw.select(*cols), filters)
-    yb = year_bounds(years)
-    if yb is not None:
-        df = _ts_range(df, *yb)
-    df = _ts_range(df, start, end)
+    df = _ts_range(_in_years(df, years), start, end)
     measures = [*SIM_SIGNALS, price_col]
     return df.select(
         "SCENARIOID",  # kept in its source type: a cheaper group key than a string

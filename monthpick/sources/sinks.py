@@ -7,10 +7,10 @@ partitions); nothing is gathered on the driver.
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +53,15 @@ def read_opportunities_csv(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------ model bundles
 
 
-def save_bundle(model: PipelineModel, path: str, threshold: float, feat_cols: list[str], model_type: str) -> None:
+def save_bundle(
+    model: PipelineModel, path: str, threshold: float, feat_cols: list[str], model_type: str, last_train_month: str | None = None
+) -> None:
     """MLlib model directory + a one-row metadata Parquet (no pickle)."""
     model.write().overwrite().save(os.path.join(path, "model"))
     spark = SparkSession.getActiveSession()
     meta = spark.createDataFrame(
-        [(float(threshold), json.dumps(list(feat_cols)), model_type)],
-        "threshold double, feat_cols string, model_type string",
+        [(float(threshold), json.dumps(list(feat_cols)), model_type, last_train_month)],
+        "threshold double, feat_cols string, model_type string, last_train_month string",
     )
     meta.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "meta"))
 
@@ -71,6 +73,7 @@ def load_bundle(spark: SparkSession, path: str) -> dict:
         "threshold": float(meta["threshold"]),
         "feat_cols": json.loads(meta["feat_cols"]),
         "model_type": meta["model_type"],
+        "last_train_month": meta["last_train_month"] if "last_train_month" in meta else None,
     }
 
 
@@ -85,7 +88,7 @@ def read_year_files(spark: SparkSession, folder: str, years=None, strict: bool =
     are decoded).  No match gives an empty result rather than every file;
     ``strict=True`` raises instead (listing only, no data is read).
     """
-    if strict and years and not year_files(folder, years):
+    if strict and years and not year_files(spark, folder, years):
         raise FileNotFoundError(f"no per-year file for {sorted(years)} in {folder}")
     df = spark.read.parquet(os.path.join(folder, "*.parquet"))
     # first stand-alone 4-digit group after the folder: the dataset (file or
@@ -98,33 +101,52 @@ def read_year_files(spark: SparkSession, folder: str, years=None, strict: bool =
     return df.drop("__year")
 
 
-def year_files(folder: str, years=None) -> list[str]:
-    """Listing helper: per-year files of a folder (first 4-digit group of the name)."""
-    files = sorted(glob.glob(os.path.join(folder, "*.parquet")))
-    if years is None:
-        return files
-    ys = {str(int(y)) for y in years}
+def _datasets(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the ``*.parquet`` files and folders below ``folder``, of any file system Spark reads.
+
+    A folder with that name is one dataset: what lies inside is not listed.  Names only; no data is read.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, open_ = [], [root]
+    while open_:
+        for status in fs.listStatus(open_.pop()):
+            path = status.getPath()
+            if path.getName().endswith(".parquet"):
+                out.append(path.toString())
+            elif status.isDirectory() and not path.getName().startswith(("_", ".")):
+                open_.append(path)
+    return sorted(out)
+
+
+def year_files(spark: SparkSession, folder: str, years=None) -> list[str]:
+    """Listing helper: per-year datasets of a folder (first 4-digit group of the name)."""
+    ys = None if years is None else {str(int(y)) for y in years}
     out = []
-    for f in files:
-        m = re.search(r"(?<![0-9])([0-9]{4})(?![0-9])", os.path.basename(f))
-        if m and m.group(1) in ys:
+    for f in _datasets(spark, folder):
+        m = re.search(r"(?<![0-9])([0-9]{4})(?![0-9])", f.rsplit("/", 1)[-1])
+        if ys is None or (m and m.group(1) in ys):
             out.append(f)
     return out
 
 
-def bulk_convert(spark: SparkSession, input_folder: str, output_folder: str) -> list[str]:
-    """Every ``**/*.parquet`` below ``input_folder`` -> a CSV directory (header,
+def bulk_convert(spark: SparkSession, input_folder: str, output_folder: str, parallelism: int = 4) -> list[str]:
+    """Every Parquet dataset below ``input_folder`` -> a CSV directory (header,
     comma) at the same relative path under ``output_folder``.  Keeping the
     relative path avoids two inputs with the same base name overwriting each
-    other.  Each conversion is a distributed read + write."""
-    outputs = []
-    pattern = os.path.join(input_folder, "**", "*.parquet")
-    found = sorted(glob.glob(pattern, recursive=True))
-    # a directory named *.parquet is one dataset: skip the part files inside it
-    datasets = [f for f in found if not any(f.startswith(d + os.sep) for d in found if d != f)]
-    for f in datasets:
-        rel = os.path.splitext(os.path.relpath(f, input_folder))[0]
-        out = os.path.join(output_folder, rel + ".csv")
-        spark.read.parquet(f).write.mode("overwrite").option("header", True).csv(out)
-        outputs.append(out)
-    return outputs
+    other.  Each conversion is a distributed read + write, some at a time; a
+    folder without any dataset raises."""
+    found = _datasets(spark, input_folder)
+    if not found:
+        raise FileNotFoundError(f"no Parquet dataset below {input_folder}")
+    base = spark._jvm.org.apache.hadoop.fs.Path(input_folder)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+
+    def convert(path: str) -> str:
+        out = os.path.join(output_folder, path.removeprefix(base).removesuffix(".parquet") + ".csv")
+        spark.read.parquet(path).write.mode("overwrite").option("header", True).csv(out)
+        return out
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(convert, found))

@@ -95,7 +95,7 @@ def test_smote_count_and_bounds(spark, separable):
     data = prepare(separable, feats)
     n = data.count()
     n_pos = data.where(F.col("label") == 1).count()
-    out = smote(data, feats, ["EID", "PEAKID", "TARGET_MONTH"], n, n_pos)
+    out, _, _ = smote(data, feats, ["EID", "PEAKID", "TARGET_MONTH"], n, n_pos)
     assert out.count() == 2 * (n - n_pos)
     assert out.where(F.col("label") == 1).count() == n - n_pos
     lo = data.where(F.col("label") == 1).agg(F.min("f1"), F.max("f1"), F.min("f2"), F.max("f2")).first()
@@ -197,7 +197,7 @@ def test_rerun_selection_from_bundle(spark, monthly_ds):
     res = walk_forward(monthly_ds, "logistic", min_train_months=3, max_iter=20)
     path = scratch_path(spark, "bundle-rerun")
     save_result_bundle(res, path)
-    sel = rerun_selection(spark, path, monthly_ds.drop("sm_ACTIVATIONLEVEL_mean"), 2, res.last_train_month)
+    sel = rerun_selection(spark, path, monthly_ds.drop("sm_ACTIVATIONLEVEL_mean"), 2)
     months = {r["TARGET_MONTH"]: r["in_sample"] for r in sel.select("TARGET_MONTH", "in_sample").distinct().collect()}
     assert months == {"2022-03": True, "2022-04": True, "2022-05": False}
 
@@ -215,3 +215,60 @@ def test_year_files_strict(spark):
     with pytest.raises(FileNotFoundError):
         read_year_files(spark, base, [1999], strict=True)
     assert read_year_files(spark, base, [2022], strict=True).count() == 1
+
+
+def test_year_files_and_convert_read_names_of_any_file_system(spark, tmp_path):
+    from monthpick.sources.sinks import bulk_convert
+
+    spark.range(3).write.parquet(f"file://{tmp_path}/in/a/x_2020.parquet")
+    spark.range(2).write.parquet(f"file://{tmp_path}/in/y.parquet")
+    outs = bulk_convert(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    assert sorted(o.rsplit("/out/", 1)[1] for o in outs) == ["a/x_2020.csv", "y.csv"]
+    assert spark.read.option("header", True).csv(outs).count() == 5
+    spark.range(1).write.json(f"{tmp_path}/none")
+    with pytest.raises(FileNotFoundError):
+        bulk_convert(spark, f"{tmp_path}/none", f"{tmp_path}/out2")
+
+
+def test_bounded_run_prunes_the_price_scan(spark):
+    import os
+
+    from monthpick.plans.pipelines import load_for_targets
+    from monthpick.sources.adapters import driver_sources
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("driver test data absent")
+    d = load_for_targets(driver_sources(spark, sf), "1996-03", "1996-06", stage="none")
+    plan = d.prices._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "1996-06-01" in plan
+    assert d.hist.agg(F.max("MONTH")).first()[0] <= 199605
+
+
+def test_history_queries_do_not_read_the_daily_sims(spark):
+    import os
+
+    from monthpick.plans.context import inputs
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("driver test data absent")
+    i = inputs(spark, sf)
+    assert i.hist.count() > 0 and set(i._staged) == {"hist"}
+
+
+def test_invalid_fits_have_a_status_and_other_failures_end_the_comparison(spark, monthly_ds, monkeypatch):
+    from monthpick.plans import training
+
+    def broken(train, feat_cols, model_type, *a, **k):
+        raise ValueError("bad parameter") if model_type == "lightgbm" else RuntimeError("lost executor")
+
+    real = training.fit_fold
+    hist = spark.createDataFrame([], "EID string, MONTH int, PEAKID int, PR double, C double, PROFIT double, IS_PROFITABLE boolean")
+    monkeypatch.setattr(training, "fit_fold", lambda t, f, m, *a, **k: broken(t, f, m) if m == "lightgbm" else real(t, f, m, *a, **k))
+    long, rollup = training.compare_models(monthly_ds, hist, ("logistic", "lightgbm"), min_train_months=3)
+    status = {(r.model, r.status.split(":")[0]) for r in long.collect()}
+    assert status == {("logistic", "fitted"), ("lightgbm", "not fitted")}
+    monkeypatch.setattr(training, "fit_fold", broken)
+    with pytest.raises(RuntimeError):
+        training.compare_models(monthly_ds, hist, ("logistic",), min_train_months=3)

@@ -261,9 +261,9 @@ def test_smote_tiny_minority(spark):
 
     rows = [("E%d" % i, 0, "2022-01", float(i), float(-i), 1.0 if i < 2 else 0.0) for i in range(8)]
     df = spark.createDataFrame(rows, "EID string, PEAKID int, TARGET_MONTH string, f1 double, f2 double, label double")
-    out = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 8, 2)  # k = min(5, 2 - 1) = 1
+    out, _, _ = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 8, 2)  # k = min(5, 2 - 1) = 1
     assert out.count() == 12 and out.where("label = 1").count() == 6
-    one = smote(df.where("EID != 'E1'"), ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 7, 1)
+    one, _, _ = smote(df.where("EID != 'E1'"), ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 7, 1)
     assert one.count() == 7  # a single positive has no neighbour: no synthetic rows
 
 
@@ -274,21 +274,130 @@ def test_smote_many_identical_minority_rows(spark):
     rows += [("P%d" % i, 0, "2022-01", 5.0 + i, 1.0, 1.0) for i in range(3)]
     rows += [("N%d" % i, 0, "2022-01", float(i), float(i), 0.0) for i in range(100)]
     df = spark.createDataFrame(rows, "EID string, PEAKID int, TARGET_MONTH string, f1 double, f2 double, label double")
-    out = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 143, 43)
+    out, _, _ = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 143, 43)
     syn = out.where("label = 1")
     assert out.count() == 200 and syn.count() == 100
     # copies of the repeated vector have their copies as neighbours: their synthetics stay at (0, 0)
     assert syn.where("f1 = 0.0 AND f2 = 0.0").count() >= 40 + 40
 
 
-def test_smote_candidate_pairs_grow_linearly(spark):
-    import random
+def _vectors(kind: str, n: int, d: int):
+    import numpy as np
 
-    from monthpick.operators.smote import candidate_pairs
+    rng = np.random.default_rng(n + d)
+    x = rng.normal(size=(n, d))
+    if kind == "sparse":
+        x = np.where(rng.random((n, d)) < 0.08, x, 0.0)
+        x = np.unique(x, axis=0)
+    if kind == "core":
+        x[: n // 4] = 1 + x[: n // 4] * 1e-4
+        x[-5:] *= 1e6
+    return x
 
-    rng = random.Random(5)
-    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(570)]
-    rows += [(570 + i, rng.gauss(0, 1) * 1e4, rng.gauss(0, 1) * 1e4) for i in range(30)]  # outliers
-    d = spark.createDataFrame(rows, "pid long, f1 double, f2 double")
-    n_pairs = candidate_pairs(d, ["f1", "f2"]).count()
-    assert n_pairs < 600 * 600 / 4  # far from all pairs, even with a concentrated core
+
+@pytest.mark.parametrize("kind,n,d", [("normal", 500, 6), ("normal", 2000, 22), ("normal", 8000, 6), ("normal", 8000, 22), ("sparse", 2000, 6), ("core", 4000, 6)])
+def test_smote_neighbours_are_the_nearest(spark, kind, n, d):
+    """At least nine tenths of the true five nearest, at every size and shape; no vector is left alone."""
+    import numpy as np
+
+    from monthpick.operators.smote import nearest
+
+    x = _vectors(kind, n, d)
+    names = [f"f{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(x.tolist())], ["pid", *names])
+    got = {}
+    for r in nearest(df, names, 5).collect():
+        got.setdefault(r.pid, set()).add(r.npid)
+    assert len(got) == len(x) and all(len(v) == 5 for v in got.values())
+    asked = np.random.default_rng(0).choice(len(x), 200, replace=False)
+    hits = 0
+    for i in asked:
+        dist = ((x - x[i]) ** 2).sum(1)
+        dist[i] = np.inf
+        limit = np.partition(dist, 4)[4]
+        hits += sum(dist[j] <= limit for j in got[i])
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_smote_cells_do_not_grow(spark):
+    """Vectors compared with each vector: bounded by the cell, not by the number of rows."""
+    import monthpick.operators.smote as sm
+
+    for n in (3000, 12_000):
+        df = spark.range(n).select(F.col("id").alias("pid"), F.lit(0).alias("tree"), F.lit(0).cast("bigint").alias("cell"), F.array(F.randn(1), F.randn(2)).alias("x"))
+        level = 0
+        while df.groupBy("cell").count().agg(F.max("count")).first()[0] > sm.CELL:
+            df = sm.materialize(sm._cut(df, level, 1))
+            level += 1
+        sizes = [r[0] for r in df.groupBy("cell").count().select("count").collect()]
+        assert max(sizes) <= sm.CELL and sum(sizes) == n
+
+
+def test_smote_oversamples_whichever_class_is_smaller(spark):
+    from monthpick.operators.smote import smote
+
+    rows = [(f"E{i}", i % 2, "2020-01", float(i), float(i % 7), 0.0 if i < 8 else 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, ["EID", "PEAKID", "TARGET_MONTH", "f1", "f2", "label"])
+    out, n, pos = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 40, 32)
+    assert (n, pos) == (64, 32) and out.count() == 64 and out.where("label = 0").count() == 32
+    same, n, pos = smote(df, ["f1", "f2"], ["EID", "PEAKID", "TARGET_MONTH"], 40, 32, only_positive=True)
+    assert (n, pos) == (40, 32) and same.count() == 40
+
+
+def test_nan_scores_fail_and_nan_features_are_zero(spark):
+    from monthpick.operators.dataset import fill_missing_features
+    from monthpick.operators.selection import topk_with_floor
+
+    nan = float("nan")
+    df = spark.createDataFrame([("m", f"E{i:02d}", 0, nan if i == 0 else i / 100) for i in range(30)], ["TARGET_MONTH", "EID", "PEAKID", "proba"])
+    picked = topk_with_floor(df, "proba", 0.05, 100, 10).collect()
+    assert len(picked) == 25 and all(r.EID != "E00" for r in picked)
+    got = fill_missing_features(spark.createDataFrame([(nan, None)], "a double, b double"), ["a", "b", "c"]).first()
+    assert tuple(got) == (0.0, 0.0, 0.0)
+
+
+def test_month_filters_meet_text_and_int_months(spark):
+    from monthpick.sources.loaders import load_costs, year_ranges
+
+    raw = spark.createDataFrame([("E1", f"2020-{m:02d}", 0, float(m)) for m in range(1, 7)], "EID string, MONTH string, PEAKID int, C double")
+    assert sorted(r.MONTH for r in load_costs(raw, filters=[("MONTH", ">=", "2020-03"), ("MONTH", "in", ["2020-02", "2020-05"])]).collect()) == [202005]
+    ints = raw.withColumn("MONTH", F.regexp_replace("MONTH", "-", "").cast("int"))
+    assert load_costs(ints, filters=[("MONTH", "<", "2020-03")]).count() == 2
+    assert [(a.year, b.year) for a, b in year_ranges([2022, 2019, 2020])] == [(2019, 2021), (2022, 2023)]
+
+
+def test_snap_keeps_large_values(spark):
+    from monthpick.functions.columns import snap
+
+    df = spark.createDataFrame([(5.0e15,), (1.5,), (float("inf"),), (None,)], "x double")
+    assert [r[0] for r in df.select(snap("x", 6)).collect()] == [5.0e15, 1.5, float("inf"), None]
+
+
+def test_crowded_scores_spread_over_buckets(spark):
+    """Scores of a rare class crowd near 0; no bucket of the running sums holds more than a few percent of them."""
+    from monthpick.operators.metrics import BUCKETS, ranking_metrics
+
+    n = 40_000
+    df = spark.range(n).select(F.lit("f").alias("fold"), (1 / (1 + F.exp(12 + F.randn(3)))).alias("proba"), (F.rand(4) < 0.1).cast("int").alias("label"))
+    at = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    df = df.cache()
+    cuts = df.agg(F.percentile_approx("proba", at, 20 * BUCKETS).alias("c")).first()[0]
+    sizes = [r["count"] for r in df.withColumn("b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda x: x <= F.col("proba")))).groupBy("b").count().collect()]
+    assert max(sizes) <= 0.02 * n
+    assert abs(ranking_metrics(df).first()["roc_auc"] - 0.5) < 0.02
+
+
+def test_lookback_names_the_model_features():
+    from monthpick.schema import available_features, matrix_feature_names
+
+    got = available_features([*matrix_feature_names(3), "PEAKID"])
+    assert len(got) == 22 and "hist_profit_rate_3m" in got and not any(c.endswith("_6m") for c in got)
+
+
+def test_float32_dataset(spark, tmp_path):
+    from monthpick.sources.sinks import read_dataset, write_dataset
+
+    df = spark.createDataFrame([("2020-01", 1.1, 3)], "TARGET_MONTH string, a double, n int")
+    write_dataset(df, str(tmp_path / "ds"), float32=True)
+    got = read_dataset(spark, str(tmp_path / "ds"))
+    assert dict(got.dtypes)["a"] == "float" and got.first()["n"] == 3
