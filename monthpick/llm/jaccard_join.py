@@ -11,10 +11,13 @@ for each shingle: sets differ by at least the bits in which the parities of thei
 bitmaps differ, which rules out most of what shares only a passage, exactly.
 
 Equal sets are one class from the start (their postings are the same rows).  In an index
-list with many sets only the pairs with the list's first set are candidates at once;
-what that leaves open - sets of the list that are not yet in one component - is
-compared in a second round, so a large group of near copies costs a row for each copy
-rather than for each pair, and no link between two components is lost.
+list with many sets only pairs with the list's first set are candidates at once, and of
+those one for each set; what that leaves open - sets of a list that are not yet in one
+component - is compared in a second round, so a large group of near copies costs a row
+for each copy rather than for each pair, and no link between two components is lost.
+
+Texts are read again for the comparison; a Bloom filter of bounded size keeps most
+texts without a candidate out of that shuffle (full, it would only let all of them in).
 
 Edge cases: null and empty texts have no set, n_shingles 0 and themselves as component;
 texts of fewer than five words are one shingle; very long texts are taken whole; an
@@ -45,6 +48,8 @@ SKETCH_BITS, SLICES = 20, 64
 LIST = 16
 #: Documents for each bucket of the index, and buckets at least.
 BUCKET_DOCS, BUCKETS = 1_000, 64
+#: Bits of the Bloom filter at most (8 MB).
+BLOOM_BITS = 1 << 26
 _POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("at", "<u4"), ("n", "<u4")])
 
 
@@ -217,7 +222,7 @@ def _unique_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """(a, b) pairs of set codes; (a, token, at, n) with b null: postings of long lists, for the second round."""
+    """(a, b) pairs of set codes, with at = 1 where a is the first set of a long list; (a, token, at, n) with b null: postings of long lists."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _unpack(table["blob"].to_pylist())
@@ -232,8 +237,8 @@ def _candidates(postings: DataFrame) -> DataFrame:
         parts = []
         at = np.flatnonzero(long_list)
         leader, member = rows[first[at]], rows[at]
-        fine = _passes(leader, member)
-        parts.append((leader[fine], member[fine]))
+        fine = _passes(leader, member) & (leader["set"] != member["set"])
+        star = np.unique(np.stack([leader["set"][fine], member["set"][fine]], 1), axis=0)
         short = rows[~long_list]
         for d in range(1, LIST):
             x, y = short[:-d], short[d:]
@@ -244,8 +249,10 @@ def _candidates(postings: DataFrame) -> DataFrame:
             fine = _passes(x, y)
             parts.append((x[fine], y[fine]))
         pairs, left = _unique_pairs(parts), rows[long_list]
+        kind = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), np.ones(len(star), np.int64)]))
+        pairs = np.concatenate([pairs, star])
         blank = pa.nulls(len(pairs), pa.int64())
-        out = pa.table({"a": _signed(np.ascontiguousarray(pairs[:, 0])), "b": _signed(np.ascontiguousarray(pairs[:, 1])), "token": blank, "at": blank, "n": blank})
+        out = pa.table({"a": _signed(np.ascontiguousarray(pairs[:, 0])), "b": _signed(np.ascontiguousarray(pairs[:, 1])), "token": blank, "at": kind, "n": blank})
         open_lists = pa.table({"a": _signed(left["set"].copy()), "b": pa.nulls(len(left), pa.int64()), "token": _signed(left["token"].copy()), "at": left["at"].astype(np.int64), "n": left["n"].astype(np.int64)})
         return pa.concat_tables([out, open_lists])
 
@@ -253,14 +260,14 @@ def _candidates(postings: DataFrame) -> DataFrame:
 
 
 def _open_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets in one long list that are in different components.  The list's first set is done."""
+    """Pairs (a, b) of sets in one long list that are in different components."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = np.empty(table.num_rows, _POSTING)
         rows["set"], rows["at"], rows["n"] = table["a"].to_numpy().view(np.uint64), table["at"].to_numpy(), table["n"].to_numpy()
         rows["token"] = table["component"].to_numpy().view(np.uint64)
         parts = []
-        rows = rows[np.argsort(rows["set"])][1:]
+        rows = rows[np.argsort(rows["set"])]
         labels, sizes = np.unique(rows["token"], return_counts=True)
         most = labels[sizes.argmax()] if len(labels) else 0
         for k in np.flatnonzero(rows["token"] != most):  # each set outside the largest component meets all other sets
@@ -288,6 +295,51 @@ def _near_by_bits(pairs: DataFrame) -> DataFrame:
     return pairs.select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids of a column ``id``: 16 for each up to BLOOM_BITS, two set for each."""
+    size = 1 << 16
+    n = ids.count()
+    while size < min(16 * n, BLOOM_BITS):
+        size *= 2
+    slices = 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[_bloom_places(batch.column(0).to_numpy(), size)] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([zstandard.compress(np.packbits(x).tobytes()) for x in np.split(bits, slices)], pa.binary())], names=["slice", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(zstandard.decompress(x), np.uint8) for x in table["bits"].to_pylist()])
+        return pa.table({"slice": table["slice"][:1].combine_chunks(), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    got = ids.select("id").mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInArrow(join, "slice int, bits binary").toArrow().to_pydict()
+    out = np.zeros((slices, size // slices // 8), np.uint8)
+    for k, bits in zip(got["slice"], got["bits"]):
+        out[k] = np.frombuffer(bits, np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
+
+
+def _bloom_places(ids: np.ndarray, size: int) -> np.ndarray:
+    x = np.asarray(ids, np.int64).view(np.uint64)
+    return np.concatenate([(mix(x, k) & np.uint64(size - 1)).astype(np.int64) for k in (6, 7)])
+
+
+def _with_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents whose id is in ``ids``; of rows with one id the least text."""
+    shared = Shipped(documents.sparkSession, np.packbits(_bloom(ids)))  # BLOOM_BITS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.load()).astype(bool)
+        for batch in batches:
+            places = _bloom_places(batch.column(0).to_numpy(), len(bits)).reshape(2, -1)
+            yield batch.filter(pa.array(bits[places].all(0)))
+
+    source = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    return source.mapInArrow(run, source.schema).join(ids, "id").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` (ids of ``texts``: id, text) that are similar enough."""
 
@@ -323,10 +375,11 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id").groupBy("id").agg(F.min("text").alias("text"))
-        return scratch.stage(_verified(pairs, texts))
+        ids = scratch.stage(ids)
+        return scratch.stage(_verified(pairs, _with_ids(documents, ids)))
 
-    pairs = by_head(found.where("b IS NOT NULL"))
+    star = found.where("b IS NOT NULL AND at = 1").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = by_head(found.where("b IS NOT NULL AND at = 0").select("a", "b").unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     links = verified(pairs)
     roots = scratch.stage(components(links, scratch))
     named_heads = heads.select(F.col("code").alias("a"), "id", "bits").join(roots, "id", "left").select("a", "bits", F.coalesce("component", "id").alias("component"))
@@ -349,7 +402,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     ids = F.col("doc_id").cast("bigint")
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     nameless = documents.where("doc_id IS NULL")
-    out = documents.join(kept, ids == F.col("_kept"), "left_semi")
+    # the ids grow with the documents: the same join at every size
+    out = documents.join(kept.hint("merge"), ids == F.col("_kept"), "left_semi")
     if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out.unionByName(nameless)
     return out.dropDuplicates(["doc_id"]).unionByName(nameless)
