@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,9 @@ _SCHEMA = "kind int, bucket int, blob binary"
 #: An anchor's code needs no more than 40 bits: a chance match only keeps a suffix for the exact step.
 _POST = np.dtype([("code", "<u4"), ("rest", "u1"), ("doc", "<i8"), ("at", "<u4"), ("many", "u1")])
 _PLACE = np.dtype([("doc", "<i8"), ("at", "<u4")])
-_SUFFIX = np.dtype([("k0", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("k3", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+#: A suffix down to the wanted depth: 13 symbols of 8 bits (8 in k0, 5 in k1), then 24 + 32 bits of the
+#: window's own code as its last symbols, so that equal keys are equal words.
+_SUFFIX = np.dtype([("k0", "<u8"), ("k1", "<u8"), ("k2", "<u4"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -89,6 +92,15 @@ def _unpack_texts(blob: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def _by_document(places: np.ndarray) -> dict[int, np.ndarray]:
+    """Word positions by document."""
+    docs = np.ascontiguousarray(places["doc"])
+    order = np.argsort(docs, kind="stable")
+    docs, at = docs[order], places["at"][order].astype(np.int64)
+    starts = _runs(docs)
+    return dict(zip(docs[starts].tolist(), np.split(at, starts[1:])))
+
+
 def _doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(np.asarray(ids, np.int64).view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
 
@@ -125,8 +137,9 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 def _shared_places(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings in order of their code, whether each is shared by documents, and the runs' starts."""
-    posts = posts[np.lexsort((posts["at"], posts["doc"], posts["rest"], posts["code"]))]
-    starts = _runs(posts["code"], posts["rest"])
+    code = posts["code"].astype(np.uint64) << np.uint64(8) | posts["rest"]
+    order = np.argsort(code)
+    posts, starts = posts[order], _runs(code[order])
     if not len(posts):
         return posts, np.empty(0, bool), starts
     sizes = np.diff(np.append(starts, len(posts)))
@@ -252,40 +265,36 @@ def _suffixes(bucketed: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
         counts, memo, parts, groups = shared.load(), word_memo(), [], []
         kinds, data = np.array(table["kind"].to_pylist()), table["blob"].to_pylist()
         places = _unpack([data[i] for i in np.flatnonzero(kinds == ANCHOR)], _PLACE)
-        places = places[np.lexsort((places["at"], places["doc"]))]
+        of = _by_document(places)
         for k in np.flatnonzero(kinds == TEXT):
             for doc, text in _unpack_texts(data[k]):
-                lo, hi = np.searchsorted(places["doc"], doc), np.searchsorted(places["doc"], doc, side="right")
-                if lo == hi:
+                anchors = of.get(doc)
+                if anchors is None:
                     continue
                 codes, _ = word_codes([text], memo)
-                starts = np.flatnonzero(np.isin(_minimizers(codes), places["at"][lo:hi]))
+                starts = np.flatnonzero(np.isin(_minimizers(codes), anchors))
                 if not len(starts):
                     continue
-                symbols = mix(codes, 1) >> np.uint64(48)
+                symbols, window = mix(codes, 1) >> np.uint64(56), gram_codes(codes, WINDOW)[starts]
                 rows = np.empty(len(starts), _SUFFIX)
-                for f in range(3):
-                    key = np.zeros(len(starts), np.uint64)
-                    for j in range(4):
-                        key = key << np.uint64(16) | symbols[starts + 4 * f + j]
-                    rows[f"k{f}"] = key
-                # the last symbol, then a check of the whole window, so that equal keys are equal words
-                rows["k3"] = symbols[starts + 12] << np.uint64(48) | gram_codes(codes, WINDOW)[starts] >> np.uint64(32)
+                first, rest = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+                for j in range(8):
+                    first = first << np.uint64(8) | symbols[starts + j]
+                for j in range(8, WINDOW):
+                    rest = rest << np.uint64(8) | symbols[starts + j]
+                rows["k0"], rows["k1"], rows["k2"] = first, rest << np.uint64(24) | window >> np.uint64(40), window & np.uint64(0xFFFFFFFF)
                 rows["doc"], rows["at"] = doc, starts
                 parts.append(rows)
                 groups.append(_group_code(codes, starts, counts))
         if not parts:
             return pa.Table.from_batches([_batch([])])
         rows, group = np.concatenate(parts), np.concatenate(groups)
-        order = np.lexsort((rows["at"], rows["doc"], rows["k3"], rows["k2"], rows["k1"], rows["k0"]))
+        order = np.lexsort((rows["doc"], rows["k2"], rows["k1"], rows["k0"]))
         rows, group = rows[order], group[order]
-        starts = _runs(*[rows[f"k{f}"] for f in range(4)])
+        starts = _runs(*[rows[f"k{f}"] for f in range(3)])
         sizes = np.diff(np.append(starts, len(rows)))
         local = rows["doc"] > np.repeat(rows["doc"][starts], sizes)  # a smaller document of this bucket has the window
         removed = _places(rows[local])
-        # of the rest, the smallest document's first suffix stands for all of its own
-        first = np.zeros(len(rows), bool)
-        first[starts] = True
         mine = ~local
         return pa.Table.from_batches([_batch(_by_bucket(REMOVED, removed, _doc_bucket(removed["doc"], buckets)) + _by_bucket(POST, rows[mine], (group[mine] % np.uint64(buckets)).astype(np.int64)))])
 
@@ -293,16 +302,17 @@ def _suffixes(bucketed: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
 
 
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
-    """Words that each suffix of a sorted group shares with the one before it; WINDOW where all keys are equal."""
+    """Symbols that each suffix of a sorted group shares with the one before it; WINDOW where the whole keys are equal."""
     out = np.zeros(len(rows), np.int64)
-    open_ = np.ones(max(len(rows) - 1, 0), bool)
-    for f, width in zip(range(4), (4, 4, 4, 1)):
-        different = rows[f"k{f}"][1:] ^ rows[f"k{f}"][:-1]
-        for j in range(width):
-            open_ &= (different >> np.uint64(48 - 16 * j)) & np.uint64(0xFFFF) == 0
-            if f == 3:
-                open_ &= different == 0
-            out[1:] += open_
+    if len(rows) < 2:
+        return out
+    open_ = np.ones(len(rows) - 1, bool)
+    first, rest = (rows[f][1:] ^ rows[f][:-1] for f in ("k0", "k1"))
+    for different, shift in [(first, 56 - 8 * j) for j in range(8)] + [(rest, 56 - 8 * j) for j in range(WINDOW - 8)]:
+        open_ &= (different >> np.uint64(shift)) & np.uint64(255) == 0
+        out[1:] += open_
+    # the check: below it are only leaves
+    out[1:][open_ & ((rest != 0) | (rows["k2"][1:] != rows["k2"][:-1]))] -= 1
     return out
 
 
@@ -312,7 +322,7 @@ def _repeats(suffixes: DataFrame, buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         known = table.filter(pa.compute.equal(table["kind"], REMOVED))
         rows = _unpack(table.filter(pa.compute.equal(table["kind"], POST))["blob"].to_pylist(), _SUFFIX)
-        rows = rows[np.lexsort((rows["doc"], rows["k3"], rows["k2"], rows["k1"], rows["k0"]))]
+        rows = rows[np.lexsort((rows["doc"], rows["k2"], rows["k1"], rows["k0"]))]
         starts = np.flatnonzero(common_prefixes(rows) < WINDOW)
         sizes = np.diff(np.append(starts, len(rows)))
         removed = _places(rows[rows["doc"] > np.repeat(rows["doc"][starts], sizes)])
@@ -327,20 +337,16 @@ def _cut(bucketed: DataFrame, with_text: bool) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         kinds, data = np.array(table["kind"].to_pylist()), table["blob"].to_pylist()
         places = _unpack([data[i] for i in np.flatnonzero(kinds == REMOVED)], _PLACE)
-        places = places[np.argsort(places["doc"], kind="stable")]
+        of = _by_document(places)
         ids, n_words, n_removed, digests, kept_texts = [], [], [], [], []
         for k in np.flatnonzero(kinds == TEXT):
             for doc, text in _unpack_texts(data[k]):
                 words = text.split()
-                lo, hi = np.searchsorted(places["doc"], doc), np.searchsorted(places["doc"], doc, side="right")
-                if lo < hi:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = places["at"][lo:hi].astype(np.int64)
+                at = of.get(doc)
+                if at is not None:
                     at = at[at + WINDOW <= len(words)]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    kept = [words[i] for i in np.flatnonzero(keep)]
+                    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
+                    kept = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
                 else:
                     kept = words
                 joined = b" ".join(kept)

@@ -66,7 +66,8 @@ def test_any_group_bound_gives_the_same_result(spark, docs, monkeypatch, limit):
 
 
 def test_common_prefixes_are_counted_in_words():
-    rows = np.zeros(4, substring_dedup._SUFFIX)
-    rows["k0"] = [1 << 48 | 2 << 32, 1 << 48 | 2 << 32, 1 << 48 | 3 << 32, 1 << 48 | 3 << 32]
-    rows["k3"] = [5, 6, 6, 6]
-    assert substring_dedup.common_prefixes(rows).tolist() == [0, 12, 1, 13]
+    rows = np.zeros(5, substring_dedup._SUFFIX)
+    rows["k0"] = [1 << 56 | 2 << 48, 1 << 56 | 2 << 48, 1 << 56 | 3 << 48, 1 << 56 | 3 << 48, 1 << 56 | 3 << 48]
+    rows["k1"] = [5 << 24, 6 << 24, 6 << 24, 6 << 24, 6 << 24]
+    rows["k2"] = [0, 0, 0, 0, 9]
+    assert substring_dedup.common_prefixes(rows).tolist() == [0, 12, 1, 13, 12]
