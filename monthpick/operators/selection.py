@@ -59,8 +59,8 @@ def minmax_normalize(df: DataFrame, cols: list[str], group: str = "TARGET_MONTH"
     bounds = df.groupBy(group).agg(
         *[F.min(c).alias(f"__lo_{c}") for c in cols], *[F.max(c).alias(f"__hi_{c}") for c in cols]
     )
-    # one row per group; the caller names the group, so the optimizer sizes this side
-    j = df.join(bounds, group)
+    # one row per target month: bounded by the calendar; any other group is the optimizer's to size
+    j = df.join(F.broadcast(bounds) if group == "TARGET_MONTH" else bounds, group)
     out = [F.col(c) for c in df.columns if c not in cols]
     for c in cols:
         lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")

@@ -88,8 +88,8 @@ def _side_by_side(work, items: list, parallelism: int) -> list:
 def select_per_fold(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Model selection for every fold at its own threshold (>= 10 above it ->
     first 100 of them, else top 10)."""
-    # thresholds: one row per fold
-    s = scored.join(thresholds, "fold").withColumnRenamed("fold", "TARGET_MONTH")
+    # thresholds: one row per fold, and a fold is a month
+    s = scored.join(F.broadcast(thresholds), "fold").withColumnRenamed("fold", "TARGET_MONTH")
     picked = topk_with_floor(s, "proba", F.col("threshold"), MAX_K, MIN_K)
     return as_opportunities(picked)
 
@@ -213,8 +213,8 @@ def compare_models(
     scored = spark.read.parquet(*fitted).withColumn("mf", F.concat_ws("|", "model", "fold"))
     rows = evaluation_rows(scored, fold="mf")
     thresholds = rows.select(F.col("label").alias("mf"), "threshold")
-    sel = topk_with_floor(  # thresholds: one row per (model, fold)
-        scored.join(thresholds, "mf"), "proba", F.col("threshold"), MAX_K, MIN_K, group="mf"
+    sel = topk_with_floor(  # thresholds: one row for each model and month
+        scored.join(F.broadcast(thresholds), "mf"), "proba", F.col("threshold"), MAX_K, MIN_K, group="mf"
     ).select("mf", F.col("fold").alias("TARGET_MONTH"), "PEAKID", "EID")
     sel = sel.select("mf", "TARGET_MONTH", peak_type("PEAKID").alias("PEAK_TYPE"), "EID").dropDuplicates()
     profit = _matched_profit_per_group(sel, hist_profit)
