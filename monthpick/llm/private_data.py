@@ -153,7 +153,8 @@ def redact(documents: DataFrame, found: DataFrame) -> DataFrame:
 
     walked = F.aggregate(F.col("_spans"), start, step)
     cleaned = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
-    joined = documents.join(held, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key")), "left")
+    # the spans grow with the documents: the same join at every size
+    joined = documents.join(held.hint("merge"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key")), "left")
     new = F.when(F.col("_spans").isNull(), text).otherwise(cleaned)
     out = joined.withColumn("text", new)
     if "n_chars" in documents.columns:
