@@ -13,13 +13,16 @@ bitmaps differ, which rules out most of what shares only a passage, exactly.
 Equal sets are one class from the start (their postings are the same rows).  In an index
 list with many sets only pairs with the list's first set are candidates at once, and of
 those one for each set; what that leaves open - sets of a list that are not yet in one
-component - is compared in a second round, so a large group of near copies costs a row
-for each copy rather than for each pair, and no link between two components is lost.
+component - is compared in further rounds: two that take a set's most promising partner
+in another component, and a last one that takes all that remain.  So a large group of
+near copies costs rows for each copy rather than for each pair, and no link between two
+components is lost.
 
 Texts are read again for the comparison; a Bloom filter of bounded size keeps most
 texts without a candidate out of that shuffle (full, it would only let all of them in).
 
 Edge cases: null and empty texts have no set, n_shingles 0 and themselves as component;
+rows without a doc_id are compared only by equality of sets;
 texts of fewer than five words are one shingle; very long texts are taken whole; an
 empty table gives no rows; other columns are ignored.
 """
@@ -50,7 +53,8 @@ LIST = 16
 BUCKET_DOCS, BUCKETS = 1_000, 64
 #: Bits of the Bloom filter at most (8 MB).
 BLOOM_BITS = 1 << 26
-_POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("at", "<u4"), ("n", "<u4")])
+#: A shingle's 40 bits (a chance match only makes a candidate more), a document that has the set, place and set size.
+_POSTING = np.dtype([("token", "<u4"), ("rest", "u1"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 
 
 def shingle_sets(texts: list[bytes], memo) -> list[np.ndarray]:
@@ -88,16 +92,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def parity_bits(codes: np.ndarray) -> bytes:
-    """Parity of the shingles on each bit; the size is the power of two from 2 n on, 64 at least."""
+    """Parity of the shingles on each bit; the size is the power of two from n on, 64 at least."""
     size = 64
-    while size < 2 * len(codes):
+    while size < len(codes):
         size *= 2
     counts = np.bincount((mix(codes, 4) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_be_similar(a: bytes, b: bytes, na: int, nb: int) -> bool:
-    """False only if the bitmaps show that the sets differ in too many shingles."""
+def room(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """Shingles that similar sets may differ in, less those that the bitmaps show to differ; negative: not similar."""
     x, y, size_x, size_y = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
     while size_x > size_y:
         size_x //= 2
@@ -105,7 +109,7 @@ def may_be_similar(a: bytes, b: bytes, na: int, nb: int) -> bool:
     while size_y > size_x:
         size_y //= 2
         y = (y >> size_y) ^ (y & ((1 << size_y) - 1))
-    return (x ^ y).bit_count() <= na + nb - 2 * needed_overlap(na, nb)
+    return na + nb - 2 * needed_overlap(na, nb) - (x ^ y).bit_count()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -162,11 +166,11 @@ def _postings(documents: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, memo = shared.load(), word_memo()
         for batch in batches:
-            texts = byte_column(batch, "text")
+            texts, ids = byte_column(batch, "text"), batch.column(0).to_numpy()
             parts, seen = [], set()
             for a, b in blocks([len(t) for t in texts]):
-                for s in shingle_sets(texts[a:b], memo):
-                    if not len(s) or (code := set_code(s)) in seen:
+                for doc, s in zip(ids[a:b].tolist(), shingle_sets(texts[a:b], memo)):
+                    if not len(s) or (code := set_code(s)) in seen:  # one document of a batch stands for equal sets
                         continue
                     seen.add(code)
                     p = prefix_length(len(s))
@@ -174,19 +178,19 @@ def _postings(documents: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
                     first = np.argpartition(rank, p - 1)[:p]
                     first = first[np.argsort(rank[first])]
                     rows = np.empty(p, _POSTING)
-                    rows["token"], rows["set"], rows["at"], rows["n"] = s[first], code, np.arange(p), len(s)
+                    rows["token"], rows["rest"], rows["doc"], rows["at"], rows["n"] = s[first] & np.uint64(0xFFFFFFFF), s[first] >> np.uint64(32) & np.uint64(255), doc, np.arange(p), len(s)
                     parts.append(rows)
             if not parts:
                 continue
             rows = np.concatenate(parts)
-            bucket = (mix(rows["token"], 9) % np.uint64(buckets)).astype(np.int32)
+            bucket = (mix(rows["token"].astype(np.uint64), 9) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             blobs = [_pack(x) for x in np.split(rows, starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    return documents.select("text").mapInArrow(run, "bucket int, blob binary")
+    return documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "bucket int, blob binary")
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -215,71 +219,72 @@ def _passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unique_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    a = np.concatenate([x["set"] for x, _ in parts] or [np.empty(0, np.uint64)])
-    b = np.concatenate([y["set"] for _, y in parts] or [np.empty(0, np.uint64)])
+    a = np.concatenate([x["doc"] for x, _ in parts] or [np.empty(0, np.int64)])
+    b = np.concatenate([y["doc"] for _, y in parts] or [np.empty(0, np.int64)])
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """(a, b) pairs of set codes, with at = 1 where a is the first set of a long list; (a, token, at, n) with b null: postings of long lists."""
+    """(a, b) pairs of documents, with at = 1 where a is the first of a long list; (a, token, at, n) with b null: postings of long lists."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _unpack(table["blob"].to_pylist())
-        rows = rows[np.lexsort((rows["set"], rows["token"]))]
-        again = np.zeros(len(rows), bool)
-        again[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["set"][1:] == rows["set"][:-1])
-        rows = rows[~again]
-        start = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])) if len(rows) else np.zeros(0, np.int64)
+        token = rows["token"].astype(np.int64) << 8 | rows["rest"]
+        order = np.lexsort((rows["doc"], token))
+        rows, token = rows[order], token[order]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(rows) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(rows)))
         long_list = np.repeat(size > LIST, size)
         first = np.repeat(start, size)
         parts = []
         at = np.flatnonzero(long_list)
         leader, member = rows[first[at]], rows[at]
-        fine = _passes(leader, member) & (leader["set"] != member["set"])
-        star = np.unique(np.stack([leader["set"][fine], member["set"][fine]], 1), axis=0)
-        short = rows[~long_list]
+        fine = _passes(leader, member) & (leader["doc"] != member["doc"])
+        star = np.unique(np.stack([leader["doc"][fine], member["doc"][fine]], 1), axis=0)
+        short, short_token = rows[~long_list], token[~long_list]
         for d in range(1, LIST):
-            x, y = short[:-d], short[d:]
-            fine = x["token"] == y["token"]
+            fine = short_token[:-d] == short_token[d:]
             if not fine.any():
                 break
-            x, y = x[fine], y[fine]
+            x, y = short[:-d][fine], short[d:][fine]
             fine = _passes(x, y)
             parts.append((x[fine], y[fine]))
-        pairs, left = _unique_pairs(parts), rows[long_list]
+        pairs = _unique_pairs(parts)
         kind = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), np.ones(len(star), np.int64)]))
         pairs = np.concatenate([pairs, star])
         blank = pa.nulls(len(pairs), pa.int64())
-        out = pa.table({"a": _signed(np.ascontiguousarray(pairs[:, 0])), "b": _signed(np.ascontiguousarray(pairs[:, 1])), "token": blank, "at": kind, "n": blank})
-        open_lists = pa.table({"a": _signed(left["set"].copy()), "b": pa.nulls(len(left), pa.int64()), "token": _signed(left["token"].copy()), "at": left["at"].astype(np.int64), "n": left["n"].astype(np.int64)})
+        out = pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1]), "token": blank, "at": kind, "n": blank})
+        left = rows[long_list]
+        open_lists = pa.table({"a": left["doc"].copy(), "b": pa.nulls(len(left), pa.int64()), "token": token[long_list], "at": left["at"].astype(np.int64), "n": left["n"].astype(np.int64)})
         return pa.concat_tables([out, open_lists])
 
     return postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, token bigint, at bigint, n bigint")
 
 
-def _open_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets in one long list that are in different components."""
+def _open_pairs(lists: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of heads in one long list that are in different components and not ruled out by their bitmaps.
+
+    Every head outside the list's largest component meets all heads of other
+    components; with ``nearest`` only its pair with the most room stays.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = np.empty(table.num_rows, _POSTING)
-        rows["set"], rows["at"], rows["n"] = table["a"].to_numpy().view(np.uint64), table["at"].to_numpy(), table["n"].to_numpy()
-        rows["token"] = table["component"].to_numpy().view(np.uint64)
-        parts = []
-        rows = rows[np.argsort(rows["set"])]
-        labels, sizes = np.unique(rows["token"], return_counts=True)
-        most = labels[sizes.argmax()] if len(labels) else 0
-        for k in np.flatnonzero(rows["token"] != most):  # each set outside the largest component meets all other sets
-            other = rows[rows["token"] != rows["token"][k]]
-            mine = np.repeat(rows[k : k + 1], len(other))
-            fine = _passes(mine, other)
-            parts.append((mine[fine], other[fine]))
-        a, b = (np.concatenate([x[k] for x in parts] or [rows[:0]]) for k in (0, 1))
-        pairs, at = np.unique(np.stack([np.minimum(a["set"], b["set"]), np.maximum(a["set"], b["set"])], 1), axis=0, return_index=True)
-        bits = dict(zip(table["a"].to_numpy().view(np.uint64).tolist(), table["bits"].to_pylist()))
-        near = np.array([may_be_similar(bits[x], bits[y], nx, ny) for (x, y), nx, ny in zip(pairs.tolist(), *(np.where(a["set"][at] == pairs[:, k], a["n"][at], b["n"][at]).tolist() for k in (0, 1)))], bool)
-        return pa.table({"a": _signed(np.ascontiguousarray(pairs[near, 0])), "b": _signed(np.ascontiguousarray(pairs[near, 1]))})
+        rows["doc"], rows["at"], rows["n"] = (table[c].to_numpy() for c in ("id", "at", "n"))
+        component, bits = table["component"].to_numpy(), table["bits"].to_pylist()
+        labels, sizes = np.unique(component, return_counts=True)
+        most = labels[sizes.argmax()]
+        pairs = set()
+        for k in np.flatnonzero(component != most).tolist():
+            other = np.flatnonzero(component != component[k])
+            other = other[_passes(np.repeat(rows[k : k + 1], len(other)), rows[other])]
+            rooms = [(room(bits[k], bits[j], int(rows["n"][k]), int(rows["n"][j])), j) for j in other.tolist()]
+            rooms = [x for x in rooms if x[0] >= 0]
+            for _, j in [max(rooms)] if nearest and rooms else rooms:
+                pairs.add((min(int(rows["doc"][k]), int(rows["doc"][j])), max(int(rows["doc"][k]), int(rows["doc"][j]))))
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return lists.groupBy("token").applyInArrow(run, "a bigint, b bigint")
 
@@ -289,7 +294,7 @@ def _near_by_bits(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [may_be_similar(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            keep = [room(*x) >= 0 for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
@@ -367,29 +372,33 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     classes = _frequency_classes(first.where("slice IS NOT NULL"))
     buckets = max(BUCKETS, sets.count() // BUCKET_DOCS)
     found = scratch.stage(_candidates(_postings(documents, classes, buckets)))
-    heads = scratch.stage(sets.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-
-    def by_head(pairs: DataFrame) -> DataFrame:
-        a, b = (heads.select(F.col("code").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
-        return scratch.stage(_near_by_bits(pairs.select("a", "b").distinct().join(a, "a").join(b, "b")))
+    heads = sets.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("id"))
+    # each document's head: the smallest doc_id with an equal set
+    who = scratch.stage(sets.where("n > 0 AND doc_id IS NOT NULL").join(heads, "code").select("doc_id", "id", "n", "bits"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = scratch.stage(ids)
+        ids = scratch.stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         return scratch.stage(_verified(pairs, _with_ids(documents, ids)))
 
     star = found.where("b IS NOT NULL AND at = 1").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    pairs = by_head(found.where("b IS NOT NULL AND at = 0").select("a", "b").unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    links = verified(pairs)
+    first_pairs = found.where("b IS NOT NULL AND at = 0").select("a", "b").unionByName(star)
+    a, b = (who.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
+    near = _near_by_bits(first_pairs.join(a, "a").join(b, "b").where("id_a <> id_b"))
+    tested = scratch.stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = verified(tested)
     roots = scratch.stage(components(links, scratch))
-    named_heads = heads.select(F.col("code").alias("a"), "id", "bits").join(roots, "id", "left").select("a", "bits", F.coalesce("component", "id").alias("component"))
-    lists = found.where("b IS NULL").select("token", "a", "at", "n").join(named_heads.select("a", "component"), "a")
-    # lists whose sets are all in one component are done
-    still = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_lists = lists.join(still, "token").join(named_heads.select("a", "bits"), "a")
-    more = by_head(_open_pairs(open_lists)).join(pairs, ["a", "b"], "left_anti")
-    if not more.isEmpty():
-        links = links.unionByName(verified(scratch.stage(more)))
+    lists = found.where("b IS NULL").join(who.select(F.col("doc_id").alias("a"), "id"), "a").groupBy("token", "id").agg(F.min("at").alias("at"), F.first("n").alias("n"))
+    lists = scratch.stage(lists)
+    bits = who.where("doc_id = id").select("id", "bits").dropDuplicates(["id"])
+    for nearest in (True, True, False):
+        # lists whose sets are all in one component are done
+        named = lists.join(roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        still = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        more = _open_pairs(named.join(still, "token").join(bits, "id"), nearest).distinct().join(tested, ["a", "b"], "left_anti")
+        more = scratch.stage(more)
+        if more.isEmpty():
+            continue
+        links, tested = links.unionByName(verified(more)), tested.unionByName(more)
         roots = scratch.stage(components(links, scratch))
     named = sets.select("doc_id", "n", "code").join(heads.select("code", "id"), "code", "left").join(roots, "id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
