@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from monthpick.session import scratch_path
 
 #: Bytes of text that a task works on at once.
-TEXT_BLOCK = 8 << 20
+TEXT_BLOCK = 4 << 20
 #: Entries of a worker's word memo.  Beyond it, further words are computed each time.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

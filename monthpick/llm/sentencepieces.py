@@ -42,7 +42,7 @@ WIDE_PARTS = r" *[^ ]+| +"
 #: Longer parts are solved one by one.
 LONGEST_AT_ONCE = 64
 #: Texts whose unseen parts are solved together.
-TEXTS_AT_ONCE = 1000
+TEXTS_AT_ONCE = 500
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -250,7 +250,7 @@ class Unigram:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, model: Unigram, memo_parts: int = 300_000):
+    def __init__(self, model: Unigram, memo_parts: int = 160_000):
         self.model, self.limit = model, memo_parts
         self.parts = re.compile(model.split).findall
         self.memo: dict[str, tuple[int, ...]] = {}
