@@ -1,9 +1,17 @@
 """Licence scan: sparse TF-IDF cosine to templates, then directory inheritance (operator 6).
 
-DataFrame functions only.  A file's units are its lines that have an anchor word
-(licences name themselves) and, if it has such a line, its whole text.  A unit's sparse
-vector has tf * idf of its words, idf over the templates; its cosine to each template
-decides.  The best unit gives the file's own licence; a file whose whole text is near a
+DataFrame functions only.  There are two sets of templates, each with its own idf, and
+a unit's cosine to each template of a set decides:
+
+* short notices in one sentence, by words: the units are a file's lines with an anchor
+  word (licences name themselves) and, if it has such a line, its whole text;
+* licence texts and standard headers (folder ``licenses``), by runs of three words in a
+  paragraph: the units are whole files and every run of up to six paragraphs, however
+  their lines are wrapped or commented.  No anchor is asked for.  A unit at a cosine of c
+  shares at least c^2 of a template's squared weight, and only files that do are cut
+  into units, so that bound loses none.
+
+The best unit of both gives the file's own licence; a file whose whole text is near a
 template is a licence file and speaks for its directory.  Files without a licence of
 their own inherit that of the nearest ancestor directory that has one: directories are
 joined with their own ancestors, each distinct directory once, so a directory with a
@@ -19,8 +27,9 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthpick.llm.common import Scratch
@@ -41,40 +50,102 @@ TEMPLATES = {
 ANCHOR = "(?i)licen[cs]e|copyright|public domain"
 WORD = "[a-z0-9]+"
 MIN_COSINE, DIGITS = 0.6, 4
+#: Licence texts (SPDX identifier.txt) and standard headers (SPDX identifier.notice.txt).
+TEXTS = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+GRAM, PARAGRAPHS = 3, 6
+#: A comment's last line before code ends a paragraph; so does a line without letters and digits.
+COMMENT = r"[ \t]*+(?:#|//|\*|/\*|--|;|%)"
+COMMENT_END, BLANK = rf"(?m)^({COMMENT}.*+)\n(?!{COMMENT})", r"\n[^\p{L}\p{N}\n]*+(?=\n)"
 
 
-def template_weights() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(template, word, normed weight) rows, idf by word, and the idf of a word that no template has."""
-    words = {k: re.findall(WORD, v.lower()) for k, v in TEMPLATES.items()}
-    n = len(words)
-    idf = {w: math.log((1 + n) / (1 + sum(w in ws for ws in words.values()))) + 1 for ws in words.values() for w in ws}
+def _weights(words: dict[str, list[str]]) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
+    n, found = len(words), {}
+    for ws in words.values():
+        for w in set(ws):
+            found[w] = found.get(w, 0) + 1
+    idf = {w: math.log((1 + n) / (1 + found[w])) + 1 for ws in words.values() for w in ws}
     rows = []
     for k, ws in words.items():
-        weights = {w: ws.count(w) * idf[w] for w in ws}
-        norm = math.sqrt(sum(x * x for x in weights.values()))
+        weights = {w: ws.count(w) * idf[w] for w in set(ws)}
+        norm = math.sqrt(sum(weights[w] * weights[w] for w in dict.fromkeys(ws)))
         rows += [(k, w, x / norm) for w, x in sorted(weights.items())]
     return rows, idf, math.log(1 + n) + 1
 
 
+def template_weights() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
+    """(template, word, normed weight) rows, idf by word, and the idf of a word that no template has."""
+    return _weights({k: re.findall(WORD, v.lower()) for k, v in TEMPLATES.items()})
+
+
+def text_weights() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
+    """The same of the licence texts and headers, with runs of three words of a paragraph for words."""
+    grams = {}
+    for k, v in TEXTS.items():
+        paragraphs = [re.findall(WORD, p) for p in re.split(r"\n[^a-z0-9\n]*(?=\n)", v.lower())]
+        grams[k] = [" ".join(ws[i : i + GRAM]) for ws in paragraphs for i in range(len(ws) - GRAM + 1)]
+    return _weights(grams)
+
+
+def _nearest(terms: DataFrame, weights: tuple, license_of=lambda k: k) -> DataFrame:
+    """(path, unit, b) of the units (path, unit, word, tf) that are near a template; b is score, order and licence of the best."""
+    rows, idf, unknown = weights
+    spark = terms.sparkSession
+    names = sorted({k for k, _, _ in rows})
+    ranks = {x: i for i, x in enumerate(sorted({*TEMPLATES, *map(_license, TEXTS)}))}
+    by_word = {}
+    for k, w, x in rows:
+        by_word.setdefault(w, {})[names.index(k)] = x
+    known = spark.createDataFrame([(w, idf[w], t) for w, t in by_word.items()], "word string, idf double, t map<int,double>")  # fixed size
+    tf = terms.join(F.broadcast(known), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    norms = F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
+    dots = [F.sum(F.when(F.col("t")[i].isNotNull(), F.col("x") * F.col("t")[i])).alias(f"d_{i}") for i in range(len(names))]
+    scored = tf.groupBy("path", "unit").agg(norms, *dots)
+    options = F.array(*[F.struct(F.round(F.coalesce(F.col(f"d_{i}"), F.lit(0.0)) / F.col("norm"), DIGITS).alias("score"), F.lit(-ranks[license_of(k)]).alias("order"), F.lit(license_of(k)).alias("license")) for i, k in enumerate(names)])
+    return scored.select("path", "unit", F.array_max(options).alias("b")).where(F.col("b.score") >= MIN_COSINE)
+
+
+def _license(template: str) -> str:
+    return template.removesuffix(".notice")
+
+
+def _grams(text: Column) -> Column:
+    """All runs of three words."""
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    return F.regexp_extract_all(plain, F.lit(r"(?<![a-z0-9])(?=([a-z0-9]++" + r"\x20[a-z0-9]++" * (GRAM - 1) + "))"), F.lit(1))
+
+
+def _near_texts(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path, unit, b) of whole files (unit 0) and runs of paragraphs that are near a licence text or header."""
+    weights = text_weights()
+    squares = {}
+    for k, w, x in weights[0]:
+        squares.setdefault(w, []).append((k, x * x))
+    shared = F.broadcast(files.sparkSession.createDataFrame(list(squares.items()), "word string, s array<struct<template:string,square:double>>"))
+    text = F.coalesce("text", F.lit(""))
+    some = files.select("path", F.explode(F.array_distinct(_grams(text))).alias("word")).join(shared, "word").select("path", F.inline("s"))
+    enough = (MIN_COSINE - 10**-DIGITS) ** 2
+    possible = scratch.stage(some.groupBy("path", "template").agg(F.sum("square").alias("share")).where(F.col("share") >= enough).select("path").distinct())
+    paragraphs = F.split(F.regexp_replace(text, COMMENT_END, "$1\n\n"), BLANK)
+    pieces = files.join(possible, "path", "left_semi").select("path", F.posexplode(paragraphs).alias("at", "content")).where(F.col("content").rlike("[A-Za-z0-9]"))
+    pieces = pieces.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1)
+    terms = pieces.select("path", "at", F.explode(_grams(F.col("content"))).alias("word")).groupBy("path", "at", "word").agg(F.count(F.lit(1)).alias("tf"))
+    runs = [F.when(F.col("at") >= j, (F.col("at") - j) * PARAGRAPHS + k) for k in range(1, PARAGRAPHS + 1) for j in range(k)]
+    units = F.filter(F.array(F.lit(0), *runs), lambda u: u.isNotNull())
+    terms = terms.select("path", "word", "tf", F.explode(units).alias("unit")).groupBy("path", "unit", "word").agg(F.sum("tf").alias("tf"))
+    return _nearest(terms, weights, _license)
+
+
 def scan(files: DataFrame) -> DataFrame:
     """(path, license, how, score) of every distinct path of ``files`` (path, text); how is own, inherited or none."""
     spark = files.sparkSession
     scratch = Scratch(spark, "license-scan")
-    rows, idf, unknown = template_weights()
-    weights = F.broadcast(spark.createDataFrame(rows, "template string, word string, weight double"))  # fixed size
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHOR))
     units = F.when(F.size(lines) > 0, F.concat(F.array(text), lines))
     exploded = files.where(text.rlike(ANCHOR)).select("path", F.posexplode(units).alias("unit", "content"))
     terms = exploded.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(WORD), F.lit(0))).alias("word"))
-    tf = terms.groupBy("path", "unit", "word").agg(F.count(F.lit(1)).alias("tf")).join(known, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
-    dots = [F.sum(F.when(F.col("t")[k].isNotNull(), F.col("x") * F.col("t")[k])).alias(f"d_{i}") for i, k in enumerate(sorted(TEMPLATES))]
-    by_word = weights.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("template", "weight"))).alias("t"))
-    scored = tf.join(F.broadcast(by_word), "word", "left").groupBy("path", "unit").agg(norms, *dots)
-    options = F.array(*[F.struct(F.round(F.coalesce(F.col(f"d_{i}"), F.lit(0.0)) / F.col("norm"), DIGITS).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("license")) for i, k in enumerate(sorted(TEMPLATES))])
-    best = scored.select("path", "unit", F.array_max(options).alias("b")).where(F.col("b.score") >= MIN_COSINE)
+    tf = terms.groupBy("path", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    best = _nearest(tf, template_weights()).unionByName(_near_texts(files, scratch))
     own = scratch.stage(best.groupBy("path").agg(F.max("b").alias("b"), F.max(F.when(F.col("unit") == 0, F.col("b"))).alias("whole")))
     paths = scratch.stage(files.select("path").distinct().withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
     speaking = own.where("whole IS NOT NULL").select(F.regexp_replace("path", "/?[^/]*$", "").alias("at"), F.struct((-F.col("whole.score")).alias("s"), F.col("path"), F.col("whole.license").alias("license")).alias("c")).groupBy("at").agg(F.min("c").alias("c"))

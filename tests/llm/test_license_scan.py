@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 import duckdb
 
 from monthpick.llm import license_scan, queries
@@ -37,3 +39,27 @@ def test_query_matches_sql(spark, sf):
     names = [d[0] for d in res.description]
     want = sorted((dict(zip(names, r)) for r in res.fetchall()), key=str)
     assert sorted((r.asDict() for r in queries.op6_license_scan(spark, sf).select(*names).collect()), key=str) == want
+
+
+def _wrapped(text, sign, width=50):
+    out = []
+    for p in text.strip().split("\n\n"):
+        out += [*textwrap.wrap(" ".join(p.split()), width), ""]
+    return "\n".join(f"{sign} {x}".rstrip() for x in out[:-1])
+
+
+def test_real_licence_files_and_wrapped_headers(spark):
+    t = license_scan.TEXTS
+    owner = "Copyright (c) 2021 Jane Doe and contributors\n\n"
+    code = "\nimport os\n\n\ndef main():\n    return os.getcwd()\n" * 20
+    bsd = t["BSD-3-Clause"]
+    rows = [
+        ("mit/LICENSE", "The MIT License (MIT)\n\n" + owner + t["MIT"].split("\n", 1)[1], "MIT"), ("bsd/LICENSE", owner + bsd[: bsd.index("THIS SOFTWARE")], "BSD-3-Clause"),
+        ("bsd2/LICENSE", owner + t["BSD-2-Clause"], "BSD-2-Clause"), ("gpl/COPYING", t["GPL-3.0"], "GPL-3.0"), ("gpl2/COPYING", t["GPL-2.0"], "GPL-2.0"), ("apache/LICENSE", t["Apache-2.0"], "Apache-2.0"),
+        ("h/a.py", "# Copyright 2020 Jane Doe\n#\n" + _wrapped(t["Apache-2.0.notice"], "#") + code, "Apache-2.0"), ("h/b.c", "/*\n * Copyright (C) 2019 Jane Doe\n *\n" + _wrapped("\n\n".join(t["GPL-3.0.notice"].split("\n\n")[:2]), " *") + "\n */\n" + code, "GPL-3.0"),
+        ("h/c.js", _wrapped(t["MPL-2.0.notice"], "//", 40) + code, "MPL-2.0"), ("h/d.py", code, None),
+    ]
+    files = [(p, x) for p, x, _ in rows] + [(f"{d}/src/x.py", code) for d in ("mit", "bsd", "gpl", "apache")]
+    got = {r.path: (r.license, r.how) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: got[p] for p, _, _ in rows} == {p: (k, "own" if k else "none") for p, _, k in rows}
+    assert {d: got[f"{d}/src/x.py"] for d in ("mit", "bsd", "gpl", "apache")} == {"mit": ("MIT", "inherited"), "bsd": ("BSD-3-Clause", "inherited"), "gpl": ("GPL-3.0", "inherited"), "apache": ("Apache-2.0", "inherited")}
