@@ -2,7 +2,7 @@
 rescoring (M1-M7, C11-C13, S13).
 
 Every query goes over all eligible folds of the whole labeled dataset and every
-fold trains on its full history.  What SQL can say about them (the folds with
+fold trains on its full history, boosted trees with all rounds of the library.  What SQL can say about them (the folds with
 their rows and positives, the class counts after SMOTE) has an oracle.
 """
 
@@ -20,9 +20,6 @@ from monthpick.plans.training import compare_models, eligible_folds, rerun_selec
 from monthpick.schema import available_features
 from monthpick.session import materialize, scratch_path
 
-# A model parameter of these queries, not a limit on data: boosting rounds.  The
-# library default is 500; a round is about 20 Spark jobs for each fold.
-QUERY_TREES = 5
 # fits that run at a time
 QUERY_PARALLELISM = 8
 
@@ -51,7 +48,7 @@ def _once(spark, sf_dir, what: str, work):
 
 
 def _walk(spark, sf_dir, model_type: str):
-    return _once(spark, sf_dir, model_type, lambda: walk_forward(_dataset(spark, sf_dir)[0], model_type, n_trees=QUERY_TREES, parallelism=QUERY_PARALLELISM))
+    return _once(spark, sf_dir, model_type, lambda: walk_forward(_dataset(spark, sf_dir)[0], model_type, parallelism=QUERY_PARALLELISM))
 
 
 @query("logistic_walkforward")
@@ -77,7 +74,7 @@ def q_walkforward_fold_counts(spark, sf_dir):
 def _comparison(spark, sf_dir):
     def work():
         ds, i = _dataset(spark, sf_dir)
-        return compare_models(ds, i.hist, n_trees=QUERY_TREES, parallelism=QUERY_PARALLELISM)
+        return compare_models(ds, i.hist, parallelism=QUERY_PARALLELISM)
 
     return _once(spark, sf_dir, "comparison", work)
 

@@ -272,3 +272,30 @@ def test_invalid_fits_have_a_status_and_other_failures_end_the_comparison(spark,
     monkeypatch.setattr(training, "fit_fold", broken)
     with pytest.raises(RuntimeError):
         training.compare_models(monthly_ds, hist, ("logistic",), min_train_months=3)
+
+
+def test_model_queries_train_all_boosting_rounds(spark, monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from monthpick.operators.models import GBT_TREES
+    from monthpick.plans import q_ml
+
+    rounds = {}
+
+    def seen(what, work, result):
+        def call(*args, **kwargs):
+            bound = inspect.signature(work).bind(*args, **kwargs)
+            bound.apply_defaults()
+            rounds[what] = bound.arguments["n_trees"]
+            return result
+
+        monkeypatch.setattr(q_ml, what, call)
+
+    seen("walk_forward", q_ml.walk_forward, None)
+    seen("compare_models", q_ml.compare_models, None)
+    monkeypatch.setattr(q_ml, "_dataset", lambda *a, **k: (None, SimpleNamespace(hist=None)))
+    monkeypatch.setattr(q_ml, "_DONE", {})
+    q_ml._walk(spark, "d", "lightgbm")
+    q_ml._comparison(spark, "d")
+    assert rounds == {"walk_forward": GBT_TREES, "compare_models": GBT_TREES} and GBT_TREES == 500
