@@ -5,7 +5,9 @@ over all documents tell how much information an n-gram of an item carries; the
 informative ones (and of every item the most informative few) are its seeds.  A seed
 found in a document joins that place to the item, places on neighbouring diagonals make
 one region, and a local alignment of item and region scores it, so edited or
-paraphrased copies count by what is left of them.
+paraphrased copies count by what is left of them.  A copy of a part of an item counts
+by its own strength, whatever the item's length: a second alignment, in which changed
+words cost more than matched ones bring, has to reach that of a run of RUN matched words.
 
 Test items are taken in blocks of a bounded number, and each block meets all documents;
 only a block is sent to the executors.
@@ -35,6 +37,8 @@ MIN_BITS, LEAST_SEEDS = 24.0, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's best possible score from which on a passage counts as a copy.
 MIN_SCORE = 0.4
+#: Matched words (each changed or missing one costs STRICT of score) from which on a part of an item counts as a copy.
+RUN, STRICT = 13, -3
 ITEMS_AT_ONCE = 20_000
 CELLS = 200_000
 SCHEMA = "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint, n_matched bigint"
@@ -115,7 +119,7 @@ def build_index(documents: DataFrame, item_ids: list, texts: list[bytes], min_bi
     return Index(item_ids, items, words, code[order], place[order])
 
 
-def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def align(pairs: list[tuple[np.ndarray, np.ndarray]], mismatch: int = MISMATCH, gap: int = GAP) -> np.ndarray:
     """Smith-Waterman of each (item, region): best score, first and last word of the region in it, matched words.
 
     All pairs advance together, one anti-diagonal at a time.
@@ -134,12 +138,12 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         same = item[:, lo:hi] == region[:, j]
         diagonal, up, left = state[0][:, lo:hi], state[1][:, lo:hi], state[1][:, lo + 1 : hi + 1]
         now = np.zeros((b, m + 1, 3), np.int32)
-        score = diagonal[..., 0] + np.where(same, MATCH, MISMATCH)
+        score = diagonal[..., 0] + np.where(same, MATCH, mismatch)
         fresh = diagonal[..., 0] <= 0
         first = np.where(fresh, j, diagonal[..., 1])
         matched = np.where(fresh, 0, diagonal[..., 2]) + same
         for other in (up, left):
-            s = other[..., 0] + GAP
+            s = other[..., 0] + gap
             better = s > score
             score, first, matched = np.where(better, s, score), np.where(better, other[..., 1], first), np.where(better, other[..., 2], matched)
         score = np.maximum(score, 0)
@@ -191,11 +195,17 @@ def align_regions(index: Index, ids: np.ndarray, offsets: np.ndarray, min_score:
         while end < len(regions) and (end - at + 1) * len(index.items[regions[end][1]]) <= CELLS:
             end += 1
         some = regions[at:end]
-        got = align([(index.items[k], ids[offsets[t] + a : offsets[t] + b]) for t, k, a, b in some])
-        for (t, k, a, _), (top, first, last, matched) in zip(some, got.tolist()):
+        pairs = [(index.items[k], ids[offsets[t] + a : offsets[t] + b]) for t, k, a, b in some]
+        got = align(pairs)
+        whole = got[:, 0] / (MATCH * np.array([len(x) for x, _ in pairs])) >= min_score
+        # an alignment scores at least as much as it does where changes cost more
+        part = np.flatnonzero(~whole & (got[:, 0] >= MATCH * RUN))
+        if len(part):
+            whole[part] = align([pairs[i] for i in part], STRICT, STRICT)[:, 0] >= MATCH * RUN
+        for (t, k, a, _), (top, first, last, matched), good in zip(some, got.tolist(), whole.tolist()):
             score = top / (MATCH * len(index.items[k]))
             row = (score, a + first, a + last, matched)
-            if score >= min_score and ((t, k) not in found or (row[0], -row[1]) > (found[t, k][0], -found[t, k][1])):
+            if good and ((t, k) not in found or (row[0], -row[1]) > (found[t, k][0], -found[t, k][1])):
                 found[t, k] = row
         at = end
     return found
@@ -211,7 +221,7 @@ def _blocks(documents: DataFrame, benchmark: DataFrame, min_bits: float) -> Iter
 
 
 def find_copies(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_bits: float = MIN_BITS) -> DataFrame:
-    """A row for each document and test item whose best alignment reaches ``min_score`` of a whole copy."""
+    """A row for each document and test item with an alignment of ``min_score`` of a whole copy or the strength of RUN words."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = documents.sparkSession.createDataFrame([], SCHEMA)
     for index in _blocks(documents, benchmark, min_bits):

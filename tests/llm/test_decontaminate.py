@@ -65,3 +65,21 @@ def test_query_against_whole_matrices(spark, sf):
             # copies share long runs with their item; brute force wherever a tenth of the words agree
             if len(set(words) & set(item)) * 10 >= 3 * len(set(item)):
                 assert ((r.doc_id, i) in got) == (smith_waterman(item, words) / (2 * len(item)) >= decontaminate.MIN_SCORE)
+
+
+def test_copied_parts_count_by_their_own_strength(spark, docs):
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    items = {10: text(59), 11: text(38), 12: text(400)}
+    changed = items[10][20:42]
+    changed[11] = "other"
+    parts = {1: (10, items[10][5:25]), 2: (11, items[11][20:33]), 3: (12, items[12][100:250]), 4: (10, changed)}
+    short = {5: items[10][5:15], 6: items[12][0:24:2]}
+    rows = [(d, " ".join(text(200) + x + text(200))) for d, x in [*((d, x) for d, (_, x) in parts.items()), *short.items(), (7, [])]]
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id bigint, text string")
+    source = docs(rows)
+    got = decontaminate.find_copies(source, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, k) for d, (k, _) in parts.items()}
+    assert all(r.score < decontaminate.MIN_SCORE for r in got)
+    assert sorted(r.doc_id for r in decontaminate.drop_copies(source, benchmark).collect()) == [5, 6, 7]
