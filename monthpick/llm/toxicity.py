@@ -3,8 +3,11 @@
 A word's embedding is the sum of two rows of a hashed table, one of the word and one
 of its first characters (inflected forms share it).  Filters of several widths run
 over the whole text, max pooling keeps each filter's strongest answer, and a logistic
-layer reads the pooled answers.  Thresholds are calibrated by language on labelled
-rows that the training didn't see; the language is taken from the text's own function
+layer reads the pooled answers.  Thresholds are calibrated by language on all labelled
+rows outside the held-out fold that the training didn't see, each class of a language
+weighted to its share of the labelled rows there, so neither the bounds of the training
+sample nor its class ratio move them; a histogram of the scores is all that leaves the
+executors.  The language is taken from the text's own function
 words, never from the lang column, and the score is rescaled so that a language's
 threshold lies at 0.7.
 
@@ -33,6 +36,8 @@ HASH_BITS, DIM, WIDTHS, FILTERS = 24, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.05, 7
 PREFIX_BYTES, MIN_DOCS, VALIDATION, LEAST_VALID = 5, 2, 5, 15
 CUT = 0.7
+#: Cells of the score histograms, even in the log odds from -SPREAD to SPREAD.
+CELLS, SPREAD = 4_096, 16.0
 #: Function words that tell the language of a text.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for on with as are was by from it this have not be",
@@ -128,8 +133,54 @@ def _best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip((s[k] + low) / 2, 0.02, 0.98))
 
 
+def _best_cell_cut(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """``_best_cut`` of weighted histograms by cell."""
+    filled = np.flatnonzero(toxic + clean)[::-1]
+    f1 = 2 * np.cumsum(toxic[filled]) / (np.cumsum((toxic + clean)[filled]) + toxic.sum())
+    k = int(f1.argmax())
+    score = lambda cell: 1 / (1 + np.exp(-(cell / CELLS * 2 - 1) * SPREAD))
+    low = score(filled[k + 1] + 1) if k + 1 < len(filled) else 0.0
+    return float(np.clip((score(filled[k]) + low) / 2, 0.02, 0.98))
+
+
+def _calibrate(model: Model, documents: DataFrame, marks: DataFrame, learned: DataFrame) -> None:
+    """Set the thresholds from all labelled rows of ``documents``; those ``learned`` from only count for the class shares."""
+    shared = Shipped(documents.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.load()
+        memo = Memo(model.packed)
+        for batch in batches:
+            texts, cells, languages = byte_column(batch, "text"), [], []
+            for a, b in blocks([len(t) for t in texts], 1 << 20):
+                words = [text_words(t) for t in texts[a:b]]
+                raw = np.clip(_raw_words(model, words, memo), 1e-9, 1 - 1e-9)
+                odds = np.log(raw / (1 - raw))
+                cells.append(np.clip((odds / SPREAD + 1) / 2 * CELLS, 0, CELLS - 1).astype(np.int32))
+                languages.append(_languages(words).astype(np.int32))
+            if cells:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(languages)), pa.array(np.concatenate(cells))], names=["doc_id", "language", "cell"])
+
+    source = documents.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text")
+    cells = source.mapInArrow(run, source.select("doc_id").schema.add("language", "integer").add("cell", "integer"))
+    # documents' texts stay where they are: only small rows meet the labels
+    rows = cells.join(marks, "doc_id").join(F.broadcast(learned.withColumn("learned", F.lit(True))), "doc_id", "left")
+    counts = rows.groupBy("language", "cell", "toxic", F.col("learned").isNotNull().alias("learned")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # languages x cells x 4 at most
+    seen = np.zeros((2, 2, len(model.cuts), CELLS))  # learned, class, language, cell
+    at = [counts[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("learned", "toxic", "language", "cell")]
+    seen[tuple(at)] = counts["n"].to_numpy()
+    free, total = seen[0].sum(2), seen.sum(0).sum(2)  # class, language
+    if min(free.sum(1)) > 0:
+        whole = seen[0].sum(1) * (total.sum(1) / free.sum(1))[:, None]
+        model.cuts[:] = _best_cell_cut(whole[1], whole[0])
+        for k in range(len(model.cuts)):
+            if min(free[:, k]) >= LEAST_VALID:
+                own = seen[0][:, k] * (total[:, k] / free[:, k])[:, None]
+                model.cuts[k] = _best_cell_cut(own[1], own[0])
+
+
 def train(texts: list[bytes], labels: list[int]) -> Model:
-    """Fit on labelled texts; every fifth of them only calibrates the thresholds."""
+    """Fit on labelled texts; every fifth of them only calibrates the thresholds, which ``fit`` sets anew from all rows."""
     rng = np.random.default_rng(SEED)
     y = np.asarray(labels, np.float32)
     n = len(texts)
@@ -231,14 +282,18 @@ def score_texts(model: Model | None, texts: list[bytes], memo: Memo | None) -> n
     if model is None:
         return np.zeros(len(texts))
     words = [text_words(t) for t in texts]
+    return _calibrated(model, _raw_words(model, words, memo), _languages(words))
+
+
+def _raw_words(model: Model, words: list[list[bytes]], memo: Memo) -> np.ndarray:
     offsets = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=offsets[1:])
     packed = np.fromiter((memo[w] for ws in words for w in ws), np.int64, offsets[-1])
-    return _calibrated(model, _raw_scores(model, packed >> 32, packed & 0xFFFFFFFF, offsets), _languages(words))
+    return _raw_scores(model, packed >> 32, packed & 0xFFFFFFFF, offsets)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
-    """Fit on at most ``max_toxic`` + ``max_clean`` labelled documents, the ones whose ids hash lowest.
+    """Fit on at most ``max_toxic`` + ``max_clean`` labelled documents, the ones whose ids hash lowest; calibrate on all others.
 
     Only rows outside the held-out fold are read.  Documents with contradicting or
     null labels are left out.
@@ -255,7 +310,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     ids = got["doc_id"].to_pylist()
     del got
     order = sorted(range(len(y)), key=lambda i: (xxhash.xxh3_64_intdigest(texts[i]), ids[i]))
-    return train([texts[i] for i in order], [int(y[i]) for i in order])
+    model = train([texts[i] for i in order], [int(y[i]) for i in order])
+    learned = [(ids[i],) for k, i in enumerate(order) if k % VALIDATION]
+    _calibrate(model, documents, marks, documents.sparkSession.createDataFrame(learned, sample.select("doc_id").schema))
+    return model
 
 
 def score_toxicity(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -74,6 +74,26 @@ def test_contradicting_and_held_out_labels_are_not_learned(spark, docs):
     assert toxicity.fit(docs([(i, "x y") for i in [*ids, 1000, 1001]]), labels) is None
 
 
+def test_thresholds_follow_the_class_shares_of_all_labels(spark, docs):
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(200)]
+    # the sign is in each toxic text and in a tenth of the clean ones, which are 30 times as many
+    kind = [k % 31 == 0 for k in range(6200)]
+    rows = [(k, " ".join(rng.choice(words, 12)) + (" maybe" if toxic or rng.random() < 0.1 else "") + (" nasty" if toxic and rng.random() < 0.6 else "")) for k, toxic in enumerate(kind)]
+    labels = spark.createDataFrame([(k, 1, int(t)) for k, t in enumerate(kind)], "doc_id bigint, quality int, toxic int")
+    source = docs(rows)
+
+    def predicted(model):
+        got = toxicity.score_toxicity(source.drop("score"), model).collect()
+        return {r.doc_id for r in got if r.score >= toxicity.CUT}
+
+    small, whole = (predicted(toxicity.fit(source, labels, max_toxic=100, max_clean=n)) for n in (120, 6200))
+    clean = [k for k, t in enumerate(kind) if not t]
+    # a sample of one clean row to each toxic one must not drop the clean rows with the sign
+    assert len(small.intersection(clean)) <= 0.02 * len(clean) and len(whole.intersection(clean)) <= 0.02 * len(clean)
+    assert sum(k in small for k, t in enumerate(kind) if t) >= 0.4 * sum(kind)
+
+
 def test_language_edge_cases(spark, docs):
     source = docs([(k, "the cat and the dog " * 3) for k in range(30)] + [(100, None), (101, ""), (102, "123 !? ²"), (103, "the dog"), (104, "日"), (105, "the " * 40_000)])
     model = language_id.fit(source)
