@@ -1,11 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only (operator 2).
 
 Regular expressions find the base spans (email, ip, card, phone) with their places.
-They are the seeds: the words around a seed are lexical patterns.  Other tokens that
-look like identifiers are candidates.  Patterns and values form a bipartite graph whose
-scores are computed in rounds: a pattern's confidence for a kind is the share of the
-values in it that are believed to be of that kind, a value's belief is the noisy-or of
-its confident patterns.  Candidates believed strongly enough become spans of that kind.
+They are the seeds: the words around a seed are lexical patterns.  All other tokens
+between whitespace, and short runs of digit groups as one, are candidates.  Patterns and
+values form a bipartite graph whose scores are computed in rounds: a pattern's confidence
+for a kind is the share of the values in it that are believed to be of that kind, a
+value's belief is the noisy-or of its confident patterns.  Candidates believed strongly
+enough become spans of that kind, unless most of their places are in other patterns.
+
+A pattern needs MIN_SUPPORT seeds of a kind to be confident, so only edges of patterns
+with so many are kept; that changes no score.
 
 All patterns are written so that the regex engine neither backtracks over long runs nor
 recurses, and every pass over texts is linear.  Edges are counted before they are
@@ -32,12 +36,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: The rest of a token from its first digit on; as a candidate it has at least MIN_DIGITS of them and at most MAX_LENGTH characters.
-TOKEN = r"[0-9]\S*+"
-MIN_DIGITS, MAX_LENGTH = 6, 64
+#: A candidate: a few groups of digits, or what stands between whitespace.
+TOKEN = r"[0-9]++(?:\x20[0-9]++){1,5}(?!\S)|\S++"
 #: Characters on each side in which the neighbouring word is looked for.
 REACH = 48
 ROUNDS, MIN_SUPPORT, SMOOTH, MIN_PATTERN, MIN_BELIEF = 2, 5, 2.0, 0.8, 0.9
+#: Share of a value's places that have to be in confident patterns, as far as one side of them tells.
+MIN_INSIDE = 0.5
 
 
 def _digits(c: Column) -> Column:
@@ -52,8 +57,6 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.length(d).between(16, 19) & F.call_function("luhn_check", d)
     if kind == "phone":
         return F.length(_digits(hit)).between(8, 15)
-    if kind == "token":
-        return (F.length(hit) <= MAX_LENGTH) & (F.length(_digits(hit)) >= MIN_DIGITS)
     return F.lit(True)
 
 
@@ -75,12 +78,16 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     return F.when(text.contains("@"), found).otherwise(empty) if kind == "email" else found
 
 
-def _around(text: Column, span: Column) -> tuple[Column, Column]:
-    """The word before and after a span: lower case, outer signs off, digits masked."""
-    before = F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH)))
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    clean = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "#")
-    return clean(F.regexp_extract(before, r"(\S+)\s*$", 1)), clean(F.regexp_extract(after, r"^\s*(\S+)", 1))
+def _clean(c: Column) -> Column:
+    """Lower case, each number masked as one sign."""
+    return F.regexp_replace(F.lower(c), "[0-9][0-9\x20]*", "#")
+
+
+def _around(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The words before and after the whole token or tokens that a span lies in."""
+    before = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
+    after = F.substring(text, end + 1, F.lit(REACH))
+    return _clean(F.regexp_extract(before, r"(\S++)\s++\S*+$", 1)), _clean(F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))
 
 
 def base_spans(text: Column) -> Column:
@@ -93,20 +100,22 @@ def find_private_data(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "private-data")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("other", F.filter(_spans(F.col("text"), "token", TOKEN), lambda s: ~overlaps(s)))
 
     def with_context(s: Column) -> Column:
-        left, right = _around(F.col("text"), s)
+        left, right = _around(F.col("text"), s["start"], s["end"])
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), right.alias("right"))
 
-    found = scratch.stage(rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform("base", with_context).alias("base"), F.transform("other", with_context).alias("other")))
-    beliefs = _score(found, scratch)
+    found = scratch.stage(rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform("base", with_context).alias("base")))
+    beliefs = scratch.stage(_score(found, _tokens(rows).select("value", "left", "right"), scratch))
+    hits = scratch.stage(_tokens(rows).join(beliefs, "value").select("doc_id", "text_key", "at", "pos", "value", "kind", "inside"))
+    # a word that mostly stands elsewhere is no identifier, however sure the patterns are that it was seen in
+    usual = hits.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.first("inside").alias("inside")).where(F.col("inside") >= MIN_INSIDE * F.col("n")).select("value")
+    held = scratch.stage(hits.join(usual, "value", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("kind", "at", "pos", "value")).alias("hits")))
+    again = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     new = (
-        found.where(F.size("other") > 0).select("doc_id", "text_key", F.explode("other").alias("s"))
-        .select("doc_id", "text_key", "s.start", "s.end", F.col("s.value").alias("value"))
-        .join(beliefs, "value")
-        .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
+        again.alias("r").join(held.alias("h"), F.expr("r.doc_id <=> h.doc_id AND r.text_key = h.text_key"))
+        .select("r.doc_id", "r.text_key", F.transform("h.hits", lambda h: _placed(F.col("r.text"), h)).alias("more"))
+        .dropDuplicates(["doc_id", "text_key"])
     )
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     out = found.select("doc_id", "text_key", plain.alias("base")).alias("f").join(new.alias("n"), F.expr("f.doc_id <=> n.doc_id AND f.text_key = n.text_key"), "left")
@@ -116,13 +125,63 @@ def find_private_data(documents: DataFrame) -> DataFrame:
     return out.select("f.doc_id", "f.text_key", "f.base", F.array_sort(both, order).alias("spans"))
 
 
-def _score(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value, kind) of the candidates that the scoring rounds believe in."""
+def _pieces(text: Column, base: Column) -> Column:
+    """The text between base spans: (at, piece, left, right), the last two the words beyond its ends."""
+    empty = F.array().cast("array<struct<at:int,piece:string>>")
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
+    cut = lambda at, end: F.struct(at.alias("at"), F.substring(text, at + 1, end - at).alias("piece"))
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(cut(acc["at"], s["start"])))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    walked = F.aggregate(F.array_sort(base, order), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+    return F.when(F.size(base) == 0, F.array(cut(F.lit(0), F.length(text)))).otherwise(F.concat(walked["out"], F.array(cut(walked["at"], F.length(text)))))
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, at, pos, value, left, right) of every token that no base span overlaps: token ``pos`` of the piece from ``at`` on."""
+    text = F.col("text")
+
+    def with_ends(p: Column) -> Column:
+        end = p["at"] + F.length(p["piece"])
+        before = F.substring(text, F.greatest(p["at"] - REACH, F.lit(0)) + 1, F.least(p["at"], F.lit(REACH)))
+        after = F.substring(text, end + 1, F.lit(REACH))
+        return F.struct(
+            p["at"].alias("at"), p["piece"].alias("piece"), F.regexp_extract(before, r"(\S++)$", 1).alias("left"), F.regexp_extract(after, r"^(\S++)", 1).alias("right"),
+            (p["piece"].rlike(r"^\S") & (p["at"] > 0)).alias("joined_left"), (p["piece"].rlike(r"\S\z") & (end < F.length(text))).alias("joined_right"),
+        )
+
+    pieces = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.transform(_pieces(text, F.col("base")), with_ends)).alias("p")).select("doc_id", "text_key", "p.*")
+    tokens = pieces.withColumn("t", F.regexp_extract_all("piece", F.lit(TOKEN), F.lit(0))).drop("piece").where(F.size("t") > 0)
+    n = F.size("t")
+    left, right = F.concat(F.array("left"), F.slice("t", 1, n - 1)), F.concat(F.slice("t", 2, n - 1), F.array("right"))
+    zipped = F.arrays_zip(F.col("t").alias("value"), left.alias("left"), right.alias("right"))
+    # edge: what a base span overlaps
+    whole = F.transform(zipped, lambda x, i: F.struct(i.alias("pos"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"), ((i == 0) & F.col("joined_left") | (i == n - 1) & F.col("joined_right")).alias("edge")))
+    out = tokens.select("doc_id", "text_key", "at", F.explode(whole).alias("x")).select("doc_id", "text_key", "at", "x.*").where("NOT edge")
+    near_left, near_right = F.substring(F.col("left"), -(REACH - 1), REACH - 1), F.substring(F.col("right"), 1, REACH - 1)
+    return out.select("doc_id", "text_key", "at", "pos", "value", _clean(near_left).alias("left"), _clean(near_right).alias("right"))
+
+
+def _placed(text: Column, h: Column) -> Column:
+    """(kind, start, end) of token ``pos`` of the piece from ``at`` on."""
+    rest = F.substring(text, h["at"] + 1, F.length(text))
+    gaps, tokens = F.split(rest, TOKEN, -1), F.regexp_extract_all(rest, F.lit(TOKEN), F.lit(0))
+    start = h["at"] + F.length(F.array_join(F.slice(gaps, 1, h["pos"] + 1), "")) + F.length(F.array_join(F.slice(tokens, 1, h["pos"]), ""))
+    return F.struct(h["kind"].alias("kind"), start.alias("start"), (start + F.length(h["value"])).alias("end"))
+
+
+def _score(found: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """(value, kind, inside) of the candidates that the scoring rounds believe in; inside is how often they stand in confident patterns."""
     # (value, pattern) edges: each value and pattern once, with the seed's kind
-    one = found.select(F.explode(F.concat("base", "other")).alias("s")).select("s.kind", "s.value", "s.left", "s.right")
     patterns = F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"), F.concat(F.lit("B:"), "left", F.lit(" "), "right"))
-    edges = one.select("kind", "value", F.explode(patterns).alias("pattern")).where("NOT (pattern IN ('L:', 'R:', 'B: '))").groupBy("kind", "value", "pattern").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    edges = scratch.stage(edges)
+    edges_of = lambda one: one.select("kind", "value", F.explode(patterns).alias("pattern")).where("NOT (pattern IN ('L:', 'R:', 'B: '))")
+    once = lambda edges: edges.groupBy("kind", "value", "pattern").agg(F.count(F.lit(1)).alias("times"))
+    seeds = scratch.stage(once(edges_of(found.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.left", "s.right"))))
+    able = scratch.stage(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern").distinct())
+    others = once(edges_of(tokens.withColumn("kind", F.lit("token"))).join(able, "pattern", "left_semi"))
+    edges = scratch.stage(seeds.join(able, "pattern", "left_semi").select("kind", "value", "pattern", "times").unionByName(others.select("kind", "value", "pattern", "times")))
     believed = None
     for _ in range(ROUNDS):
         belief = F.when(F.col("kind") != "token", 1.0)
@@ -135,10 +194,11 @@ def _score(found: DataFrame, scratch: Scratch) -> DataFrame:
         scored = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), *per, *seeds)
         options = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"b_{k}") / (F.col("all") + SMOOTH)).alias("confidence"), F.col(f"n_{k}").alias("support")) for k in KINDS])
         sure = scored.select("pattern", F.explode(options).alias("o")).where((F.col("o.support") >= MIN_SUPPORT) & (F.col("o.confidence") >= MIN_PATTERN)).select("pattern", F.col("o.kind").alias("as_kind"), F.col("o.confidence").alias("confidence"))
-        by_value = edges.where("kind = 'token'").join(sure, "pattern").groupBy("value", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("belief"))
-        best = by_value.groupBy("value").agg(F.max(F.struct("belief", (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind"))).alias("first"), F.col("as_kind").alias("kind"))).alias("b"))
-        believed = scratch.stage(best.select("value", "b.kind", "b.belief"))
-    return believed.where(F.col("belief") >= MIN_BELIEF).select("value", "kind")
+        sides = [F.sum(F.when(F.col("pattern").startswith(x), F.col("times"))) for x in ("L:", "R:", "B:")]
+        by_value = edges.where("kind = 'token'").join(sure, "pattern").groupBy("value", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("belief"), F.greatest(*sides).alias("inside"))
+        best = by_value.groupBy("value").agg(F.max(F.struct("belief", (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind"))).alias("first"), F.col("as_kind").alias("kind"), "inside")).alias("b"))
+        believed = scratch.stage(best.select("value", "b.kind", "b.belief", "b.inside"))
+    return believed.where(F.col("belief") >= MIN_BELIEF).select("value", "kind", "inside")
 
 
 def redact(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -76,3 +76,21 @@ def test_no_python_in_the_plan(spark, sf):
     plan = queries.op2_private_data(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F.col("x") is not None
+
+
+def test_whole_tokens_of_any_make_are_candidates(docs):
+    seeds = [(k, f"word{k} contact address user{k}@mail{k}.org please reply {k}") for k in range(30)]
+    seeds += [(100 + k, f"item{k} dial number +49 30 {1234567 + k} after nine {k}") for k in range(30)]
+    odd = {
+        300: ("contact address john.doe(at)host please reply", "email", "john.doe(at)host"), 301: ("contact address user7f839201(at)mailhost please reply", "email", "user7f839201(at)mailhost"),
+        302: ("first a@b.co or dial number 030 123 45 67 after nine", "phone", "030 123 45 67"), 303: ("x 1.2.3.4 then contact address jane[at]site please", "email", "jane[at]site"),
+    }
+    source = docs(seeds + [(k, t) for k, (t, _, _) in odd.items()] + [(400, "contact me at your address and reply please")] + [(500 + k, "this and that, reply and more") for k in range(5)])
+    found = private_data.find_private_data(source)
+    got = {r.doc_id: r for r in found.collect()}
+    for k, (text, kind, value) in odd.items():
+        assert (kind, text.index(value), text.index(value) + len(value)) in [tuple(s) for s in got[k].spans]
+    assert got[400].spans == []
+    clean = {r.doc_id: r.text for r in private_data.redact(source, found).collect()}
+    assert clean[300] == clean[301] == "contact address <email> please reply"
+    assert clean[302] == "first <email> or dial number <phone> after nine" and clean[303] == "x <ip> then contact address <email> please"
