@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import chat_tree, decontaminate, embedding_graph, importance, jaccard_join, language_id, license_scan, private_data, sentencepieces, substring_dedup, toxicity
+from monthpick.llm import chat_tree, conversation_repair, decontaminate, embedding_graph, importance, jaccard_join, language_id, license_scan, private_data, sentencepieces, substring_dedup, toxicity
 from monthpick.llm.common import held_out, table
 
 
@@ -67,10 +67,14 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(*chat_tree.format_tree(conversations.unionByName(extra)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op3_embedding_graph, op4_sentencepiece, op5_toxicity, op6_license_scan, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree, op12_importance)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op3_embedding_graph, op4_sentencepiece, op5_toxicity, op6_license_scan, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree, op11_conversation_repair, op12_importance)}
 ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle()}
