@@ -2,27 +2,29 @@
 rescoring (M1-M7, C11-C13, S13).
 
 Every query goes over all eligible folds of the whole labeled dataset and every
-fold trains on its full history, boosted trees with all rounds of the library.  What SQL can say about them (the folds with
-their rows and positives, the class counts after SMOTE) has an oracle.
+fold trains on its full history, boosted trees with all rounds of the library.
+What SQL can say about them (the folds with their rows, positives and scalers,
+the class counts after SMOTE) has an oracle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from monthpick.functions.columns import snap
 from monthpick.operators.dataset import labeled_dataset
-from monthpick.operators.models import prepare
+from monthpick.operators.folds import fold_eligibility
+from monthpick.operators.logistic import fold_moments, tag_moments
+from monthpick.operators.models import prepare, training_rows
 from monthpick.operators.smote import smote
 from monthpick.plans.context import finish, inputs
+from monthpick.plans.oracle_sql import rnd
 from monthpick.plans.q_metrics import fold_sql
 from monthpick.plans.registry import query
 from monthpick.plans.training import compare_models, eligible_folds, rerun_selection, save_result_bundle, walk_forward
-from monthpick.schema import available_features
+from monthpick.schema import available_features, matrix_feature_names
 from monthpick.session import materialize, scratch_path
 
-# fits that run at a time
-QUERY_PARALLELISM = 8
-
 ELIGIBLE = "n_train_months >= 6 AND n_train_rows > 0 AND n_train_pos >= 5 AND n_val_rows > 0 AND n_val_classes >= 2"
 
 
@@ -39,16 +41,28 @@ def _dataset(spark, sf_dir, staged: bool = False):
 _DONE: dict[tuple, object] = {}
 
 
+def _files(spark, sf_dir) -> tuple:
+    """Path, length and time of every file of the tables."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, found = [], fs.listFiles(path, True) if fs.exists(path) else None
+    while found is not None and found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def _once(spark, sf_dir, what: str, work):
-    """Result of a training run, shared by the queries of one application that report on it (its tables are staged)."""
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+    """Result of a training run, shared by the queries of one application that report on it while the tables are the same files (its tables are staged)."""
+    key = (spark.sparkContext.applicationId, sf_dir, what, _files(spark, sf_dir))
     if key not in _DONE:
         _DONE[key] = work()
     return _DONE[key]
 
 
 def _walk(spark, sf_dir, model_type: str):
-    return _once(spark, sf_dir, model_type, lambda: walk_forward(_dataset(spark, sf_dir)[0], model_type, parallelism=QUERY_PARALLELISM))
+    return _once(spark, sf_dir, model_type, lambda: walk_forward(_dataset(spark, sf_dir)[0], model_type))
 
 
 @query("logistic_walkforward")
@@ -74,7 +88,7 @@ def q_walkforward_fold_counts(spark, sf_dir):
 def _comparison(spark, sf_dir):
     def work():
         ds, i = _dataset(spark, sf_dir)
-        return compare_models(ds, i.hist, parallelism=QUERY_PARALLELISM)
+        return compare_models(ds, i.hist)
 
     return _once(spark, sf_dir, "comparison", work)
 
@@ -89,6 +103,42 @@ def q_model_comparison_rollup(spark, sf_dir):
     return finish(_comparison(spark, sf_dir)[1])
 
 
+@query(
+    "model_comparison_counts",
+    fold_sql(
+        f"""SELECT model, VAL_MONTH AS MONTH, 'fitted' AS status, n_val_rows AS n_rows, n_val_pos AS n_positive
+FROM elig, (VALUES ('logistic'), ('lightgbm'), ('xgboost')) m(model) WHERE {ELIGIBLE}"""
+    ),
+)
+def q_model_comparison_counts(spark, sf_dir):
+    """Every model has every eligible fold, with all its rows."""
+    return _comparison(spark, sf_dir)[0].select("model", "MONTH", "status", "n_rows", "n_positive")
+
+
+_FEATS = available_features(["EID", "PEAKID", *matrix_feature_names(6), "TARGET_MONTH"])
+_MOMENTS = " UNION ALL ".join(
+    f"""SELECT VAL_MONTH AS fold, '{f}' AS feature, count(*) AS n, CAST(sum(IS_PROFITABLE_L) AS BIGINT) AS n_pos,
+avg(CAST({f} AS DOUBLE)) AS mean, stddev_pop(CAST({f} AS DOUBLE)) AS deviation
+FROM (SELECT VAL_MONTH FROM elig WHERE {ELIGIBLE}) e JOIN labeled l ON l.TARGET_MONTH < e.VAL_MONTH GROUP BY 1"""
+    for f in _FEATS
+)
+
+
+@query(
+    "fold_scaler_moments",
+    fold_sql(f"SELECT fold, feature, n, n_pos, {rnd('mean', 4, 'mean')}, {rnd('deviation', 4, 'deviation')} FROM ({_MOMENTS}) x"),
+)
+def q_fold_scaler_moments(spark, sf_dir):
+    """Each fold's scaler and class counts from sums by month."""
+    ds, _ = _dataset(spark, sf_dir, staged=True)
+    feat_cols = available_features(ds.columns)
+    rows = training_rows(prepare(ds, feat_cols), feat_cols, F.col("TARGET_MONTH"))
+    folds = fold_eligibility(ds, 6).where("eligible").select(F.col("VAL_MONTH").alias("fold"))
+    out = fold_moments(tag_moments(rows, len(feat_cols)), folds)
+    name = F.array(*[F.lit(c) for c in feat_cols])[F.col("feature")]
+    return out.select("fold", name.alias("feature"), "n", "n_pos", snap("mean", 4).alias("mean"), snap("deviation", 4).alias("deviation"))
+
+
 def _smote_last_fold(spark, sf_dir):
     """Training rows of the last eligible fold plus synthetic rows of the smaller class."""
     ds, _ = _dataset(spark, sf_dir, staged=True)

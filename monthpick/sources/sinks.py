@@ -12,10 +12,11 @@ import os
 import re
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthpick.operators.models import MODEL_ROW, model_from_row
+
 
 # ----------------------------------------------------------------- datasets
 
@@ -54,11 +55,13 @@ def read_opportunities_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_bundle(
-    model: PipelineModel, path: str, threshold: float, feat_cols: list[str], model_type: str, last_train_month: str | None = None
+    model, path: str, threshold: float, feat_cols: list[str], model_type: str, last_train_month: str | None = None
 ) -> None:
-    """MLlib model directory + a one-row metadata Parquet (no pickle)."""
-    model.write().overwrite().save(os.path.join(path, "model"))
+    """The model and its metadata as one-row Parquet tables (no pickle)."""
     spark = SparkSession.getActiveSession()
+    row = model.to_row()
+    values = tuple([bytearray(a) for a in row[c]] if c == "arrays" else row[c] for c in ("kind", "feat_cols", "start", "edges", "depth", "arrays"))
+    spark.createDataFrame([values], MODEL_ROW).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "model"))
     meta = spark.createDataFrame(
         [(float(threshold), json.dumps(list(feat_cols)), model_type, last_train_month)],
         "threshold double, feat_cols string, model_type string, last_train_month string",
@@ -69,7 +72,7 @@ def save_bundle(
 def load_bundle(spark: SparkSession, path: str) -> dict:
     meta = spark.read.parquet(os.path.join(path, "meta")).first()
     return {
-        "model": PipelineModel.load(os.path.join(path, "model")),
+        "model": model_from_row(spark.read.parquet(os.path.join(path, "model")).first().asDict()),
         "threshold": float(meta["threshold"]),
         "feat_cols": json.loads(meta["feat_cols"]),
         "model_type": meta["model_type"],
