@@ -11,8 +11,8 @@ For target month T (decision month D = T-1):
   label table that are <= D (or <= D-1 with ``hist_through='prior_month'``).
 
 The month is a group key, never a driver loop: the sims are aggregated once
-per (MONTH, EID, PEAKID), the history is expanded at most N times through a
-small month map and aggregated once per (TARGET, EID, PEAKID).
+per (MONTH, EID, PEAKID), the labels once per month of a key, and each target's
+window is a range frame over the ranks of its key's months.
 
 Scale notes
 -----------
@@ -82,20 +82,11 @@ def sim_daily_features(sim_daily: DataFrame, cutoff_days: int = DAILY_CUTOFF_DAY
     return sd.withColumn("TARGET", col_add_months("MONTH", 1)).drop("MONTH")
 
 
-def hist_month_map(
-    hist_profit: DataFrame,
-    targets: DataFrame,
-    lookback: int = DEFAULT_LOOKBACK,
-    hist_through: str = "decision_month",
-) -> DataFrame:
-    """(TARGET, MONTH): the last ``lookback`` months present in ``hist_profit``
-    that are <= the window end (D, or D-1 for ``hist_through='prior_month'``).
+def _month_events(hist_profit: DataFrame, targets: DataFrame, hist_through: str) -> DataFrame:
+    """(M, kind, TARGET, c): months present in ``hist_profit`` (kind 0, c: their rank) and window ends of the
+    targets (kind 1, c: rank of the last present month at or before the end).
 
-    Built from distinct months only: present months and window ends are merged
-    in month order; a running count of present months gives, for each end, the
-    rank of the last present month at or before it, and the window is the rank
-    range [c-N+1, c] — equi-joins only, no pairs of months are enumerated.
-    """
+    Built from distinct months only: both are merged in month order with a running count of present months."""
     shift = {"decision_month": -1, "prior_month": -2}[hist_through]
     present = hist_profit.select("MONTH").where(F.col("MONTH").isNotNull()).distinct()
     ends = targets.select("TARGET").distinct().select(
@@ -105,7 +96,22 @@ def hist_month_map(
         F.col("MONTH").alias("M"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("TARGET")
     ).unionByName(ends.select("M", F.lit(1).alias("kind"), "TARGET"))
     w = Window.orderBy("M", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumn("c", F.sum(1 - F.col("kind")).over(w))
+    return events.withColumn("c", F.sum(1 - F.col("kind")).over(w))
+
+
+def hist_month_map(
+    hist_profit: DataFrame,
+    targets: DataFrame,
+    lookback: int = DEFAULT_LOOKBACK,
+    hist_through: str = "decision_month",
+) -> DataFrame:
+    """(TARGET, MONTH): the last ``lookback`` months present in ``hist_profit``
+    that are <= the window end (D, or D-1 for ``hist_through='prior_month'``).
+
+    The window is the rank range [c-N+1, c] of present months — equi-joins only,
+    no pairs of months are enumerated.
+    """
+    events = _month_events(hist_profit, targets, hist_through)
     ranked = events.where(F.col("kind") == 0).select(F.col("M").alias("MONTH"), F.col("c").alias("R"))
     reach = events.where((F.col("kind") == 1) & (F.col("c") > 0)).select(
         "TARGET",
@@ -114,23 +120,61 @@ def hist_month_map(
     return reach.join(ranked, "R").select("TARGET", "MONTH")
 
 
+_KEY = ["EID", "PEAKID"]
+_SUMS = ["n_rows", "n_win", "s_win", "n_profit", "s_profit", "n_pr", "s_pr", "n_c", "s_c"]
+
+
+def _ranks(month_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(MONTH, R): rank of each month of the map; (TARGET, R): rank of the last month of each target's window.
+
+    A window is ``lookback`` neighbouring ranks up to that one (calendar-bounded tables)."""
+    months = month_map.select("MONTH").distinct().select("MONTH", F.row_number().over(Window.orderBy("MONTH")).alias("R"))
+    ends = month_map.groupBy("TARGET").agg(F.max("MONTH").alias("MONTH")).join(months, "MONTH").select("TARGET", "R")
+    return months, ends
+
+
+def _label_sums(hist_profit: DataFrame, months: DataFrame) -> DataFrame:
+    """One row for each (EID, PEAKID, R): what the window statistics add up."""
+    h = hist_profit.where(F.col("EID").isNotNull() & F.col("PEAKID").isNotNull())
+    h = h.join(F.broadcast(months), "MONTH")  # calendar-bounded
+    measures = {"win": F.col("IS_PROFITABLE").cast("double"), "profit": F.col("PROFIT"), "pr": F.col("PR"), "c": F.col("C")}
+    return h.groupBy(*_KEY, "R").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[f(c).alias(f"{k}_{name}") for name, c in measures.items() for k, f in (("n", F.count), ("s", F.sum))],
+    )
+
+
+def _windowed(rows: DataFrame, lookback: int) -> list:
+    """Label statistics over the ``lookback`` ranks up to each row's R, as columns.
+
+    A window's rows are at most ``lookback`` months of one (EID, PEAKID)."""
+    w = Window.partitionBy(*_KEY).orderBy("R").rangeBetween(-(lookback - 1), 0)
+    total = {c: F.sum(c).over(w) for c in _SUMS}
+    names = hist_feature_names(lookback)
+    means = [F.when(total[f"n_{k}"] > 0, total[f"s_{k}"] / total[f"n_{k}"]).alias(name) for k, name in zip(("win", "profit", "pr", "c"), names)]
+    return [*means, total["n_rows"].alias(names[4])]
+
+
 def hist_features(
     hist_profit: DataFrame,
     month_map: DataFrame,
     lookback: int = DEFAULT_LOOKBACK,
 ) -> DataFrame:
-    """Label statistics per (TARGET, EID, PEAKID) over each target's window."""
-    names = hist_feature_names(lookback)
-    h = hist_profit.where(F.col("EID").isNotNull() & F.col("PEAKID").isNotNull())
-    # month map: <= (#targets x lookback) rows, bounded by the calendar
-    h = h.join(F.broadcast(month_map), "MONTH")
-    return h.groupBy("TARGET", "EID", "PEAKID").agg(
-        F.avg(F.col("IS_PROFITABLE").cast("double")).alias(names[0]),
-        F.avg("PROFIT").alias(names[1]),
-        F.avg("PR").alias(names[2]),
-        F.avg("C").alias(names[3]),
-        F.count("MONTH").alias(names[4]),
-    )
+    """Label statistics per (TARGET, EID, PEAKID) over each target's window.
+
+    No label row is copied: a target's row stands at the rank of its last month,
+    among its key's months, and a range frame reaches back from it.  A month's
+    row stands for the targets up to the key's next month.
+    """
+    months, ends = _ranks(month_map)
+    sums = _label_sums(hist_profit, months)
+    following = F.lead("R").over(Window.partitionBy(*_KEY).orderBy("R"))
+    last = F.least(F.coalesce(following - 1, F.col("R") + lookback - 1), F.col("R") + lookback - 1)
+    reach = sums.select(*_KEY, "R", last.alias("last")).select(*_KEY, F.explode(F.sequence("R", "last")).alias("R"))
+    wanted = reach.join(F.broadcast(ends), "R").select(*_KEY, "R", "TARGET")
+    rows = sums.withColumn("TARGET", F.lit(None).cast("int")).unionByName(wanted, allowMissingColumns=True)
+    out = rows.repartition(*_KEY).select("TARGET", *_KEY, *_windowed(rows, lookback))
+    return out.where(F.col("TARGET").isNotNull())
 
 
 def stage_feature_inputs(
@@ -168,16 +212,32 @@ def feature_matrix(
     materialized label table.  ``sm_features`` / ``sd_features`` take already
     staged ``sim_monthly_features`` / ``sim_daily_features`` (see
     ``stage_feature_inputs``).
+
+    All three inputs go through one shuffle on (EID, PEAKID), each row once: there
+    the two simulations of a target meet in one row by grouping, and the label
+    sums of its window by a range frame over ranks of months.  What a key brings
+    to a task is a few rows a month.
     """
     if sm_features is None:
         sm_features = materialize(sim_monthly_features(sim_monthly), stage, name="sim-monthly-features")
     sm = sm_features
     sd = sd_features if sd_features is not None else sim_daily_features(sim_daily)
     targets = sm.select("TARGET").distinct()
-    mm = hist_month_map(hist_profit, targets, lookback, hist_through)
-    hist = hist_features(hist_profit, mm, lookback)
-    key = ["TARGET", "EID", "PEAKID"]
-    m = sm.join(sd, key, "left").join(hist, key, "left")
+    # a row for each present month and target
+    events = materialize(_month_events(hist_profit, targets, hist_through), stage, name="months")
+    months = events.where("kind = 0").select(F.col("M").alias("MONTH"), F.col("c").cast("int").alias("R"))
+    ends = events.where("kind = 1").select("TARGET", F.col("c").cast("int").alias("R"))
+    sums = _label_sums(hist_profit, months)
+    sm_cols, sd_cols = ([c for c in d.columns if c not in ("TARGET", *_KEY)] for d in (sm, sd))
+    rows = sm.withColumn("is_candidate", F.lit(True)).unionByName(sd, allowMissingColumns=True)
+    rows = rows.unionByName(sums.withColumnRenamed("R", "label_rank"), allowMissingColumns=True).repartition(*_KEY)
+    # the rows of a target become one; a label month's row stays as it is
+    values = ["is_candidate", *sm_cols, *sd_cols, *_SUMS]
+    one = rows.groupBy(*_KEY, "TARGET", "label_rank").agg(*[F.max(c).alias(c) for c in values])
+    # calendar-bounded; a target without a window stands before all months
+    one = one.join(F.broadcast(ends), "TARGET", "left").withColumn("R", F.coalesce("label_rank", "R", F.lit(0)))
+    m = one.select("TARGET", *_KEY, "is_candidate", *sm_cols, *sd_cols, *_windowed(one, lookback)).where("is_candidate").drop("is_candidate")
+    key = ["TARGET", *_KEY]
     features = [c for c in m.columns if c not in key]
     m = zero_fill(m, features)
     cols = ["EID", "PEAKID", *features, col_month_to_str("TARGET").alias("TARGET_MONTH")]

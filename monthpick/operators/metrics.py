@@ -8,25 +8,32 @@
   when no threshold scores above 0 (strict ``>`` from a start of 0).
 * ROC-AUC (ties count one half) and average precision (Σ ΔR·P over distinct
   score cut-offs, descending) — rows are first grouped by (fold, score), so a
-  score shared by a third of all rows is one row.  Running sums are split in
-  two levels: a window per (fold, score bucket) over the distinct scores of a
-  bucket, plus a window per fold over its bucket totals.  Buckets are cut at
-  quantiles of the fold's distinct scores, so scores that crowd near 0 spread
-  over all of them.  A single-class fold gives 0.0.
+  score shared by a third of all rows is one row.  Running sums are a prefix
+  scan over a distributed sort of the distinct scores: each task adds up along
+  its part of the sort, and the parts' totals give what is before it.  The sort
+  cuts by (fold, score), so scores that crowd near 0 spread over tasks like any
+  others.  A single-class fold gives 0.0.
 * classification report, evaluation rows, expanding means, fold rollups.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthpick.functions.columns import f1_from, safe_ratio
 from monthpick.schema import DEFAULT_THRESHOLD, sweep_thresholds
+from monthpick.session import materialize
 
-# score buckets of the two-level running sums, cut at per-fold quantiles: a bucket
-# holds about 1/BUCKETS of its fold's distinct scores
-BUCKETS = 512
+# functions sent to executors carry this module, which need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _stack(df: DataFrame, keep: list[str], items: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
@@ -123,35 +130,51 @@ def best_threshold(sweep: DataFrame, metric: str = "f1", fold: str = "fold") ->
     )
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (fold, s, pos_s, n_s, part) with running sums of pos_s and n_s inside each fold of a sorted partition."""
+    carried, tp, n = (), 0, 0
+    for batch in batches:
+        fold, pos, rows = batch.column(0), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        a, b = fold.slice(0, len(fold) - 1), fold.slice(1)
+        same = pc.if_else(pc.is_null(a), pc.is_null(b), pc.fill_null(pc.equal(a, b), False)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, ~same])
+        runs = np.diff(np.r_[starts, len(fold)])
+        tp_in, n_in = np.cumsum(pos), np.cumsum(rows)
+        before = lambda total, values: np.repeat(total[starts] - values[starts], runs)
+        tp_in, n_in = tp_in - before(tp_in, pos), n_in - before(n_in, rows)
+        first, last = fold[0].as_py(), fold[len(fold) - 1].as_py()
+        if carried == (first,):
+            tp_in[: runs[0]] += tp
+            n_in[: runs[0]] += n
+        carried, tp, n = (last,), int(tp_in[-1]), int(n_in[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tp_in), pa.array(n_in)], names=[*batch.schema.names, "tp_in", "n_in"])
+
+
 def _score_groups(scored: DataFrame, fold: str, proba: str, label: str) -> DataFrame:
-    """(fold, s, pos_s, neg_s, above-cut-off running counts) per distinct score."""
+    """(fold, s, pos_s, neg_s, tp_s, n_ge) per distinct score: a prefix scan over the scores in falling order.
+
+    Distinct scores are sorted by (fold, score) over all tasks; each task adds up
+    along its part, the parts' totals (one row for each fold in a partition of
+    the sort) give what is before it, and that is added back.  The sorted scores
+    are staged, so they are grouped and sorted once for all measures.
+    """
     y = F.col(label).cast("long")
-    g = scored.groupBy(fold, F.col(proba).alias("s")).agg(
-        F.sum(y).alias("pos_s"), F.count(F.lit(1)).alias("n_s")
-    )
-    g = g.withColumn("neg_s", F.col("n_s") - F.col("pos_s"))
-    at = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = g.groupBy(fold).agg(F.percentile_approx("s", at, F.lit(20 * BUCKETS)).alias("cuts"))
-    g = g.join(cuts, fold).withColumn("bucket", F.size(F.filter("cuts", lambda x: x <= F.col("s")))).drop("cuts")
-    # level 1: bucket totals and counts strictly above each bucket (<= BUCKETS rows per fold)
-    bt = g.groupBy(fold, "bucket").agg(F.sum("pos_s").alias("pos_b"), F.sum("n_s").alias("n_b"))
-    wb = Window.partitionBy(fold).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(
-        fold,
-        "bucket",
-        F.coalesce(F.sum("pos_b").over(wb), F.lit(0)).alias("pos_hi"),
-        F.coalesce(F.sum("n_b").over(wb), F.lit(0)).alias("n_hi"),
-    )
-    # level 2: running counts inside a bucket, over its distinct scores only
-    ws = Window.partitionBy(fold, "bucket").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("pos_in", F.sum("pos_s").over(ws)).withColumn("n_in", F.sum("n_s").over(ws))
-    g = g.join(bt, [fold, "bucket"])  # same partitioning prefix (fold)
-    return g.select(
-        fold,
+    g = scored.groupBy(F.col(fold).alias("fold"), F.col(proba).alias("s")).agg(F.sum(y).alias("pos_s"), F.count(F.lit(1)).alias("n_s"))
+    g = g.orderBy("fold", F.col("s").desc()).withColumn("part", F.spark_partition_id())
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*g.dtypes, ("tp_in", "bigint"), ("n_in", "bigint")])
+    run = materialize(g.mapInArrow(_running, schema), name="score-groups")
+    totals = run.groupBy("fold", "part").agg(F.max("tp_in").alias("tp"), F.max("n_in").alias("n"))
+    w = Window.partitionBy("fold").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    before = totals.select(F.col("fold").alias("f"), F.col("part").alias("p"), F.coalesce(F.sum("tp").over(w), zero).alias("pos_hi"), F.coalesce(F.sum("n").over(w), zero).alias("n_hi"))
+    # at most a row for each fold and one more for each partition of the sort
+    out = run.join(F.broadcast(before), F.col("fold").eqNullSafe(F.col("f")) & (F.col("part") == F.col("p")))
+    return out.select(
+        F.col("fold").alias(fold),
         "s",
         "pos_s",
-        "neg_s",
-        (F.col("pos_hi") + F.col("pos_in")).alias("tp_s"),  # positives with score >= s
+        (F.col("n_s") - F.col("pos_s")).alias("neg_s"),
+        (F.col("pos_hi") + F.col("tp_in")).alias("tp_s"),  # positives with score >= s
         (F.col("n_hi") + F.col("n_in")).alias("n_ge"),  # rows with score >= s
     )
 

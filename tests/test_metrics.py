@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from monthpick.operators.folds import fold_eligibility, fold_map
 from monthpick.operators.metrics import (
-    BUCKETS,
+    _score_groups,
     average_precision,
     best_threshold,
     classification_report,
@@ -65,8 +65,8 @@ def test_roc_and_ap_match_brute_force(scored):
     assert auc["SINGLE"] == 0.0 and ap["SINGLE"] == 0.0
 
 
-def test_scores_spanning_many_buckets(spark):
-    rows = [("F", f"E{i}", 0, (i % 3000) / 2999.0 if i < 3000 else 0.5 + i / (16.0 * BUCKETS), i % 3 == 0) for i in range(6000)]
+def test_scores_spanning_many_values(spark):
+    rows = [("F", f"E{i}", 0, (i % 3000) / 2999.0 if i < 3000 else 0.5 + i / (16.0 * 512), i % 3 == 0) for i in range(6000)]
     df = spark.createDataFrame(rows, "fold string, EID string, PEAKID int, proba double, label boolean")
     df = df.withColumn("label", F.col("label").cast("int"))
     ps, ys = [r[3] for r in rows], [int(r[4]) for r in rows]
@@ -134,3 +134,25 @@ def test_ranking_metrics_equal_separate(scored):
     for f in auc:  # sums of floats: equal up to summation order
         assert both[f][0] == pytest.approx(auc[f], abs=1e-12)
         assert both[f][1] == pytest.approx(ap[f], abs=1e-12)
+
+
+def test_scan_over_many_parts(spark):
+    """A prefix scan whose folds cross and share the parts of the sort, with null folds, NaN and null scores."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["A", "A", "A", "B", "C", None]), rng.choice([rng.random(), round(rng.random(), 1), 0.5, float("nan"), None]), int(rng.random() < 0.3)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "fold string, proba double, label int").repartition(7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        groups = _score_groups(df, "fold", "proba", "label").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    order = lambda p: 2 if p is None else 0 if p != p else 1  # noqa: E731  NaN first, null last
+    for fold in ("A", "B", "C", None):
+        mine = sorted(((order(p), 0 if order(p) != 1 else -p), y) for f, p, y in rows if f == fold)
+        got = sorted((((order(r["s"]), 0 if order(r["s"]) != 1 else -r["s"]), r["tp_s"], r["n_ge"]) for r in groups if r["fold"] == fold))
+        assert got == [(k, sum(y for q, y in mine if q <= k), sum(q <= k for q, _ in mine)) for k in sorted({q for q, _ in mine})]

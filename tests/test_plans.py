@@ -55,3 +55,34 @@ def test_threshold_sweep_is_one_aggregation_without_join(spark):
     df = spark.createDataFrame([("F", 0.3, 1), ("F", 0.6, 0)], "fold string, proba double, label int")
     plan = physical(threshold_sweep(df))
     assert "Join" not in plan and "Expand" not in plan
+
+
+def test_matrix_shuffles_each_staged_input_once(spark):
+    """Three staged inputs, one shuffle on (EID, PEAKID) for all of them and one for the labels' sums; no join but with calendar tables."""
+    import re
+
+    from monthpick.operators.features import feature_matrix
+    from monthpick.plans.context import inputs
+
+    i = inputs(spark, SF).stage_all()
+    plan = physical(feature_matrix(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features))
+    keyed = re.findall(r"Exchange hashpartitioning\(EID#\d+, PEAKID#\d+(?:, \w+#\d+L?)?, \d+\), (\w+)", plan)
+    assert sorted(keyed) == ["ENSURE_REQUIREMENTS", "REPARTITION_BY_COL"]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_history_rows_are_not_copied(spark):
+    """Rows that meet in the window: a row for each label month of a key and one for each result."""
+    from pyspark.sql import functions as F
+
+    from monthpick.operators.features import hist_features, hist_month_map
+
+    months = [202201 + m for m in range(12)]
+    hist = spark.createDataFrame([("E", m, 0, 1.0, 1.0, 0.0, False) for m in months], "EID string, MONTH int, PEAKID int, PR double, C double, PROFIT double, IS_PROFITABLE boolean")
+    targets = spark.createDataFrame([(m + 1,) for m in months[:-1]], "TARGET int")
+    for lookback in (3, 12):
+        out = hist_features(hist, hist_month_map(hist, targets, lookback), lookback)
+        rows = out._jdf.queryExecution().optimizedPlan()
+        assert out.count() == 11 and "Expand" not in rows.toString()
+        active = out.select(F.col(f"hist_months_active_{lookback}m").alias("n"), "TARGET").orderBy("TARGET").collect()
+        assert [r["n"] for r in active] == [min(k + 1, lookback) for k in range(11)]
