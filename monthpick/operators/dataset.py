@@ -44,7 +44,9 @@ def labeled_dataset(
     drop_unlabeled: bool = False,
     sm_features: DataFrame | None = None,
     sd_features: DataFrame | None = None,
+    truth: DataFrame | None = None,
 ) -> DataFrame:
+    """``truth``: label rows to attach, where they are others than the history's."""
     m = feature_matrix(
         sim_monthly,
         sim_daily,
@@ -54,7 +56,7 @@ def labeled_dataset(
         sm_features=sm_features,
         sd_features=sd_features,
     )
-    return attach_labels(m, hist_profit, drop_unlabeled).drop("TARGET")
+    return attach_labels(m, hist_profit if truth is None else truth, drop_unlabeled).drop("TARGET")
 
 
 def dataset_stats(ds: DataFrame) -> DataFrame:

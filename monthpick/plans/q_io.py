@@ -22,6 +22,7 @@ from monthpick.plans.q_features import LABELED_SQL
 from monthpick.plans.q_labels import LOAD_SIM_DAILY_SQL, scen_str
 from monthpick.plans.q_selection import sel_ctes
 from monthpick.plans.pipelines import run
+from monthpick.plans.refresh import refresh_dataset
 from monthpick.plans.registry import query
 from monthpick.session import scratch_path
 from monthpick.sources.adapters import driver_sources
@@ -50,6 +51,19 @@ def q_dataset_roundtrip(spark, sf_dir):
     return finish(read_dataset(spark, path))
 
 
+@query("dataset_refresh", LABELED_SQL)
+def q_dataset_refresh(spark, sf_dir):
+    """A dataset built from inputs one of whose label months is wrong, then
+    refreshed with the right ones: the months that follow from it are built again."""
+    i = inputs(spark, sf_dir)
+    path = scratch_path(spark, "dataset")
+    months = [r[0] for r in i.costs.select("MONTH").where("MONTH IS NOT NULL").distinct().orderBy("MONTH").collect()]  # calendar-bounded
+    wrong = i.costs.withColumn("C", F.col("C") + F.when(F.col("MONTH") == months[len(months) // 2], 1000.0).otherwise(0.0))
+    refresh_dataset(spark, path, i.prices, wrong, i.sim_monthly, i.sim_daily)
+    refresh_dataset(spark, path, i.prices, i.costs, i.sim_monthly, i.sim_daily)
+    return finish(read_dataset(spark, path))
+
+
 @query(
     "bulk_convert",
     ctes("prices", "costs")
