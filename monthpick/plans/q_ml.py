@@ -16,7 +16,7 @@ from monthpick.operators.dataset import labeled_dataset
 from monthpick.operators.folds import fold_eligibility
 from monthpick.operators.logistic import fold_moments, tag_moments
 from monthpick.operators.models import prepare, training_rows
-from monthpick.operators.smote import smote
+from monthpick.operators.smote import neighbour_recall, smote
 from monthpick.plans.context import finish, inputs
 from monthpick.plans.oracle_sql import rnd
 from monthpick.plans.q_metrics import fold_sql
@@ -164,6 +164,37 @@ def q_smote_counts(spark, sf_dir):
     return _smote_last_fold(spark, sf_dir).groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_QID = "EID || '|' || PEAKID || '|' || TARGET_MONTH"
+_SQUARES = " + ".join(f"(CAST(a.{f} AS DOUBLE) - CAST(b.{f} AS DOUBLE)) * (CAST(a.{f} AS DOUBLE) - CAST(b.{f} AS DOUBLE))" for f in _FEATS)
+
+
+@query(
+    "smote_recall",
+    fold_sql(
+        f"""SELECT qid, {rnd('min(d)', 4, 'nearest')}, {rnd('max(d)', 4, 'farthest')}, TRUE AS recall_ok FROM (
+  SELECT a.qid, sqrt({_SQUARES}) AS d, row_number() OVER (PARTITION BY a.qid ORDER BY sqrt({_SQUARES})) AS k
+  FROM (SELECT *, {_QID} AS qid FROM labeled WHERE IS_PROFITABLE_L = 1
+        AND TARGET_MONTH < (SELECT max(VAL_MONTH) FROM elig WHERE {ELIGIBLE})) b,
+       (SELECT *, {_QID} AS qid FROM labeled WHERE IS_PROFITABLE_L = 1
+        AND TARGET_MONTH < (SELECT max(VAL_MONTH) FROM elig WHERE {ELIGIBLE})
+        AND ('0x' || substr(md5({_QID}), 1, 8))::BIGINT % 20 = 0) a
+  WHERE a.qid <> b.qid) x WHERE k <= 5 GROUP BY qid"""
+    ),
+)
+def q_smote_recall(spark, sf_dir):
+    """Exact neighbour distances in the last fold's positive class for every row whose hash is divisible by 20,
+    and whether the forest that SMOTE uses finds at least 0.9 of these neighbours."""
+    ds, _ = _dataset(spark, sf_dir, staged=True)
+    feat_cols = available_features(ds.columns)
+    last = eligible_folds(ds, 6)[-1]
+    positive = prepare(ds, feat_cols).where((F.col("TARGET_MONTH") < last["VAL_MONTH"]) & (F.col("label") == 1))
+    qid = F.concat_ws("|", "EID", F.col("PEAKID").cast("int").cast("string"), "TARGET_MONTH")
+    asked = F.conv(F.substring(F.md5(qid), 1, 8), 16, 10).cast("bigint") % 20 == 0
+    found = materialize(neighbour_recall(positive, feat_cols, asked, qid), name="smote-recall")
+    recall = found.agg((F.sum("hits") / F.sum(F.size("distances")) >= 0.9).alias("recall_ok")).first()[0]
+    return found.select("qid", snap(F.element_at("distances", 1), 4).alias("nearest"), snap(F.element_at("distances", -1), 4).alias("farthest"), F.lit(recall).alias("recall_ok"))
+
+
 @query("walkforward_selections")
 def q_walkforward_selections(spark, sf_dir):
     return _walk(spark, sf_dir, "logistic").selections

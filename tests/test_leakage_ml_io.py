@@ -299,3 +299,24 @@ def test_model_queries_train_all_boosting_rounds(spark, monkeypatch):
     q_ml._walk(spark, "d", "lightgbm")
     q_ml._comparison(spark, "d")
     assert rounds == {"walk_forward": GBT_TREES, "compare_models": GBT_TREES} and GBT_TREES == 500
+
+
+def test_neighbour_recall_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from monthpick.operators import smote as sm
+
+    monkeypatch.setattr(sm, "QUERY_BLOCK", 7)
+    rng = random.Random(9)
+    points = [(float(rng.randrange(12)), float(rng.randrange(12)), rng.choice([0.0, 0.5])) for _ in range(300)] + [(3.0, 3.0, 0.0)] * 40
+    rows = spark.createDataFrame([(f"q{i}", *p) for i, p in enumerate(points)], "id string, f1 double, f2 double, f3 double").repartition(6)
+    asked = F.substring("id", 2, 9).cast("int") % 5 == 0
+    got = {r["qid"]: r for r in sm.neighbour_recall(rows, ["f1", "f2", "f3"], asked, F.col("id")).collect()}
+    assert set(got) == {f"q{i}" for i in range(0, 340, 5)}
+    x = np.array(points)
+    for i in range(0, 340, 5):
+        d = np.sort(np.delete(np.sqrt(((x - x[i]) ** 2).sum(1)), i))[:5]
+        assert got[f"q{i}"]["distances"] == pytest.approx(list(d))
+        assert got[f"q{i}"]["hits"] == 5  # one cell: the forest is exact
+    few = sm.neighbour_recall(rows.where("id IN ('q1', 'q2', 'q5')"), ["f1", "f2", "f3"], asked, F.col("id")).collect()
+    assert [(r["qid"], len(r["distances"]), r["hits"]) for r in few] == [("q5", 2, 2)]
