@@ -67,11 +67,16 @@ def read_piece(piece: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def load_tokenizer(path: str):
+def vocabulary(path: str) -> bytes:
+    """A vocabulary file's bytes (fixed size), which travel to the tasks: executors need not have the file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def load_tokenizer(data: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("chat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -80,9 +85,10 @@ def _chains(conversations: DataFrame, tokenizer: str) -> DataFrame:
 
     Conversations pass in order, a row at a time: memory holds the node ids of one.
     """
+    data = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(tokenizer).encode_ordinary
+        encode = load_tokenizer(data).encode_ordinary
         current, path, root, position = None, [], "", 0
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string()]
         names = [x.split()[0] for x in _ROW.split(", ")]
@@ -96,7 +102,7 @@ def _chains(conversations: DataFrame, tokenizer: str) -> DataFrame:
                     current, path, position = conv, [], 0
                 before, body, after = pieces(role, text)
                 parent = path[-1] if path else ""
-                node = hashlib.sha256("\0".join((parent, role, text)).encode()).hexdigest()[:32]
+                node = hashlib.sha256(f"{parent}:{len(role)}:{role}{text}".encode()).hexdigest()[:32]
                 path.append(node)
                 root = path[0]
                 a, b, c = encode(before), encode(body), encode(after)
@@ -161,9 +167,10 @@ def format_tree(conversations: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) ->
 def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """Per conversation, from the formatted output alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    data = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load_tokenizer(tokenizer).decode_bytes
+        decode = load_tokenizer(data).decode_bytes
         names = [x.split()[0] for x in schema.split(", ")]
         state, done = None, []
 

@@ -39,6 +39,7 @@ def read(df):
 
 ROWS = [(1, 0, "user", "a b"), (1, 1, "assistant", "c"), (2, 0, "user", "a b"), (2, 1, "assistant", "d"), (3, 0, "user", "a b"), (3, 1, "assistant", "c"), (3, 2, "user", "zz"), (3, 3, "assistant", "end")]
 ROWS += [(4, 0, None, None), (4, 0, None, None), (5, 0, "assistant", "x" * 20_000), (6, 0, "user", "a b"), (None, 0, "user", "q"), (7, 0, "tool", "out")]
+ROWS += [(9, 0, "a\0b", "c"), (10, 0, "a", "b\0c"), (11, 0, "a:1:b", "c"), (12, 0, "", "a\0b\0c"), (13, 0, "user", "a b\0"), (13, 1, "", "assistantc")]
 ROWS += [(8, k, "user" if k % 2 else "assistant", t) for k, t in enumerate(TRICKY)]
 
 
