@@ -40,10 +40,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree: source/lang/doc_id.txt."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """The documents as files of a tree: source/lang/doc_id.txt; documents without an id are named by their text."""
+    nameless = F.concat(F.lit("none-"), F.xxhash64("text").cast("string"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), nameless), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), name)
     out = license_scan.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
-    return out.select(F.regexp_extract("path", r"([0-9-]+)\.txt$", 1).cast("bigint").alias("doc_id"), "license", "how", "score")
+    doc_id = F.regexp_extract("path", r"(?:^|/)(-?[0-9]+)\.txt$", 1).try_cast("bigint")
+    return out.select(doc_id.alias("doc_id"), "license", "how", "score")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

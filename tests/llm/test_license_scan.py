@@ -63,3 +63,19 @@ def test_real_licence_files_and_wrapped_headers(spark):
     got = {r.path: (r.license, r.how) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert {p: got[p] for p, _, _ in rows} == {p: (k, "own" if k else "none") for p, _, k in rows}
     assert {d: got[f"{d}/src/x.py"] for d in ("mit", "bsd", "gpl", "apache")} == {"mit": ("MIT", "inherited"), "bsd": ("BSD-3-Clause", "inherited"), "gpl": ("GPL-3.0", "inherited"), "apache": ("Apache-2.0", "inherited")}
+
+
+def test_query_with_null_ids_and_paths(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.", "en", "a"), (None, "plain", "en", "a"), (None, None, None, None), (-7, "Released under the MIT License.", "de", "a"), (8, "plain", "de", "a"), (9, "plain", "en", "")]
+    spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id bigint, text string, lang string, source string, score double, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.license, r.how) for r in queries.op6_license_scan(spark, str(tmp_path)).collect()), key=str)
+    want = [(None, "MIT", "own"), (None, "MIT", "inherited"), (None, None, "none"), (-7, "MIT", "own"), (8, "MIT", "inherited"), (9, None, "none")]
+    assert got == sorted(want, key=str)
+
+
+def test_main_path_runs_without_python_workers(spark, sf):
+    from monthpick.llm.common import table
+
+    df = license_scan.scan(table(spark, sf, "documents").select("source", "text").withColumnRenamed("source", "path"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
