@@ -257,17 +257,20 @@ def _valid(embeddings: DataFrame) -> DataFrame:
 
 
 def link_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
-    spark = embeddings.sparkSession
-    scratch = Scratch(spark, "embedding-graph")
+    """(vec_id, n_links, component_id, kept) of every vector; vectors of each length have a graph of their own."""
+    scratch = Scratch(embeddings.sparkSession, "embedding-graph")
     valid = _valid(embeddings)
-    lengths = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    valid = valid.join(F.broadcast(lengths.select("d")), F.size("embedding") == F.col("d")).drop("d")
+    every = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    out = every.where(~_fine()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for (d,) in valid.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():  # one row for each length
+        out = out.unionByName(_linked(valid.where(F.size("embedding") == d), threshold, scratch))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(valid: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(vec_id, n_links, component_id) of vectors of one length."""
     groups = scratch.stage(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")))
     n = groups.count()
-    every = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"))
-    if not n:
-        return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = unit([r[0] for r in groups.orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE).select("embedding").toLocalIterator()])
     k = int(min(max(1, -(-n * SPREAD // SHARD)), max(1, len(sample) // SAMPLE_PER_CENTROID)))
     assigned = scratch.stage(_assigned(groups, fit_centroids(sample, k)))
@@ -284,11 +287,7 @@ def link_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     counts = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     roots = components(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     summary = scratch.stage(groups.join(counts, "id", "left").join(roots, "id", "left").select("embedding", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    named = valid.join(summary, "embedding").select("vec_id", "n_links", "component_id")
-    rest = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    odd = rest.join(F.broadcast(lengths.select("d")), F.size("embedding") == F.col("d"), "left").where(F.col("d").isNull() | ~_fine())
-    out = named.unionByName(odd.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return valid.join(summary, "embedding").select("vec_id", "n_links", "component_id")
 
 
 def audit(embeddings: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

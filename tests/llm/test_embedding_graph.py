@@ -8,10 +8,11 @@ from monthpick.llm.common import table
 
 
 def brute(rows, threshold=0.95):
-    fine = [(i, np.array(v, np.float64)) for i, v in rows if v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
-    ids = [i for i, _ in fine]
-    x = np.array([v / np.linalg.norm(v) for _, v in fine]).reshape(len(fine), -1)
-    links = x @ x.T >= threshold - 1e-12 if len(fine) else np.zeros((0, 0), bool)
+    fine = [(i, np.array(v, np.float64)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    ids, width = [i for i, _ in fine], max([len(v) for _, v in fine], default=1)
+    x = np.array([np.pad(v / np.linalg.norm(v), (0, width - len(v))) for _, v in fine]).reshape(len(fine), -1)
+    length = np.array([len(v) for _, v in fine])
+    links = (x @ x.T >= threshold - 1e-12) & (length[:, None] == length) if len(fine) else np.zeros((0, 0), bool)
     np.fill_diagonal(links, False)
     label = list(ids)
     for _ in ids:
@@ -37,6 +38,7 @@ def fixture():
     centres = rng.normal(size=(6, 8))
     rows = [(k, (centres[k % 6] + rng.normal(0, 0.08 if k % 3 else 0.6, 8)).astype(np.float32).tolist()) for k in range(400)]
     rows += [(1000 + k, rows[7][1]) for k in range(50)] + [(2000, None), (2001, []), (2002, [0.0] * 8), (2003, [float("nan")] * 8), (2004, [float("inf")] + [0.0] * 7), (2005, [None] + [1.0] * 7), (2006, [1.0] * 3)]
+    rows += [(3000 + k, [1.0, 2.0, 3.0 + (k > 2) * 0.1]) for k in range(6)] + [(3100 + k, [float(k % 2), 1.0, -1.0, 2.0]) for k in range(4)] + [(3200, [5.0]), (3201, [-5.0]), (3202, [7.0])]
     return rows
 
 
