@@ -22,8 +22,8 @@ passage or copy that a third of all rows have costs a row for each task.
 
 Edge cases: null and empty texts have no words (n_words 0, the digest of the empty
 string); texts of fewer than 13 words stay whole; very long texts are taken whole; rows
-with one doc_id do not remove words from each other and should have one text; a null
-doc_id counts as larger than all others; an empty table gives no rows; other columns
+with one doc_id do not remove words from each other, and each loses its own repeats
+whatever the others' texts; a null doc_id counts as larger than all others; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -92,6 +92,27 @@ def _unpack_texts(blob: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def _offsets(blobs: list[bytes]) -> dict[int, dict[bytes, int]]:
+    """Of documents with several different texts: where each text's words begin when the texts stand one behind the other."""
+    times: dict[int, int] = {}
+    for blob in blobs:
+        with zstandard.ZstdDecompressor().stream_reader(blob) as head:
+            n = int(np.frombuffer(head.read(8), np.int64)[0])
+            for i in np.frombuffer(head.read(8 * n), np.int64).tolist():
+                times[i] = times.get(i, 0) + 1
+    several: dict[int, set[bytes]] = {i: set() for i, n in times.items() if n > 1}
+    for blob in blobs if several else ():
+        for i, text in _unpack_texts(blob):
+            if i in several:
+                several[i].add(text)
+    out = {}
+    for i, texts in several.items():
+        if len(texts) > 1:
+            ends = np.cumsum([0, *[len(t.split()) for t in sorted(texts)]]).tolist()
+            out[i] = dict(zip(sorted(texts), ends))
+    return out
+
+
 def _by_document(places: np.ndarray) -> dict[int, np.ndarray]:
     """Word positions by document."""
     docs = np.ascontiguousarray(places["doc"])
@@ -265,7 +286,7 @@ def _suffixes(bucketed: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
         counts, memo, parts, groups = shared.load(), word_memo(), [], []
         kinds, data = np.array(table["kind"].to_pylist()), table["blob"].to_pylist()
         places = _unpack([data[i] for i in np.flatnonzero(kinds == ANCHOR)], _PLACE)
-        of = _by_document(places)
+        of, offsets = _by_document(places), _offsets([data[k] for k in np.flatnonzero(kinds == TEXT)])
         for k in np.flatnonzero(kinds == TEXT):
             for doc, text in _unpack_texts(data[k]):
                 anchors = of.get(doc)
@@ -283,7 +304,7 @@ def _suffixes(bucketed: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
                 for j in range(8, WINDOW):
                     rest = rest << np.uint64(8) | symbols[starts + j]
                 rows["k0"], rows["k1"], rows["k2"] = first, rest << np.uint64(24) | window >> np.uint64(40), window & np.uint64(0xFFFFFFFF)
-                rows["doc"], rows["at"] = doc, starts
+                rows["doc"], rows["at"] = doc, starts + offsets.get(doc, {}).get(text, 0)
                 parts.append(rows)
                 groups.append(_group_code(codes, starts, counts))
         if not parts:
@@ -337,14 +358,15 @@ def _cut(bucketed: DataFrame, with_text: bool) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         kinds, data = np.array(table["kind"].to_pylist()), table["blob"].to_pylist()
         places = _unpack([data[i] for i in np.flatnonzero(kinds == REMOVED)], _PLACE)
-        of = _by_document(places)
+        of, offsets = _by_document(places), _offsets([data[k] for k in np.flatnonzero(kinds == TEXT)])
         ids, n_words, n_removed, digests, kept_texts = [], [], [], [], []
         for k in np.flatnonzero(kinds == TEXT):
             for doc, text in _unpack_texts(data[k]):
                 words = text.split()
                 at = of.get(doc)
                 if at is not None:
-                    at = at[at + WINDOW <= len(words)]
+                    at = at - offsets.get(doc, {}).get(text, 0)
+                    at = at[(at >= 0) & (at + WINDOW <= len(words))]
                     edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
                     kept = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
                 else:

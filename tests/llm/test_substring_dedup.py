@@ -48,6 +48,14 @@ def test_edge_cases_match_brute_force(spark, docs):
     assert kept[6] == "x y" and kept[4] == ""
 
 
+def test_rows_of_one_id_with_different_texts(spark, docs):
+    w = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    rows = [(1, w(0, 30)), (5, w(100, 130)), (5, w(0, 30) + " z"), (7, w(100, 130) + " y"), (5, w(100, 130)), (7, "a b " + w(0, 30)), (None, w(0, 20)), (None, w(100, 120) + " c")]
+    out = substring_dedup.remove_repeats(docs(rows).repartition(5))
+    assert got(out) == brute(rows)
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect() if r.doc_id is not None) == [(1, 0), (5, 0), (5, 0), (5, 30), (7, 30), (7, 30)]
+
+
 def test_empty_table(docs):
     assert substring_dedup.remove_repeats(docs([])).collect() == []
 
