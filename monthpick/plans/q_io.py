@@ -18,7 +18,7 @@ from monthpick.functions.months import years_needed
 from monthpick.operators.dataset import labeled_dataset
 from monthpick.plans.context import finish, inputs
 from monthpick.plans.oracle_sql import ctes, month_str, rnd
-from monthpick.plans.q_features import LABELED_SQL
+from monthpick.plans.q_features import FEATS, LABELED_SQL
 from monthpick.plans.q_labels import LOAD_SIM_DAILY_SQL, scen_str
 from monthpick.plans.q_selection import sel_ctes
 from monthpick.plans.pipelines import run
@@ -51,6 +51,27 @@ def q_dataset_roundtrip(spark, sf_dir):
     return finish(read_dataset(spark, path))
 
 
+_FLOATS = [f for f in FEATS if not f.startswith("hist_months_active")]
+
+
+@query(
+    "dataset_float32",
+    ctes("labeled")
+    + "SELECT TARGET_MONTH, EID, PEAKID, hist_months_active_6m, IS_PROFITABLE_L AS IS_PROFITABLE, "
+    + ", ".join(rnd(f"CAST(CAST({f} AS FLOAT) AS DOUBLE)", 2, f) for f in _FLOATS)
+    + ", 'float' AS kind FROM labeled",
+)
+def q_dataset_float32(spark, sf_dir):
+    """The dataset written with single-precision measures and read back."""
+    i = inputs(spark, sf_dir).stage_all()
+    path = scratch_path(spark, "dataset")
+    write_dataset(labeled_dataset(i.sim_monthly, i.sim_daily, i.hist, sm_features=i.sm_features, sd_features=i.sd_features), path, float32=True)
+    back = read_dataset(spark, path)
+    kinds = {t for c, t in back.dtypes if c in _FLOATS}
+    values = [snap(F.col(f).cast("double"), 2).alias(f) for f in _FLOATS]
+    return back.select("TARGET_MONTH", "EID", "PEAKID", "hist_months_active_6m", "IS_PROFITABLE", *values, F.lit(",".join(sorted(kinds))).alias("kind"))
+
+
 @query("dataset_refresh", LABELED_SQL)
 def q_dataset_refresh(spark, sf_dir):
     """A dataset built from inputs one of whose label months is wrong, then

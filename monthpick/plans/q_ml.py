@@ -14,16 +14,27 @@ from pyspark.sql import functions as F
 from monthpick.functions.columns import snap
 from monthpick.operators.dataset import labeled_dataset
 from monthpick.operators.folds import fold_eligibility
-from monthpick.operators.logistic import fold_moments, tag_moments
-from monthpick.operators.models import prepare, training_rows
+from monthpick.operators.logistic import LogisticModel, fold_moments, tag_moments
+from monthpick.operators.models import prepare, score, training_rows
 from monthpick.operators.smote import neighbour_recall, smote
 from monthpick.plans.context import finish, inputs
-from monthpick.plans.oracle_sql import rnd
+from monthpick.plans.oracle_sql import ctes, rnd
+from monthpick.plans.oracle_sql import peak_type as sql_peak_type
 from monthpick.plans.q_metrics import fold_sql
 from monthpick.plans.registry import query
-from monthpick.plans.training import compare_models, eligible_folds, rerun_selection, save_result_bundle, walk_forward
+from monthpick.plans.training import (
+    compare_models,
+    eligible_folds,
+    fit_fold,
+    fit_together,
+    fold_scalers,
+    rerun_selection,
+    save_result_bundle,
+    walk_forward,
+)
 from monthpick.schema import available_features, matrix_feature_names
 from monthpick.session import materialize, scratch_path
+from monthpick.sources.sinks import load_bundle, save_bundle
 
 ELIGIBLE = "n_train_months >= 6 AND n_train_rows > 0 AND n_train_pos >= 5 AND n_val_rows > 0 AND n_val_classes >= 2"
 
@@ -139,6 +150,45 @@ def q_fold_scaler_moments(spark, sf_dir):
     return out.select("fold", name.alias("feature"), "n", "n_pos", snap("mean", 4).alias("mean"), snap("deviation", 4).alias("deviation"))
 
 
+@query(
+    "logistic_optimality",
+    fold_sql(
+        "SELECT VAL_MONTH AS fold, feature, 0.0::DOUBLE AS residual FROM elig, (VALUES ('intercept'), "
+        + ", ".join(f"('{f}')" for f in _FEATS)
+        + f") v(feature) WHERE {ELIGIBLE}"
+    ),
+)
+def q_logistic_optimality(spark, sf_dir):
+    """The equations whose only solution is the penalised, balanced model: for every fold and coefficient, the
+    weighted residuals of all its training rows against the standardised feature, plus the coefficient, are 0."""
+    ds, _ = _dataset(spark, sf_dir, staged=True)
+    feat_cols = available_features(ds.columns)
+    data, folds = prepare(ds, feat_cols), eligible_folds(ds, 6)
+    fits = [fit_fold(data, feat_cols, "logistic", int(r["n_train_rows"]), int(r["n_train_pos"]), fold=r["VAL_MONTH"]) for r in folds]
+    done = fit_together(fits, data)
+    scalers = fold_scalers(done.rows, done.rows, [f.fold for f in fits], [], len(feat_cols))
+    known = []
+    for f in fits:
+        model, (mean, deviation) = done.logistic[f.fold], scalers[f.fold]
+        known.append((f.fold, model.intercept, model.coefficients, mean.tolist(), deviation.tolist(), f.n_rows / (2.0 * (f.n_rows - f.n_pos)), f.n_rows / (2.0 * f.n_pos)))
+    models = spark.createDataFrame(known, "fold string, intercept double, c array<double>, mean array<double>, deviation array<double>, w0 double, w1 double")
+    months = [r[0] for r in done.rows.select("tag").distinct().collect()]
+    holds = spark.createDataFrame([(m, [f.fold for f in fits if m < f.fold]) for m in months], "tag string, folds array<string>")
+    # both tables are bounded by the calendar
+    rows = done.rows.join(F.broadcast(holds), "tag").select(F.explode("folds").alias("fold"), "y", "x").join(F.broadcast(models), "fold")
+    eta = F.col("intercept")
+    for j in range(len(feat_cols)):
+        eta = eta + F.col("x")[j] * F.col("c")[j]
+    wrong = (F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)) - F.col("y")) * F.when(F.col("y") > 0, F.col("w1")).otherwise(F.col("w0"))
+    rows = rows.withColumn("wrong", wrong)
+    part = lambda j: F.when(F.col("deviation")[j] > 0, F.col("wrong") * (F.col("x")[j] - F.col("mean")[j]) / F.col("deviation")[j]).otherwise(0.0)
+    sums = rows.groupBy("fold").agg(F.sum("wrong").alias("intercept_sum"), *[F.sum(part(j)).alias(f"s{j}") for j in range(len(feat_cols))])
+    sums = sums.join(F.broadcast(models), "fold")
+    each = [F.struct(F.lit("intercept").alias("feature"), F.col("intercept_sum").alias("residual"))]
+    each += [F.struct(F.lit(c).alias("feature"), (F.col(f"s{j}") + F.col("c")[j] * F.col("deviation")[j]).alias("residual")) for j, c in enumerate(feat_cols)]
+    return sums.select("fold", F.inline(F.array(*each))).select("fold", "feature", snap("residual", 4).alias("residual"))
+
+
 def _smote_last_fold(spark, sf_dir):
     """Training rows of the last eligible fold plus synthetic rows of the smaller class."""
     ds, _ = _dataset(spark, sf_dir, staged=True)
@@ -195,6 +245,49 @@ def q_smote_recall(spark, sf_dir):
     return found.select("qid", snap(F.element_at("distances", 1), 4).alias("nearest"), snap(F.element_at("distances", -1), 4).alias("farthest"), F.lit(recall).alias("recall_ok"))
 
 
+#: A linear model with given coefficients, so that SQL can follow what a stored model does.
+GIVEN = {"sm_ACTIVATIONLEVEL_mean": 0.03, "sm_PSM_mean": 1e-5, "sd_ACTIVATIONLEVEL_mean": -0.01, "hist_profit_rate_6m": 1.5, "PEAKID": -0.25}
+GIVEN_START, GIVEN_THRESHOLD, GIVEN_LAST = -1.5, 0.45, "1998-06"
+_GIVEN_PROBA = f"1.0 / (1.0 + exp(-({GIVEN_START} + " + " + ".join(f"CAST({f} AS DOUBLE) * {b!r}" for f, b in GIVEN.items()) + ")))"
+
+
+def _given_bundle(spark) -> str:
+    path = scratch_path(spark, "bundle")
+    save_bundle(LogisticModel(list(GIVEN), GIVEN_START, list(GIVEN.values())), path, GIVEN_THRESHOLD, list(GIVEN), "logistic", GIVEN_LAST)
+    return path
+
+
+@query("bundle_scores", ctes("labeled") + f"SELECT TARGET_MONTH, EID, PEAKID, {rnd(_GIVEN_PROBA, 6, 'proba')} FROM labeled")
+def q_bundle_scores(spark, sf_dir):
+    """Every row of the dataset scored by a model that was saved and loaded."""
+    ds, _ = _dataset(spark, sf_dir)
+    model = load_bundle(spark, _given_bundle(spark))["model"]
+    return finish(score(model, ds).select("TARGET_MONTH", "EID", F.col("PEAKID").cast("int").alias("PEAKID"), "proba"))
+
+
+@query(
+    "rerun_given_model",
+    ctes(
+        "labeled",
+        extra=[
+            ("months", "SELECT DISTINCT TARGET_MONTH FROM labeled ORDER BY 1 OFFSET 6"),
+            ("scored", f"SELECT TARGET_MONTH, EID, PEAKID, {_GIVEN_PROBA} AS p FROM labeled WHERE TARGET_MONTH IN (FROM months)"),
+            (
+                "ranked",
+                f"""SELECT *, row_number() OVER (PARTITION BY TARGET_MONTH ORDER BY p DESC, EID, PEAKID) AS rn,
+       count(*) FILTER (WHERE p >= {GIVEN_THRESHOLD}) OVER (PARTITION BY TARGET_MONTH) AS n FROM scored""",
+            ),
+        ],
+    )
+    + f"""SELECT DISTINCT TARGET_MONTH, {sql_peak_type()} AS PEAK_TYPE, EID, TARGET_MONTH <= '{GIVEN_LAST}' AS in_sample
+FROM ranked WHERE CASE WHEN n < 10 THEN rn <= 10 ELSE rn <= 100 AND p >= {GIVEN_THRESHOLD} END""",
+)
+def q_rerun_given_model(spark, sf_dir):
+    """Rescoring by a stored bundle: every month after the first six, at its threshold."""
+    ds, _ = _dataset(spark, sf_dir)
+    return rerun_selection(spark, _given_bundle(spark), ds, 6)
+
+
 @query("walkforward_selections")
 def q_walkforward_selections(spark, sf_dir):
     return _walk(spark, sf_dir, "logistic").selections

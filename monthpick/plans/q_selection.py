@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from monthpick.functions.columns import peak_type
 from monthpick.operators.evaluation import (
     backtest_summary,
@@ -24,6 +26,7 @@ from monthpick.plans.oracle_sql import peak_type as sql_peak_type
 from monthpick.plans.pipelines import run, run_backtest
 from monthpick.plans.registry import query
 from monthpick.schema import DEFAULT_WEIGHTS
+from monthpick.session import materialize
 from monthpick.sources.adapters import driver_sources
 
 # parameters of the registered selection queries
@@ -134,6 +137,26 @@ def q_select_topk(spark, sf_dir):
     return picked.select("TARGET_MONTH", peak_type().alias("PEAK_TYPE"), "EID", "score", "rank")
 
 
+@query(
+    "select_clamped_k",
+    sel_ctes(100, 0.0)
+    + " UNION ALL ".join(
+        f"SELECT {asked} AS asked, TARGET_MONTH, {sql_peak_type()} AS PEAK_TYPE, EID, score, CAST(rank AS INTEGER) AS rank FROM picked WHERE rank <= {k}"
+        for asked, k in ((3, 10), (25, 25), (500, 100))
+    ),
+)
+def q_select_clamped_k(spark, sf_dir):
+    """A wanted number of selections below 10, between and above 100."""
+    m, _ = _matrix(spark, sf_dir)
+    m = materialize(m, name="matrix")
+    out = None
+    for asked in (3, 25, 500):
+        picked = select_opportunities(m, asked, keep_scores=True)
+        picked = picked.select(F.lit(asked).alias("asked"), "TARGET_MONTH", peak_type().alias("PEAK_TYPE"), "EID", "score", "rank")
+        out = picked if out is None else out.unionByName(picked)
+    return out
+
+
 @query(
     "select_topk_floor",
     sel_ctes(50, TOPK_FLOOR_THRESHOLD)
