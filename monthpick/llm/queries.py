@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthpick.llm import chat_tree, conversation_repair, decontaminate, embedding_graph, html_extract, importance, jaccard_join, language_id, license_scan, private_data, sentencepieces, substring_dedup, toxicity
+from monthpick.llm import chat_tree, conversation_repair, decontaminate, embedding_graph, html_extract, importance, jaccard_join, language_id, license_scan, oracles, private_data, sentencepieces, substring_dedup, toxicity
 from monthpick.llm.common import held_out, table
 
 
@@ -84,4 +84,4 @@ def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_private_data, op3_embedding_graph, op4_sentencepiece, op5_toxicity, op6_license_scan, op7_decontamination, op8_language_id, op9_jaccard_join, op10_chat_tree, op11_conversation_repair, op12_importance, op13_html_extract)}
-ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle()} | oracles.ORACLES
