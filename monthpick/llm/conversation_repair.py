@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -91,17 +90,23 @@ def edits(symbol: str, state: int) -> list[tuple[str, int, int]]:
     return out
 
 
-@lru_cache(maxsize=None)
+#: Matrices of 2 ** k rows of a symbol, as far as they were asked for.
+_POWERS: dict[tuple[str, int], np.ndarray] = {}
+
+
 def power(symbol: str, k: int) -> np.ndarray:
     """Matrix of 2 ** k rows of a symbol."""
-    if k:
-        half = power(symbol, k - 1)
-        return min_plus(half, half)
-    m = np.full((4, 4), NEVER)
-    for state in range(4):
-        for _, cost, to in edits(symbol, state):
-            m[state, to] = min(m[state, to], cost)
-    return min_plus(INSERTS, m)
+    if (symbol, k) not in _POWERS:
+        if k:
+            half = power(symbol, k - 1)
+            _POWERS[symbol, k] = min_plus(half, half)
+        else:
+            m = np.full((4, 4), NEVER)
+            for state in range(4):
+                for _, cost, to in edits(symbol, state):
+                    m[state, to] = min(m[state, to], cost)
+            _POWERS[symbol, k] = min_plus(INSERTS, m)
+    return _POWERS[symbol, k]
 
 
 def runs(symbols: bytes) -> list[tuple[str, int]]:
