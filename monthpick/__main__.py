@@ -8,6 +8,7 @@ Parquet paths (files or folders, e.g. one file per year).
   train     walk-forward training of one model; selections -> CSV, bundle saved
   compare   logistic / boosted-tree profiles on the same folds
   rerun     rescore a saved bundle on a written feature dataset -> CSV
+  refresh   bring a written feature dataset up to date: only changed target months
   convert   every Parquet file below a folder -> CSV
 """
 
@@ -90,6 +91,10 @@ def main(argv=None) -> int:
     rr.add_argument("--dataset", required=True)
     rr.add_argument("--min-train-months", type=int, default=6)
     rr.add_argument("--output", default="opportunities.csv")
+    rf = sub.add_parser("refresh")
+    tables(rf, months=False)
+    rf.add_argument("--dataset", required=True)
+    rf.add_argument("--lookback", type=int, default=6)
     cv = sub.add_parser("convert")
     cv.add_argument("--input", required=True)
     cv.add_argument("--output", required=True)
@@ -149,6 +154,15 @@ def main(argv=None) -> int:
 
         sel = rerun_selection(spark, a.bundle, read_dataset(spark, a.dataset), a.min_train_months)
         write_opportunities_csv(sel, a.output)
+    elif a.cmd == "refresh":
+        from monthpick.plans.refresh import refresh_dataset
+        from monthpick.sources.loaders import load_costs, load_prices, load_sim_daily, load_sim_monthly
+
+        raw = _raw(spark, a)
+        done = refresh_dataset(
+            spark, a.dataset, load_prices(raw.prices), load_costs(raw.costs), load_sim_monthly(raw.sim_monthly), load_sim_daily(raw.sim_daily), a.lookback
+        )
+        print(f"built {len(done.built)}, dropped {len(done.dropped)}, kept {done.kept} target months")
     elif a.cmd == "convert":
         from monthpick.sources.sinks import bulk_convert
 
