@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Shipped, blocks, byte_column
+from monthpick.llm.common import Shipped, blocks, byte_column, tidy
 from monthpick.llm.toxicity import text_words
 
 SEED = 3
@@ -89,7 +89,7 @@ def count_words(documents: DataFrame, words: dict[bytes, int]) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["word", "n"])
 
-    got = documents.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    got = documents.select("text").mapInArrow(tidy(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(words) + 1, np.int64)
     out[got["word"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -249,7 +249,7 @@ def _without(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
                 clean[[a + t for t, _ in align_regions(index, *_word_ids(texts[a:b], index.words), min_score)]] = False
             yield batch.filter(pa.array(clean))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def _match(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
@@ -267,4 +267,4 @@ def _match(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return documents.mapInArrow(run, SCHEMA)
+    return documents.mapInArrow(tidy(run), SCHEMA)

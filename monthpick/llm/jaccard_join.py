@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Scratch, Shipped, blocks, byte_column, gram_codes, mix, word_codes, word_memo
+from monthpick.llm.common import Scratch, Shipped, blocks, byte_column, gram_codes, mix, tidy, word_codes, word_memo
 from monthpick.llm.components import components
 
 WORDS = 5
@@ -140,7 +140,7 @@ def _sets_and_sketch(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=names)
 
     names = ["doc_id", "n", "code", "bits", "slice", "counts"]
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, code bigint, bits binary, slice int, counts binary")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, code bigint, bits binary, slice int, counts binary")
 
 
 def _frequency_classes(slices: DataFrame) -> np.ndarray:
@@ -190,7 +190,7 @@ def _postings(documents: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
             blobs = [_pack(x) for x in np.split(rows, starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    return documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "bucket int, blob binary")
+    return documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "bucket int, blob binary")
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -361,7 +361,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def jaccard_classes(documents: DataFrame) -> DataFrame:

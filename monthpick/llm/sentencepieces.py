@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from monthpick.llm.common import Shipped
+from monthpick.llm.common import Shipped, tidy
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -303,7 +303,7 @@ def encode(documents: DataFrame, model: Unigram, keep: tuple[str, ...] = ("doc_i
                 out += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array(in_bytes[ends[1:]] - in_bytes[ends[:-1]], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(fine, pa.bool_())] if check else []), names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model: Unigram, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -317,4 +317,4 @@ def decode(encoded: DataFrame, model: Unigram, keep: tuple[str, ...] = ("doc_id"
             texts = [codec.decode(x or []) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return source.mapInArrow(run, encoded.select(*keep).schema.add("text", "string"))
+    return source.mapInArrow(tidy(run), encoded.select(*keep).schema.add("text", "string"))

@@ -7,7 +7,8 @@ layer reads the pooled answers.  Thresholds are calibrated by language on all la
 rows outside the held-out fold that the training didn't see, each class of a language
 weighted to its share of the labelled rows there, so neither the bounds of the training
 sample nor its class ratio move them; a histogram of the scores is all that leaves the
-executors.  The language is taken from the text's own function
+executors.  The fit itself is one task's work on the bounded sample; the driver gets the
+model alone.  The language is taken from the text's own function
 words, never from the lang column, and the score is rescaled so that a language's
 threshold lies at 0.7.
 
@@ -19,6 +20,7 @@ except those named by ``keep``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Memo, Shipped, blocks, byte_column, held_out
+from monthpick.llm.common import Memo, Shipped, blocks, byte_column, held_out, tidy
 
 #: Bounds of the labelled sample that the classifier is fitted on, by class.
 MAX_TOXIC, MAX_CLEAN = 2_500, 5_000
@@ -162,7 +164,7 @@ def _calibrate(model: Model, documents: DataFrame, marks: DataFrame, learned: Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(languages)), pa.array(np.concatenate(cells))], names=["doc_id", "language", "cell"])
 
     source = documents.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text")
-    cells = source.mapInArrow(run, source.select("doc_id").schema.add("language", "integer").add("cell", "integer"))
+    cells = source.mapInArrow(tidy(run), source.select("doc_id").schema.add("language", "integer").add("cell", "integer"))
     # documents' texts stay where they are: only small rows meet the labels
     rows = cells.join(marks, "doc_id").join(F.broadcast(learned.withColumn("learned", F.lit(True))), "doc_id", "left")
     counts = rows.groupBy("language", "cell", "toxic", F.col("learned").isNotNull().alias("learned")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # languages x cells x 4 at most
@@ -179,18 +181,25 @@ def _calibrate(model: Model, documents: DataFrame, marks: DataFrame, learned: Da
                 model.cuts[k] = _best_cell_cut(own[1], own[0])
 
 
+def text_keys(text: bytes, memo: Memo) -> tuple[np.ndarray, int]:
+    """What training keeps of a text: the hashed keys of its words, and its language."""
+    ws = text_words(text)
+    return np.array([memo[w] for w in ws], np.uint32).reshape(-1, 2), int(_languages([ws])[0])
+
+
 def train(texts: list[bytes], labels: list[int]) -> Model:
-    """Fit on labelled texts; every fifth of them only calibrates the thresholds, which ``fit`` sets anew from all rows."""
+    """``train_keys`` on texts."""
+    memo = Memo(word_keys, 50_000)
+    return train_keys(*zip(*(text_keys(t, memo) for t in texts)), labels)
+
+
+def train_keys(keys: tuple[np.ndarray, ...], languages: tuple[int, ...], labels: list[int]) -> Model:
+    """Fit on labelled texts' keys; every fifth of them only calibrates the thresholds, which ``fit`` sets anew from all rows."""
     rng = np.random.default_rng(SEED)
     y = np.asarray(labels, np.float32)
-    n = len(texts)
+    n = len(keys)
     learn = np.arange(n) % VALIDATION != 0
-    memo, keys, language = Memo(word_keys, 50_000), [], []
-    for i, t in enumerate(texts):  # one text's words at a time: only their keys stay
-        ws = text_words(t)
-        keys.append(np.array([memo[w] for w in ws], np.uint32).reshape(-1, 2))
-        if not learn[i]:
-            language.append(_languages([ws])[0])
+    language = [k for k, x in zip(languages, learn) if not x]
     by_class = [np.unique(np.concatenate([np.unique(keys[i]) for i in np.flatnonzero(learn & (y == k))] or [np.zeros(0, np.uint32)]), return_counts=True) for k in (0, 1)]
     kept = np.union1d(by_class[0][0], by_class[1][0])
     counts = np.zeros((len(kept) + 1, 2))  # texts with the key, by class
@@ -213,7 +222,6 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     for k in keys:
         at = np.minimum(np.searchsorted(kept, k), max(len(kept) - 1, 0))
         ids.append(np.where(kept[at] == k, at + 1, 0).astype(np.int32) if len(kept) else np.zeros(k.shape, np.int32))
-    del keys
 
     def batch(which):
         offsets = np.zeros(len(which) + 1, np.int64)
@@ -300,24 +308,38 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     """
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     chosen = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(m) for k, m in ((1, max_toxic), (0, max_clean))]
-    # the sample is bounded by the two parameters, so it may be broadcast and collected
+    # the sample is bounded by the two parameters, so it may be broadcast and fitted on in one task
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").where("text is not null")
-    got = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow()
-    y = got["toxic"].to_pylist()
-    if len(set(y)) < 2 or len(y) < 2 * VALIDATION:
+    rows = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, memo = [], Memo(word_keys, 50_000)
+        for batch in batches:
+            for i, (doc, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                text = byte_column(batch.slice(i, 1), "text")[0]  # one text at a time: only its keys stay
+                got.append((xxhash.xxh3_64_intdigest(text), doc, int(y), *text_keys(text, memo)))
+        del memo
+        if len({row[2] for row in got}) < 2 or len(got) < 2 * VALIDATION:
+            return
+        got.sort(key=lambda row: row[:2])
+        _, ids, labels, keys, languages = zip(*got)
+        got.clear()
+        model = train_keys(keys, languages, list(labels))
+        learned = [i for k, i in enumerate(ids) if k % VALIDATION]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))]), pa.array([learned])], names=["model", "learned"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    fitted = rows.repartition(1).mapInArrow(tidy(run), f"model binary, learned array<{kind}>").collect()
+    if not fitted:
         return None
-    texts = got["text"].cast(pa.binary()).to_pylist()
-    ids = got["doc_id"].to_pylist()
-    del got
-    order = sorted(range(len(y)), key=lambda i: (xxhash.xxh3_64_intdigest(texts[i]), ids[i]))
-    model = train([texts[i] for i in order], [int(y[i]) for i in order])
-    learned = [(ids[i],) for k, i in enumerate(order) if k % VALIDATION]
-    _calibrate(model, documents, marks, documents.sparkSession.createDataFrame(learned, sample.select("doc_id").schema))
+    model = Model(**pickle.loads(bytes(fitted[0]["model"])))
+    learned = documents.sparkSession.createDataFrame([(i,) for i in fitted[0]["learned"]], sample.select("doc_id").schema)
+    _calibrate(model, documents, marks, learned)
     return model
 
 
-def score_toxicity(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, *keep) for every row: one pass over the whole texts, no shuffle."""
+def score_toxicity(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """(doc_id, *keep, score under ``name``) for every row: one pass over the whole texts, no shuffle."""
     shared = Shipped(documents.sparkSession, model)  # bounded by the training sample
     columns = ["doc_id", *[c for c in keep if c != "doc_id"]]
     source = documents.select(*columns, *(["text"] if "text" not in columns else []))
@@ -329,7 +351,7 @@ def score_toxicity(documents: DataFrame, model: Model | None, keep: tuple[str, .
             texts = byte_column(batch, "text")
             scores = [score_texts(model, texts[a:b], memo) for a, b in blocks([len(t) for t in texts], 1 << 20)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in columns], pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in columns], pa.array(scores, pa.float64())], names=[*columns, name])
 
-    schema = source.select(*columns).schema.add("score", "double")
-    return source.mapInArrow(run, schema)
+    schema = source.select(*columns).schema.add(name, "double")
+    return source.mapInArrow(tidy(run), schema)

@@ -37,3 +37,27 @@ def test_run_is_the_chain_of_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "pieces", "n_pieces", "n_byte_pieces", "round_trip"]
     assert out.count() > 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing column names, empty side tables."""
+    long = " ".join(f"word{i % 9973}" for i in range(60_000))
+    copy = " ".join(f"c{i}" for i in range(40))
+    item = " ".join(f"question{i} about{i}" for i in range(20))
+    rows = [(1, copy, "en", "a"), (2, copy, None, None), (2, copy, None, None), (3, None, "en", "a"), (4, "", "en", "a"), (None, "no id", None, "b"), (None, None, None, None), (5, long, "en", "b"), (6, " \t\n", "en", "b")]
+    rows += [(7, f"before {item} after", "en", "a"), (8, "mail me at someone@example.org today", "en", "a"), (9, "é 日本 \U0001f600", "de", "c"), (10, "one", "en", "a")]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, component_id bigint, spans string, pieces int, kept boolean"
+    docs = [(*r, None if r[1] is None else len(r[1]), 0.5, 1, "s", 2, True) for r in rows]
+    spark.createDataFrame(docs, names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 1), (None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted((r["doc_id"] for r in got), key=str)
+    assert ids == sorted([1, 3, 4, 5, 6, 8, 9, 10, None, None], key=str)  # 2 is a copy of 1, 7 has a test item
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
