@@ -16,7 +16,8 @@ from monthpick.llm.common import Scratch, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, keep=tuple(docs.columns)).where(F.col("score") < toxicity.CUT).drop("score")
+    name = "_".join(["toxicity", *docs.columns])  # no column of documents has this name
+    return toxicity.score_toxicity(docs, model, tuple(docs.columns), name).where(F.col(name) < toxicity.CUT).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
