@@ -179,9 +179,14 @@ def _score(found: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
     edges_of = lambda one: one.select("kind", "value", F.explode(patterns).alias("pattern")).where("NOT (pattern IN ('L:', 'R:', 'B: '))")
     once = lambda edges: edges.groupBy("kind", "value", "pattern").agg(F.count(F.lit(1)).alias("times"))
     seeds = scratch.stage(once(edges_of(found.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.left", "s.right"))))
-    able = scratch.stage(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern").distinct())
-    others = once(edges_of(tokens.withColumn("kind", F.lit("token"))).join(able, "pattern", "left_semi"))
-    edges = scratch.stage(seeds.join(able, "pattern", "left_semi").select("kind", "value", "pattern", "times").unionByName(others.select("kind", "value", "pattern", "times")))
+    able = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern").distinct()
+    # edges carry a number for a pattern; its remainder by 3 tells the side
+    side = F.when(F.col("pattern").startswith("L:"), 0).when(F.col("pattern").startswith("R:"), 1).otherwise(2)
+    able = scratch.stage(able.select("pattern", (F.monotonically_increasing_id() * 3 + side).alias("number")))
+    numbered = lambda edges: edges.join(able, "pattern").drop("pattern").withColumnRenamed("number", "pattern")
+    others = numbered(edges_of(tokens.withColumn("kind", F.lit("token")))).groupBy("value", "pattern").agg(F.count(F.lit(1)).alias("times"))
+    others = others.select(F.lit("token").alias("kind"), "value", "pattern", "times")
+    edges = scratch.stage(numbered(seeds).select("kind", "value", "pattern", "times").unionByName(others))
     believed = None
     for _ in range(ROUNDS):
         belief = F.when(F.col("kind") != "token", 1.0)
@@ -194,7 +199,7 @@ def _score(found: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
         scored = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), *per, *seeds)
         options = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"b_{k}") / (F.col("all") + SMOOTH)).alias("confidence"), F.col(f"n_{k}").alias("support")) for k in KINDS])
         sure = scored.select("pattern", F.explode(options).alias("o")).where((F.col("o.support") >= MIN_SUPPORT) & (F.col("o.confidence") >= MIN_PATTERN)).select("pattern", F.col("o.kind").alias("as_kind"), F.col("o.confidence").alias("confidence"))
-        sides = [F.sum(F.when(F.col("pattern").startswith(x), F.col("times"))) for x in ("L:", "R:", "B:")]
+        sides = [F.sum(F.when(F.col("pattern") % 3 == x, F.col("times"))) for x in range(3)]
         by_value = edges.where("kind = 'token'").join(sure, "pattern").groupBy("value", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("belief"), F.greatest(*sides).alias("inside"))
         best = by_value.groupBy("value").agg(F.max(F.struct("belief", (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind"))).alias("first"), F.col("as_kind").alias("kind"), "inside")).alias("b"))
         believed = scratch.stage(best.select("value", "b.kind", "b.belief", "b.inside"))
