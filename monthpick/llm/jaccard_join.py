@@ -22,7 +22,8 @@ Texts are read again for the comparison; a Bloom filter of bounded size keeps mo
 texts without a candidate out of that shuffle (full, it would only let all of them in).
 
 Edge cases: null and empty texts have no set, n_shingles 0 and themselves as component;
-rows without a doc_id are compared only by equality of sets;
+rows without a doc_id are compared only by equality of sets; of rows with one doc_id and
+different texts only the least text is compared with others;
 texts of fewer than five words are one shingle; very long texts are taken whole; an
 empty table gives no rows; other columns are ignored.
 """
