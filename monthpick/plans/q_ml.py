@@ -296,9 +296,8 @@ def q_walkforward_selections(spark, sf_dir):
 @query("rerun_selection")
 def q_rerun_selection(spark, sf_dir):
     """Train, save the bundle (MLlib model + metadata Parquet), load it back and
-    rescore every month after the first six."""
-    ds, _ = _dataset(spark, sf_dir)
+    rescore every month after the first six of the dataset that the training staged."""
     res = _walk(spark, sf_dir, "logistic")
     path = scratch_path(spark, "bundle")
     save_result_bundle(res, path)
-    return rerun_selection(spark, path, ds, 6)
+    return rerun_selection(spark, path, res.dataset, 6)

@@ -224,6 +224,7 @@ class WalkForwardResult:
     feat_cols: list[str]
     model_type: str
     last_train_month: str | None
+    dataset: DataFrame | None = None  # staged by month
 
 
 def walk_forward(
@@ -250,7 +251,7 @@ def walk_forward(
         empty = spark.createDataFrame([], "fold string, EID string, PEAKID int, proba double, label int")
         rows = evaluation_rows(empty, metric)
         return WalkForwardResult(rows, fold_rollup(rows), expanding_mean(rows), as_opportunities(
-            empty.withColumnRenamed("fold", "TARGET_MONTH")), empty, None, 0.3, feat_cols, model_type, None)
+            empty.withColumnRenamed("fold", "TARGET_MONTH")), empty, None, 0.3, feat_cols, model_type, None, ds)
 
     def fit(row) -> FoldFit:
         train = data.where(F.col("TARGET_MONTH") < row["VAL_MONTH"])
@@ -279,6 +280,7 @@ def walk_forward(
         feat_cols=feat_cols,
         model_type=model_type,
         last_train_month=last_train,
+        dataset=ds,
     )
 
 
