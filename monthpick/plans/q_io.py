@@ -24,7 +24,7 @@ from monthpick.plans.q_selection import sel_ctes
 from monthpick.plans.pipelines import run
 from monthpick.plans.refresh import refresh_dataset
 from monthpick.plans.registry import query
-from monthpick.session import scratch_path
+from monthpick.session import materialize, scratch_path
 from monthpick.sources.adapters import driver_sources
 from monthpick.sources.sinks import (
     bulk_convert,
@@ -78,10 +78,11 @@ def q_dataset_refresh(spark, sf_dir):
     refreshed with the right ones: the months that follow from it are built again."""
     i = inputs(spark, sf_dir)
     path = scratch_path(spark, "dataset")
-    months = [r[0] for r in i.costs.select("MONTH").where("MONTH IS NOT NULL").distinct().orderBy("MONTH").collect()]  # calendar-bounded
-    wrong = i.costs.withColumn("C", F.col("C") + F.when(F.col("MONTH") == months[len(months) // 2], 1000.0).otherwise(0.0))
+    costs = materialize(i.costs, name="costs")  # a view that joins lineitem with orders; read for the months and by each digest and build
+    months = [r[0] for r in costs.select("MONTH").where("MONTH IS NOT NULL").distinct().orderBy("MONTH").collect()]  # calendar-bounded
+    wrong = costs.withColumn("C", F.col("C") + F.when(F.col("MONTH") == months[len(months) // 2], 1000.0).otherwise(0.0))
     refresh_dataset(spark, path, i.prices, wrong, i.sim_monthly, i.sim_daily)
-    refresh_dataset(spark, path, i.prices, i.costs, i.sim_monthly, i.sim_daily)
+    refresh_dataset(spark, path, i.prices, costs, i.sim_monthly, i.sim_daily)
     return finish(read_dataset(spark, path))
 
 

@@ -33,7 +33,8 @@ from monthpick.session import materialize, materialize_all
 #: Digests beside the dataset; readers of the dataset skip names that begin with an underscore.
 STATE = "_digests"
 #: Part of every digest: another number builds everything again.
-FORMAT = 1
+FORMAT = 2
+_PIECE = (1 << 21) - 1
 
 
 @dataclass
@@ -50,9 +51,12 @@ def _keyed(df: DataFrame) -> DataFrame:
 def _month_digest(df: DataFrame, name: str) -> DataFrame:
     """MONTH and a digest of its rows: in any order, repeated rows told apart."""
     cols = sorted(c for c in df.columns if c != "MONTH")
-    row = lambda salt: F.xxhash64(*[F.col(c) for c in cols], F.lit(salt)).cast("decimal(20,0)")
-    sums = _keyed(df).groupBy("MONTH").agg(F.count(F.lit(1)).alias("n"), F.sum(row(1)).alias("a"), F.sum(row(2)).alias("b"))
-    return sums.select("MONTH", F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "a", "b")]).alias(name))
+    row = lambda salt: F.xxhash64(*[F.col(c) for c in cols], F.lit(salt))
+    # sums of a hash's pieces of at most 22 bits: plain longs that 2^41 rows of a month don't overflow
+    pieces = lambda h: (F.shiftright(h, 42), F.shiftrightunsigned(h, 21).bitwiseAND(_PIECE), h.bitwiseAND(_PIECE))
+    hashed = _keyed(df).select("MONTH", row(1).alias("a"), row(2).alias("b"))
+    sums = hashed.groupBy("MONTH").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"{c}{k}") for c in "ab" for k, x in enumerate(pieces(F.col(c)))])
+    return sums.select("MONTH", F.concat_ws(":", *[F.col(c).cast("string") for c in sums.columns[1:]]).alias(name))
 
 
 def target_digests(prices: DataFrame, costs: DataFrame, sim_monthly: DataFrame, sim_daily: DataFrame, lookback: int = DEFAULT_LOOKBACK) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pytest
 
 from monthpick.operators.dataset import labeled_dataset
 from monthpick.operators.labels import compute_profitability
-from monthpick.plans.refresh import STATE, refresh_dataset
+from monthpick.plans.refresh import STATE, _month_digest, refresh_dataset
 from monthpick.session import scratch_path
 from monthpick.sources.sinks import read_dataset
 
@@ -88,3 +88,39 @@ def test_a_build_that_breaks_off_is_done_again(spark, make, monkeypatch):
     assert refresh_dataset(spark, path, *world(make, price=9.0), lookback=2).built == []
     # another lookback is another dataset
     assert refresh_dataset(spark, path, *world(make, price=9.0), lookback=3).built == MONTHS
+
+
+def test_digests_add_up_plain_longs(spark, make):
+    prices = make.prices([("A", "2022-01-10", 0, 1.0), ("A", "2022-01-10", 0, 1.0), ("B", "2022-01-11", 0, 2.0), ("A", "2022-02-10", 0, 1.0)])
+    found = _month_digest(prices, "d")
+    assert "decimal" not in found._jdf.queryExecution().toString().lower()  # sums of objects, not of machine words
+    # any order gives the same digest; a row less or a row twice another one
+    same = _month_digest(prices.orderBy("EID").repartition(3), "d")
+    digests = {r["MONTH"]: r["d"] for r in found.collect()}
+    assert {r["MONTH"]: r["d"] for r in same.collect()} == digests
+    fewer = {r["MONTH"]: r["d"] for r in _month_digest(prices.dropDuplicates(), "d").collect()}
+    assert len(digests) == 2 and len(set(digests.values()) | set(fewer.values())) == 3
+
+
+def test_the_query_joins_the_costs_view_once(spark, monkeypatch):
+    from monthpick.plans import q_io
+
+    seen = []
+    monkeypatch.setattr(q_io, "refresh_dataset", lambda spark, path, prices, costs, *sims: seen.append(costs))
+    monkeypatch.setattr(q_io, "read_dataset", lambda spark, path: seen[-1])
+    q_io.q_dataset_refresh(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all("Join" not in c._jdf.queryExecution().optimizedPlan().toString() for c in seen)
+
+
+def test_rescoring_reads_the_dataset_that_training_staged(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from monthpick.plans import q_ml
+
+    staged, asked = object(), []
+    monkeypatch.setattr(q_ml, "_walk", lambda *a: SimpleNamespace(dataset=staged))
+    monkeypatch.setattr(q_ml, "_dataset", lambda *a, **k: pytest.fail("the dataset is built again"))
+    monkeypatch.setattr(q_ml, "save_result_bundle", lambda *a: None)
+    monkeypatch.setattr(q_ml, "rerun_selection", lambda spark, path, ds, n: asked.append((ds, n)))
+    q_ml.q_rerun_selection(spark, "/root/testdata/sf0.001")
+    assert asked == [(staged, 6)]
