@@ -278,6 +278,16 @@ def _group_code(codes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np
     return mix(out, 7)
 
 
+def _packed_symbols(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight symbols (bytes) of each window in one number, and the others in another: pairs and fours are put together once for all windows."""
+    two = symbols[:-1] << np.uint64(8) | symbols[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    first, rest = four[starts] << np.uint64(32) | four[starts + 4], four[starts + 8]
+    for j in range(12, WINDOW):
+        rest = rest << np.uint64(8) | symbols[starts + j]
+    return first, rest
+
+
 def _suffixes(bucketed: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     """Blobs of suffixes by their prefix's group, and places of windows that are repeats within the bucket already."""
     shared = Shipped(bucketed.sparkSession, counts)  # fixed size
@@ -298,11 +308,7 @@ def _suffixes(bucketed: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
                     continue
                 symbols, window = mix(codes, 1) >> np.uint64(56), gram_codes(codes, WINDOW)[starts]
                 rows = np.empty(len(starts), _SUFFIX)
-                first, rest = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-                for j in range(8):
-                    first = first << np.uint64(8) | symbols[starts + j]
-                for j in range(8, WINDOW):
-                    rest = rest << np.uint64(8) | symbols[starts + j]
+                first, rest = _packed_symbols(symbols, starts)
                 rows["k0"], rows["k1"], rows["k2"] = first, rest << np.uint64(24) | window >> np.uint64(40), window & np.uint64(0xFFFFFFFF)
                 rows["doc"], rows["at"] = doc, starts + offsets.get(doc, {}).get(text, 0)
                 parts.append(rows)

@@ -79,3 +79,17 @@ def test_common_prefixes_are_counted_in_words():
     rows["k1"] = [5 << 24, 6 << 24, 6 << 24, 6 << 24, 6 << 24]
     rows["k2"] = [0, 0, 0, 0, 9]
     assert substring_dedup.common_prefixes(rows).tolist() == [0, 12, 1, 13, 12]
+
+
+def test_symbols_of_windows_are_packed_by_fours():
+    import numpy as np
+
+    from monthpick.llm import substring_dedup as sd
+
+    for n in (sd.WINDOW, 60):
+        symbols = np.random.default_rng(n).integers(0, 256, n).astype(np.uint64)
+        starts = np.arange(n - sd.WINDOW + 1)
+        first, rest = sd._packed_symbols(symbols, starts)
+        raw = [symbols[k : k + sd.WINDOW].astype(np.uint8).tobytes() for k in starts]
+        assert first.tolist() == [int.from_bytes(x[:8], "big") for x in raw]
+        assert rest.tolist() == [int.from_bytes(x[8:], "big") for x in raw]
