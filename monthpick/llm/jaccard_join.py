@@ -2,9 +2,9 @@
 
 A text's set are its distinct 5-word shingles of lower-cased words.  Under any global
 order of the shingles, two sets with Jaccard similarity t share one among their first
-n - ceil(t * n) + 1 shingles.  The first order puts frequent shingles last (frequencies
-from a sketch over all texts; ties by a hash); its prefixes are indexed, so a passage
-that many texts share makes no candidates.  Candidates must also pass the length and
+n - ceil(t * n) + 1 shingles.  The first order puts frequent shingles last (counted over
+all texts; ties by a hash); its prefixes are indexed, so a passage that many texts share
+makes no candidates.  Candidates must also pass the length and
 the position filter there, and share prefix shingles under every further order, before
 their whole sets are compared.  Between the two stands a bitmap of each set, a few bits
 for each shingle: sets differ by at least the bits in which the parities of their
@@ -47,7 +47,10 @@ WORDS = 5
 NUM, DEN = 3, 4
 #: Further orders that candidates must share a prefix shingle under.
 ORDERS = (2, 3)
-SKETCH_BITS, SLICES = 20, 64
+#: Bits of a shingle that is counted, codes that a task counts at once, slices of the codes at least and bytes of text for each.
+COUNT_BITS, COUNT_AT_ONCE, SLICES, SLICE_BYTES = 40, 1 << 22, 64, 8 << 20
+#: Shingles in fewer texts than twice this are in the first class; of the others so many, the most frequent, have a higher one.
+RARE, FREQUENT = 8, 1 << 20
 #: Longest index list whose pairs are all candidates at once.
 LIST = 16
 #: Documents for each bucket of the index, and buckets at least.
@@ -117,12 +120,40 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets_and_sketch(documents: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, code, bits) and of slices of the frequency sketch (slice, counts)."""
+def _count_slices(codes: np.ndarray, slices: int) -> list[tuple[int, bytes]]:
+    """(slice, packed) of counted codes; a slice is a range of codes."""
+    codes, counts = np.unique(codes, return_counts=True)
+    at = (codes * np.uint64(slices) >> np.uint64(COUNT_BITS)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    return [(int(at[i]), _pack_counts(x, n)) for i, x, n in zip(starts, np.split(codes, starts[1:]), np.split(counts, starts[1:]))]
+
+
+def _pack_counts(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Steps between sorted codes and the counts, byte by byte of their places."""
+    planes = [np.diff(codes, prepend=np.uint64(0)).astype("<u8"), counts.astype("<u4")]
+    return zstandard.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in planes), 1)
+
+
+def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    n = len(data) // 12
+    steps, counts = (np.ascontiguousarray(x.reshape(-1, n).T) for x in (data[: 8 * n], data[8 * n :]))
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), counts.view("<u4").ravel().astype(np.int64)
+
+
+def _sets_and_counts(documents: DataFrame, slices: int) -> DataFrame:
+    """Rows of documents (doc_id, n, code, bits) and of slices of the shingle counts (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            found = _count_slices(np.concatenate(held), slices)
+            held.clear()
+            nothing = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(found), pa.binary()), pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=names)
+
         for batch in batches:
             texts = byte_column(batch, "text")
             n, code, bits = [], [], []
@@ -131,41 +162,54 @@ def _sets_and_sketch(documents: DataFrame) -> DataFrame:
                 n += map(len, sets)
                 code += [set_code(s) for s in sets]
                 bits += [parity_bits(s) for s in sets]
-                every = np.concatenate(sets)
-                sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                held.append(np.concatenate(sets) >> np.uint64(64 - COUNT_BITS))
+                if sum(map(len, held)) >= COUNT_AT_ONCE:
+                    yield counted()
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(code, np.uint64)), pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-        if sketch.any():
-            slices = [zstandard.compress(x.tobytes()) for x in np.split(sketch, SLICES)]
-            nothing = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=names)
+        if sum(map(len, held)):
+            yield counted()
 
     names = ["doc_id", "n", "code", "bits", "slice", "counts"]
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, code bigint, bits binary, slice int, counts binary")
 
 
-def _frequency_classes(slices: DataFrame) -> np.ndarray:
-    """For each sketch counter: 0 up to twice the median, then the binary logarithm of its excess.  Fixed size."""
+def _frequent(counts: DataFrame, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of frequent shingles and their classes, the binary logarithm of count / RARE; FREQUENT at most."""
+    most = -(-FREQUENT // slices)
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"slice": table["slice"][:1].combine_chunks(), "counts": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
-
-    got = slices.groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().to_pydict()
-    sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for k, counts in zip(got["slice"], got["counts"]):
-        sketch[k] = np.frombuffer(counts, np.int64)
-    sketch = sketch.ravel()
-    base = max(int(np.median(sketch)), 8)
-    return np.floor(np.log2(np.maximum(sketch / base, 1))).astype(np.uint8)
-
-
-def _postings(documents: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
+        codes, counts = map(np.concatenate, zip(*map(_unpack_counts, table["counts"].to_pylist())))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        codes, counts = codes[starts], np.add.reduceat(counts, starts)
+        often = np.flatnonzero(counts >= 2 * RARE)
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:most]])
+        return pa.table({"codes": pa.array([codes[often].tobytes()], pa.binary()), "classes": pa.array([np.log2(counts[often] / RARE).astype(np.uint8).tobytes()], pa.binary())})
+
+    got = counts.groupBy("slice").applyInArrow(add, "codes binary, classes binary").toArrow().to_pydict()
+    codes, classes = np.frombuffer(b"".join(got["codes"]), np.uint64), np.frombuffer(b"".join(got["classes"]), np.uint8)
+    order = np.argsort(codes)
+    return codes[order], classes[order]
+
+
+def _classes(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Frequency class of each shingle."""
+    known, classes = frequent
+    if not len(known):
+        return np.zeros(len(shingles), np.uint64)
+    codes = shingles >> np.uint64(64 - COUNT_BITS)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, classes[at], 0).astype(np.uint64)
+
+
+def _postings(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """(bucket, blob): the indexed prefixes under the first order."""
-    shared = Shipped(documents.sparkSession, classes)  # fixed size: one byte for each counter
+    shared = Shipped(documents.sparkSession, frequent)  # FREQUENT codes at most (9 MB)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, memo = shared.load(), word_memo()
+        frequent, memo = shared.load(), word_memo()
         for batch in batches:
             texts, ids = byte_column(batch, "text"), batch.column(0).to_numpy()
             parts, seen = [], set()
@@ -175,7 +219,7 @@ def _postings(documents: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
                         continue
                     seen.add(code)
                     p = prefix_length(len(s))
-                    rank = mix(s, 1) >> np.uint64(8) | classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+                    rank = mix(s, 1) >> np.uint64(8) | _classes(s, frequent) << np.uint64(56)
                     first = np.argpartition(rank, p - 1)[:p]
                     first = first[np.argsort(rank[first])]
                     rows = np.empty(p, _POSTING)
@@ -368,11 +412,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def jaccard_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id reachable by links."""
     scratch = Scratch(documents.sparkSession, "jaccard-join")
-    first = scratch.stage(_sets_and_sketch(documents))
+    size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(SLICES, size // SLICE_BYTES)
+    first = scratch.stage(_sets_and_counts(documents, slices))
     sets = first.where("slice IS NULL").select("doc_id", "n", "code", "bits")
-    classes = _frequency_classes(first.where("slice IS NOT NULL"))
+    frequent = _frequent(first.where("slice IS NOT NULL"), slices)
     buckets = max(BUCKETS, sets.count() // BUCKET_DOCS)
-    found = scratch.stage(_candidates(_postings(documents, classes, buckets)))
+    found = scratch.stage(_candidates(_postings(documents, frequent, buckets)))
     heads = sets.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("id"))
     # each document's head: the smallest doc_id with an equal set
     who = scratch.stage(sets.where("n > 0 AND doc_id IS NOT NULL").join(heads, "code").select("doc_id", "id", "n", "bits"))

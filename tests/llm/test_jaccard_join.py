@@ -4,10 +4,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from monthpick.llm import jaccard_join, queries
-from monthpick.llm.common import Scratch, table
+from monthpick.llm.common import Scratch, table, word_memo
 from monthpick.llm.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,3 +91,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     scratch = Scratch(spark, "test")
     out = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()}
     assert out == {k: 0 for k in range(101)} | {k: 500 for k in [500, *range(600, 700)]}
+
+
+@pytest.mark.parametrize("at_once", [50, 1 << 22])
+def test_frequent_shingles_are_counted_exactly_among_many_rare_ones(docs, monkeypatch, at_once):
+    monkeypatch.setattr(jaccard_join, "COUNT_AT_ONCE", at_once)
+    passages = {often: " ".join(f"p{often}x{k}" for k in range(7)) for often in (15, 16, 31, 32, 70)}
+    texts = [f"{passage} " + " ".join(f"r{often}y{i}z{k}" for k in range(200)) for often, passage in passages.items() for i in range(often)]
+    counted = jaccard_join._sets_and_counts(docs(list(enumerate(texts))), 64).where("slice IS NOT NULL")
+    frequent = jaccard_join._frequent(counted, 64)
+    whole = {often: jaccard_join.shingle_sets([passage.encode()], word_memo())[0] for often, passage in passages.items()}
+    assert {often: set(jaccard_join._classes(x, frequent).tolist()) for often, x in whole.items()} == {15: {0}, 16: {1}, 31: {1}, 32: {2}, 70: {3}}
+    assert len(frequent[0]) == 3 * 4 and (np.diff(frequent[0].astype(np.int64)) > 0).all()
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 64)  # one of each slice: the most frequent
+    few = jaccard_join._frequent(counted, 64)
+    assert 0 < len(few[0]) <= 12 and set(jaccard_join._classes(whole[70], few).tolist()) - {0} == {3}
