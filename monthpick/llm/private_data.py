@@ -8,8 +8,11 @@ for a kind is the share of the values in it that are believed to be of that kind
 value's belief is the noisy-or of its confident patterns.  Candidates believed strongly
 enough become spans of that kind, unless most of their places are in other patterns.
 
-A pattern needs MIN_SUPPORT seeds of a kind to be confident, so only edges of patterns
-with so many are kept; that changes no score.
+A pattern needs MIN_SUPPORT seeds of a kind to be confident, and few other values, so only
+edges of patterns that can be confident are kept; that changes no score.  A pattern's
+values in one of PROBE documents are a lower bound of all its values: with so many, and
+even if all values believed so far were among them, common words are ruled out before
+their edges are counted.  Those of all other patterns are counted over all documents.
 
 All patterns are written so that the regex engine neither backtracks over long runs nor
 recurses, and every pass over texts is linear.  Edges are counted before they are
@@ -43,6 +46,8 @@ REACH = 48
 ROUNDS, MIN_SUPPORT, SMOOTH, MIN_PATTERN, MIN_BELIEF = 2, 5, 2.0, 0.8, 0.9
 #: Share of a value's places that have to be in confident patterns, as far as one side of them tells.
 MIN_INSIDE = 0.5
+#: One of so many documents tells which patterns have too many values to be confident.
+PROBE = 16
 
 
 def _digits(c: Column) -> Column:
@@ -106,7 +111,7 @@ def find_private_data(documents: DataFrame) -> DataFrame:
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), right.alias("right"))
 
     found = scratch.stage(rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform("base", with_context).alias("base")))
-    beliefs = scratch.stage(_score(found, _tokens(rows).select("value", "left", "right"), scratch))
+    beliefs = scratch.stage(_score(found, rows, scratch))
     hits = scratch.stage(_tokens(rows).join(beliefs, "value").select("doc_id", "text_key", "at", "pos", "value", "kind", "inside"))
     # a word that mostly stands elsewhere is no identifier, however sure the patterns are that it was seen in
     usual = hits.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.first("inside").alias("inside")).where(F.col("inside") >= MIN_INSIDE * F.col("n")).select("value")
@@ -172,31 +177,59 @@ def _placed(text: Column, h: Column) -> Column:
     return F.struct(h["kind"].alias("kind"), start.alias("start"), (start + F.length(h["value"])).alias("end"))
 
 
-def _score(found: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
+def _token_edges(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, pattern, times) of the tokens in the numbered ``patterns``."""
+    tokens = _tokens(rows).select(F.lit("token").alias("kind"), "value", "left", "right")
+    return _edges(tokens).join(patterns.select("pattern", "number"), "pattern").groupBy("value", F.col("number").alias("pattern")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def _edges(one: DataFrame) -> DataFrame:
+    """(kind, value, pattern) of every context of a value."""
+    patterns = F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"), F.concat(F.lit("B:"), "left", F.lit(" "), "right"))
+    return one.select("kind", "value", F.explode(patterns).alias("pattern")).where("NOT (pattern IN ('L:', 'R:', 'B: '))")
+
+
+def _can_be_sure(believed: dict[str, float]) -> Column:
+    """Whether a pattern with the given seeds and at least ``least`` values can be confident for a kind, with all values that are believed."""
+    shares = [(F.col(f"n_{k}") + believed[k]) / (F.col("least") + SMOOTH) for k in KINDS]
+    # sums of beliefs depend on their order
+    return F.coalesce(F.greatest(*[F.when(F.col(f"n_{k}") >= MIN_SUPPORT, x) for k, x in zip(KINDS, shares)]) >= MIN_PATTERN - 1e-6, F.lit(False))
+
+
+def _score(found: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(value, kind, inside) of the candidates that the scoring rounds believe in; inside is how often they stand in confident patterns."""
     # (value, pattern) edges: each value and pattern once, with the seed's kind
-    patterns = F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"), F.concat(F.lit("B:"), "left", F.lit(" "), "right"))
-    edges_of = lambda one: one.select("kind", "value", F.explode(patterns).alias("pattern")).where("NOT (pattern IN ('L:', 'R:', 'B: '))")
     once = lambda edges: edges.groupBy("kind", "value", "pattern").agg(F.count(F.lit(1)).alias("times"))
-    seeds = scratch.stage(once(edges_of(found.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.left", "s.right"))))
-    able = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern").distinct()
+    seeds = scratch.stage(once(_edges(found.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.left", "s.right"))))
+    of_kind = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS]
+    able = seeds.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *of_kind).where(F.greatest(*[F.col(f"n_{k}") for k in KINDS]) >= MIN_SUPPORT)
     # edges carry a number for a pattern; its remainder by 3 tells the side
     side = F.when(F.col("pattern").startswith("L:"), 0).when(F.col("pattern").startswith("R:"), 1).otherwise(2)
-    able = scratch.stage(able.select("pattern", (F.monotonically_increasing_id() * 3 + side).alias("number")))
-    numbered = lambda edges: edges.join(able, "pattern").drop("pattern").withColumnRenamed("number", "pattern")
-    others = numbered(edges_of(tokens.withColumn("kind", F.lit("token")))).groupBy("value", "pattern").agg(F.count(F.lit(1)).alias("times"))
-    others = others.select(F.lit("token").alias("kind"), "value", "pattern", "times")
-    edges = scratch.stage(numbered(seeds).select("kind", "value", "pattern", "times").unionByName(others))
+    able = scratch.stage(able.withColumn("number", F.monotonically_increasing_id() * 3 + side))
+    some = _token_edges(rows.where(F.pmod(F.xxhash64("text"), F.lit(PROBE)) == 0), able)
+    seen = some.groupBy(F.col("pattern").alias("number")).agg(F.count(F.lit(1)).alias("seen"))
+    able = scratch.stage(able.join(seen, "number", "left").withColumn("least", F.col("n") + F.coalesce("seen", F.lit(0))).drop("n", "seen"))
+    counted, bound, edges = F.lit(False), dict.fromkeys(KINDS, 0.0), None
     believed = None
     for _ in range(ROUNDS):
+        if believed is not None:
+            sums = {r["kind"]: r["total"] for r in believed.groupBy("kind").agg(F.sum("belief").alias("total")).collect()}  # a row for each kind
+            bound = {k: max(v, sums.get(k, 0.0)) for k, v in bound.items()}
+        new = able.where(_can_be_sure(bound) & ~counted).select("pattern", "number")
+        if edges is None or not new.isEmpty():
+            new = scratch.stage(new)
+            of_seeds = seeds.join(new, "pattern").select("kind", "value", F.col("number").alias("pattern"), "times")
+            more = scratch.stage(of_seeds.unionByName(_token_edges(rows, new).select(F.lit("token").alias("kind"), "value", "pattern", "times")))
+            edges = more if edges is None else edges.unionByName(more)
+        counted = _can_be_sure(bound)
         belief = F.when(F.col("kind") != "token", 1.0)
         known = edges.withColumn("as", F.when(F.col("kind") != "token", F.col("kind"))).withColumn("belief", belief)
         if believed is not None:
             more = believed.select("value", F.col("kind").alias("as2"), F.col("belief").alias("belief2"))
             known = known.join(more, "value", "left").withColumn("as", F.coalesce("as", "as2")).withColumn("belief", F.coalesce("belief", "belief2"))
         per = [F.sum(F.when(F.col("as") == k, F.col("belief"))).alias(f"b_{k}") for k in KINDS]
-        seeds = [F.sum(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS]
-        scored = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), *per, *seeds)
+        support = [F.sum(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS]
+        scored = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), *per, *support)
         options = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"b_{k}") / (F.col("all") + SMOOTH)).alias("confidence"), F.col(f"n_{k}").alias("support")) for k in KINDS])
         sure = scored.select("pattern", F.explode(options).alias("o")).where((F.col("o.support") >= MIN_SUPPORT) & (F.col("o.confidence") >= MIN_PATTERN)).select("pattern", F.col("o.kind").alias("as_kind"), F.col("o.confidence").alias("confidence"))
         sides = [F.sum(F.when(F.col("pattern") % 3 == x, F.col("times"))) for x in range(3)]

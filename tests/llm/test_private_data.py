@@ -94,3 +94,33 @@ def test_whole_tokens_of_any_make_are_candidates(docs):
     clean = {r.doc_id: r.text for r in private_data.redact(source, found).collect()}
     assert clean[300] == clean[301] == "contact address <email> please reply"
     assert clean[302] == "first <email> or dial number <phone> after nine" and clean[303] == "x <ip> then contact address <email> please"
+
+
+def two_rounds():
+    """Texts of seeds, words that stand like them, and a word that only stands with those words."""
+    rows = [(k, f"word{k} contact address user{k}@mail{k}.org please reply {k}") for k in range(60)]
+    rows += [(100 + k, f"so ping me{k}@here{k}.net soon") for k in range(6)]
+    rows += [(200 + k, f"now contact address v{k}(at)host please or ping v{k}(at)host soon") for k in range(10)]
+    rows += [(300, "then ping late[at]host soon"), (301, "the list and the rest")]
+    return rows + [(400 + k, f"word {k} dial +49 30 {1234567 + k} after the number") for k in range(20)]
+
+
+def test_patterns_that_are_not_counted_change_no_score(docs, monkeypatch):
+    source = docs(two_rounds())
+    counted = []
+    edges = private_data._token_edges
+    monkeypatch.setattr(private_data, "_token_edges", lambda rows, patterns: counted.append(sorted(r.pattern for r in patterns.collect())) or edges(rows, patterns))
+    got = {r.doc_id: r.spans for r in private_data.find_private_data(source).collect()}
+    assert [s["kind"] for s in got[300]] == ["email"] and len(got[200]) == 2 and got[301] == []
+    assert "L:ping" in counted[0] and "L:ping" not in counted[1] and "L:ping" in counted[2]  # only the second round needs it
+    monkeypatch.setattr(private_data, "_can_be_sure", lambda believed: F.lit(True))
+    assert {r.doc_id: r.spans for r in private_data.find_private_data(source).collect()} == got
+
+
+def test_common_words_beside_seeds_make_no_edges(docs, monkeypatch):
+    rows = [(k, f"mail the user{k}@mail{k}.org and go") for k in range(40)] + [(100 + k, f"see the thing{k} and go") for k in range(640)]
+    staged = []
+    stage = private_data.Scratch.stage
+    monkeypatch.setattr(private_data.Scratch, "stage", lambda self, df: staged.append(stage(self, df)) or staged[-1])
+    assert all(len(r.spans) == (r.doc_id < 100) for r in private_data.find_private_data(docs(rows)).collect())
+    assert sum(x.where("kind = 'token'").count() for x in staged if x.columns == ["kind", "value", "pattern", "times"]) < 200
