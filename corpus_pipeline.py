@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthpick.llm import decontaminate, jaccard_join, private_data, sentencepieces, toxicity
-from monthpick.llm.common import Scratch, table
+from monthpick.llm.common import Scratch, short_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text that is left."""
-    return sentencepieces.encode(docs, sentencepieces.load_model(), keep=("doc_id", "lang", "source"), check=True)
+    """Piece ids of every text that is left; staged, as the batches' length holds only for a job that runs at once."""
+    with short_batches(spark, sentencepieces.TEXTS_AT_ONCE):
+        return Scratch(spark, "pieces").stage(sentencepieces.encode(docs, sentencepieces.load_model(), keep=("doc_id", "lang", "source"), check=True))
 
 
 STAGES = [

@@ -30,6 +30,7 @@ MEMO_WORDS = 150_000
 def release_memory() -> None:
     """Give freed memory back to the system; a worker process lives on after its task."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -44,6 +45,19 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows at most, for jobs that run inside; a batch of whole texts is held by the JVM and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    at_most = int(before) if int(before) > 0 else rows
+    spark.conf.set(name, str(min(at_most, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

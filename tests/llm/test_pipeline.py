@@ -61,3 +61,13 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pieces_are_made_in_short_batches(spark, docs, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, encode = spark.conf.get(name), corpus_pipeline.sentencepieces.encode
+    monkeypatch.setattr(corpus_pipeline.sentencepieces, "encode", lambda *a, **k: seen.append(spark.conf.get(name)) or encode(*a, **k))
+    out = corpus_pipeline.encode_pieces(spark, docs([(k, f"text {k}") for k in range(1200)]), "")
+    assert seen == [str(corpus_pipeline.sentencepieces.TEXTS_AT_ONCE)] and spark.conf.get(name) == before
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()  # no work is left for longer batches
+    assert out.count() == 1200 and out.where("NOT round_trip").count() == 0
