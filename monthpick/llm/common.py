@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,13 @@ def blocks(lengths: list[int], limit: int = TEXT_BLOCK) -> Iterator[tuple[int, i
         yield start, len(lengths)
 
 
+def text_blocks(batch: pa.RecordBatch, name: str, limit: int = TEXT_BLOCK) -> Iterator[list[bytes]]:
+    """``byte_column`` in ``blocks``: only one block's texts are held beside the batch."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name)).cast(pa.binary())), 0).to_pylist()
+    for a, b in blocks(lengths, limit):
+        yield byte_column(batch.slice(a, b - a), name)
+
+
 def word_codes(texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, and each text's offsets into them."""
     parts = [x.split() for x in texts]

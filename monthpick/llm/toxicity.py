@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Memo, Shipped, blocks, byte_column, held_out, tidy
+from monthpick.llm.common import Memo, Shipped, byte_column, held_out, short_batches, text_blocks, tidy
 
 #: Bounds of the labelled sample that the classifier is fitted on, by class.
 MAX_TOXIC, MAX_CLEAN = 2_500, 5_000
@@ -38,6 +38,8 @@ HASH_BITS, DIM, WIDTHS, FILTERS = 24, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.05, 7
 PREFIX_BYTES, MIN_DOCS, VALIDATION, LEAST_VALID = 5, 2, 5, 15
 CUT = 0.7
+#: Rows of whole texts that the fit and the calibration take at once.
+FIT_ROWS = 1_000
 #: Cells of the score histograms, even in the log odds from -SPREAD to SPREAD.
 CELLS, SPREAD = 4_096, 16.0
 #: Function words that tell the language of a text.
@@ -153,9 +155,9 @@ def _calibrate(model: Model, documents: DataFrame, marks: DataFrame, learned: Da
         model = shared.load()
         memo = Memo(model.packed)
         for batch in batches:
-            texts, cells, languages = byte_column(batch, "text"), [], []
-            for a, b in blocks([len(t) for t in texts], 1 << 20):
-                words = [text_words(t) for t in texts[a:b]]
+            cells, languages = [], []
+            for texts in text_blocks(batch, "text", 1 << 20):
+                words = [text_words(t) for t in texts]
                 raw = np.clip(_raw_words(model, words, memo), 1e-9, 1 - 1e-9)
                 odds = np.log(raw / (1 - raw))
                 cells.append(np.clip((odds / SPREAD + 1) / 2 * CELLS, 0, CELLS - 1).astype(np.int32))
@@ -329,12 +331,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))]), pa.array([learned])], names=["model", "learned"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    fitted = rows.repartition(1).mapInArrow(tidy(run), f"model binary, learned array<{kind}>").collect()
+    with short_batches(documents.sparkSession, FIT_ROWS):
+        fitted = rows.repartition(1).mapInArrow(tidy(run), f"model binary, learned array<{kind}>").collect()
     if not fitted:
         return None
     model = Model(**pickle.loads(bytes(fitted[0]["model"])))
     learned = documents.sparkSession.createDataFrame([(i,) for i in fitted[0]["learned"]], sample.select("doc_id").schema)
-    _calibrate(model, documents, marks, learned)
+    with short_batches(documents.sparkSession, FIT_ROWS):
+        _calibrate(model, documents, marks, learned)
     return model
 
 
@@ -348,8 +352,7 @@ def score_toxicity(documents: DataFrame, model: Model | None, keep: tuple[str, .
         model = shared.load()
         memo = Memo(model.packed) if model else None
         for batch in batches:
-            texts = byte_column(batch, "text")
-            scores = [score_texts(model, texts[a:b], memo) for a, b in blocks([len(t) for t in texts], 1 << 20)]
+            scores = [score_texts(model, texts, memo) for texts in text_blocks(batch, "text", 1 << 20)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in columns], pa.array(scores, pa.float64())], names=[*columns, name])
 

@@ -3,9 +3,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from monthpick.llm import language_id, queries, toxicity
+from monthpick.llm import common, language_id, queries, toxicity
 from monthpick.llm.common import Memo, table
 
 MID = "/root/testdata/sf0.1"
@@ -103,3 +104,16 @@ def test_language_edge_cases(spark, docs):
     assert language_id.identify(docs([]), model).collect() == []
     none = language_id.fit(source.withColumn("lang", source["code"]))
     assert none is None and {r.lang_pred for r in language_id.identify(source, none).collect()} == {"und"}
+
+
+def test_texts_come_in_blocks_and_the_fit_takes_few_rows_at_once(spark, docs, monkeypatch):
+    texts = ["aa bb", None, "", "é" * 40, "cc", "dd " * 30, None]
+    batch = pa.RecordBatch.from_pydict({"text": texts}).slice(1)
+    got = list(common.text_blocks(batch, "text", 50))
+    assert [t for block in got for t in block] == [(t or "").encode() for t in texts[1:]] and len(got) > 2
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, calibrate = spark.conf.get(name), toxicity._calibrate
+    monkeypatch.setattr(toxicity, "_calibrate", lambda *a: seen.append(spark.conf.get(name)) or calibrate(*a))
+    source = docs([(k, f"word{k % 7} other{k % 5}" + (" nasty" if k % 3 == 0 else "")) for k in range(200)])
+    assert toxicity.fit(source, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id bigint, toxic int"))
+    assert seen == [str(toxicity.FIT_ROWS)] and spark.conf.get(name) == before
