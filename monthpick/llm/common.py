@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from monthpick.session import scratch_path
 
 #: Bytes of text that a task works on at once.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 1 << 20
 #: Entries of a worker's word memo.  Beyond it, further words are computed each time.
 MEMO_WORDS = 150_000
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Shipped, blocks, byte_column, tidy
+from monthpick.llm.common import Shipped, blocks, byte_column, text_blocks, tidy
 from monthpick.llm.toxicity import text_words
 
 SEED = 3
@@ -83,9 +83,8 @@ def count_words(documents: DataFrame, words: dict[bytes, int]) -> np.ndarray:
         words = shared.load()
         total = np.zeros(len(words) + 1, np.int64)
         for batch in batches:
-            texts = byte_column(batch, "text")
-            for a, b in blocks([len(t) for t in texts]):
-                total += np.bincount(_word_ids(texts[a:b], words)[0], minlength=len(total))
+            for texts in text_blocks(batch, "text"):
+                total += np.bincount(_word_ids(texts, words)[0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["word", "n"])
 
@@ -243,10 +242,10 @@ def _without(documents: DataFrame, index: Index, min_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.load()
         for batch in batches:
-            texts = byte_column(batch, "text")
-            clean = np.ones(len(texts), bool)
-            for a, b in blocks([len(t) for t in texts]):
-                clean[[a + t for t, _ in align_regions(index, *_word_ids(texts[a:b], index.words), min_score)]] = False
+            clean, a = np.ones(batch.num_rows, bool), 0
+            for texts in text_blocks(batch, "text"):
+                clean[[a + t for t, _ in align_regions(index, *_word_ids(texts, index.words), min_score)]] = False
+                a += len(texts)
             yield batch.filter(pa.array(clean))
 
     return documents.mapInArrow(tidy(run), documents.schema)

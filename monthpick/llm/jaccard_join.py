@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthpick.llm.common import Scratch, Shipped, blocks, byte_column, gram_codes, mix, tidy, word_codes, word_memo
+from monthpick.llm.common import Scratch, Shipped, blocks, byte_column, gram_codes, mix, text_blocks, tidy, word_codes, word_memo
 from monthpick.llm.components import components
 
 WORDS = 5
@@ -121,8 +121,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _count_slices(codes: np.ndarray, slices: int) -> list[tuple[int, bytes]]:
-    """(slice, packed) of counted codes; a slice is a range of codes."""
-    codes, counts = np.unique(codes, return_counts=True)
+    """(slice, packed) of counted codes (sorted in place); a slice is a range of codes."""
+    codes.sort()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    counts, codes = np.diff(first, append=len(codes)), codes[first]
     at = (codes * np.uint64(slices) >> np.uint64(COUNT_BITS)).astype(np.int64)
     starts = np.flatnonzero(np.diff(at, prepend=-1))
     return [(int(at[i]), _pack_counts(x, n)) for i, x, n in zip(starts, np.split(codes, starts[1:]), np.split(counts, starts[1:]))]
@@ -149,16 +151,16 @@ def _sets_and_counts(documents: DataFrame, slices: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            found = _count_slices(np.concatenate(held), slices)
+            codes = np.concatenate(held)
             held.clear()
+            found = _count_slices(codes, slices)
             nothing = pa.nulls(len(found), pa.int64())
             return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(found), pa.binary()), pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=names)
 
         for batch in batches:
-            texts = byte_column(batch, "text")
             n, code, bits = [], [], []
-            for a, b in blocks([len(t) for t in texts]):
-                sets = shingle_sets(texts[a:b], memo)
+            for texts in text_blocks(batch, "text"):
+                sets = shingle_sets(texts, memo)
                 n += map(len, sets)
                 code += [set_code(s) for s in sets]
                 bits += [parity_bits(s) for s in sets]
@@ -211,10 +213,10 @@ def _postings(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, memo = shared.load(), word_memo()
         for batch in batches:
-            texts, ids = byte_column(batch, "text"), batch.column(0).to_numpy()
+            ids = iter(batch.column(0).to_pylist())
             parts, seen = [], set()
-            for a, b in blocks([len(t) for t in texts]):
-                for doc, s in zip(ids[a:b].tolist(), shingle_sets(texts[a:b], memo)):
+            for texts in text_blocks(batch, "text"):
+                for s, doc in zip(shingle_sets(texts, memo), ids):
                     if not len(s) or (code := set_code(s)) in seen:  # one document of a batch stands for equal sets
                         continue
                     seen.add(code)
