@@ -29,11 +29,12 @@ def attach_labels(matrix: DataFrame, hist_profit: DataFrame, drop_unlabeled: boo
         labeled_months = truth.select("TARGET").distinct()
         m = m.join(F.broadcast(labeled_months), "TARGET", "left_semi")  # <= #months rows
     out = m.join(truth, ["TARGET", "EID", "PEAKID"], "left")
-    out = out.withColumn(
-        "IS_PROFITABLE", F.coalesce(F.col("IS_PROFITABLE").cast("int"), F.lit(0))
-    ).withColumn("PROFIT", F.coalesce(F.col("PROFIT"), F.lit(0.0)))
-    cols = [c for c in matrix.columns] + ["IS_PROFITABLE", "PROFIT"]
-    return out.select(*cols)
+    return out.select(*matrix.columns, *_labels("IS_PROFITABLE", "PROFIT"))
+
+
+def _labels(profitable: str, profit: str) -> list:
+    """Label and profit of a row; without truth both are 0."""
+    return [F.coalesce(F.col(profitable).cast("int"), F.lit(0)).alias("IS_PROFITABLE"), F.coalesce(F.col(profit), F.lit(0.0)).alias("PROFIT")]
 
 
 def labeled_dataset(
@@ -46,7 +47,10 @@ def labeled_dataset(
     sd_features: DataFrame | None = None,
     truth: DataFrame | None = None,
 ) -> DataFrame:
-    """``truth``: label rows to attach, where they are others than the history's."""
+    """``truth``: label rows to attach, where they are others than the history's.
+
+    The rows are those of ``attach_labels``; the truth comes with the matrix's own shuffle, so that no row goes through a second one."""
+    known = hist_profit if truth is None else truth
     m = feature_matrix(
         sim_monthly,
         sim_daily,
@@ -55,8 +59,13 @@ def labeled_dataset(
         keep_target_int=True,
         sm_features=sm_features,
         sd_features=sd_features,
+        truth=known,
     )
-    return attach_labels(m, hist_profit if truth is None else truth, drop_unlabeled).drop("TARGET")
+    if drop_unlabeled:
+        months = known.select(F.col("MONTH").alias("TARGET")).distinct()
+        m = m.join(F.broadcast(months), "TARGET", "left_semi")  # <= #months rows
+    names = [c for c in m.columns if c not in ("TARGET", "truth")]
+    return m.select(*names, *_labels("truth.IS_PROFITABLE", "truth.PROFIT"))
 
 
 def dataset_stats(ds: DataFrame) -> DataFrame:

@@ -17,10 +17,12 @@ window is a range frame over the ranks of its key's months.
 Scale notes
 -----------
 * ``agg_sim`` shuffles the (large) simulation tables exactly once, after a
-  map-side partial aggregate of sums and counts per (MONTH, EID, PEAKID,
-  SCENARIOID).  Means are Σsum/Σcount of the scenario partials; the scenario
-  std is taken over the same partials, so no second pass over raw rows.  A hot
-  EID holding a third of all rows is collapsed to one partial row per map task.
+  map-side partial aggregate of sums and counts per (MONTH, EID, PEAKID), with
+  the price's sums and counts of each scenario as columns; the scenario std is
+  taken over these.  The scenarios are listed first, from their column alone.
+  With more than ``SCENARIO_COLUMNS`` of them, a row for each scenario of a key
+  is grouped first, which is a second shuffle of the partials.  A hot EID
+  holding a third of all rows is collapsed to one partial row per map task.
 * The history month map has at most (#target months × N) rows — bounded by the
   calendar, not by the data — and is broadcast.  The global window that ranks
   months runs on distinct months only (hundreds of rows at most).
@@ -28,10 +30,13 @@ Scale notes
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthpick.functions.columns import zero_fill
+from monthpick.functions.columns import rowwise_mean, zero_fill
 from monthpick.functions.months import col_add_months, col_daily_cutoff_ok, col_month_to_str
 from monthpick.session import materialize, materialize_all
 from monthpick.schema import (
@@ -42,6 +47,14 @@ from monthpick.schema import (
 )
 
 SIM_KEY = ["MONTH", "EID", "PEAKID"]
+#: So many scenarios have their price sums as columns of a key's row.
+SCENARIO_COLUMNS = 8
+
+
+def _few_scenarios(sim: DataFrame) -> list | None:
+    """Scenarios of ``sim``, if ``SCENARIO_COLUMNS`` hold them (no more than one beyond reaches the driver)."""
+    found = sim.select("SCENARIOID").where(F.col("SCENARIOID").isNotNull()).distinct().limit(SCENARIO_COLUMNS + 1).collect()
+    return sorted(r[0] for r in found) if len(found) <= SCENARIO_COLUMNS else None
 
 
 def agg_sim(sim: DataFrame, price_col: str, prefix: str) -> DataFrame:
@@ -52,8 +65,10 @@ def agg_sim(sim: DataFrame, price_col: str, prefix: str) -> DataFrame:
     keyed = sim.where(
         F.col("EID").isNotNull() & F.col("PEAKID").isNotNull() & F.col("MONTH").isNotNull()
     )
-    scen = F.col("SCENARIOID") if with_scen else F.lit(None).cast("int")
-    partial = keyed.groupBy(*SIM_KEY, scen.alias("SCENARIOID")).agg(
+    scenarios = _few_scenarios(keyed) if with_scen else []
+    if scenarios is not None:
+        return _agg_sim_columns(keyed, measures, price_col, prefix, scenarios, with_scen)
+    partial = keyed.groupBy(*SIM_KEY, "SCENARIOID").agg(
         *[F.sum(c).alias(f"s_{c}") for c in measures],
         *[F.count(c).alias(f"n_{c}") for c in measures],
     )
@@ -61,15 +76,42 @@ def agg_sim(sim: DataFrame, price_col: str, prefix: str) -> DataFrame:
     for c in measures:
         n = F.sum(f"n_{c}")
         aggs.append(F.when(n > 0, F.sum(f"s_{c}") / n).alias(f"{prefix}_{c}_mean"))
-    if with_scen:
-        scen_mean = F.when(
-            F.col("SCENARIOID").isNotNull() & (F.col(f"n_{price_col}") > 0),
-            F.col(f"s_{price_col}") / F.col(f"n_{price_col}"),
-        )
-        aggs.append(F.stddev_pop(scen_mean).alias(f"{prefix}_{price_col}_scenario_std"))
+    scen_mean = F.when(
+        F.col("SCENARIOID").isNotNull() & (F.col(f"n_{price_col}") > 0),
+        F.col(f"s_{price_col}") / F.col(f"n_{price_col}"),
+    )
+    aggs.append(F.stddev_pop(scen_mean).alias(f"{prefix}_{price_col}_scenario_std"))
     return partial.groupBy(*SIM_KEY).agg(*aggs)
 
 
+def _agg_sim_columns(keyed: DataFrame, measures: list[str], price_col: str, prefix: str, scenarios: list, with_scen: bool) -> DataFrame:
+    """``agg_sim`` in one grouping: the price is added up for each scenario, and for rows without one."""
+    parts = {c: F.col(c) for c in measures}
+    if with_scen:
+        price = parts.pop(price_col)
+        parts |= {f"p{k}": F.when(F.col("SCENARIOID") == F.lit(s), price) for k, s in enumerate(scenarios)}
+        parts["p"] = F.when(F.col("SCENARIOID").isNull(), price)
+    grouped = keyed.groupBy(*SIM_KEY).agg(
+        *[F.sum(c).alias(f"s_{name}") for name, c in parts.items()],
+        *[F.count(c).alias(f"n_{name}") for name, c in parts.items()],
+    )
+    if with_scen:
+        names = [f"p{k}" for k in range(len(scenarios))]
+        total = [F.coalesce(F.col(f"s_{p}"), F.lit(0.0)) for p in ("p", *names)]
+        count = [F.col(f"n_{p}") for p in ("p", *names)]
+        means = [F.when(F.col(f"n_{p}") > 0, F.col(f"s_{p}") / F.col(f"n_{p}")).alias(f"m_{p}") for p in names]
+        grouped = grouped.select("*", reduce(add, total).alias(f"s_{price_col}"), reduce(add, count).alias(f"n_{price_col}"), *means)
+    out = [F.when(F.col(f"n_{c}") > 0, F.col(f"s_{c}") / F.col(f"n_{c}")).alias(f"{prefix}_{c}_mean") for c in measures]
+    if with_scen:
+        mean = rowwise_mean([f"m_{p}" for p in names]) if names else F.lit(None).cast("double")
+        grouped = grouped.withColumn("m", mean)
+        square = [(F.col(f"m_{p}") - F.col("m")) * (F.col(f"m_{p}") - F.col("m")) for p in names]
+        grouped = grouped.select("*", *[x.alias(f"d_{p}") for p, x in zip(names, square)])
+        std = F.sqrt(rowwise_mean([f"d_{p}" for p in names])) if names else F.lit(None).cast("double")
+        out.append(std.alias(f"{prefix}_{price_col}_scenario_std"))
+    return grouped.select(*SIM_KEY, *out)
+
+
 def sim_monthly_features(sim_monthly: DataFrame) -> DataFrame:
     """``sm_*`` features keyed by TARGET (the month the monthly sims describe)."""
     return agg_sim(sim_monthly, "PSM", "sm").withColumnRenamed("MONTH", "TARGET")
@@ -133,15 +175,18 @@ def _ranks(month_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     return months, ends
 
 
-def _label_sums(hist_profit: DataFrame, months: DataFrame) -> DataFrame:
-    """One row for each (EID, PEAKID, R): what the window statistics add up."""
+def _label_values(hist_profit: DataFrame, months: DataFrame) -> DataFrame:
+    """(EID, PEAKID, R) of each label row and its share of what the window statistics add up."""
     h = hist_profit.where(F.col("EID").isNotNull() & F.col("PEAKID").isNotNull())
     h = h.join(F.broadcast(months), "MONTH")  # calendar-bounded
     measures = {"win": F.col("IS_PROFITABLE").cast("double"), "profit": F.col("PROFIT"), "pr": F.col("PR"), "c": F.col("C")}
-    return h.groupBy(*_KEY, "R").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[f(c).alias(f"{k}_{name}") for name, c in measures.items() for k, f in (("n", F.count), ("s", F.sum))],
-    )
+    shares = [x for name, c in measures.items() for x in (c.isNotNull().cast("long").alias(f"n_{name}"), c.alias(f"s_{name}"))]
+    return h.select(*_KEY, "R", F.lit(1).cast("long").alias("n_rows"), *shares)
+
+
+def _label_sums(hist_profit: DataFrame, months: DataFrame) -> DataFrame:
+    """One row for each (EID, PEAKID, R): what the window statistics add up."""
+    return _label_values(hist_profit, months).groupBy(*_KEY, "R").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
 def _windowed(rows: DataFrame, lookback: int) -> list:
@@ -200,6 +245,7 @@ def feature_matrix(
     stage: str | None = None,
     sm_features: DataFrame | None = None,
     sd_features: DataFrame | None = None,
+    truth: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates = keys of the monthly sims for T; daily and history features
     are left-joined; every numeric null becomes 0; ``TARGET_MONTH`` 'YYYY-MM'.
@@ -217,6 +263,9 @@ def feature_matrix(
     the two simulations of a target meet in one row by grouping, and the label
     sums of its window by a range frame over ranks of months.  What a key brings
     to a task is a few rows a month.
+
+    ``truth``: label rows that are left-joined to their target month, in the same
+    shuffle; they add the column ``truth`` (IS_PROFITABLE, PROFIT), null without one.
     """
     if sm_features is None:
         sm_features = materialize(sim_monthly_features(sim_monthly), stage, name="sim-monthly-features")
@@ -227,20 +276,26 @@ def feature_matrix(
     events = materialize(_month_events(hist_profit, targets, hist_through), stage, name="months")
     months = events.where("kind = 0").select(F.col("M").alias("MONTH"), F.col("c").cast("int").alias("R"))
     ends = events.where("kind = 1").select("TARGET", F.col("c").cast("int").alias("R"))
-    sums = _label_sums(hist_profit, months)
+    # a label row stands for itself where truths are collected; otherwise a key's labels of a month are added up before
+    labels = (_label_sums if truth is None else _label_values)(hist_profit, months)
     sm_cols, sd_cols = ([c for c in d.columns if c not in ("TARGET", *_KEY)] for d in (sm, sd))
     rows = sm.withColumn("is_candidate", F.lit(True)).unionByName(sd, allowMissingColumns=True)
-    rows = rows.unionByName(sums.withColumnRenamed("R", "label_rank"), allowMissingColumns=True).repartition(*_KEY)
-    # the rows of a target become one; a label month's row stays as it is
-    values = ["is_candidate", *sm_cols, *sd_cols, *_SUMS]
-    one = rows.groupBy(*_KEY, "TARGET", "label_rank").agg(*[F.max(c).alias(c) for c in values])
+    rows = rows.unionByName(labels.withColumnRenamed("R", "label_rank"), allowMissingColumns=True)
+    if truth is not None:
+        known = truth.where(F.col("EID").isNotNull() & F.col("PEAKID").isNotNull() & F.col("MONTH").isNotNull())
+        known = known.select(F.col("MONTH").alias("TARGET"), *_KEY, F.struct("IS_PROFITABLE", "PROFIT").alias("truth"))
+        rows = rows.unionByName(known, allowMissingColumns=True)
+    # the rows of a target become one, and those of a label month; a key's labels of a month are one unless its costs repeat
+    values = [F.max(c).alias(c) for c in ("is_candidate", *sm_cols, *sd_cols)] + [F.sum(c).alias(c) for c in _SUMS]
+    found = [] if truth is None else [F.collect_list("truth").alias("truths")]
+    one = rows.repartition(*_KEY).groupBy(*_KEY, "TARGET", "label_rank").agg(*values, *found)
     # calendar-bounded; a target without a window stands before all months
     one = one.join(F.broadcast(ends), "TARGET", "left").withColumn("R", F.coalesce("label_rank", "R", F.lit(0)))
-    m = one.select("TARGET", *_KEY, "is_candidate", *sm_cols, *sd_cols, *_windowed(one, lookback)).where("is_candidate").drop("is_candidate")
-    key = ["TARGET", *_KEY]
-    features = [c for c in m.columns if c not in key]
+    more = [] if truth is None else ["truths"]
+    m = one.select("TARGET", *_KEY, "is_candidate", *more, *sm_cols, *sd_cols, *_windowed(one, lookback)).where("is_candidate").drop("is_candidate")
+    features = [c for c in m.columns if c not in ("TARGET", *_KEY, *more)]
     m = zero_fill(m, features)
     cols = ["EID", "PEAKID", *features, col_month_to_str("TARGET").alias("TARGET_MONTH")]
     if keep_target_int:
         cols.append("TARGET")
-    return m.select(*cols)
+    return m.select(*cols, *[F.explode_outer(c).alias("truth") for c in more])

@@ -133,10 +133,11 @@ class FittedFolds:
         return out
 
 
-def fit_together(fits: list[FoldFit], data: DataFrame | None) -> FittedFolds:
+def fit_together(fits: list[FoldFit], data: DataFrame | None, staged: bool = False) -> FittedFolds:
     """Train all fits on ``data`` (prepared rows with TARGET_MONTH): a fit's rows are those before its fold's month.
 
     A fit of oversampled rows trains on its own table; so does the only fit of ``data`` None.
+    ``staged``: ``data`` is a staged table in the order of its months, and logistic fits read it as it is.
     """
     feat_cols = fits[0].feat_cols
     if data is None:
@@ -146,7 +147,8 @@ def fit_together(fits: list[FoldFit], data: DataFrame | None) -> FittedFolds:
     own = {f"smote {f.fold or ALONE}": f for f in fits if f.oversampled and data is not None}
     for tag, fit in own.items():
         base = base.unionByName(training_rows(fit.train, feat_cols, F.lit(tag)))
-    rows = materialize(base.sortWithinPartitions("tag"), name="training-rows")
+    lean = staged and data is not None and not own and all(f.model_type == "logistic" for f in fits)
+    rows = base if lean else materialize(base.sortWithinPartitions("tag"), name="training-rows")
     spark, n = rows.sparkSession, len(feat_cols)
     months = rows.where(~F.col("tag").startswith("smote "))
     out = FittedFolds(feat_cols, months)
@@ -224,7 +226,7 @@ class WalkForwardResult:
     feat_cols: list[str]
     model_type: str
     last_train_month: str | None
-    dataset: DataFrame | None = None  # staged by month
+    dataset: DataFrame | None = None  # staged
 
 
 def walk_forward(
@@ -243,7 +245,9 @@ def walk_forward(
     evaluate on val (on the same fold, as in the reference), select per fold.
     ``parallelism``: SMOTE runs at a time."""
     spark = ds.sparkSession
-    ds = materialize(ds, name="dataset", partition_by="TARGET_MONTH")  # per-fold pruning
+    # logistic fits all read the whole table, and read it as it is staged; otherwise it is staged for per-fold pruning
+    lean = model_type == "logistic" and not use_smote
+    ds = materialize(ds.sortWithinPartitions("TARGET_MONTH"), name="dataset") if lean else materialize(ds, name="dataset", partition_by="TARGET_MONTH")
     feat_cols = available_features(ds.columns)
     data = prepare(ds, feat_cols)
     folds = eligible_folds(ds, min_train_months)
@@ -261,7 +265,7 @@ def walk_forward(
         )
 
     fits = _side_by_side(fit, folds, parallelism if use_smote else 1)
-    done = fit_together(fits, data)
+    done = fit_together(fits, data, staged=lean)
     n_val = {r["VAL_MONTH"]: int(r["n_val_rows"]) for r in folds}
     scored_all = materialize(done.scored(n_val).drop("model"), name=f"scored-{model_type}")
     last_val, last_train = folds[-1]["VAL_MONTH"], folds[-1]["TRAIN_LAST"]

@@ -99,7 +99,7 @@ def materialize(df, mode: str | None = None, name: str = "stage", partition_by:
         return df.checkpoint(eager=True)
     if mode == "table":
         path = scratch_path(df.sparkSession, name)
-        w = df.write.mode("overwrite")
+        w = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(path)
