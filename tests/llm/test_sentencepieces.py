@@ -65,3 +65,21 @@ def test_query_round_trips_every_document(spark, sf):
     out = queries.op4_sentencepiece(spark, sf)
     assert out.count() == table(spark, sf, "documents").count()
     assert out.where("NOT round_trip").count() == 0
+
+
+def test_memo_is_small_and_gives_the_same_ids(model):
+    """A full memo takes less than 300 bytes a part, and packed ids are those of each part solved alone."""
+    import tracemalloc
+
+    codec = sentencepieces.Codec(model)
+    texts = [" ".join(f"part{a}of{b}words" for b in range(100)) for a in range(400)]
+    codec.encode_many(["warm up"])
+    tracemalloc.start()
+    for at in range(0, len(texts), 50):
+        codec.encode_many(texts[at : at + 50])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / len(codec.memo) < 300
+    for text in [t or "" for t in TEXTS] + texts[:2]:
+        parts = codec.parts(" " + text) if text else []
+        assert codec.encode(text) == [i for p in parts for i in model.solve(p)]
