@@ -37,11 +37,19 @@ SPREAD, SHARD, PART = 4, 1_000, 3_000
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 64, 32, 1.2
 MEDOIDS, BEAM, HOPS, SLACK = 16, 24, 20, 0.06
 QUERIES_AT_ONCE = 256
+#: Numbers of a product of vectors, and pairs of a query and a neighbour, that a task holds at once.
+CELLS, PAIRS = 1 << 20, 1 << 17
 ROUNDS, SEED = 6, 3
 QUERY_STEP = 20
 
 
-def unit(vectors: list) -> np.ndarray:
+def row_blocks(rows: int, width: int) -> Iterator[slice]:
+    """Ranges of rows with at most ``CELLS`` numbers, if a row has ``width``."""
+    step = max(1, CELLS // max(width, 1))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -52,7 +60,7 @@ def fit_centroids(sample: np.ndarray, k: int) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     centroids = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(ROUNDS):
-        home = (sample @ centroids.T).argmax(1)
+        home = np.concatenate([(sample[b] @ centroids.T).argmax(1) for b in row_blocks(len(sample), k)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, home, sample)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -60,6 +68,12 @@ def fit_centroids(sample: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def nearest_shards(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The SPREAD nearest centroids of each row, ascending."""
+    k = min(SPREAD, len(centroids))
+    return np.concatenate([np.sort(np.argpartition(-(x[b] @ centroids.T), k - 1, axis=1)[:, :k], axis=1) for b in row_blocks(len(x), len(centroids))])
+
+
 def build_graph(x: np.ndarray) -> np.ndarray:
     """Adjacency (nodes x DEGREE, -1 for none) by robust pruning of nearest and random candidates."""
     n = len(x)
@@ -67,9 +81,13 @@ def build_graph(x: np.ndarray) -> np.ndarray:
         return np.full((n, DEGREE), -1, np.int32)
     rng = np.random.default_rng(n)
     near = min(NEAREST, n - 1)
-    similar = (x @ x.T).astype(np.float32)
+    similar, nearest = np.empty((n, n), np.float32), np.empty((n, near), np.int64)
+    for b in row_blocks(n, n):
+        similar[b] = x[b] @ x.T
     np.fill_diagonal(similar, -2)
-    candidates = np.concatenate([np.argpartition(-similar, near - 1, axis=1)[:, :near], rng.integers(0, n, (n, RANDOM))], axis=1)
+    for b in row_blocks(n, n):
+        nearest[b] = np.argpartition(-similar[b], near - 1, axis=1)[:, :near]
+    candidates = np.concatenate([nearest, rng.integers(0, n, (n, RANDOM))], axis=1)
     own = np.take_along_axis(similar, candidates, 1)
     order = np.argsort(-own, axis=1, kind="stable")
     candidates, own = np.take_along_axis(candidates, order, 1), np.take_along_axis(own, order, 1)
@@ -103,8 +121,9 @@ def search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.nda
     """
     small = x.astype(np.float32)
     edges = np.concatenate([edges, np.full((1, edges.shape[1]), -1, edges.dtype)])
-    for at in range(0, len(queries), QUERIES_AT_ONCE):
-        q64 = queries[at : at + QUERIES_AT_ONCE]
+    at_once = max(1, min(QUERIES_AT_ONCE, PAIRS // edges.shape[1]))  # a node with many neighbours widens all of edges
+    for at in range(0, len(queries), at_once):
+        q64 = queries[at : at + at_once]
         q = q64.astype(np.float32)
         m, rows = len(q), np.arange(len(q))[:, None]
         seen = np.zeros((m, len(x) + 1), bool)
@@ -113,7 +132,7 @@ def search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.nda
         beam = np.broadcast_to(starts, (m, len(starts))).astype(np.int64)
         score = q @ small[starts].T
         fresh = np.ones(beam.shape, bool)
-        self_node = own[at : at + QUERIES_AT_ONCE]
+        self_node = own[at : at + at_once]
         other = (self_node >= 0) & ~seen[rows[:, 0], self_node]
         seen[rows[other, 0], self_node[other]] = True
         beam = np.concatenate([beam, np.maximum(self_node, 0)[:, None]], 1)
@@ -140,23 +159,36 @@ def search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.nda
                 best = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
                 beam, score, fresh = (np.take_along_axis(z, best, 1) for z in (beam, score, fresh))
         # the range grows from everything near: all its neighbours in range come in, until none is new
-        fq, fn = (np.concatenate(z) for z in zip(*found))
-        all_q, all_n = [fq], [fn]
-        while len(fq):
-            nb = edges[fn].astype(np.int64)
-            cq, cn = np.repeat(fq, nb.shape[1]), nb.ravel()
-            cn = np.where(cn < 0, len(x), cn)
-            keep = ~seen[cq, cn]
-            code = np.unique(cq[keep] * (len(x) + 1) + cn[keep])
-            cq, cn = code // (len(x) + 1), code % (len(x) + 1)
-            seen[cq, cn] = True
-            close = np.concatenate([np.einsum("kd,kd->k", q[cq[i : i + 100_000]], small[cn[i : i + 100_000]]) for i in range(0, len(cq), 100_000)] or [np.zeros(0)]) >= threshold - SLACK
-            fq, fn = cq[close], cn[close]
-            all_q.append(fq)
-            all_n.append(fn)
+        wave = tuple(np.concatenate(z) for z in zip(*found))
+        all_q, all_n = [wave[0]], [wave[1]]
+        step = max(1, PAIRS // edges.shape[1])
+        while len(wave[0]):
+            new_q, new_n = [], []
+            for i in range(0, len(wave[0]), step):
+                nb = edges[wave[1][i : i + step]]
+                k, slot = np.nonzero(nb >= 0)
+                cq, cn = wave[0][i : i + step][k], nb[k, slot].astype(np.int64)
+                keep = ~seen[cq, cn]
+                code = np.unique(cq[keep] * (len(x) + 1) + cn[keep])
+                cq, cn = code // (len(x) + 1), code % (len(x) + 1)
+                seen[cq, cn] = True
+                close = _dots(q, cq, small, cn) >= threshold - SLACK
+                new_q.append(cq[close])
+                new_n.append(cn[close])
+            wave = np.concatenate(new_q), np.concatenate(new_n)
+            all_q.append(wave[0])
+            all_n.append(wave[1])
         pq, pn = np.concatenate(all_q), np.concatenate(all_n)
-        exact = np.concatenate([np.einsum("kd,kd->k", q64[pq[i : i + 100_000]], x[pn[i : i + 100_000]]) for i in range(0, len(pq), 100_000)] or [np.zeros(0)])
-        yield at + pq[exact >= threshold], pn[exact >= threshold]
+        for i in range(0, len(pq), PAIRS):
+            cq, cn = pq[i : i + PAIRS], pn[i : i + PAIRS]
+            exact = _dots(q64, cq, x, cn) >= threshold
+            yield at + cq[exact], cn[exact]
+
+
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows ``i`` of ``a`` and ``j`` of ``b``."""
+    step = max(1, CELLS // a.shape[1])
+    return np.concatenate([np.einsum("kd,kd->k", a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)] or [np.zeros(0, a.dtype)])
 
 
 def _assigned(reps: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -168,16 +200,14 @@ def _assigned(reps: DataFrame, centroids: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column(2).to_pylist())
-            k = min(SPREAD, len(centroids))
-            shards = np.sort(np.argpartition(-(x @ centroids.T), k - 1, axis=1)[:, :k], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(shards.tolist(), pa.list_(pa.int32()))], names=["id", "m", "vector", "shards"])
+            x = unit(_matrix(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(nearest_shards(x, centroids).tolist(), pa.list_(pa.int32()))], names=["id", "m", "vector", "shards"])
 
     return reps.select("id", "m", "embedding").mapInArrow(run, "id bigint, m bigint, vector array<double>, shards array<int>")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
@@ -267,11 +297,20 @@ def link_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _lowest(groups: DataFrame, n: int) -> DataFrame:
+    """The ``MAX_SAMPLE`` of ``n`` rows whose ids hash lowest; rows that hash far too high for that aren't sorted."""
+    order = F.xxhash64("id")
+    low = -(1 << 63) + int((1 << 64) * (2 * MAX_SAMPLE / n))
+    if low < 1 << 62 and (some := groups.where(order <= low)).count() >= MAX_SAMPLE:
+        groups = some
+    return groups.orderBy(order, "id").limit(MAX_SAMPLE)
+
+
 def _linked(valid: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(vec_id, n_links, component_id) of vectors of one length."""
     groups = scratch.stage(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")))
     n = groups.count()
-    sample = unit([r[0] for r in groups.orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE).select("embedding").toLocalIterator()])
+    sample = unit(np.stack([np.array(r[0]) for r in _lowest(groups, n).select("embedding").toLocalIterator()]))
     k = int(min(max(1, -(-n * SPREAD // SHARD)), max(1, len(sample) // SAMPLE_PER_CENTROID)))
     assigned = scratch.stage(_assigned(groups, fit_centroids(sample, k)))
     members = assigned.select("*", F.explode("shards").alias("shard"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -65,3 +67,39 @@ def test_robust_pruning_keeps_the_nearest_and_drops_what_it_covers():
     x = embedding_graph.unit([[1, 0], [1, 0.01], [1, 0.02], [0, 1]])
     edges = embedding_graph.build_graph(x)
     assert edges[0, 0] == 1 and 2 not in edges[0].tolist()
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_many_centroids_meet_a_block_of_rows_at_a_time():
+    rng = np.random.default_rng(5)
+    x, centroids = embedding_graph.unit(rng.normal(size=(10_000, 8))), embedding_graph.unit(rng.normal(size=(2_500, 8)))
+    shards, peak = peak_mb(lambda: embedding_graph.nearest_shards(x, centroids))
+    assert peak < 60  # 200 MB and more for all rows at once
+    some = slice(0, 10_000, 500)
+    assert np.array_equal(shards[some], np.sort(np.argsort(-(x[some] @ centroids.T), axis=1)[:, : embedding_graph.SPREAD], axis=1))
+    fitted, peak = peak_mb(lambda: embedding_graph.fit_centroids(x, 1_250))
+    assert fitted.shape == (1_250, 8) and peak < 60
+
+
+def test_a_large_group_of_near_copies_is_searched_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    x = embedding_graph.unit(rng.normal(size=(1, 8)) + rng.normal(0, 0.01, (1_200, 8)))
+    edges = np.full((1_200, 1_199), -1, np.int32)  # one member lists all others
+    edges[:, :24], edges[0] = embedding_graph.build_graph(x), np.arange(1, 1_200)
+    found, peak = peak_mb(lambda: list(embedding_graph.search(x, edges, np.arange(4), x[:256], np.arange(256), 0.95)))
+    assert peak < 150
+    assert sum(len(i) for i, _ in found) == 256 * 1_200 and len({*zip(*(np.concatenate(z).tolist() for z in zip(*found)))}) == 256 * 1_200
+
+
+def test_the_sample_is_the_rows_whose_ids_hash_lowest(spark, monkeypatch):
+    monkeypatch.setattr(embedding_graph, "MAX_SAMPLE", 40)
+    ids = spark.range(2_000)
+    want = [r[0] for r in ids.orderBy(embedding_graph.F.xxhash64("id"), "id").limit(40).collect()]
+    assert [r[0] for r in embedding_graph._lowest(ids, 2_000).collect()] == want
